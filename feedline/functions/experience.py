@@ -36,7 +36,7 @@ def _col(c) -> Column:
 
 def _first_number(text: Column, pattern: str) -> Column:
     digits = F.nullif(F.regexp_extract(text, _FLAGS + pattern, 1), F.lit(""))
-    return F.when(digits.isNotNull(), F.coalesce(F.try_cast(digits, "bigint"), F.lit(_HUGE)))
+    return F.when(digits.isNotNull(), F.coalesce(digits.try_cast("bigint"), F.lit(_HUGE)))
 
 
 def min_years(text) -> Column:

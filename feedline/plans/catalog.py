@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fingerprint import fingerprint
 from ..operators.dedup import dedup_last_value_first_position
 from ..operators.joins import new_rows
 from ..operators.predicates import keyword_filter, recency_filter, valid_posting
 from ..schema import POSTING_COLUMNS
 from ..sources import fixtures as fx
+from ..sources import json_feeds, payloads
 
 OUT_COLS = [*POSTING_COLUMNS, "fingerprint"]
 
@@ -39,3 +41,40 @@ def new_postings(spark: SparkSession, base: str) -> DataFrame:
     batch = dedup_last_value_first_position(p.filter(F.col("run_no") == 1).select(*OUT_COLS))
     history = p.filter(F.col("run_no") == 0).select("fingerprint")
     return new_rows(batch, history)
+
+
+# ---------------------------------------------------------------- S1-S4, S12: JSON feeds
+
+def _all_postings(spark, base):
+    return fx.postings(spark, base)
+
+
+@register("src_json_array")
+def src_json_array(spark, base):
+    p = _all_postings(spark, base)
+    return json_feeds.read_json_array(payloads.json_array_payloads(p)).withColumn("fingerprint", fingerprint())
+
+
+@register("src_json_envelope")
+def src_json_envelope(spark, base):
+    p = _all_postings(spark, base)
+    return json_feeds.read_json_envelope(payloads.json_envelope_payloads(p)).withColumn(
+        "fingerprint", fingerprint())
+
+
+@register("src_json_salaried")
+def src_json_salaried(spark, base):
+    p = _all_postings(spark, base)
+    return json_feeds.read_json_salaried(payloads.json_salaried_payloads(p)).withColumn(
+        "fingerprint", fingerprint())
+
+
+@register("src_thread_comments")
+def src_thread_comments(spark, base):
+    p = _all_postings(spark, base)
+    return json_feeds.read_thread_comments(payloads.thread_payloads(p))
+
+
+@register("src_geo_elements")
+def src_geo_elements(spark, base):
+    return json_feeds.read_geo_elements(payloads.geo_payloads(fx.geo_elements(spark, base)))

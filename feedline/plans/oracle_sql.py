@@ -74,3 +74,77 @@ hist AS (SELECT fingerprint FROM fp_postings WHERE run_no = 0 AND {VALID_SQL} AN
 dedup AS ({dedup_sql('batch')})
 SELECT {POSTING_COLS} FROM dedup WHERE fingerprint NOT IN (SELECT fingerprint FROM hist)
 """)
+
+GEO_CTE = r"""
+geo AS (
+  SELECT s_suppkey AS element_id,
+         CASE WHEN s_suppkey % 2 = 0 THEN 'node' ELSE 'way' END AS type,
+         'Lead ' || CAST(s_suppkey % 90 AS VARCHAR) AS name,
+         CASE WHEN s_suppkey % 13 = 12 THEN NULL
+              ELSE 'https://lead' || CAST(s_suppkey % 90 AS VARCHAR) || '.example' END AS website,
+         CAST(19.1 AS DOUBLE) + CAST(s_suppkey % 40 AS DOUBLE) * CAST(0.05 AS DOUBLE) AS latitude,
+         CAST(-101.8 AS DOUBLE) + CAST(s_suppkey % 25 AS DOUBLE) * CAST(0.08 AS DOUBLE) AS longitude
+  FROM supplier
+)"""
+
+FEED_SEQ = "(seq // 50) * 1048576 + seq % 50"
+FP = "sha256(lower(title || company || url)) AS fingerprint"
+
+ORACLE["src_json_array"] = with_postings(f"""
+s1 AS (
+  SELECT (seq // 50) * 1048576 + seq % 50 + 2 AS seq, title,
+         CASE WHEN seq % 13 = 5 THEN '' ELSE company END AS company, 'Remote' AS location,
+         'https://remoteok.com/remote-jobs/job-' || CAST(seq AS VARCHAR) AS url, 'remoteok' AS source,
+         true AS is_remote, CASE WHEN seq % 13 = 9 THEN '' ELSE description END AS description,
+         CASE WHEN seq % 13 = 8 THEN NULL ELSE date_trunc('second', posted_at) END AS posted_at,
+         CASE WHEN seq % 13 = 7 THEN NULL WHEN min_salary_usd_monthly * 12 > 0
+              THEN (min_salary_usd_monthly * 12) / 12 END AS min_salary_usd_monthly
+  FROM postings WHERE seq % 13 <> 6
+)
+SELECT *, {FP} FROM s1""")
+
+ORACLE["src_json_envelope"] = with_postings(f"""
+s2 AS (
+  SELECT {FEED_SEQ} AS seq, title, company,
+         CASE WHEN seq % 13 = 5 THEN 'Remote' ELSE location END AS location, url,
+         'remotive' AS source, true AS is_remote, description,
+         CAST(NULL AS TIMESTAMP) AS posted_at, CAST(NULL AS DOUBLE) AS min_salary_usd_monthly
+  FROM postings
+  WHERE (seq // 50) % 5 <> 4 AND seq % 13 NOT IN (6, 7)
+    AND (starts_with(url, 'https://') OR starts_with(url, 'http://'))
+)
+SELECT *, {FP} FROM s2""")
+
+ORACLE["src_json_salaried"] = with_postings(f"""
+s3 AS (
+  SELECT {FEED_SEQ} AS seq, title, company,
+         CASE WHEN seq % 3 = 1 THEN location ELSE 'Remote' END AS location,
+         CASE WHEN seq % 13 = 5 THEN 'https://himalayas.app/jobs/g' || CAST(seq AS VARCHAR) ELSE url END AS url,
+         'himalayas' AS source, true AS is_remote, description,
+         CASE WHEN seq % 4 = 3 THEN NULL ELSE date_trunc('second', posted_at) END AS posted_at,
+         CASE WHEN seq % 5 = 0 OR min_salary_usd_monthly IS NULL THEN NULL
+              WHEN seq % 13 = 7 AND seq % 4 IN (0, 1) THEN 0.0
+              WHEN seq % 13 = 7 THEN NULL
+              WHEN seq % 4 = 0 THEN (min_salary_usd_monthly * 12) / 12
+              WHEN seq % 4 = 1 THEN min_salary_usd_monthly END AS min_salary_usd_monthly
+  FROM postings WHERE seq % 13 <> 6
+)
+SELECT *, {FP} FROM s3 WHERE starts_with(url, 'https://') OR starts_with(url, 'http://')""")
+
+ORACLE["src_thread_comments"] = with_postings(f"""
+s4 AS (
+  SELECT seq, title, company,
+         company || ' | ' || title || ' | ' || CASE WHEN is_remote THEN 'REMOTE' ELSE 'Onsite' END
+           || description AS plain, posted_at
+  FROM postings WHERE seq % 13 NOT IN (6, 7)
+)
+SELECT {FEED_SEQ} AS seq, title, company,
+       CASE WHEN contains(upper(plain), 'REMOTE') THEN 'Remote' ELSE 'On-site' END AS location,
+       'https://news.ycombinator.com/item?id=' || CAST(seq AS VARCHAR) AS url, 'hackernews' AS source,
+       contains(upper(plain), 'REMOTE') AS is_remote, plain AS description,
+       date_trunc('second', posted_at) AS posted_at, CAST(NULL AS DOUBLE) AS min_salary_usd_monthly
+FROM s4""")
+
+ORACLE["src_geo_elements"] = f"""WITH {GEO_CTE}
+SELECT (element_id // 50) * 1048576 + element_id % 50 AS seq, type, name, website, latitude, longitude
+FROM geo WHERE website IS NOT NULL"""
