@@ -20,14 +20,7 @@ from ..sources import json_feeds, payloads
 
 OUT_COLS = [*POSTING_COLUMNS, "fingerprint"]
 
-QUERIES: dict = {}
-
-
-def register(name):
-    def deco(fn):
-        QUERIES[name] = fn
-        return fn
-    return deco
+from .registry import QUERIES, register  # noqa: F401
 
 
 def _flagship_filter() -> F.Column:
@@ -78,3 +71,7 @@ def src_thread_comments(spark, base):
 @register("src_geo_elements")
 def src_geo_elements(spark, base):
     return json_feeds.read_geo_elements(payloads.geo_payloads(fx.geo_elements(spark, base)))
+
+
+# Importing the query modules registers their queries.
+from . import q_functions  # noqa: E402,F401

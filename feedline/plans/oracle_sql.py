@@ -148,3 +148,138 @@ FROM s4""")
 ORACLE["src_geo_elements"] = f"""WITH {GEO_CTE}
 SELECT (element_id // 50) * 1048576 + element_id % 50 AS seq, type, name, website, latitude, longitude
 FROM geo WHERE website IS NOT NULL"""
+
+# ---------------------------------------------------------------- P* / F* oracles
+
+WB = r"[^\p{L}\p{N}_]"
+ENTRY_SQL = (r"(^|" + WB + r")(entry[\s-]?level|junior|no experience required|recent graduate"
+             r"|recién egresado|sin experiencia)(" + WB + r"|$)")
+RANGE_SQL = r"(\d+)\s*[-‒–—−]\s*(\d+)\s*(years?|yrs?|años?)"
+YEARS_SQL = r"(\d+)\+?\s*(years?|yrs?|años?)"
+SENIOR_SQL = (r"(^|" + WB + r")(senior|sr\.?|staff|principal|lead|l[ií]der|arquitect[oa]|architect"
+              r"|director|head\s+of|chief|vp)(" + WB + r"|$)")
+
+
+def _num(t, pat):
+    x = f"regexp_extract({t}, '{pat}', 1)"
+    return f"CASE WHEN {x} <> '' THEN coalesce(TRY_CAST({x} AS BIGINT), 9223372036854775807) END"
+
+
+def min_years_sql(t):
+    lt = f"lower({t})"
+    return (f"(CASE WHEN regexp_matches({lt}, '{ENTRY_SQL}') THEN CAST(0 AS BIGINT) "
+            f"ELSE coalesce({_num(lt, RANGE_SQL)}, {_num(lt, YEARS_SQL)}) END)")
+
+
+SENIOR_TITLE = f"regexp_matches(lower(title), '{SENIOR_SQL}')"
+REQ_YEARS = (f"coalesce({min_years_sql(chr(40) + 'title || ' + chr(39) + ' ' + chr(39) + ' || description' + chr(41))}, "
+             f"CASE WHEN {SENIOR_TITLE} THEN CAST(5 AS BIGINT) END)")
+F2_SQL = f"({REQ_YEARS} IS NULL OR {REQ_YEARS} <= 3)"
+BLACKLIST_TERMS = ("security clearance,active clearance,top secret,ts/sci,dod clearance,"
+                   "secret clearance,public trust,us citizens only,"
+                   "must be authorized to work in the us,us work authorization,"
+                   "must be a us citizen,green card required,"
+                   "sales executive,account executive,must relocate,relocation required,"
+                   "staffing agency,recruiting firm").split(",")
+F4_SQL = "(NOT (" + " OR ".join(f"contains({SEARCHABLE}, '{t}')" for t in BLACKLIST_TERMS) + "))"
+F6_SQL = "(min_salary_usd_monthly IS NULL OR min_salary_usd_monthly >= 20000.0)"
+SLUG_SQL = ("regexp_replace(regexp_replace(trim(lower({x})), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), "
+            "'\\s+', '-', 'g')")
+
+
+def slug_sql(x):
+    return SLUG_SQL.format(x=x)
+
+
+def title_case_sql(x):
+    s = f"lower({x})"
+    return (f"array_to_string(list_transform(range(1, length({s}) + 1), lambda i: CASE WHEN i = 1 OR NOT "
+            f"regexp_matches(substring({s}, i - 1, 1), '^\\p{{L}}$') THEN upper(substring({s}, i, 1)) "
+            f"ELSE substring({s}, i, 1) END), '')")
+
+
+ORACLE["fingerprint"] = with_postings("x AS (SELECT 1)\nSELECT seq, sha256(lower(title || company || url)) AS fingerprint FROM postings")
+ORACLE["lead_fingerprint"] = f"""WITH {GEO_CTE}
+SELECT element_id, sha256(lower(name || website)) AS fingerprint FROM geo WHERE website IS NOT NULL"""
+ORACLE["searchable_text"] = with_postings(f"""x AS (SELECT 1)
+SELECT seq, {SEARCHABLE} AS searchable,
+       substring(regexp_replace(title || ' ' || description, '^\\s+|\\s+$', '', 'g'), 1, 500) AS lang_window
+FROM postings""")
+ORACLE["title_company_lines"] = with_postings("""x AS (SELECT 1)
+SELECT seq, title, CASE WHEN seq % 3 = 2 THEN '' ELSE company END AS company FROM postings""")
+ORACLE["title_company_pipes"] = with_postings("""x AS (SELECT 1)
+SELECT seq, title, CASE WHEN seq % 3 = 2 THEN '' ELSE company END AS company FROM postings""")
+ORACLE["title_company_at"] = with_postings("""x AS (SELECT 1)
+SELECT seq, CASE WHEN seq % 4 = 3 THEN title || ' at ' || company ELSE title END AS title,
+       CASE seq % 4 WHEN 2 THEN '' WHEN 3 THEN 'HQ' ELSE company END AS company FROM postings""")
+ORACLE["epoch_to_ts"] = """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL
+  ELSE date_trunc('second', ts) END AS ts FROM events"""
+ORACLE["rfc2822_to_ts"] = """SELECT event_id, CASE event_id % 5
+  WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts)
+  WHEN 2 THEN date_trunc('second', ts) + INTERVAL 5 HOUR
+  WHEN 3 THEN date_trunc('minute', ts) - INTERVAL 1 HOUR END AS ts FROM events"""
+ORACLE["date_to_ts"] = """SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL
+  ELSE date_trunc('day', ts) END AS ts FROM events"""
+ORACLE["salary_by_period"] = """SELECT o_orderkey,
+  CASE WHEN o_orderkey % 3 = 2 THEN NULL
+       WHEN o_orderkey % 4 = 0 THEN (CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE o_totalprice END) / 12
+       WHEN o_orderkey % 4 = 1 THEN (CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE o_totalprice END) END AS monthly,
+  CASE WHEN o_orderkey % 7 <> 0 AND o_totalprice - 100000.0 > 0 THEN (o_totalprice - 100000.0) / 12 END
+    AS annual_monthly
+FROM orders"""
+ORACLE["slugify"] = with_postings(f"""x AS (SELECT 1)
+SELECT seq, {slug_sql("'  ' || title || ' & Co. '")} AS slug FROM postings""")
+ORACLE["absolutise_url"] = with_postings("""h AS (SELECT seq, CASE seq % 3 WHEN 0 THEN '/empleos/' || CAST(seq AS VARCHAR)
+    WHEN 1 THEN url ELSE 'oferta-' || CAST(seq AS VARCHAR) END AS href FROM postings)
+SELECT seq, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://board-a.example' || href END AS url_a,
+       CASE WHEN starts_with(href, '/') THEN 'https://board-b.example' || href ELSE href END AS url_b FROM h""")
+ORACLE["search_url"] = f"""WITH s AS (SELECT term, {slug_sql('term')} AS slug
+  FROM (SELECT DISTINCT p_name AS term FROM part))
+SELECT term, true AS is_remote,
+  'https://www.bumeran.com.mx/empleos-busqueda-' || slug || '.html' AS bumeran,
+  'https://mx.computrabajo.com/trabajo-de-' || slug AS computrabajo,
+  'https://www.occ.com.mx/empleos/de-' || slug || '/tipo-home-office-remoto/' AS occ FROM s
+UNION ALL
+SELECT term, false AS is_remote,
+  'https://www.bumeran.com.mx/empleos-busqueda-' || slug || '-en-celaya.html' AS bumeran,
+  'https://mx.computrabajo.com/trabajo-de-' || slug || '/en-celaya' AS computrabajo,
+  'https://www.occ.com.mx/empleos/de-' || slug || '/en-guanajuato/en-celaya/' AS occ FROM s"""
+ORACLE["title_case_place"] = f"""WITH x AS (
+  SELECT n_nationkey, lower(n_name || ' d''or-' || CAST(n_nationkey AS VARCHAR) || 'x') AS city,
+         CASE WHEN n_nationkey % 4 = 0 THEN '  ' ELSE lower(r_name) END AS state
+  FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT n_nationkey, CASE WHEN trim(state) = '' THEN {title_case_sql('trim(city)')}
+  ELSE {title_case_sql('trim(city)')} || ', ' || {title_case_sql('trim(state)')} END AS place FROM x"""
+ORACLE["remote_flag_text"] = with_postings("""x AS (SELECT 1)
+SELECT seq, CASE WHEN seq % 4 IN (0, 1) THEN true ELSE contains(upper(description), 'REMOTE') END AS is_remote
+FROM postings""")
+ORACLE["mailto_address"] = """SELECT c_custkey, CASE c_custkey % 5 WHEN 2 THEN NULL WHEN 3 THEN NULL
+  ELSE lower(replace(c_name, '#', '')) || '@x.example' END AS email FROM customer"""
+ORACLE["required_years"] = with_postings(f"""x AS (SELECT 1)
+SELECT seq, {min_years_sql("(title || ' ' || description)")} AS min_years, {SENIOR_TITLE} AS title_is_senior,
+       {REQ_YEARS} AS required_years FROM postings""")
+ORACLE["keyword_filter"] = with_postings(f"x AS (SELECT 1)\nSELECT seq FROM postings WHERE {F1_SQL}")
+ORACLE["experience_filter"] = with_postings(f"x AS (SELECT 1)\nSELECT seq FROM postings WHERE {F2_SQL}")
+ORACLE["recency_filter"] = with_postings(f"x AS (SELECT 1)\nSELECT seq FROM postings WHERE {F3_SQL}")
+ORACLE["blacklist_filter"] = with_postings(f"x AS (SELECT 1)\nSELECT seq FROM postings WHERE {F4_SQL}")
+ORACLE["salary_filter"] = with_postings(f"x AS (SELECT 1)\nSELECT seq FROM postings WHERE {F6_SQL}")
+ORACLE["valid_url"] = with_postings("""x AS (SELECT 1)
+SELECT seq, (starts_with(url, 'https://') OR starts_with(url, 'http://')) AS valid_url,
+  source IN ('linkedin','indeed','glassdoor','remoteok','remotive','weworkremotely','cybersecjobs',
+             'computrabajo','bumeran','himalayas','hackernews','occ','getonboard') AS known_source,
+  (length(title) > 0 AND length(url) > 0) AS required_fields FROM postings""")
+ORACLE["posting_filter"] = with_postings(f"""x AS (SELECT 1)
+SELECT seq FROM postings WHERE {VALID_SQL} AND {F1_SQL} AND {F2_SQL} AND {F3_SQL} AND {F4_SQL} AND {F6_SQL}""")
+ORACLE["filter_funnel"] = with_postings(f"""x AS (SELECT 1)
+SELECT count(*) AS n_total, count_if({F1_SQL}) AS n_relevant,
+  count_if({F1_SQL} AND {F2_SQL}) AS n_experience,
+  count_if({F1_SQL} AND {F2_SQL} AND {F3_SQL}) AS n_recent,
+  count_if({F1_SQL} AND {F2_SQL} AND {F3_SQL} AND {F4_SQL}) AS n_not_blacklisted,
+  count_if({F1_SQL} AND {F2_SQL} AND {F3_SQL} AND {F4_SQL} AND {F6_SQL}) AS n_salary
+FROM postings WHERE {VALID_SQL}""")
+ORACLE["quarantine"] = with_postings("""x AS (SELECT 1)
+SELECT seq, CASE WHEN NOT (starts_with(url, 'https://') OR starts_with(url, 'http://')) THEN 'bad_url'
+  ELSE 'unknown_source' END AS reason FROM postings
+WHERE NOT (starts_with(url, 'https://') OR starts_with(url, 'http://'))
+   OR source NOT IN ('linkedin','indeed','glassdoor','remoteok','remotive','weworkremotely','cybersecjobs',
+             'computrabajo','bumeran','himalayas','hackernews','occ','getonboard')""")
