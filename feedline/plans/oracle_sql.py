@@ -283,3 +283,53 @@ SELECT seq, CASE WHEN NOT (starts_with(url, 'https://') OR starts_with(url, 'htt
 WHERE NOT (starts_with(url, 'https://') OR starts_with(url, 'http://'))
    OR source NOT IN ('linkedin','indeed','glassdoor','remoteok','remotive','weworkremotely','cybersecjobs',
              'computrabajo','bumeran','himalayas','hackernews','occ','getonboard')""")
+
+# ---------------------------------------------------------------- dedup / state / digest oracles
+
+SCENARIO = f"""
+f AS (SELECT * FROM fp_postings WHERE {VALID_SQL} AND {F1_SQL} AND {F3_SQL}),
+b0 AS ({dedup_sql("(SELECT * FROM f WHERE run_no = 0)")}),
+b1 AS ({dedup_sql("(SELECT * FROM f WHERE run_no = 1)")}),
+saved0 AS (SELECT *, CAST(0 AS BIGINT) AS run_id FROM b0),
+marks0 AS (SELECT fingerprint, CAST(0 AS BIGINT) AS run_id, 'new' AS kind FROM saved0 ORDER BY seq LIMIT 10),
+pend1 AS (SELECT * FROM saved0 WHERE fingerprint NOT IN (SELECT fingerprint FROM marks0)),
+marks1r AS (SELECT fingerprint, CAST(1 AS BIGINT) AS run_id, 'retry' AS kind FROM pend1 ORDER BY seq LIMIT 10),
+new1 AS (SELECT * FROM b1 WHERE fingerprint NOT IN (SELECT fingerprint FROM saved0)),
+saved1 AS (SELECT *, CAST(1 AS BIGINT) AS run_id FROM new1),
+marks1n AS (SELECT fingerprint, CAST(1 AS BIGINT) AS run_id, 'new' AS kind FROM new1 ORDER BY seq LIMIT 10),
+tbl AS (SELECT * FROM saved0 UNION ALL SELECT * FROM saved1),
+notes AS (SELECT * FROM marks0 UNION ALL SELECT * FROM marks1r UNION ALL SELECT * FROM marks1n),
+pend AS (SELECT * FROM tbl WHERE fingerprint NOT IN (SELECT fingerprint FROM notes) AND {VALID_SQL})"""
+
+POSTING_LINE_SQL = ("'• *' || title || '* @ ' || company || chr(10) || '  [' || source || '] ' || url || chr(10)")
+
+ORACLE["dedup_batch_last"] = with_postings(f"""d AS ({dedup_sql(f"(SELECT * FROM fp_postings WHERE {VALID_SQL})")})
+SELECT {POSTING_COLS} FROM d""")
+ORACLE["seen_semi"] = with_postings(f"""v AS (SELECT * FROM fp_postings WHERE {VALID_SQL})
+SELECT DISTINCT fingerprint FROM v WHERE run_no = 0
+  AND fingerprint IN (SELECT fingerprint FROM v WHERE run_no = 1)""")
+ORACLE["insert_ignore"] = with_postings(SCENARIO + "\nSELECT fingerprint, seq, run_id, title, source FROM tbl")
+ORACLE["inserted_count"] = with_postings(SCENARIO + "\nSELECT run_id, count(*) AS inserted FROM tbl GROUP BY run_id")
+ORACLE["mark_notified"] = with_postings(SCENARIO + "\nSELECT * FROM notes")
+ORACLE["retry_pending"] = with_postings(SCENARIO + """
+SELECT fingerprint, seq FROM pend1 WHERE fingerprint IN (SELECT fingerprint FROM marks1r)""")
+ORACLE["scan_unnotified"] = with_postings(SCENARIO + """
+SELECT fingerprint, title, company, location, url, source, is_remote, description FROM pend""")
+ORACLE["pending_count"] = with_postings(SCENARIO + "\nSELECT count(*) AS pending FROM pend")
+ORACLE["digest_slice"] = with_postings(SCENARIO + "\nSELECT seq, fingerprint, title FROM new1 ORDER BY seq LIMIT 10")
+ORACLE["digest_line"] = with_postings(SCENARIO + f"\nSELECT seq, {POSTING_LINE_SQL} AS line FROM new1")
+ORACLE["digest_text"] = with_postings(SCENARIO + f""",
+top AS (SELECT * FROM new1 ORDER BY seq LIMIT 10),
+agg AS (SELECT count(*) AS n_items, (SELECT count(*) FROM new1) AS n_total,
+               string_agg({POSTING_LINE_SQL}, chr(10) ORDER BY seq) AS body FROM top)
+SELECT n_items, n_total, greatest(n_total - 10, 0) AS overflow,
+       '*Nuevas ofertas:*' || chr(10) || chr(10) || body ||
+       CASE WHEN n_total > 10 THEN chr(10) || '_...y ' || CAST(n_total - 10 AS VARCHAR) || ' más guardadas en DB_'
+            ELSE '' END AS text
+FROM agg WHERE n_items > 0""")
+ORACLE["overflow_count"] = with_postings(SCENARIO + """
+SELECT count(*) AS n_total, greatest(count(*) - 10, 0) AS overflow FROM new1""")
+ORACLE["counts_by_source"] = with_postings("x AS (SELECT 1)\nSELECT source, count(*) AS n FROM postings GROUP BY source")
+ORACLE["unknown_sources"] = with_postings("""x AS (SELECT 1)
+SELECT DISTINCT source FROM postings WHERE source NOT IN ('linkedin','indeed','glassdoor','remoteok','remotive',
+  'weworkremotely','cybersecjobs','computrabajo','bumeran','himalayas','hackernews','occ','getonboard')""")
