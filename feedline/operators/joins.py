@@ -152,5 +152,5 @@ def site_pages(leads: DataFrame, pages: DataFrame, paths) -> DataFrame:
     plist = F.array(*[F.lit(p) for p in ["", *paths]])
     frontier = leads.select(
         F.regexp_replace(F.col("website"), "/+$", "").alias("website"),
-        F.posexplode(plist).alias("path_ord", "path"))
+        F.posexplode(plist).alias("path_ord", "path")).withColumn("path_ord", F.col("path_ord").cast("bigint"))
     return frontier.join(pages.drop("path_ord"), ["website", "path"])

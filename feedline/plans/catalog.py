@@ -76,3 +76,4 @@ def src_geo_elements(spark, base):
 # Importing the query modules registers their queries.
 from . import q_functions  # noqa: E402,F401
 from . import q_state  # noqa: E402,F401
+from . import q_leads  # noqa: E402,F401

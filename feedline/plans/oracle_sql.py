@@ -333,3 +333,105 @@ ORACLE["counts_by_source"] = with_postings("x AS (SELECT 1)\nSELECT source, coun
 ORACLE["unknown_sources"] = with_postings("""x AS (SELECT 1)
 SELECT DISTINCT source FROM postings WHERE source NOT IN ('linkedin','indeed','glassdoor','remoteok','remotive',
   'weworkremotely','cybersecjobs','computrabajo','bumeran','himalayas','hackernews','occ','getonboard')""")
+
+# ---------------------------------------------------------------- leads oracles
+
+CRAWL_CTE = r"""
+crawl AS (
+  SELECT page_id, 'https://lead' || CAST(page_id % 90 AS VARCHAR) || '.example' AS website,
+         (page_id // 90) % 6 AS path_ord,
+         ['', '/contacto', '/trabaja-con-nosotros', '/bolsa-de-trabajo', '/careers', '/rh'][(page_id // 90) % 6 + 1] AS path,
+         CASE WHEN page_id % 19 = 18 THEN 404 ELSE 200 END AS status,
+         html || CASE page_id % 4
+           WHEN 0 THEN '<p>Contacto: <a href="mailto:info' || CAST(page_id AS VARCHAR) || '@lead.example">Escríbenos</a></p>'
+           WHEN 1 THEN '<p>Ventas: <a href="mailto:ventas' || CAST(page_id AS VARCHAR)
+                       || '@lead.example?subject=Hola">ventas</a></p><p>Recursos Humanos: <a href="mailto:rh'
+                       || CAST(page_id AS VARCHAR) || '@lead.example">escribir</a></p>'
+           ELSE '' END AS html
+  FROM pages
+),
+rsites AS (SELECT DISTINCT 'https://lead' || CAST(page_id % 90 AS VARCHAR) || '.example' AS website
+           FROM pages WHERE page_id % 90 % 7 = 3),
+allowed AS (
+  SELECT * FROM crawl WHERE status < 400 AND NOT (website IN (SELECT website FROM rsites)
+    AND starts_with(CASE WHEN path = '' THEN '/' ELSE path END, '/contacto'))
+)"""
+
+HAVERSINE = ("(CAST(12742.0 AS DOUBLE) * asin(sqrt(pow(sin((radians(latitude) - radians(CAST(20.1 AS DOUBLE))) / 2), 2)"
+             " + cos(radians(CAST(20.1 AS DOUBLE))) * cos(radians(latitude))"
+             " * pow(sin((radians(longitude) - radians(CAST(-100.8 AS DOUBLE))) / 2), 2))))")
+
+FOUND_CTE = f"""
+found AS (
+  SELECT (element_id // 50) * 1048576 + element_id % 50 AS seq, type, name, website, latitude, longitude,
+         {HAVERSINE} AS distance_km, sha256(lower(name || website)) AS fingerprint
+  FROM geo WHERE website IS NOT NULL AND {HAVERSINE} <= 80.0
+)"""
+
+HR_SQL = " OR ".join(f"contains(context, '{p}')" for p in (
+    "recursos humanos", "trabaja con nosotros", "bolsa de trabajo", "vacantes", "careers", "hr", "reclutamiento"))
+
+CAND_CTE = f"""
+frags AS (
+  SELECT page_id, regexp_extract_all(html, '<p>[^<]*<a href="mailto:[^"]*">[^<]*</a>[^<]*</p>') AS fs
+  FROM SRC
+),
+cand0 AS (SELECT page_id, unnest(range(len(fs))) AS pos, unnest(fs) AS frag FROM frags),
+cand AS (
+  SELECT page_id, pos, trim(split_part(regexp_extract(frag, 'mailto:([^"]*)"', 1), '?', 1)) AS email,
+         lower(trim(regexp_extract(frag, '">([^<]*)</a>', 1)) || ' ' || trim(regexp_extract(frag, '<p>([^<]*)<a', 1)))
+           AS context
+  FROM cand0
+),
+hcand AS (SELECT *, ({HR_SQL}) AS is_hr FROM cand)"""
+
+LEADS_BASE = "WITH " + GEO_CTE + "," + CRAWL_CTE + "," + FOUND_CTE
+BEST_CTE = """
+targets AS (SELECT a.* FROM allowed a WHERE a.website IN (SELECT website FROM found)),
+""" + CAND_CTE.replace("FROM SRC", "FROM targets") + """,
+tc AS (SELECT h.*, t.website, t.path_ord FROM hcand h JOIN targets t USING (page_id)),
+ranked AS (SELECT website, email, is_hr, row_number() OVER (PARTITION BY website
+           ORDER BY NOT is_hr, path_ord, page_id, pos) AS rn FROM tc),
+best AS (SELECT website, email, is_hr AS email_is_hr_context FROM ranked WHERE rn = 1),
+dl AS (SELECT fingerprint, min(seq) AS seq, arg_max(name, seq) AS name, arg_max(website, seq) AS website,
+              arg_max(latitude, seq) AS latitude, arg_max(longitude, seq) AS longitude
+       FROM found GROUP BY fingerprint),
+nl AS (SELECT dl.seq, dl.name, dl.website, dl.latitude, dl.longitude, b.email,
+              coalesce(b.email_is_hr_context, false) AS email_is_hr_context,
+              CASE WHEN b.email IS NULL THEN 'no_email_found' ELSE 'pending' END AS status, dl.fingerprint
+       FROM dl LEFT JOIN best b ON b.website = regexp_replace(dl.website, '/+$', ''))"""
+
+LEAD_LINE_SQL = ("'• *' || name || '* (' || CASE WHEN email_is_hr_context THEN '✅ RH confirmado' "
+                 "ELSE '⚠️ contacto general' END || ')' || chr(10) || '  ' || email || ' — ' || website || chr(10)")
+
+ORACLE["geo_radius"] = LEADS_BASE + "\nSELECT seq, name, website, round(distance_km, 6) AS distance_km FROM found"
+ORACLE["discovery_cap"] = LEADS_BASE + "\nSELECT seq, name, website FROM found ORDER BY seq LIMIT 100"
+ORACLE["union_geo_types"] = "WITH " + GEO_CTE + """
+SELECT element_id, type, latitude, longitude FROM geo WHERE website IS NOT NULL"""
+ORACLE["site_pages"] = LEADS_BASE + """
+SELECT c.website, c.path_ord, c.path, c.page_id, c.status FROM crawl c
+WHERE c.website IN (SELECT website FROM found)"""
+ORACLE["src_pages"] = "WITH " + CRAWL_CTE + "\nSELECT page_id, website, path_ord, status FROM crawl WHERE status < 400"
+ORACLE["robots_anti"] = "WITH " + CRAWL_CTE + "\nSELECT page_id, website, path FROM allowed"
+ORACLE["src_robots"] = "WITH " + CRAWL_CTE + """
+SELECT website, CAST(0 AS BIGINT) AS ord, false AS allow, '/contacto' AS prefix FROM rsites"""
+ORACLE["mailto_candidates"] = "WITH " + CRAWL_CTE + "," + CAND_CTE.replace(
+    "FROM SRC", "FROM crawl WHERE status < 400") + "\nSELECT page_id, pos, email, context, is_hr FROM hcand"
+ORACLE["hr_context"] = "WITH " + CRAWL_CTE + "," + CAND_CTE.replace(
+    "FROM SRC", "FROM crawl WHERE status < 400") + "\nSELECT is_hr, count(*) AS n FROM hcand GROUP BY is_hr"
+ORACLE["best_email"] = LEADS_BASE + "," + BEST_CTE + "\nSELECT website, email, email_is_hr_context FROM best"
+ORACLE["new_leads"] = LEADS_BASE + "," + BEST_CTE + "\nSELECT * FROM nl"
+ORACLE["scan_unnotified_leads"] = LEADS_BASE + "," + BEST_CTE + """,
+notif AS (SELECT * FROM nl WHERE email IS NOT NULL),
+m AS (SELECT fingerprint FROM notif ORDER BY seq LIMIT 30)
+SELECT fingerprint, name, email FROM notif WHERE fingerprint NOT IN (SELECT fingerprint FROM m)"""
+ORACLE["lead_digest_text"] = LEADS_BASE + "," + BEST_CTE + f""",
+notif AS (SELECT * FROM nl WHERE email IS NOT NULL),
+top AS (SELECT * FROM notif ORDER BY seq LIMIT 30),
+agg AS (SELECT count(*) AS n_items, (SELECT count(*) FROM notif) AS n_total,
+               string_agg({LEAD_LINE_SQL}, chr(10) ORDER BY seq) AS body FROM top)
+SELECT n_items, n_total, greatest(n_total - 30, 0) AS overflow,
+       '*Empresas para contacto (extracción semanal):*' || chr(10) || chr(10) || body ||
+       CASE WHEN n_total > 30 THEN chr(10) || '_...y ' || CAST(n_total - 30 AS VARCHAR) || ' más guardadas en DB_'
+            ELSE '' END AS text
+FROM agg WHERE n_items > 0"""
