@@ -435,3 +435,116 @@ SELECT n_items, n_total, greatest(n_total - 30, 0) AS overflow,
        CASE WHEN n_total > 30 THEN chr(10) || '_...y ' || CAST(n_total - 30 AS VARCHAR) || ' más guardadas en DB_'
             ELSE '' END AS text
 FROM agg WHERE n_items > 0"""
+
+# ---------------------------------------------------------------- markup / tabular / card feed oracles
+
+VALID_URL = "(starts_with(url, 'https://') OR starts_with(url, 'http://'))"
+
+ORACLE["src_rss"] = with_postings(f"""
+r AS (
+  SELECT (seq // 50) * 1048576 + seq % 50 AS seq, title,
+         CASE WHEN seq % 4 = 3 THEN '' ELSE company END AS company, 'Remote' AS location,
+         CASE WHEN seq % 13 = 5 THEN 'https://weworkremotely.com/g/' || CAST(seq AS VARCHAR) ELSE url END AS url,
+         'weworkremotely' AS source, true AS is_remote, description,
+         CASE WHEN posted_at IS NULL OR seq % 3 = 2 THEN NULL ELSE date_trunc('second', posted_at) END AS posted_at,
+         CAST(NULL AS DOUBLE) AS min_salary_usd_monthly
+  FROM postings WHERE (seq // 50) % 7 <> 6 AND seq % 13 NOT IN (6, 7)
+)
+SELECT * FROM r WHERE {VALID_URL}""")
+
+ORACLE["src_html_cards"] = with_postings(f"""
+occ AS (
+  SELECT seq AS ord, seq // 50 AS chunk, title, company, url, is_remote, description FROM postings
+  UNION ALL
+  SELECT seq + 1000000000 AS ord, seq // 50 + 1 AS chunk, title, company, url, is_remote, description
+  FROM postings WHERE seq % 7 = 0
+),
+p AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY ord) - 1 AS pos FROM occ),
+ok AS (SELECT * FROM p WHERE is_remote AND {VALID_URL}),
+d AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY chunk, pos) AS rn FROM ok)
+SELECT chunk * 1048576 + pos AS seq, title, company, 'Remote' AS location, url, 'getonboard' AS source,
+       true AS is_remote, description, CAST(NULL AS TIMESTAMP) AS posted_at,
+       CAST(NULL AS DOUBLE) AS min_salary_usd_monthly
+FROM d WHERE rn = 1""")
+
+ORACLE["src_html_list"] = with_postings("""x AS (SELECT 1)
+SELECT (seq // 50) * 1048576 + seq % 50 AS seq, title, '' AS company, 'Remote' AS location,
+       'https://foorilla.com/hiring/jobs/' || CAST(seq AS VARCHAR) || '-x' AS url, 'cybersecjobs' AS source,
+       true AS is_remote, '' AS description, CAST(NULL AS TIMESTAMP) AS posted_at,
+       CAST(NULL AS DOUBLE) AS min_salary_usd_monthly
+FROM postings WHERE seq % 5 <> 0""")
+
+TAB_CTE = f"""
+tab AS (
+  SELECT seq, title, company,
+         coalesce(CASE WHEN seq % 13 = 5 THEN NULL ELSE location END, 'Remote') AS location, url,
+         CASE seq % 4 WHEN 0 THEN 'linkedin' WHEN 1 THEN 'indeed' ELSE 'glassdoor' END AS source,
+         run_no = 0 AS is_remote, CASE WHEN seq % 13 = 7 THEN '' ELSE description END AS description,
+         date_trunc('day', posted_at) AS posted_at, CAST(NULL AS DOUBLE) AS min_salary_usd_monthly
+  FROM postings WHERE seq % 4 <> 3 AND seq % 13 <> 6 AND {VALID_URL}
+)"""
+ORACLE["src_tabular"] = with_postings(TAB_CTE + "\nSELECT * FROM tab")
+ORACLE["union_passes"] = with_postings(TAB_CTE + "\nSELECT is_remote, count(*) AS n FROM tab GROUP BY is_remote")
+ORACLE["source_map"] = with_postings(TAB_CTE + "\nSELECT source, count(*) AS n FROM tab GROUP BY source")
+ORACLE["per_site_cap"] = with_postings(TAB_CTE + """,
+f AS (SELECT * FROM tab WHERE posted_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 720 HOUR),
+r AS (SELECT source, url, posted_at, row_number() OVER (PARTITION BY source ORDER BY posted_at DESC, url ASC) AS rank
+      FROM f)
+SELECT source, url, posted_at, rank FROM r WHERE rank <= 50""")
+
+
+def _cards_cte(base):
+    return f"""
+c AS (
+  SELECT seq, seq // 50 AS step, seq % 50 AS pos,
+         CASE WHEN seq % 23 = 22 THEN '' WHEN seq % 6 = 0 THEN '{base}/empleos/oferta-' || CAST(k AS VARCHAR)
+              ELSE '/empleos/oferta-' || CAST(k AS VARCHAR) END AS href,
+         CASE WHEN seq % 13 = 6 THEN '' ELSE title END AS title_f, title, company,
+         seq % 3 <> 0 AS has_marker, (seq // 50) % 2 = 0 AS is_remote
+  FROM (SELECT *, CASE WHEN seq % 10 = 9 THEN seq - 9 ELSE seq END AS k FROM postings)
+),
+c2 AS (SELECT * FROM c WHERE step < coalesce((SELECT min(step) FROM c WHERE step % 16 = 13), 9223372036854775807))"""
+
+
+def _card_text_sql(base, source, markers: bool):
+    cond = "AND (NOT is_remote OR has_marker)" if markers else ""
+    return with_postings(_cards_cte(base) + f""",
+d AS (SELECT *, row_number() OVER (PARTITION BY href ORDER BY seq) AS rn FROM c2 WHERE href <> '')
+SELECT step * 1048576 + pos AS seq, title, company,
+       CASE WHEN is_remote THEN 'Remote' ELSE 'Celaya' END AS location,
+       CASE WHEN starts_with(href, 'http') THEN href ELSE '{base}' || href END AS url, '{source}' AS source,
+       is_remote, '' AS description, CAST(NULL AS TIMESTAMP) AS posted_at,
+       CAST(NULL AS DOUBLE) AS min_salary_usd_monthly
+FROM d WHERE rn = 1 {cond}""")
+
+
+ORACLE["src_card_text"] = _card_text_sql("https://www.bumeran.com.mx", "bumeran", True)
+ORACLE["src_card_links"] = _card_text_sql("https://www.occ.com.mx", "occ", False)
+ORACLE["src_card_fields"] = with_postings(_cards_cte("https://mx.computrabajo.com") + """,
+u AS (SELECT *, CASE WHEN starts_with(href, '/') THEN 'https://mx.computrabajo.com' || href ELSE href END AS url
+      FROM c2 WHERE title_f <> '' AND href <> ''),
+d AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS rn FROM u)
+SELECT step * 1048576 + pos AS seq, title_f AS title, company,
+       CASE WHEN is_remote THEN 'Remote' ELSE 'Celaya' END AS location, url, 'computrabajo' AS source,
+       is_remote, '' AS description, CAST(NULL AS TIMESTAMP) AS posted_at,
+       CAST(NULL AS DOUBLE) AS min_salary_usd_monthly
+FROM d WHERE rn = 1 AND (NOT is_remote OR has_marker)""")
+ORACLE["first_blocked"] = with_postings("""
+c AS (SELECT 'bumeran' AS feed, seq // 50 AS step, seq % 50 AS pos FROM postings
+      UNION ALL SELECT 'occ' AS feed, seq // 50 AS step, seq % 50 AS pos FROM postings WHERE seq % 2 = 0),
+fb AS (SELECT feed, min(step) AS fs FROM c WHERE step % 16 = 13 GROUP BY feed)
+SELECT c.feed, c.step, c.pos FROM c LEFT JOIN fb USING (feed) WHERE fb.fs IS NULL OR c.step < fb.fs""")
+ORACLE["latest_thread"] = """SELECT o_orderkey AS object_id,
+  'Ask HN: Who is hiring? (' || o_orderpriority || ')' AS title, o_orderdate AS created_at
+FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1"""
+ORACLE["dedup_url_first"] = with_postings(f"""
+d AS (SELECT url, seq, title, row_number() OVER (PARTITION BY url ORDER BY seq) AS rn
+      FROM postings WHERE {VALID_SQL})
+SELECT url, seq, title FROM d WHERE rn = 1""")
+ORACLE["union_feeds"] = (
+    f"SELECT seq, source, fingerprint FROM ({ORACLE['src_json_array']})\nUNION ALL\n"
+    f"SELECT seq + 1099511627776 AS seq, source, fingerprint FROM ({ORACLE['src_json_envelope']})\nUNION ALL\n"
+    f"SELECT seq + 2199023255552 AS seq, source, fingerprint FROM ({ORACLE['src_json_salaried']})")
+_THETA = ("widget", "schkeit", *[f"zz-term-{i:03d}" for i in range(60)])
+ORACLE["keyword_theta"] = with_postings("x AS (SELECT 1)\nSELECT seq FROM postings WHERE "
+                                        + " OR ".join(f"contains({SEARCHABLE}, '{t}')" for t in _THETA))
