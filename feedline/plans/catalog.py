@@ -78,3 +78,4 @@ from . import q_functions  # noqa: E402,F401
 from . import q_state  # noqa: E402,F401
 from . import q_leads  # noqa: E402,F401
 from . import q_feeds  # noqa: E402,F401
+from . import q_language  # noqa: E402,F401

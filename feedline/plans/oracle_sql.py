@@ -548,3 +548,57 @@ ORACLE["union_feeds"] = (
 _THETA = ("widget", "schkeit", *[f"zz-term-{i:03d}" for i in range(60)])
 ORACLE["keyword_theta"] = with_postings("x AS (SELECT 1)\nSELECT seq FROM postings WHERE "
                                         + " OR ".join(f"contains({SEARCHABLE}, '{t}')" for t in _THETA))
+
+# ---------------------------------------------------------------- language oracles
+
+NB_MODEL = r"""
+train AS (SELECT lang, regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g') AS t
+          FROM documents WHERE doc_id % 2 = 0 AND lang IS NOT NULL),
+ti AS (SELECT lang, t, unnest(range(1, length(t) + 1)) AS i FROM train),
+tg AS (SELECT lang, substring(t, i, v.n) AS gram FROM ti, (VALUES (1), (2), (3)) v(n)
+       WHERE i + v.n - 1 <= length(t)),
+counts AS (SELECT lang, gram, count(*) AS c FROM tg GROUP BY lang, gram),
+vocab AS (SELECT count(DISTINCT gram) AS v FROM counts),
+pl AS (SELECT lang, sum(c) AS n_grams FROM counts GROUP BY lang),
+pdocs AS (SELECT lang, count(*) AS n_docs FROM train GROUP BY lang),
+langs AS (SELECT pdocs.lang, ln(n_docs / (SELECT sum(n_docs) FROM pdocs)) AS prior, n_grams
+          FROM pdocs JOIN pl USING (lang)),
+prof AS (SELECT g.gram, l.lang,
+                ln((CAST(coalesce(c.c, 0) AS DOUBLE) + 1.0) / CAST(l.n_grams + (SELECT v FROM vocab) AS DOUBLE)) AS lp
+         FROM (SELECT DISTINCT gram FROM counts) g CROSS JOIN langs l
+         LEFT JOIN counts c ON c.gram = g.gram AND c.lang = l.lang)"""
+
+
+def nb_scores(src: str, key: str) -> str:
+    """CTEs scoring ``src`` (columns key, t = raw text window) -> tot(key, lang, score)."""
+    return f"""
+sn AS (SELECT {key}, regexp_replace(lower(t), '[^\\p{{L}}]+', ' ', 'g') AS t FROM {src}),
+si AS (SELECT {key}, t, unnest(range(1, length(t) + 1)) AS i FROM sn),
+sg AS (SELECT {key}, substring(t, i, v.n) AS gram, count(*) AS n FROM si, (VALUES (1), (2), (3)) v(n)
+       WHERE i + v.n - 1 <= length(t) GROUP BY {key}, substring(t, i, v.n)),
+sc AS (SELECT sg.{key}, prof.lang, sum(sg.n * prof.lp) AS s FROM sg JOIN prof USING (gram)
+       GROUP BY sg.{key}, prof.lang),
+tot AS (SELECT sc.{key}, sc.lang, sc.s + l.prior AS score FROM sc JOIN langs l USING (lang)),
+best AS (SELECT {key}, max(score) AS m FROM tot GROUP BY {key}),
+det AS (SELECT t.{key}, min(CASE WHEN t.score = b.m THEN t.lang END) AS detected_lang,
+               1.0 / sum(exp(t.score - b.m)) AS detected_prob
+        FROM tot t JOIN best b USING ({key}) GROUP BY t.{key})"""
+
+
+PWIN = ("pw AS (SELECT seq, substring(regexp_replace(title || ' ' || description, '^\\s+|\\s+$', '', 'g'), 1, 500)"
+        " AS t FROM postings)")
+
+ORACLE["detect_language"] = with_postings(NB_MODEL + ",\n" + PWIN + "," + nb_scores("pw", "seq") + """
+SELECT p.seq, d.detected_lang, round(d.detected_prob, 4) AS detected_prob
+FROM postings p LEFT JOIN det d USING (seq)""")
+ORACLE["language_scores"] = with_postings(NB_MODEL + ",\n" + PWIN + "," + nb_scores("pw", "seq") + """
+SELECT seq, lang, round(score, 4) AS score FROM tot""")
+ORACLE["language_filter"] = with_postings(NB_MODEL + ",\n" + PWIN + "," + nb_scores("pw", "seq") + """
+SELECT p.seq FROM postings p LEFT JOIN det d USING (seq)
+WHERE d.detected_lang IS NULL OR d.detected_prob IS NULL OR d.detected_prob < 0.8
+   OR d.detected_lang IN ('en', 'es')""")
+ORACLE["language_accuracy"] = ("WITH " + NB_MODEL + """,
+held AS (SELECT doc_id, lang AS true_lang, substring(text, 1, 500) AS t FROM documents WHERE doc_id % 2 = 1),"""
+                               + nb_scores("held", "doc_id") + """
+SELECT h.true_lang AS lang, count(*) AS n, count_if(d.detected_lang = h.true_lang) AS n_correct
+FROM held h LEFT JOIN det d USING (doc_id) GROUP BY h.true_lang""")
