@@ -602,3 +602,11 @@ held AS (SELECT doc_id, lang AS true_lang, substring(text, 1, 500) AS t FROM doc
                                + nb_scores("held", "doc_id") + """
 SELECT h.true_lang AS lang, count(*) AS n, count_if(d.detected_lang = h.true_lang) AS n_correct
 FROM held h LEFT JOIN det d USING (doc_id) GROUP BY h.true_lang""")
+
+# ---------------------------------------------------------------- streaming twins (batch SQL)
+
+ORACLE["stream_postings"] = ORACLE["insert_ignore"]
+ORACLE["late_postings"] = ORACLE["recency_filter"]
+ORACLE["stream_leads"] = ORACLE["new_leads"]
+ORACLE["stream_dedup_bounded"] = with_postings("""x AS (SELECT 1)
+SELECT DISTINCT sha256(lower(title || company || url)) AS fingerprint FROM postings WHERE posted_at IS NOT NULL""")

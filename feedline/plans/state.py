@@ -76,8 +76,11 @@ class RunReport:
 class Store:
     """Append-only postings (or leads) table plus its notification log under ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str, table: str = "postings"):
+    def __init__(self, spark: SparkSession, root: str, table: str = "postings", leads: bool = False):
+        """``leads=True``: pending means "has an e-mail and no notification" (S16) and only
+        leads with an e-mail are announced; otherwise pending rows are re-validated (S15)."""
         self.spark = spark
+        self.leads = leads
         self.table_path = os.path.join(root, table)
         self.notes_path = os.path.join(root, f"{table}_notifications")
 
@@ -99,8 +102,10 @@ class Store:
         if t is None:
             return None
         n = self.notifications(before_run)
+        if self.leads:
+            t = t.filter(F.col("email").isNotNull())
         p = t if n is None else pending(t, n)
-        return p.filter(valid_posting()) if validate else p
+        return p.filter(valid_posting()) if validate and not self.leads else p
 
     def _write(self, df: DataFrame, path: str, parts: list[str]) -> None:
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -142,7 +147,9 @@ class Store:
         sent = False
         if inserted:
             new = self.spark.read.parquet(self.table_path).filter(F.col("run_id") == run_id)
-            sent = bool(send(new))
+            if self.leads:
+                new = new.filter(F.col("email").isNotNull())
+            sent = bool(send(new)) if (not self.leads or new.count()) else False
             if sent:
                 self.mark(new, digest_size, run_id, "new")
         return RunReport(run_id, retried, retry_sent, inserted, sent)
