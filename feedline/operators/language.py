@@ -37,34 +37,22 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"(?U)[^\p{L}]+", " ")
 
 
-def _ngram_fn(chars: Column, n: int):
-    def f(c, i):
-        return F.concat(c, *[F.get(chars, i + j) for j in range(1, n)]) if n > 1 else c
-    return f
+def grams(text: Column, max_n: int = MAX_N) -> Column:
+    """Array of all overlapping character 1..max_n-grams of ``text``.
 
-
-def grams(chars: Column, max_n: int = MAX_N) -> Column:
-    """Array of all character 1..max_n-grams, given the text as a character array.
-
-    ``chars`` must be a column reference (``split(text, '')`` selected first):
-    grams are built by index into it, so the cost is linear in the text
-    length.  (``substring`` at an offset rescans the UTF-8 bytes, and an
-    expression inside the lambda would be re-evaluated per element; both are
-    quadratic.)
+    One regex scan per n with a capturing look-ahead, ``(?=(.{n}))``: every
+    position yields the n characters that start there.  Linear in the text
+    length and free of per-element lambdas (which Spark interprets, ~3x
+    slower here; ``substring`` at an offset would even be quadratic).
     """
-    size = F.size(chars)
-    parts = []
-    for n in range(1, max_n + 1):
-        g = F.transform(chars, _ngram_fn(chars, n))
-        parts.append(F.when(size >= n, F.slice(g, 1, size - (n - 1)))
-                     .otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+    return F.concat(*[F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), 1)
+                      for n in range(1, max_n + 1)])
 
 
 def explode_grams(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     """One row per (kept columns, gram) of the normalised ``text``."""
-    c = df.select(*keep, F.split(normalise(text), "").alias("__c"))
-    return c.select(*keep, F.explode(grams(F.col("__c"))).alias("gram"))
+    c = df.select(*keep, normalise(text).alias("__t"))
+    return c.select(*keep, F.explode(grams(F.col("__t"))).alias("gram"))
 
 
 @dataclass
