@@ -16,22 +16,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import searchable_text
-from .sizing import broadcast_if_bounded
+from .sizing import KEY_ROW_BYTES, broadcast_if_bounded, broadcast_rows_if_bounded
 
 EARTH_RADIUS_KM = 6371.0
 
 
 # ---------------------------------------------------------------- J1 / J2
 
-def seen_keys(history: DataFrame, batch: DataFrame, key: str = "fingerprint") -> DataFrame:
-    """The batch keys already present in the history (distinct)."""
+def seen_keys(history: DataFrame, batch: DataFrame, key: str = "fingerprint",
+              batch_key_rows: int | None = None) -> DataFrame:
+    """The batch keys already present in the history (distinct).
+
+    The batch's key set is broadcast only behind a size proof: either the
+    caller counted it (``batch_key_rows``, e.g. after materialising the
+    batch) or the optimizer's upper-bound estimate is under the limit.
+    Otherwise the semi join shuffles and AQE re-plans from measured sizes.
+    """
     batch_keys = batch.select(key).distinct()
-    return history.select(key).join(broadcast_if_bounded(batch_keys), key, "left_semi").distinct()
+    if batch_key_rows is not None:
+        side = broadcast_rows_if_bounded(batch_keys, batch_key_rows, KEY_ROW_BYTES)
+    else:
+        side = broadcast_if_bounded(batch_keys)
+    return history.select(key).join(side, key, "left_semi").distinct()
 
 
-def new_rows(batch: DataFrame, history: DataFrame, key: str = "fingerprint") -> DataFrame:
-    """Batch rows whose key is not in the history (via J1's reduced key set)."""
-    return batch.join(seen_keys(history, batch, key), key, "left_anti")
+def new_rows(batch: DataFrame, history: DataFrame, key: str = "fingerprint",
+             batch_key_rows: int | None = None) -> DataFrame:
+    """Batch rows whose key is not in the history (via J1's reduced key set).
+
+    The seen set is a subset of the batch's keys, so when those were proven
+    small the seen set is broadcast too.
+    """
+    seen = seen_keys(history, batch, key, batch_key_rows)
+    if batch_key_rows is not None:
+        seen = broadcast_rows_if_bounded(seen, batch_key_rows, KEY_ROW_BYTES)
+    return batch.join(seen, key, "left_anti")
 
 
 # ---------------------------------------------------------------- J5 robots

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import broadcast_if_bounded
+from .sizing import broadcast_if_bounded, broadcast_rows_if_bounded
 
 MAX_N = 3
 
@@ -60,6 +60,13 @@ class Profile:
     langs: list[str]
     priors: list[float]          # log prior per language, same order as langs
     table: DataFrame             # (gram string, lp array<double>)
+    rows: int = -1               # counted size of ``table`` (-1: unknown)
+
+    def join_side(self) -> DataFrame:
+        """The profile as a join side: broadcast only when its counted size fits."""
+        if self.rows < 0:
+            return broadcast_if_bounded(self.table)
+        return broadcast_rows_if_bounded(self.table, self.rows, 48 + 8 * len(self.langs))
 
 
 def fit_profile(docs: DataFrame, text: str = "text", label: str = "lang") -> Profile:
@@ -80,7 +87,7 @@ def fit_profile(docs: DataFrame, text: str = "text", label: str = "lang") -> Pro
     priors = [math.log(n_docs[l] / total_docs) for l in langs]
     lp = F.array(*[F.log((F.col(l).cast("double") + F.lit(1.0)) / F.lit(float(stats[l] + vocab)))
                    for l in langs])
-    return Profile(langs, priors, by_gram.select("gram", lp.alias("lp")))
+    return Profile(langs, priors, by_gram.select("gram", lp.alias("lp")), int(vocab))
 
 
 def detect(df: DataFrame, profile: Profile, text: Column, key: str,
@@ -92,7 +99,7 @@ def detect(df: DataFrame, profile: Profile, text: Column, key: str,
     k = len(profile.langs)
     g = (explode_grams(df.select(F.col(key).alias("__k"), text.alias("__t")), F.col("__t"), ["__k"])
          .groupBy("__k", "gram").agg(F.count(F.lit(1)).alias("n")))
-    j = g.join(broadcast_if_bounded(profile.table), "gram")
+    j = g.join(profile.join_side(), "gram")
     sums = j.groupBy("__k").agg(*[F.sum(F.col("n") * F.col("lp")[i]).alias(f"__s{i}") for i in range(k)])
     scores = [F.col(f"__s{i}") + F.lit(profile.priors[i]) for i in range(k)]
     best = F.greatest(*scores)
@@ -109,7 +116,7 @@ def language_scores(df: DataFrame, profile: Profile, text: Column, key: str) ->
     k = len(profile.langs)
     g = (explode_grams(df.select(F.col(key).alias("__k"), text.alias("__t")), F.col("__t"), ["__k"])
          .groupBy("__k", "gram").agg(F.count(F.lit(1)).alias("n")))
-    j = g.join(broadcast_if_bounded(profile.table), "gram")
+    j = g.join(profile.join_side(), "gram")
     sums = j.groupBy("__k").agg(*[F.sum(F.col("n") * F.col("lp")[i]).alias(f"__s{i}") for i in range(k)])
     stacked = F.array(*[F.struct(F.lit(profile.langs[i]).alias("lang"),
                                  (F.col(f"__s{i}") + F.lit(profile.priors[i])).alias("score")) for i in range(k)])

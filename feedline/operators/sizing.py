@@ -27,3 +27,12 @@ def estimated_bytes(df: DataFrame) -> int:
 def broadcast_if_bounded(df: DataFrame, limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """``broadcast(df)`` when its estimated size is provably under ``limit``, else ``df``."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+# Bytes per row of a one-key table (64-hex fingerprint + row overhead), generous.
+KEY_ROW_BYTES = 128
+
+
+def broadcast_rows_if_bounded(df: DataFrame, rows: int, row_bytes: int,
+                              limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+    """``broadcast(df)`` when a *counted* row number times a per-row bound fits ``limit``."""
+    return F.broadcast(df) if rows * row_bytes <= limit else df

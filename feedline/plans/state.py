@@ -35,9 +35,14 @@ PENDING_COLUMNS = ("title", "company", "location", "url", "source", "is_remote",
 
 # ---------------------------------------------------------------- pure operators
 
-def insert_ignore(batch: DataFrame, history: DataFrame, key: str = "fingerprint") -> DataFrame:
-    """The rows an insert-or-ignore would add -- first occurrence per key, absent from history."""
-    return new_rows(dedup_first(batch, key), history.select(key), key)
+def insert_ignore(batch: DataFrame, history: DataFrame, key: str = "fingerprint",
+                  batch_rows: int | None = None) -> DataFrame:
+    """The rows an insert-or-ignore would add -- first occurrence per key, absent from history.
+
+    ``batch_rows`` (a counted upper bound on the batch's keys) lets J1/J2
+    broadcast the batch side instead of shuffling the history.
+    """
+    return new_rows(dedup_first(batch, key), history.select(key), key, batch_rows)
 
 
 def pending(table: DataFrame, notifications: DataFrame, key: str = "fingerprint") -> DataFrame:
@@ -114,7 +119,14 @@ class Store:
     def insert(self, batch: DataFrame, run_id: int) -> int:
         """J3 + A4: write the new rows of ``batch`` into partition ``run_id``; return their count."""
         hist = self.rows(run_id)
-        new = batch if hist is None else insert_ignore(batch, hist)
+        if hist is None:
+            new = batch
+        else:
+            # Materialise the batch in the shared checkpoint folder (cuts lineage,
+            # survives executor loss) and count it: the count proves whether its
+            # keys may be broadcast against the ever-growing history.
+            batch = batch.checkpoint()
+            new = insert_ignore(batch, hist, batch_rows=batch.count())
         out = new.withColumn("created_at", F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None))) \
                  .withColumn("run_id", F.lit(run_id).cast("bigint"))
         self._write(out, self.table_path, ["run_id"])
