@@ -162,3 +162,24 @@ def contains_any(text, terms) -> Column:
 def hr_context(context) -> Column:
     """P25: the (lower-cased) context mentions an HR phrase."""
     return contains_any(context, HR_CONTEXT_PHRASES)
+
+
+# ---------------------------------------------------------------- P19 parameter lists
+
+def _csv_items(c):
+    return F.split(_col(c), ",")
+
+
+def csv_keywords(c) -> Column:
+    """P19 (keywords): split on ',', strip, lower -- empty items kept (they match everything)."""
+    return F.transform(_csv_items(c), lambda x: F.lower(strip(x)))
+
+
+def csv_list(c) -> Column:
+    """P19 (other lists): split, strip, lower, drop empties."""
+    return F.filter(F.transform(_csv_items(c), lambda x: F.lower(strip(x))), lambda x: x != "")
+
+
+def csv_paths(c) -> Column:
+    """P19 (contact paths): split, strip, drop empties, case kept."""
+    return F.filter(F.transform(_csv_items(c), lambda x: strip(x)), lambda x: x != "")

@@ -80,3 +80,4 @@ from . import q_leads  # noqa: E402,F401
 from . import q_feeds  # noqa: E402,F401
 from . import q_language  # noqa: E402,F401
 from . import q_streaming  # noqa: E402,F401
+from . import q_more  # noqa: E402,F401

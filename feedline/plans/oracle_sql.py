@@ -610,3 +610,43 @@ ORACLE["late_postings"] = ORACLE["recency_filter"]
 ORACLE["stream_leads"] = ORACLE["new_leads"]
 ORACLE["stream_dedup_bounded"] = with_postings("""x AS (SELECT 1)
 SELECT DISTINCT sha256(lower(title || company || url)) AS fingerprint FROM postings WHERE posted_at IS NOT NULL""")
+
+# ---------------------------------------------------------------- single-operator keys
+
+ORACLE["salary_annual"] = """SELECT o_orderkey,
+  CASE WHEN o_orderkey % 7 <> 0 AND o_totalprice - 100000.0 > 0 THEN (o_totalprice - 100000.0) / 12 END
+    AS annual_monthly FROM orders"""
+ORACLE["html_to_text"] = r"""WITH s AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+    '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'),
+    '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g') AS t FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  replace(t, '&#x27;', ''''), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'),
+  '&copy;?', '©', 'g'), '&middot;?', '·', 'g') AS t2 FROM s"""
+ORACLE["html_to_text"] = ORACLE["html_to_text"].replace(
+    "AS t2 FROM s", "AS t2 FROM s").replace(
+    "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(",
+    "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(",
+    1).replace("'&middot;?', '·', 'g') AS t2 FROM s", "'&middot;?', '·', 'g'), '&amp;?', '&', 'g') AS text FROM s")
+ORACLE["language_window"] = with_postings("""x AS (SELECT 1)
+SELECT seq, substring(regexp_replace(title || ' ' || description, '^\\s+|\\s+$', '', 'g'), 1, 500) AS lang_window
+FROM postings""")
+ORACLE["csv_params"] = """WITH r AS (SELECT p_partkey, ' ' || p_type || ' , ,' || p_name || ' ' AS raw FROM part)
+SELECT p_partkey, list_transform(string_split(raw, ','), lambda x: lower(trim(x))) AS keywords,
+  list_filter(list_transform(string_split(raw, ','), lambda x: lower(trim(x))), lambda x: x <> '') AS items,
+  list_filter(list_transform(string_split(raw, ','), lambda x: trim(x)), lambda x: x <> '') AS paths FROM r"""
+ORACLE["min_years"] = with_postings(f"""x AS (SELECT 1)
+SELECT seq, {min_years_sql("(title || ' ' || description)")} AS min_years FROM postings""")
+ORACLE["title_is_senior"] = with_postings(f"x AS (SELECT 1)\nSELECT seq, {SENIOR_TITLE} AS title_is_senior FROM postings")
+ORACLE["mail_context"] = "WITH " + CRAWL_CTE + "," + CAND_CTE.replace(
+    "FROM SRC", "FROM crawl WHERE status < 400") + "\nSELECT page_id, pos, context FROM hcand"
+ORACLE["lead_status"] = LEADS_BASE + "," + BEST_CTE + "\nSELECT fingerprint, status FROM nl"
+ORACLE["remote_marker_filter"] = with_postings("""x AS (SELECT 1)
+SELECT seq // 50 AS step, seq % 50 AS pos FROM postings WHERE NOT ((seq // 50) % 2 = 0) OR seq % 3 <> 0""")
+ORACLE["known_source"] = with_postings("""x AS (SELECT 1)
+SELECT seq, source FROM postings WHERE source IN ('linkedin','indeed','glassdoor','remoteok','remotive',
+  'weworkremotely','cybersecjobs','computrabajo','bumeran','himalayas','hackernews','occ','getonboard')""")
+ORACLE["required_fields"] = with_postings("""x AS (SELECT 1)
+SELECT seq // 50 AS step, seq % 50 AS pos FROM postings WHERE seq % 13 <> 6 AND seq % 23 <> 22""")
+ORACLE["unknown_feeds"] = ORACLE["unknown_sources"]
+ORACLE["stream_dedup_exact"] = with_postings(SCENARIO + "\nSELECT fingerprint FROM tbl")

@@ -182,3 +182,21 @@ def test_card_fields_dedup_on_absolute_url(spark):
     ], CARD_SCHEMA)
     got = _by_title(cf.read_card_fields(cards))
     assert set(got) == {"Dev"} and got["Dev"]["url"] == "https://mx.computrabajo.com/o/1"
+
+
+def test_registry_reads_landed_files_and_skips_failed_feeds(spark, tmp_dir):
+    import os
+
+    from feedline.sources.registry import union_feeds
+    os.makedirs(os.path.join(tmp_dir, "remoteok"))
+    os.makedirs(os.path.join(tmp_dir, "remotive"))
+    with open(os.path.join(tmp_dir, "remoteok", "page-0001.json"), "w") as f:
+        json.dump([{"legal": 1}, {"position": "Dev", "company": "A", "slug": "s"}], f)
+    with open(os.path.join(tmp_dir, "remotive", "page-0001.json"), "w") as f:
+        json.dump({"jobs": [{"title": "Ops", "company_name": "B", "url": "https://r/1"}]}, f)
+    df, failed = union_feeds(spark, tmp_dir, ["remoteok", "remotive", "himalayas"])
+    got = sorted((r["source"], r["title"]) for r in df.collect())
+    assert got == [("remoteok", "Dev"), ("remotive", "Ops")]
+    assert list(failed) == ["himalayas"]
+    seqs = {r["source"]: r["seq"] for r in df.collect()}
+    assert seqs["remoteok"] < seqs["remotive"]
