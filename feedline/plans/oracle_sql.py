@@ -620,14 +620,9 @@ ORACLE["html_to_text"] = r"""WITH s AS (
   SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
     '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'),
     '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g') AS t FROM pages)
-SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   replace(t, '&#x27;', ''''), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'),
-  '&copy;?', '©', 'g'), '&middot;?', '·', 'g') AS t2 FROM s"""
-ORACLE["html_to_text"] = ORACLE["html_to_text"].replace(
-    "AS t2 FROM s", "AS t2 FROM s").replace(
-    "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(",
-    "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(",
-    1).replace("'&middot;?', '·', 'g') AS t2 FROM s", "'&middot;?', '·', 'g'), '&amp;?', '&', 'g') AS text FROM s")
+  '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g') AS text FROM s"""
 ORACLE["language_window"] = with_postings("""x AS (SELECT 1)
 SELECT seq, substring(regexp_replace(title || ' ' || description, '^\\s+|\\s+$', '', 'g'), 1, 500) AS lang_window
 FROM postings""")
