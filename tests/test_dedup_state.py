@@ -88,3 +88,25 @@ def test_store_pending_skips_unreadable_rows(spark, tmp_dir):
     store.insert(bad, 0)
     assert [r["fingerprint"] for r in store.pending().collect()] == ["b"]
     assert store.rows().filter(F.col("run_id") == 0).count() == 2
+
+
+def test_postings_run_over_landed_feeds(spark, tmp_dir):
+    import datetime as dt
+    import json
+
+    from feedline.params import PostingParams
+    from feedline.plans.postings_flow import run_postings
+    os.makedirs(os.path.join(tmp_dir, "land", "remotive"))
+    jobs = [{"title": "Python Dev", "company_name": "A", "url": "https://r/1"},
+            {"title": "Chef", "company_name": "B", "url": "https://r/2"},
+            {"title": "python dev", "company_name": "a", "url": "https://R/1"}]  # same fingerprint
+    with open(os.path.join(tmp_dir, "land", "remotive", "page-1.json"), "w") as f:
+        json.dump({"jobs": jobs}, f)
+    params = PostingParams(keywords=("python",), max_years=None, max_age_days=30, blacklist=None,
+                           allowed_languages=None, as_of=dt.datetime(2024, 1, 31), enabled_feeds=("remotive",))
+    store = Store(spark, os.path.join(tmp_dir, "state"))
+    rep, failed = run_postings(spark, os.path.join(tmp_dir, "land"), store, 0, params, lambda rows: True)
+    assert failed == {} and rep.inserted == 1 and rep.sent
+    assert store.rows().first()["title"] == "python dev"  # last values win within the batch
+    rep, _ = run_postings(spark, os.path.join(tmp_dir, "land"), store, 1, params, lambda rows: True)
+    assert rep.inserted == 0  # a second run over the same feeds inserts nothing
