@@ -28,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .sizing import broadcast_if_bounded, broadcast_rows_if_bounded
 
 MAX_N = 3
@@ -71,6 +72,7 @@ class Profile:
 
 def fit_profile(docs: DataFrame, text: str = "text", label: str = "lang") -> Profile:
     """Train on labelled documents (whole texts)."""
+    ensure_checkpoint_dir(docs.sparkSession)
     docs = docs.filter(F.col(label).isNotNull())
     # Small driver-side facts: one row per language (reads the label column only).
     n_docs = {r[0]: r[1] for r in docs.groupBy(label).agg(F.count(F.lit(1))).collect()}
