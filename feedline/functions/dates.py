@@ -41,14 +41,6 @@ def rfc2822_to_ts(text) -> Column:
     return reduce(lambda a, b: F.coalesce(a, b), tries).cast("timestamp_ntz")
 
 
-def rfc2822_or_epoch_to_ts(text) -> Column:
-    """P7 (salaried feed): an all-digit value is epoch seconds, else RFC-2822."""
-    t = F.trim(_col(text))
-    return F.when(t.rlike(r"^-?[0-9]+(\.[0-9]+)?$"),
-                  F.timestamp_seconds(t.try_cast("double").cast("bigint")).cast("timestamp_ntz")
-                  ).otherwise(rfc2822_to_ts(t))
-
-
 def date_to_ts(value) -> Column:
     """A date (or date-like string / timestamp) -> midnight UTC; failure -> null."""
     v = _col(value)

@@ -97,13 +97,10 @@ def title_case(c) -> Column:
     ``initcap`` only capitalises after whitespace ("o'higgins" -> "O'higgins"),
     Python also after punctuation and digits ("O'Higgins", "3D").
     """
-    chars = F.split(F.lower(_col(c)), "")
-    out = F.transform(
-        chars,
-        lambda ch, i: F.when(
-            (i == 0) | ~F.get(chars, i - 1).rlike(r"(?U)^\p{L}$"), F.upper(ch)).otherwise(ch),
-    )
-    return F.array_join(out, "")
+    # Runs of letters and runs of non-letters; each letter run is capitalised.
+    tokens = F.regexp_extract_all(_col(c), F.lit(r"(?U)\p{L}+|\P{L}+"), 0)
+    return F.array_join(F.transform(tokens, lambda t: F.concat(F.upper(F.substring(t, 1, 1)),
+                                                                F.lower(F.substring(t, 2, 1 << 30)))), "")
 
 
 def title_case_place(city, state) -> Column:

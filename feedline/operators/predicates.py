@@ -123,9 +123,21 @@ def posting_filter(df: DataFrame, p, detector=None) -> DataFrame:
     computed for the survivors, then F5 is applied.  The conjunction is
     order-free, so the result equals the reference's sequence of list filters.
     """
-    conj = [c for _, c in cheap_conjuncts(p)]
+    named = cheap_conjuncts(p)
+    long_list = len(p.keywords) > OR_CHAIN_LIMIT
+    if long_list:  # keyword containment becomes the J6 theta join below
+        named = [(n, c) for n, c in named if n != "relevant"]
+        if p.require_remote:
+            named.insert(0, ("remote", F.col("is_remote")))
+    conj = [c for _, c in named]
     out = df.filter(reduce(lambda a, b: a & b, conj)) if conj else df
+    if long_list:
+        from .joins import keyword_semi, keyword_table
+        out = keyword_semi(out, keyword_table(out.sparkSession, [k.lower() for k in p.keywords]))
     if p.allowed_languages is not None and detector is not None:
+        # Materialise the survivors once (shared checkpoint folder): detection
+        # reads them twice (grams, then the join back of the result).
         cols = out.columns
+        out = out.checkpoint()
         out = detector(out).filter(language_filter(p.allowed_languages)).select(*cols)
     return out

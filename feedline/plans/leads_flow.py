@@ -55,6 +55,3 @@ def leads_batch(leads: DataFrame, pages: DataFrame, rules: DataFrame, paths,
         found = new_rows(found, history, "fingerprint")
     return attach_contacts(found, contacts(crawl_targets(found, pages, rules, paths)))
 
-
-def with_seq_order(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.col("seq"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.html import explode_mailto
-from ..functions.text import HR_CONTEXT_PHRASES, contains_any  # noqa: F401
 from ..operators import digest as dg
 from ..operators.contacts import with_hr_flag
 from ..params import DEFAULT_CONTACT_PATHS, paths_list

@@ -31,9 +31,6 @@ from ..operators.joins import new_rows
 from ..operators.predicates import valid_posting
 from ..session import ensure_checkpoint_dir
 
-PENDING_COLUMNS = ("title", "company", "location", "url", "source", "is_remote", "description")
-
-
 # ---------------------------------------------------------------- pure operators
 
 def insert_ignore(batch: DataFrame, history: DataFrame, key: str = "fingerprint",

@@ -111,3 +111,13 @@ def test_params_parsing_and_validation():
         raise AssertionError("expected ValueError")
     except ValueError:
         pass
+
+
+def test_posting_filter_long_keyword_list_uses_theta_join(spark):
+    df = _df(spark, [dict(title="python dev"), dict(title="chef"), dict(title="python", is_remote=False)])
+    kws = ("python",) + tuple(f"zz{i}" for i in range(60))
+    p = PostingParams(keywords=kws, max_years=None, max_age_days=None, blacklist=None,
+                      allowed_languages=None, min_salary=None, as_of=AS_OF)
+    out = pr.posting_filter(df, p)
+    assert "BroadcastNestedLoopJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert _seqs(out, F.lit(True)) == [0]
