@@ -598,7 +598,7 @@ SELECT p.seq FROM postings p LEFT JOIN det d USING (seq)
 WHERE d.detected_lang IS NULL OR d.detected_prob IS NULL OR d.detected_prob < 0.8
    OR d.detected_lang IN ('en', 'es')""")
 ORACLE["language_accuracy"] = ("WITH " + NB_MODEL + """,
-held AS (SELECT doc_id, lang AS true_lang, substring(text, 1, 500) AS t FROM documents WHERE doc_id % 2 = 1),"""
+held AS (SELECT doc_id, lang AS true_lang, text AS t FROM documents WHERE doc_id % 2 = 1),"""
                                + nb_scores("held", "doc_id") + """
 SELECT h.true_lang AS lang, count(*) AS n, count_if(d.detected_lang = h.true_lang) AS n_correct
 FROM held h LEFT JOIN det d USING (doc_id) GROUP BY h.true_lang""")
@@ -609,7 +609,7 @@ ORACLE["stream_postings"] = ORACLE["insert_ignore"]
 ORACLE["late_postings"] = ORACLE["recency_filter"]
 ORACLE["stream_leads"] = ORACLE["new_leads"]
 ORACLE["stream_dedup_bounded"] = with_postings("""x AS (SELECT 1)
-SELECT DISTINCT sha256(lower(title || company || url)) AS fingerprint FROM postings WHERE posted_at IS NOT NULL""")
+SELECT DISTINCT sha256(lower(title || company || url)) AS fingerprint FROM postings""")
 
 # ---------------------------------------------------------------- single-operator keys
 

@@ -52,9 +52,9 @@ def q_stream_postings(spark, base):
 
 @register("stream_dedup_bounded")
 def q_stream_dedup_bounded(spark, base):
-    """Watermark-bounded dedup of the dated postings (one landing)."""
+    """Watermark-bounded dedup on fingerprint (one landing; undated rows are deduplicated too)."""
     root, land = _landed(spark, base, "bounded")
-    p = fx.postings(spark, base).filter(F.col("posted_at").isNotNull()).select(*COLS)
+    p = fx.postings(spark, base).select(*COLS)
     p.write.parquet(land)
     sink = os.path.join(root, "out")
     _run(flows.bounded_dedup_stream(spark, land, p.schema, sink, os.path.join(root, "checkpoint")))
