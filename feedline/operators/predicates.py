@@ -102,6 +102,25 @@ def valid_posting() -> Column:
             & F.col("url").isNotNull() & valid_url() & known_source())
 
 
+def rejection_reason() -> Column:
+    """why a row is not a valid POSTING (null when it is)."""
+    return (F.when(F.col("title").isNull() | F.col("company").isNull() | F.col("description").isNull()
+                   | F.col("location").isNull(), F.lit("missing_field"))
+             .when(F.col("url").isNull() | ~valid_url(), F.lit("bad_url"))
+             .when(~known_source(), F.lit("unknown_source")))
+
+
+def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """split into (valid rows, rejected rows + ``reason``) instead of silently dropping.
+
+    Both halves come from one projection; write the rejected half to a side
+    table (it is what the reference only logged).
+    """
+    tagged = df.withColumn("reason", rejection_reason())
+    return (tagged.filter(F.col("reason").isNull()).drop("reason"),
+            tagged.filter(F.col("reason").isNotNull()))
+
+
 def cheap_conjuncts(p) -> list[tuple[str, Column]]:
     """F1-F4, F6 in the reference's order; absent parameters emit nothing."""
     out = [("relevant", keyword_filter(p.keywords, p.require_remote))]

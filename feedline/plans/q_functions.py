@@ -291,7 +291,5 @@ def q_filter_funnel(spark, base):
 @register("quarantine")
 def q_quarantine(spark, base):
     """rejected rows with the reason (valid rows go on)."""
-    p = _p(spark, base)
-    reason = (F.when(~pr.valid_url(), F.lit("bad_url"))
-              .when(~pr.known_source(), F.lit("unknown_source")))
-    return p.select("seq", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    _, rejected = pr.quarantine(_p(spark, base))
+    return rejected.select("seq", "reason")
