@@ -87,6 +87,9 @@ class Store:
         ensure_checkpoint_dir(spark)
         self.table_path = os.path.join(root, table)
         self.notes_path = os.path.join(root, f"{table}_notifications")
+        # Rows still pending after each run (partition as_of_run): the next run
+        # starts from the latest snapshot instead of anti-joining the whole history.
+        self.pending_path = os.path.join(root, f"{table}_pending")
 
     def _read(self, path: str, run_id: int | None) -> DataFrame | None:
         try:
@@ -101,15 +104,65 @@ class Store:
     def notifications(self, before_run: int | None = None) -> DataFrame | None:
         return self._read(self.notes_path, before_run)
 
+    def _latest_snapshot(self, before_run: int | None) -> tuple[DataFrame | None, int | None]:
+        snap = self._read(self.pending_path, None)
+        if snap is None:
+            return None, None
+        runs = snap.select("as_of_run")
+        if before_run is not None:
+            runs = runs.filter(F.col("as_of_run") < before_run)
+        last = runs.agg(F.max("as_of_run")).first()[0]
+        if last is None:
+            return None, None
+        return snap.filter(F.col("as_of_run") == last).drop("as_of_run"), int(last)
+
+    def _pending_raw(self, bound: int | None, snapshot_before: int | None) -> DataFrame | None:
+        """Rows saved by runs < ``bound`` and not notified by runs < ``bound``.
+
+        = (latest snapshot S before ``snapshot_before``  U  rows of runs in (S, bound))
+          anti notifications of runs in (S, bound)
+        so only the runs after the snapshot are read, never the whole history.
+        """
+        snap, s = self._latest_snapshot(snapshot_before)
+
+        def after_snapshot(df):
+            c = F.lit(True)
+            if s is not None:
+                c = c & (F.col("run_id") > s)
+            if bound is not None:
+                c = c & (F.col("run_id") < bound)
+            return df.filter(c)
+
+        rows, notes = self.rows(), self.notifications()
+        parts = ([snap] if snap is not None else []) + ([after_snapshot(rows)] if rows is not None else [])
+        if not parts:
+            return None
+        base = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return base if notes is None else pending(base, after_snapshot(notes))
+
     def pending(self, before_run: int | None = None, validate: bool = True) -> DataFrame | None:
+        """Rows pending before ``before_run`` (all runs when None)."""
+        p = self._pending_raw(before_run, before_run)
+        if p is None:
+            return None
+        if self.leads:
+            return p.filter(F.col("email").isNotNull())
+        return p.filter(valid_posting()) if validate else p
+
+    def pending_by_full_scan(self, before_run: int | None = None) -> DataFrame | None:
+        """The same set as ``pending`` computed from the whole history (for checks)."""
         t = self.rows(before_run)
         if t is None:
             return None
         n = self.notifications(before_run)
-        if self.leads:
-            t = t.filter(F.col("email").isNotNull())
         p = t if n is None else pending(t, n)
-        return p.filter(valid_posting()) if validate and not self.leads else p
+        return p.filter(F.col("email").isNotNull()) if self.leads else p.filter(valid_posting())
+
+    def snapshot(self, run_id: int) -> None:
+        """Write the pending set after run ``run_id`` (from the snapshot before it)."""
+        p = self._pending_raw(run_id + 1, run_id)
+        if p is not None:
+            self._write(p.withColumn("as_of_run", F.lit(run_id).cast("bigint")), self.pending_path, ["as_of_run"])
 
     def _write(self, df: DataFrame, path: str, parts: list[str]) -> None:
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -163,4 +216,5 @@ class Store:
             sent = bool(send(new)) if (not self.leads or new.count()) else False
             if sent:
                 self.mark(new, digest_size, run_id, "new")
+        self.snapshot(run_id)
         return RunReport(run_id, retried, retry_sent, inserted, sent)
