@@ -93,7 +93,8 @@ class Store:
 
     def _read(self, path: str, run_id: int | None) -> DataFrame | None:
         try:
-            df = self.spark.read.parquet(path)
+            # mergeSchema: a column added by a later release reads as null in old runs
+            df = self.spark.read.option("mergeSchema", "true").parquet(path)
         except Exception:  # nothing written yet
             return None
         return df if run_id is None else df.filter(F.col("run_id") < run_id)
