@@ -32,6 +32,25 @@ def dedup_last_value_first_position(df: DataFrame, key="fingerprint", order: str
     return agg.select(*keys, order, *[F.col("__last")[c].alias(c) for c in payload]).select(*df.columns)
 
 
+def new_last_value_first_position(df: DataFrame, run: int, key: str = "fingerprint", order: str = "seq",
+                                  run_col: str = "run_no") -> DataFrame:
+    """A1 + J2 in ONE aggregation, for when batch and history live in the same table.
+
+    Per key: the values of the last row of run ``run`` at the position of its
+    first row, kept only when no earlier run has the key.  One scan, one
+    shuffle (partial aggregation map-side), no join -- where a separate
+    history table exists, use ``joins.new_rows`` (J1 semi-join reduction).
+    """
+    payload = [c for c in df.columns if c not in (key, order, run_col)]
+    now = F.col(run_col) == F.lit(run)
+    agg = df.groupBy(key).agg(
+        F.max_by(F.when(now, F.struct(*payload)), F.when(now, F.col(order))).alias("__last"),
+        F.min(F.when(now, F.col(order))).alias(order),
+        F.max((F.col(run_col) < F.lit(run)).cast("int")).alias("__seen"))
+    kept = agg.filter(F.col(order).isNotNull() & (F.col("__seen") == 0))
+    return kept.select(key, order, *[F.col("__last")[c].alias(c) for c in payload])
+
+
 def dedup_first(df: DataFrame, key="url", order: str = "seq") -> DataFrame:
     keys = _keys(key)
     payload = [c for c in df.columns if c not in keys]

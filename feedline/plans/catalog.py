@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import fingerprint
-from ..operators.dedup import dedup_last_value_first_position
-from ..operators.joins import new_rows
+from ..operators.dedup import new_last_value_first_position
 from ..operators.predicates import keyword_filter, recency_filter, valid_posting
 from ..schema import POSTING_COLUMNS
 from ..sources import fixtures as fx
@@ -31,9 +30,11 @@ def _flagship_filter() -> F.Column:
 def new_postings(spark: SparkSession, base: str) -> DataFrame:
     """Remote postings matching the keywords, recent, deduplicated, not seen in run 0."""
     p = fx.postings(spark, base).filter(valid_posting() & _flagship_filter())
-    batch = dedup_last_value_first_position(p.filter(F.col("run_no") == 1).select(*OUT_COLS))
-    history = p.filter(F.col("run_no") == 0).select("fingerprint")
-    return new_rows(batch, history)
+    # Batch (run 1) and history (run 0) come from the same table here, so the
+    # in-batch dedup (A1) and the anti join with history (J2) are one
+    # aggregation: one scan, one shuffle.  The join form (J1/J2 against a
+    # separate history table) is exercised by seen_semi / insert_ignore.
+    return new_last_value_first_position(p.select(*OUT_COLS, "run_no"), 1).select(*OUT_COLS)
 
 
 # ---------------------------------------------------------------- S1-S4, S12: JSON feeds

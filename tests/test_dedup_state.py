@@ -131,3 +131,15 @@ def test_pending_snapshots_equal_full_history_scan(spark, tmp_dir):
               3, 5, lambda rows: True)
     assert sorted(r["fingerprint"] for r in store.pending().collect()) == \
         sorted(r["fingerprint"] for r in store.pending_by_full_scan().collect())
+
+
+def test_new_by_aggregation_equals_dedup_then_anti_join(spark):
+    from feedline.operators.dedup import new_last_value_first_position
+    rows = [(1, "a", 0, "x"), (2, "b", 1, "y"), (3, "b", 1, "z"), (4, "a", 1, "w"), (5, "c", 1, "v"),
+            (6, "c", 2, "u")]
+    df = spark.createDataFrame(rows, "seq long, fingerprint string, run_no long, source string")
+    got = {r["fingerprint"]: (r["seq"], r["source"]) for r in new_last_value_first_position(df, 1).collect()}
+    batch = dedup_last_value_first_position(df.filter(F.col("run_no") == 1).drop("run_no"))
+    want = {r["fingerprint"]: (r["seq"], r["source"])
+            for r in new_rows(batch, df.filter(F.col("run_no") < 1)).collect()}
+    assert got == want == {"b": (2, "z"), "c": (5, "v")}
