@@ -35,8 +35,11 @@ def _col(c) -> Column:
 
 
 def _first_number(text: Column, pattern: str) -> Column:
-    digits = F.nullif(F.regexp_extract(text, _FLAGS + pattern, 1), F.lit(""))
-    return F.when(digits.isNotNull(), F.coalesce(digits.try_cast("bigint"), F.lit(_HUGE)))
+    # The extraction is bound once (a one-element transform acts as "let"), so
+    # the regex scans the text once although the value is tested twice.
+    digits = F.array(F.regexp_extract(text, _FLAGS + pattern, 1))
+    return F.get(F.transform(digits, lambda d: F.when(
+        d != "", F.coalesce(d.try_cast("bigint"), F.lit(_HUGE)))), 0)
 
 
 def min_years(text) -> Column:

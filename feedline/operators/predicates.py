@@ -41,8 +41,8 @@ def keyword_filter(keywords, require_remote: bool = True) -> Column:
 
 def experience_filter(max_years: int) -> Column:
     """required years unknown or <= max_years."""
-    req = required_years()
-    return req.isNull() | (req <= F.lit(max_years))
+    # one reference: unknown (null) compares to null and passes via coalesce
+    return F.coalesce(required_years() <= F.lit(max_years), F.lit(True))
 
 
 def recency_filter(max_days: int, as_of: dt.datetime) -> Column:
