@@ -4,24 +4,39 @@ registry readers (X1) -> union in configured order (U1) -> F1-F4, F6 as one
 Filter -> language detection on the survivors (A7) -> F5 -> one row per
 fingerprint (A1) -> ``Store.run``: retry pending (K5), J1/J2/J3, digest
 (W1/A6) through ``send`` (K4), mark (J4) -- in that order (K6).
+
+The filter funnel (F8) rides along as an ``Observation`` on the same scan:
+no extra pass, the counts are there once the run's write has executed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.fingerprint import fingerprint
 from ..functions.text import language_window
 from ..operators.dedup import dedup_last_value_first_position
 from ..operators.language import Profile, detect
-from ..operators.predicates import posting_filter
+from ..operators.predicates import cheap_conjuncts, posting_filter
 from ..params import PostingParams
 from ..sources.registry import union_feeds
 from .state import RunReport, Store
 
 
+def observe_funnel(postings: DataFrame, params: PostingParams, name: str = "funnel") -> tuple[DataFrame, Observation]:
+    """F8: rows surviving each cumulative stage, observed on the way through (one pass)."""
+    obs = Observation(name)
+    aggs = [F.count(F.lit(1)).alias("n_total")]
+    acc = F.lit(True)
+    for stage, cond in cheap_conjuncts(params):
+        acc = acc & cond
+        aggs.append(F.count_if(acc).alias(f"n_{stage}"))
+    return postings.observe(obs, *aggs), obs
+
+
 def relevant_batch(postings: DataFrame, params: PostingParams, profile: Profile | None = None) -> DataFrame:
     """F7 (+F5 when a language profile is given) then A1 on the fingerprint."""
     detector = None
@@ -33,8 +48,10 @@ def relevant_batch(postings: DataFrame, params: PostingParams, profile: Profile
 
 
 def run_postings(spark: SparkSession, landing_root: str, store: Store, run_id: int, params: PostingParams,
-                 send: Callable[[DataFrame], bool], profile: Profile | None = None) -> tuple[RunReport, dict]:
-    """One cron-equivalent run; returns the run report and the feeds that failed to read."""
+                 send: Callable[[DataFrame], bool], profile: Profile | None = None
+                 ) -> tuple[RunReport, dict, dict]:
+    """One cron-equivalent run: (run report, feeds that failed to read, funnel counts)."""
     postings, failed = union_feeds(spark, landing_root, params.enabled_feeds)
-    batch = relevant_batch(postings, params, profile)
-    return store.run(batch, run_id, params.digest_size, send), failed
+    postings, funnel = observe_funnel(postings, params)
+    report = store.run(relevant_batch(postings, params, profile), run_id, params.digest_size, send)
+    return report, failed, funnel.get

@@ -105,10 +105,11 @@ def test_postings_run_over_landed_feeds(spark, tmp_dir):
     params = PostingParams(keywords=("python",), max_years=None, max_age_days=30, blacklist=None,
                            allowed_languages=None, as_of=dt.datetime(2024, 1, 31), enabled_feeds=("remotive",))
     store = Store(spark, os.path.join(tmp_dir, "state"))
-    rep, failed = run_postings(spark, os.path.join(tmp_dir, "land"), store, 0, params, lambda rows: True)
+    rep, failed, funnel = run_postings(spark, os.path.join(tmp_dir, "land"), store, 0, params, lambda rows: True)
     assert failed == {} and rep.inserted == 1 and rep.sent
+    assert funnel["n_total"] == 3 and funnel["n_relevant"] == 2 and funnel["n_recent"] == 2
     assert store.rows().first()["title"] == "python dev"  # last values win within the batch
-    rep, _ = run_postings(spark, os.path.join(tmp_dir, "land"), store, 1, params, lambda rows: True)
+    rep, _, _ = run_postings(spark, os.path.join(tmp_dir, "land"), store, 1, params, lambda rows: True)
     assert rep.inserted == 0  # a second run over the same feeds inserts nothing
 
 
