@@ -59,8 +59,10 @@ def robots_allowed(pages: DataFrame, rules: DataFrame, site: str = "website",
                    path: str = "path") -> DataFrame:
     """Drop (site, path) pairs a robots rule of that site disallows.
 
-    A rule applies when the request path starts with its prefix; the first
-    applicable rule (by ``ord``) decides.  The home page is requested as '/'.
+    A rule applies when the request path starts with its prefix (or the
+    prefix is ``*``); the first applicable rule (by ``ord``) decides -- plain
+    prefix matching, no wildcards inside paths.  The home page is requested
+    as '/'.
     The decision is taken once per distinct (site, path) -- an equi-join on
     the site with the prefix test as residual -- and the pages are then
     anti-joined with the denied pairs, so page bodies never meet the rules.
@@ -69,7 +71,8 @@ def robots_allowed(pages: DataFrame, rules: DataFrame, site: str = "website",
     req = F.when(F.col(path) == "", F.lit("/")).otherwise(F.col(path))
     r = rules.select(F.col(site).alias("__site"), F.col("ord").alias("__ord"),
                      F.col("allow").alias("__allow"), F.col("prefix").alias("__prefix"))
-    j = pairs.join(r, (F.col(site) == F.col("__site")) & req.startswith(F.col("__prefix")))
+    applies = req.startswith(F.col("__prefix")) | (F.col("__prefix") == "*")
+    j = pairs.join(r, (F.col(site) == F.col("__site")) & applies)
     denied = (j.groupBy(site, path).agg(F.min_by("__allow", "__ord").alias("__allow"))
               .filter(~F.col("__allow")).select(site, path))
     return pages.join(denied, [site, path], "left_anti")

@@ -36,15 +36,16 @@ def test_robots_rules_and_anti_join(spark):
         ("https://a", 200, "User-agent: postbot\nDisallow: /rh\n\nUser-agent: *\nDisallow: /"),
         ("https://b", 200, "# c\nUser-agent: *\nAllow: /contacto/ok\nDisallow: /contacto\nDisallow:\n"),
         ("https://c", 404, "User-agent: *\nDisallow: /"),
+        ("https://d", 200, "User-agent: *\nDisallow: *"),
     ], "website string, status int, body string")
     rules = robots_rules(bodies)
     got = sorted((r["website"], r["ord"], r["allow"], r["prefix"]) for r in rules.collect())
     assert got == [("https://a", 0, False, "/rh"),
                    ("https://b", 0, True, "/contacto/ok"), ("https://b", 1, False, "/contacto"),
-                   ("https://b", 2, True, "")]
+                   ("https://b", 2, True, ""), ("https://d", 0, False, "*")]
     pages = spark.createDataFrame([
         ("https://a", "", 1), ("https://a", "/rh", 2), ("https://b", "/contacto", 3),
-        ("https://b", "/contacto/ok", 4), ("https://c", "/contacto", 5)],
+        ("https://b", "/contacto/ok", 4), ("https://c", "/contacto", 5), ("https://d", "", 6)],
         "website string, path string, page_id long")
     kept = sorted(r["page_id"] for r in robots_allowed(pages, rules).collect())
     assert kept == [1, 4, 5]
