@@ -7,8 +7,6 @@ matched case-insensitively.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,7 +59,7 @@ def title_company_pipes(plain) -> Column:
 def title_company_at(raw) -> Column:
     """P5: drop text up to the first ': ', then split at the **last** ' at '."""
     r = _col(raw)
-    rest =F.when(F.instr(r, ": ") > 0, F.substring(r, F.instr(r, ": ") + 2, 1 << 30)).otherwise(r)
+    rest = F.when(F.instr(r, ": ") > 0, F.substring(r, F.instr(r, ": ") + 2, 1 << 30)).otherwise(r)
     has_at = F.instr(rest, " at ") > 0
     company_raw = F.substring_index(rest, " at ", -1)
     title_raw = F.substring(rest, F.lit(1), F.length(rest) - F.length(company_raw) - 4)

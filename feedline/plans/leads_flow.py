@@ -11,7 +11,6 @@ which leaves the saved table unchanged because saving is insert-or-ignore)
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.fingerprint import lead_fingerprint
 from ..functions.html import explode_mailto
