@@ -59,3 +59,29 @@ def test_radius_single_centre_and_grid_join_agree(spark):
     many = radius_join(pts, centres, 30.0)
     assert {r["id"] for r in many.filter(F.col("centre_id") == 0).collect()} == one
     assert 0 < len(one) < 400
+
+
+def test_leads_without_email_are_saved_but_never_notified_or_retried(spark, tmp_dir):
+    """Trap 18: a lead without e-mail is stored (status no_email_found) but never announced."""
+    import os
+
+    from feedline.plans.state import Store
+    leads = spark.createDataFrame([
+        (1, "fa", "A", "https://a", 20.1, -100.8, "rh@a", True, "pending"),
+        (2, "fb", "B", "https://b", 20.1, -100.8, None, False, "no_email_found"),
+        (3, "fc", "C", "https://c", 20.1, -100.8, "info@c", False, "pending")],
+        "seq long, fingerprint string, name string, website string, latitude double, longitude double, "
+        "email string, email_is_hr_context boolean, status string")
+    store = Store(spark, os.path.join(tmp_dir, "leads"), "leads", leads=True)
+    announced = []
+
+    def send(rows):
+        announced.append(sorted(r["fingerprint"] for r in rows.collect()))
+        return False  # delivery fails: announced leads stay pending, e-mail-less ones never appear
+
+    rep = store.run(leads, 0, 30, send)
+    assert rep.inserted == 3 and announced == [["fa", "fc"]]
+    assert sorted(r["fingerprint"] for r in store.pending().collect()) == ["fa", "fc"]
+    rep = store.run(leads.limit(0), 1, 30, lambda rows: True)  # the retry marks them
+    assert rep.retried == 2 and rep.retry_sent and store.pending().count() == 0
+    assert store.rows().filter("status = 'no_email_found'").count() == 1
