@@ -85,3 +85,22 @@ def test_leads_without_email_are_saved_but_never_notified_or_retried(spark, tmp_
     rep = store.run(leads.limit(0), 1, 30, lambda rows: True)  # the retry marks them
     assert rep.retried == 2 and rep.retry_sent and store.pending().count() == 0
     assert store.rows().filter("status = 'no_email_found'").count() == 1
+
+
+def test_leads_seen_before_are_not_crawled_again(spark):
+    """Trap 17: anti-join with the leads history first; the new rows equal the full run minus history."""
+    from feedline.params import DEFAULT_CONTACT_PATHS, paths_list
+    from feedline.plans import leads_flow as lf
+    from feedline.sources import crawl, fixtures as fx, json_feeds, payloads
+
+    from .conftest import SF_SMALL
+    leads = json_feeds.read_geo_elements(payloads.geo_payloads(fx.geo_elements(spark, SF_SMALL)))
+    pages, rules = fx.crawl_pages(spark, SF_SMALL), crawl.robots_rules(crawl.robots_bodies(fx.robots_rules(spark, SF_SMALL)))
+    args = (pages, rules, tuple(paths_list(DEFAULT_CONTACT_PATHS)), 20.1, -100.8, 80.0)
+    full = {r["fingerprint"]: r for r in lf.leads_batch(leads, *args).collect()}
+    assert full
+    seen = sorted(full)[: max(1, len(full) // 2)]
+    history = spark.createDataFrame([(f,) for f in seen], "fingerprint string")
+    new = {r["fingerprint"]: r for r in lf.leads_batch(leads, *args, history=history).collect()}
+    assert set(new) == set(full) - set(seen)
+    assert all(new[f]["email"] == full[f]["email"] for f in new)
