@@ -27,3 +27,20 @@ def op10(spark: SparkSession, base: str) -> DataFrame:
 
     groups = near_groups(table(spark, base, "documents"), shingle=3, max_bits=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def vocabulary() -> str:
+    """The vocabulary file of the BPE queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op2_bpe")
+def op2(spark: SparkSession, base: str) -> DataFrame:
+    from .bpe import decode, encode
+
+    ids = encode(table(spark, base, "documents"), vocabulary())
+    ids = ids.withColumn("ids_sha256", F.sha2("ids", 256))
+    text = decode(ids, vocabulary(), keep=("doc_id", "n_tokens", "ids_sha256"))
+    return text.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
