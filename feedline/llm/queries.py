@@ -44,3 +44,14 @@ def op2(spark: SparkSession, base: str) -> DataFrame:
     ids = ids.withColumn("ids_sha256", F.sha2("ids", 256))
     text = decode(ids, vocabulary(), keep=("doc_id", "n_tokens", "ids_sha256"))
     return text.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@register("op6_chat_formatting")
+def op6(spark: SparkSession, base: str) -> DataFrame:
+    from .chat import digests, format_conversations
+
+    turns = table(spark, base, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    return digests(format_conversations(turns.unionByName(own)))
