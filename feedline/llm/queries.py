@@ -55,3 +55,13 @@ def op6(spark: SparkSession, base: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     return digests(format_conversations(turns.unionByName(own)))
+
+
+@register("op5_quality_classifier")
+def op5(spark: SparkSession, base: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs = table(spark, base, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = fit(docs, table(spark, base, "labels").filter(~held_out))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
