@@ -65,3 +65,10 @@ def op5(spark: SparkSession, base: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = fit(docs, table(spark, base, "labels").filter(~held_out))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register("op7_weighted_mixing")
+def op7(spark: SparkSession, base: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, base, "documents")).select("doc_id", "size", "source_size", "target", "taken")
