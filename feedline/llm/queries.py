@@ -72,3 +72,12 @@ def op7(spark: SparkSession, base: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, base, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op8_winnowing")
+def op8(spark: SparkSession, base: str) -> DataFrame:
+    from .winnowing import compare_edited, digest
+
+    d = compare_edited(table(spark, base, "documents"))
+    return d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("chosen")).alias("fingerprint"),
+                    digest(F.col("edited_chosen")).alias("edited_fingerprint"), "near_edited", "near_next")
