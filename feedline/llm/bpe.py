@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level pre-tokenizers split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces of at most this many bytes are remembered, and at most so many of them at a time.
-KEEP_BYTES, KEEP_PIECES = 64, 400_000
+#: Pieces of at most this many bytes are remembered, and at most twice so many of them at a time.
+KEEP_BYTES, KEEP_PIECES = 64, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,19 +39,23 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Pieces(dict):
-    """piece -> bytes of its ids; forgets all when full, so it stays small on any corpus."""
+    """piece -> bytes of its ids.  When full it starts anew and takes over what is used again, so it stays small on any corpus."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = np.array(self.encode(raw), "<u4").tobytes()
-        if len(raw) <= KEEP_BYTES:
-            if len(self) >= KEEP_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            ids = np.array(self.encode(raw), "<u4").tobytes()
+            if len(raw) > KEEP_BYTES:
+                return ids
+        if len(self) >= KEEP_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 

@@ -81,3 +81,11 @@ def op8(spark: SparkSession, base: str) -> DataFrame:
     d = compare_edited(table(spark, base, "documents"))
     return d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("chosen")).alias("fingerprint"),
                     digest(F.col("edited_chosen")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@register("op3_embedding_near_dedup")
+def op3(spark: SparkSession, base: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    d = near_duplicates(table(spark, base, "embeddings"), threshold=0.98)
+    return d.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
