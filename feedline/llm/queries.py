@@ -89,3 +89,10 @@ def op3(spark: SparkSession, base: str) -> DataFrame:
 
     d = near_duplicates(table(spark, base, "embeddings"), threshold=0.98)
     return d.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+@register("op1_substring_dedup")
+def op1(spark: SparkSession, base: str) -> DataFrame:
+    from .passages import find_passages
+
+    return find_passages(table(spark, base, "documents"))
