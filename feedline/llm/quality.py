@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .batches import M1, M2, mix64, prefix_sums, slices, span_hashes, text_bytes, words
 
@@ -149,18 +150,21 @@ def fit(docs: DataFrame, labels: DataFrame, conf: Settings = Settings(), id_col:
                  np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]).astype(np.int64), label[order], conf)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``keep`` columns (the id by default) and ``score``, the probability of label 1, of every row."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None, out: str = "score") -> DataFrame:
+    """``keep`` columns (the id by default) and ``out``, the probability of label 1, of every row."""
     keep = keep or (id_col,)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # one float per bucket
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep))
+    shared = text_col in keep and docs.schema[text_col].dataType.typeName() == "string"  # else the text goes along as a last column
+    rows = kept if shared else docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    at = keep.index(text_col) if shared else len(keep)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            buf, offs = text_bytes(b.column("__text"))
+            buf, offs = text_bytes(b.column(at))
             parts = [m.score(buf[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]) for lo, hi in slices(offs)]
             p = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], p], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], p], [*keep, out])
 
-    return rows.mapInArrow(scan, docs.select(*keep).schema.add("score", "double"))
+    return rows.mapInArrow(scan, StructType([*kept.schema, StructField(out, DoubleType())]))

@@ -57,14 +57,18 @@ def op6(spark: SparkSession, base: str) -> DataFrame:
     return digests(format_conversations(turns.unionByName(own)))
 
 
+def held_out() -> F.Column:
+    """Rows that the quality classifier never learns from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
 @register("op5_quality_classifier")
 def op5(spark: SparkSession, base: str) -> DataFrame:
     from .quality import fit, score
 
     docs = table(spark, base, "documents")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    model = fit(docs, table(spark, base, "labels").filter(~held_out))
-    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    model = fit(docs, table(spark, base, "labels").filter(~held_out()))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 @register("op7_weighted_mixing")

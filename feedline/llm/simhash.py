@@ -215,9 +215,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group; of rows that share that id, one stays.
 
-    Groups in which no row has an id keep one row as well.
+    Of all groups in which no row has an id one row stays.
     """
     groups = near_groups(docs, id_col, text_col, shingle, max_bits)
-    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.lit(1).alias("one"))
-    kept = docs.join(stay.select(F.col(id_col).alias("__id")), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    stay = Scratch(docs.sparkSession, "simhash").write(stay, "stay")
+    kept = docs.join(stay.select("__id"), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([id_col]) if stay.filter("__n > 1").limit(1).count() else kept
