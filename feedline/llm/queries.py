@@ -100,3 +100,33 @@ def op1(spark: SparkSession, base: str) -> DataFrame:
     from .passages import find_passages
 
     return find_passages(table(spark, base, "documents"))
+
+
+@register("op4_token_counts")
+def op4(spark: SparkSession, base: str) -> DataFrame:
+    """Totals after four commits: all documents; exact copies deleted; an end-of-text token more; the deletes once more."""
+    import public_tokenizers
+
+    from .mixing import words
+    from .scratch import Scratch
+    from .token_counts import TokenTotals, count_tokens
+
+    docs = table(spark, base, "documents")
+    scratch = Scratch(spark, "token-counts")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", "source", "lang", "text", words(F.col("text")).alias("words"), F.sha2(text, 256).alias("sha"))
+    counted = scratch.write(count_tokens(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "byte_bpe_50k",
+                                         keep=("doc_id", "source", "lang", "words", "sha")), "counted")
+    bpe = counted.select("doc_id", "version", "source", "lang", "tokens")
+    both = bpe.unionByName(counted.select("doc_id", F.lit("words").alias("version"), "source", "lang", F.col("words").alias("tokens")))
+    change = lambda df, op: df.withColumns({"op": F.lit(op), "seq": F.lit(0)})
+    first = counted.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    copies = counted.join(first, "sha").filter("doc_id > first").select("doc_id", "source", "lang", F.explode(F.array(F.lit("byte_bpe_50k"), F.lit("words"))).alias("version"))
+    copies = change(copies.withColumn("tokens", F.lit(None).cast("long")), "delete")
+    totals = TokenTotals(spark, f"{scratch.root}/totals")
+    totals.commit(1, change(both, "insert"))
+    totals.commit(2, copies)
+    totals.compact()
+    totals.commit(3, change(bpe.withColumn("tokens", F.col("tokens") + 1), "revise"))
+    totals.commit(2, copies)
+    return totals.totals()
