@@ -130,3 +130,12 @@ def op4(spark: SparkSession, base: str) -> DataFrame:
     totals.commit(3, change(bpe.withColumn("tokens", F.col("tokens") + 1), "revise"))
     totals.commit(2, copies)
     return totals.totals()
+
+
+@register("op9_suffix_array_dedup")
+def op9(spark: SparkSession, base: str) -> DataFrame:
+    from .suffixes import repeated
+
+    d = repeated(table(spark, base, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
