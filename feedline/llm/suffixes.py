@@ -49,7 +49,8 @@ SPREAD = LENGTH - GRAM + 1  #: grams in a string, and strings in a run at most
 LAST = (1 << 63) - 1
 LONG = 1 << 20  #: texts longer than this are read piece by piece
 BUCKET = 4 << 20  #: bytes of text whose runs make a bucket
-FLUSH = 16 << 20  #: bytes of text whose runs are packed together
+FLUSH = 8 << 20  #: bytes of text whose runs are packed together
+CUT = 4 << 20  #: bytes of text cut at a time
 TOP = np.uint64(1 << 63)
 
 
@@ -354,40 +355,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offs = text_bytes(b.column("text"))
-            row, whole = _flat(b.column("c"))
-            whole = _named(row, whole.to_numpy().view(np.uint64))
-            row, part = _flat(b.column("m"))
-            part_c = _named(row, part.field("c").to_numpy().view(np.uint64))
-            mask = part.field("mask").to_numpy()
-            order = np.argsort(part_c)
-            part_c, mask = part_c[order], mask[order]
-            starts = []
-            for t, s, n, _, c in all_runs(buf, offs):
-                name = _named(t, c)
-                x = np.isin(name, whole)
-                starts.append(_ranges(s[x], n[x]))
-                if len(part_c):
-                    at = np.minimum(np.searchsorted(part_c, name), len(part_c) - 1)
-                    for i in np.flatnonzero((part_c[at] == name) & ~x):
-                        bits = int(mask[at[i]])
-                        starts.append(s[i] + np.array([k for k in range(SPREAD) if bits >> k & 1], np.int64))
-            start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-            cover = np.zeros(len(buf) + 1, np.int32)
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + LENGTH, -1)
-            cover = np.cumsum(cover[:-1]) > 0
-            turn = np.diff(np.concatenate([[0], cover.view(np.int8), [0]]))
-            own = offs[1:-1][cover[np.minimum(offs[1:-1], max(len(buf) - 1, 0))]] if len(buf) else offs[:0]
-            own = own[(own > 0) & (own < len(buf))]
-            own = np.unique(own[cover[own - 1]])  # a removed range that goes on at the start of the next text is two
-            s = np.sort(np.concatenate([np.flatnonzero(turn == 1), own]))
-            e = np.sort(np.concatenate([np.flatnonzero(turn == -1), own]))
-            at = np.searchsorted(offs, s, "right") - 1
-            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(len(offs))), pa.int32()),
-                                             pa.StructArray.from_arrays([pa.array(s - offs[at]), pa.array(e - offs[at])], ["start", "end"]))
-            left = np.concatenate([[0], np.cumsum(~cover)])[offs]
-            kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(left)), pa.py_buffer(np.ascontiguousarray(buf[~cover]))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("did"), pa.array(np.diff(offs)), spans, kept], ["did", "n_bytes", "spans", "kept"])
+            for lo, hi in slices(offs, CUT):
+                did, c, m = (b.column(k).slice(lo, hi - lo) for k in ("did", "c", "m"))
+                yield _without_strings(buf[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo], did, c, m)
 
     schema = "did long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     clean = _without(rows, gone, scratch, "hit").select("did", F.octet_length("text").cast("long").alias("n_bytes"),
@@ -396,6 +366,44 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return done.select(F.when(F.col("did") < LAST, F.col("did")).alias(id_col), "n_bytes", "spans", "kept")
 
 
+def _without_strings(buf: np.ndarray, offs: np.ndarray, did: pa.Array, c: pa.Array, m: pa.Array) -> pa.RecordBatch:
+    """Some texts without the strings of their whole runs ``c`` and of their masked runs ``m``."""
+    row, whole = _flat(c)
+    whole = _named(row, whole.to_numpy().view(np.uint64))
+    row, part = _flat(m)
+    part_c, mask = _named(row, part.field("c").to_numpy().view(np.uint64)), part.field("mask").to_numpy()
+    order = np.argsort(part_c)
+    part_c, mask = part_c[order], mask[order]
+    edge = np.zeros(len(buf) + 1, np.int32)  # +1 where a removed string starts, -1 where it ends
+    for t, s, n, _, c in all_runs(buf, offs):
+        name = _named(t, c)
+        x = np.isin(name, whole)
+        np.add.at(edge, s[x], 1)
+        np.add.at(edge, s[x] + n[x] + LENGTH - 1, -1)
+        if len(part_c):
+            at = np.minimum(np.searchsorted(part_c, name), len(part_c) - 1)
+            for i in np.flatnonzero((part_c[at] == name) & ~x):
+                bits = int(mask[at[i]])
+                start = s[i] + np.array([k for k in range(SPREAD) if bits >> k & 1], np.int64)
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + LENGTH, -1)
+    cover = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    turn = np.diff(np.concatenate([[False], cover, [False]]).view(np.int8))
+    # a removed range that goes on at the start of the next text is two
+    inner = np.unique(offs[1:-1])
+    inner = inner[(inner > 0) & (inner < len(buf))]
+    inner = inner[cover[inner] & cover[inner - 1]]
+    s = np.sort(np.concatenate([np.flatnonzero(turn == 1), inner]))
+    e = np.sort(np.concatenate([np.flatnonzero(turn == -1), inner]))
+    at = np.searchsorted(offs, s, "right") - 1
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(len(offs))), pa.int32()),
+                                     pa.StructArray.from_arrays([pa.array(s - offs[at]), pa.array(e - offs[at])], ["start", "end"]))
+    removed = np.bincount(at, weights=e - s, minlength=len(offs) - 1).astype(np.int64)
+    left = np.concatenate([[0], np.cumsum(np.diff(offs) - removed)])
+    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(left), pa.py_buffer(buf[~cover])]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([did, pa.array(np.diff(offs)), spans, kept], ["did", "n_bytes", "spans", "kept"])
+
+
 def _bucket_rows(tab: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     b = tab.column("b").combine_chunks().to_numpy()
     cut = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
