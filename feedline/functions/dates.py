@@ -22,23 +22,32 @@ def epoch_to_ts(epoch) -> Column:
     return F.timestamp_seconds(F.nullif(e, F.lit(0))).cast("timestamp_ntz")
 
 
-# RFC-2822 shapes after the optional weekday is removed.  The pattern letter
-# ``E`` raises even inside try_to_timestamp, so the weekday is stripped with a
-# regex; ``Z`` reads +0000, ``z`` reads GMT/UTC/EST.
-_RFC2822_PATTERNS = (
-    "d MMM yyyy HH:mm:ss Z",
-    "d MMM yyyy HH:mm:ss z",
-    "d MMM yyyy HH:mm Z",
-    "d MMM yyyy HH:mm z",
-)
+# RFC 2822 month names, and the zone names that stand for an offset in hours.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+ZONES = {"est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7}
+
+_DATE = (r"(?i)^(?:[a-z]+\.?,?\s*)?(\d{1,2})[\s-]+([a-z]{3})[a-z]*\.?[\s-]+(\d{2}|\d{4})"
+         r"\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s*([+-]\d{4}|[a-z]+))?$")
 
 
 def rfc2822_to_ts(text) -> Column:
-    """RFC-2822 date string -> timestamp; unparseable -> null."""
-    s = F.regexp_replace(F.trim(_col(text)), r"^\s*[A-Za-z]{3},\s*", "")
-    s = F.regexp_replace(s, r"\s+", " ")
-    tries = [F.try_to_timestamp(s, F.lit(p)) for p in _RFC2822_PATTERNS]
-    return reduce(lambda a, b: F.coalesce(a, b), tries).cast("timestamp_ntz")
+    """An RFC 2822 date -> timestamp; unparseable -> null.
+
+    The weekday, the seconds and the zone may be missing, comments in
+    parentheses are skipped, two-digit years below 69 are of this century, and
+    a zone that is missing or unknown counts as UTC.
+    """
+    s = F.trim(F.regexp_replace(F.regexp_replace(_col(text), r"\([^)]*\)", " "), r"\s+", " "))
+    part = lambda i: F.nullif(F.regexp_extract(s, _DATE, i), F.lit(""))
+    number = lambda i: part(i).try_cast("int")
+    year = F.when(F.length(part(3)) == 2, number(3) + F.when(number(3) < 69, 2000).otherwise(1900)).otherwise(number(3))
+    month = F.nullif(F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.lower(part(2))), F.lit(0)).cast("int")
+    wall = F.try_make_timestamp_ntz(year, month, number(1), number(4), number(5), F.coalesce(number(6), F.lit(0)).cast("decimal(8,6)"))
+    zone = F.lower(part(7))
+    named = reduce(lambda c, z: c.when(zone == z[0], F.lit(60 * z[1])), ZONES.items(), F.when(zone.isNull(), F.lit(0)))
+    sign = F.when(zone.startswith("-"), -1).otherwise(1)
+    minutes = F.when(zone.rlike(r"^[+-]"), sign * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"))).otherwise(named.otherwise(F.lit(0)))
+    return wall - F.make_dt_interval(mins=minutes)
 
 
 def date_to_ts(value) -> Column:

@@ -1,8 +1,9 @@
 """The digest of a run.
 
-The digest is a top-N report: ``orderBy(seq).limit(N)`` plans as
+The digest is a top-N report: ``orderBy(...).limit(N)`` plans as
 TakeOrderedAndProject (each task keeps N rows), so only N rows ever reach
-one place; the text is ``listagg`` over those N rows.
+one place; the text is ``listagg`` over those N rows.  The order is total:
+the run that saved a row, its place in that run, its fingerprint.
 """
 
 from __future__ import annotations
@@ -19,9 +20,14 @@ GENERAL_LABEL = "⚠️ contacto general"
 OVERFLOW_FMT = "_...y %d más guardadas en DB_"
 
 
-def digest_slice(df: DataFrame, n: int, order: str = "seq") -> DataFrame:
-    """The first ``n`` rows in ``order``."""
-    return df.orderBy(F.col(order).asc()).limit(n)
+def digest_order(df: DataFrame) -> list[str]:
+    """The columns of ``df`` that order a digest: oldest run first."""
+    return [c for c in ("run_id", "seq", "fingerprint") if c in df.columns]
+
+
+def digest_slice(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows in digest order."""
+    return df.orderBy(*digest_order(df)).limit(n)
 
 
 def posting_line() -> Column:
@@ -41,14 +47,16 @@ def overflow_count(total: Column, n: int) -> Column:
     return F.greatest(total - F.lit(n), F.lit(0))
 
 
-def digest_text(df: DataFrame, n: int, line: Column, header: str, order: str = "seq") -> DataFrame:
+def digest_text(df: DataFrame, n: int, line: Column, header: str, total: int | None = None) -> DataFrame:
     """One row (n_items, n_total, overflow, text); no row when ``df`` is empty.
 
+    ``total``: the number of rows where ``df`` holds only the digest's slice of them.
+
     text = header + '\\n' + item lines (ordered, '\\n'-joined) + overflow line.
     """
-    # The total is a scalar subquery (one partial count per task), not a join.
-    total = df.select(F.count(F.lit(1))).scalar()
-    top = digest_slice(df, n, order).select(F.col(order).alias("__o"), line.alias("__line"))
+    # Else the total is a scalar subquery (one partial count per task), not a join.
+    total = df.select(F.count(F.lit(1))).scalar() if total is None else F.lit(total).cast("bigint")
+    top = digest_slice(df, n).select(F.struct(*digest_order(df)).alias("__o"), line.alias("__line"))
     j = top.agg(
         F.count(F.lit(1)).alias("n_items"),
         F.expr("listagg(__line, '\\n') WITHIN GROUP (ORDER BY __o)").alias("__body"),

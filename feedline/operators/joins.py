@@ -10,13 +10,14 @@ result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import searchable_text
-from .sizing import KEY_ROW_BYTES, broadcast_if_bounded, broadcast_rows_if_bounded
+from ..functions.text import contains_any, searchable_text
+from ..sources.crawl import percent_encoded, url_host, url_path
+from .sizing import KEY_ROW_BYTES, broadcast_rows_if_bounded
 
 EARTH_RADIUS_KM = 6371.0
 
@@ -27,16 +28,14 @@ def seen_keys(history: DataFrame, batch: DataFrame, key: str = "fingerprint",
               batch_key_rows: int | None = None) -> DataFrame:
     """The batch keys already present in the history (distinct).
 
-    The batch's key set is broadcast only behind a size proof: either the
-    caller counted it (``batch_key_rows``, e.g. after materialising the
-    batch) or the optimizer's upper-bound estimate is under the limit.
-    Otherwise the semi join shuffles and AQE re-plans from measured sizes.
+    The batch's key set is broadcast only if the caller counted it
+    (``batch_key_rows``, e.g. after materialising the batch) and the count
+    fits.  Otherwise the semi join shuffles and AQE re-plans from measured
+    sizes.
     """
-    batch_keys = batch.select(key).distinct()
+    side = batch.select(key).distinct()
     if batch_key_rows is not None:
-        side = broadcast_rows_if_bounded(batch_keys, batch_key_rows, KEY_ROW_BYTES)
-    else:
-        side = broadcast_if_bounded(batch_keys)
+        side = broadcast_rows_if_bounded(side, batch_key_rows, KEY_ROW_BYTES)
     return history.select(key).join(side, key, "left_semi").distinct()
 
 
@@ -57,22 +56,24 @@ def new_rows(batch: DataFrame, history: DataFrame, key: str = "fingerprint",
 
 def robots_allowed(pages: DataFrame, rules: DataFrame, site: str = "website",
                    path: str = "path") -> DataFrame:
-    """Drop (site, path) pairs a robots rule of that site disallows.
-
-    A rule applies when the request path starts with its prefix (or the
-    prefix is ``*``); the first applicable rule (by ``ord``) decides -- plain
-    prefix matching, no wildcards inside paths.  The home page is requested
-    as '/'.
-    The decision is taken once per distinct (site, path) -- an equi-join on
-    the site with the prefix test as residual -- and the pages are then
-    anti-joined with the denied pairs, so page bodies never meet the rules.
+    """Drop (site, path) pairs that a robots rule of the site's host disallows.
+
+    A site may have a path of its own; the robots file is its host's, and a
+    rule applies when the request's whole path starts with its prefix (or the
+    prefix is ``*``), both with their escapes in one form.  The first
+    applicable rule (by ``ord``) decides -- plain prefix matching, no wildcards
+    inside paths.  The decision is taken once per distinct (site, path) -- an
+    equi-join on the host with the prefix test as residual -- and the pages are
+    then anti-joined with the denied pairs, so page bodies never meet the rules.
     """
-    pairs = pages.select(site, path).distinct()
-    req = F.when(F.col(path) == "", F.lit("/")).otherwise(F.col(path))
-    r = rules.select(F.col(site).alias("__site"), F.col("ord").alias("__ord"),
-                     F.col("allow").alias("__allow"), F.col("prefix").alias("__prefix"))
-    applies = req.startswith(F.col("__prefix")) | (F.col("__prefix") == "*")
-    j = pairs.join(r, (F.col(site) == F.col("__site")) & applies)
+    url = F.concat(F.regexp_replace(F.col(site), "/+$", ""), F.col(path))
+    pairs = pages.select(site, path).distinct().select(
+        site, path, url_host(url).alias("__host"), percent_encoded(url_path(url)).alias("__req"))
+    r = rules.select(url_host(F.col(site)).alias("__rhost"), F.col("ord").alias("__ord"),
+                     F.col("allow").alias("__allow"), F.col("prefix").alias("__raw"),
+                     percent_encoded(F.col("prefix")).alias("__prefix"))
+    applies = F.col("__req").startswith(F.col("__prefix")) | (F.col("__raw") == "*")
+    j = pairs.join(r, (F.col("__host") == F.col("__rhost")) & applies)
     denied = (j.groupBy(site, path).agg(F.min_by("__allow", "__ord").alias("__allow"))
               .filter(~F.col("__allow")).select(site, path))
     return pages.join(denied, [site, path], "left_anti")
@@ -80,21 +81,14 @@ def robots_allowed(pages: DataFrame, rules: DataFrame, site: str = "website",
 
 # ---------------------------------------------------------------- J6 keyword theta
 
-def keyword_table(spark: SparkSession, terms) -> DataFrame:
-    """A parameter list as a one-column table (its size is the list's)."""
-    return spark.createDataFrame([(t,) for t in terms], T.StructType([T.StructField("term", T.StringType())]))
-
-
-def keyword_semi(df: DataFrame, terms: DataFrame, text: Column | None = None,
-                 how: str = "left_semi") -> DataFrame:
+def keyword_semi(df: DataFrame, terms, text: Column | None = None, how: str = "left_semi") -> DataFrame:
     """Rows whose searchable text contains any term (``left_anti``: none).
 
-    The term table is a parameter list, so it is broadcast; the join is a
-    broadcast nested loop with ``contains`` as the condition.
+    The terms are a parameter list of any length; one scan of each text tests
+    them all (a literal alternation), so no row meets the terms one by one.
     """
-    text = searchable_text() if text is None else text
-    d = df.withColumn("__text", text)
-    return d.join(F.broadcast(terms), F.col("__text").contains(F.col("term")), how).drop("__text")
+    found = contains_any(searchable_text() if text is None else text, list(terms))
+    return df.filter(found if how == "left_semi" else ~found)
 
 
 # ---------------------------------------------------------------- J7 geo radius
@@ -107,20 +101,35 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(a))
 
 
-def bbox(lat: float, lon: float, radius_km: float) -> tuple[float, float, float, float]:
-    dlat = math.degrees(radius_km / EARTH_RADIUS_KM)
-    c = max(math.cos(math.radians(lat)), 1e-9)
-    dlon = min(180.0, math.degrees(radius_km / (EARTH_RADIUS_KM * c)))
-    return lat - dlat, lat + dlat, lon - dlon, lon + dlon
+def bbox(lat: float, lon: float, radius_km: float) -> tuple[float, float, list[tuple[float, float]]]:
+    """Latitude range and longitude ranges that hold every point within the radius.
+
+    Away from the poles the half-width is asin(sin(r/R) / cos(lat)); a circle
+    that takes in a pole has every longitude; one across 180 degrees has two ranges.
+    """
+    ang = radius_km / EARTH_RADIUS_KM
+    lo_lat, hi_lat = lat - math.degrees(ang), lat + math.degrees(ang)
+    if lo_lat <= -90 or hi_lat >= 90:
+        return max(lo_lat, -90.0), min(hi_lat, 90.0), [(-180.0, 180.0)]
+    half = math.degrees(math.asin(min(1.0, math.sin(ang) / math.cos(math.radians(lat)))))
+    lo, hi = lon - half, lon + half
+    spans = [(lo, hi)]
+    if lo < -180:
+        spans = [(-180.0, hi), (lo + 360, 180.0)]
+    elif hi > 180:
+        spans = [(lo, 180.0), (-180.0, hi - 360)]
+    return lo_lat, hi_lat, spans
 
 
 def within_radius(points: DataFrame, lat: float, lon: float, radius_km: float,
                   lat_col: str = "latitude", lon_col: str = "longitude") -> DataFrame:
     """J7 (one centre): bounding box as plain range predicates (pushed to the scan),
     then the exact great-circle test."""
-    lo_lat, hi_lat, lo_lon, hi_lon = bbox(lat, lon, radius_km)
+    lo_lat, hi_lat, spans = bbox(lat, lon, radius_km)
     la, lo = F.col(lat_col), F.col(lon_col)
-    boxed = points.filter(la.between(lo_lat - 1e-9, hi_lat + 1e-9) & lo.between(lo_lon - 1e-9, hi_lon + 1e-9))
+    slack = 1e-9
+    around = reduce(lambda a, b: a | b, [lo.between(w - slack, e + slack) for w, e in spans])
+    boxed = points.filter(la.between(lo_lat - slack, hi_lat + slack) & around)
     return (boxed.withColumn("distance_km", haversine_km(F.lit(lat), F.lit(lon), la, lo))
             .filter(F.col("distance_km") <= F.lit(radius_km)))
 
@@ -129,26 +138,49 @@ def radius_join(points: DataFrame, centres: DataFrame, radius_km: float,
                 lat_col: str = "latitude", lon_col: str = "longitude") -> DataFrame:
     """J7 (many centres): grid-cell equi-join, then the exact test.
 
-    Points fall in one cell of ``cell`` degrees; each centre lists the cells
-    its bounding box touches.  The equi-join on the cell replaces an all-pairs
-    comparison; AQE splits a cell that holds a large share of the points.
-    ``centres`` needs columns centre_id, centre_lat, centre_lon.
+    The globe is cut into rows as high as the radius, and each row into cells
+    about as wide as high at its own latitude, so a row near a pole has few.
+    A point falls in one cell; a centre lists the cells of three rows that its
+    circle may touch, across 180 degrees and the poles.  The equi-join on the
+    cell replaces an all-pairs comparison; AQE splits a cell that holds a large
+    share of the points.  ``centres`` needs centre_id, centre_lat, centre_lon.
     """
-    cell = max(math.degrees(radius_km / EARTH_RADIUS_KM), 1e-6)
-    pts = points.withColumn("__clat", F.floor(F.col(lat_col) / cell)).withColumn(
-        "__clon", F.floor(F.col(lon_col) / cell))
-    dlat = F.lit(math.degrees(radius_km / EARTH_RADIUS_KM))
-    cosl = F.greatest(F.cos(F.radians(F.col("centre_lat"))), F.lit(1e-9))
-    dlon = F.least(F.degrees(F.lit(radius_km / EARTH_RADIUS_KM) / cosl), F.lit(180.0))
-    cs = (centres
-          .withColumn("__clat", F.explode(F.sequence(F.floor((F.col("centre_lat") - dlat) / cell),
-                                                      F.floor((F.col("centre_lat") + dlat) / cell))))
-          .withColumn("__clon", F.explode(F.sequence(F.floor((F.col("centre_lon") - dlon) / cell),
-                                                      F.floor((F.col("centre_lon") + dlon) / cell)))))
-    j = pts.join(cs, ["__clat", "__clon"])
+    ang = radius_km / EARTH_RADIUS_KM
+    height = max(math.degrees(ang), 1e-6)
+    rows = math.ceil(180 / height)
+
+    def row_of(lat):
+        return F.least(F.floor((lat + 90) / height), F.lit(rows - 1)).cast("bigint")
+
+    def cells_of(row):
+        """How many cells a row has, from the wider of its edges."""
+        south, north = row * height - 90, (row + 1) * height - 90
+        widest = F.when((south <= 0) & (north >= 0), F.lit(1.0)).otherwise(
+            F.greatest(F.cos(F.radians(south)), F.cos(F.radians(north))))
+        return F.greatest(F.floor(360 * widest / height), F.lit(1)).cast("bigint")
+
+    def cell_of(lon, cells):
+        return F.pmod(F.floor((lon + 180) / (F.lit(360.0) / cells)).cast("bigint"), cells)
+
+    pts = points.withColumn("__row", row_of(F.col(lat_col)))
+    pts = pts.withColumn("__cell", cell_of(F.col(lon_col), cells_of(F.col("__row"))))
+    lat, lon = F.col("centre_lat"), F.col("centre_lon")
+    polar = F.abs(lat) + math.degrees(ang) >= 90
+    # the sine of the half-width is under 1 where the circle takes in no pole
+    half = F.when(polar, F.lit(180.0)).otherwise(
+        F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(ang, math.pi / 2))) / F.cos(F.radians(lat))))) + 1e-9)
+    cs = centres.withColumn("__half", half).withColumn("__row", F.explode(F.sequence(
+        F.greatest(row_of(lat) - 1, F.lit(0).cast("bigint")), F.least(row_of(lat) + 1, F.lit(rows - 1).cast("bigint")))))
+    cs = cs.withColumn("__cells", cells_of(F.col("__row")))
+    step = F.lit(360.0) / F.col("__cells")
+    west = F.floor((lon - F.col("__half") + 180) / step).cast("bigint")
+    east = F.floor((lon + F.col("__half") + 180) / step).cast("bigint")
+    # a range of cells round the whole row names each cell once
+    cs = cs.withColumn("__cell", F.explode(F.sequence(west, F.least(east, west + F.col("__cells") - 1))))
+    cs = cs.withColumn("__cell", F.pmod("__cell", "__cells")).drop("__cells", "__half")
+    j = pts.join(cs, ["__row", "__cell"])
     d = haversine_km(F.col("centre_lat"), F.col("centre_lon"), F.col(lat_col), F.col(lon_col))
-    return j.withColumn("distance_km", d).filter(F.col("distance_km") <= F.lit(radius_km)).drop(
-        "__clat", "__clon")
+    return j.withColumn("distance_km", d).filter(F.col("distance_km") <= F.lit(radius_km)).drop("__row", "__cell")
 
 
 # ---------------------------------------------------------------- J8 source map

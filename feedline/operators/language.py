@@ -9,14 +9,15 @@ fit (``fit_profile``), over labelled documents:
        languages in sorted order  (the "profile")
     + per-language log prior.
 
-detect (``detect``), over any text column:
-    P18 window -> explode grams -> count per (row, gram)
-    -> join the profile on gram (broadcast only when its measured size is
-       under the limit, else a shuffle join; a hot gram meets at most one
-       profile row)
-    -> per row: sum count x log P for each language (one hash aggregate)
-    -> log prior added, arg-max and softmax probability in column
-       expressions (no window, no cross join).
+detect (``detect``), over any text column, whole texts:
+    the profile, when its counted size is under the limit, goes to the Python
+    workers as sorted arrays; each Arrow batch is scored by numpy inside its
+    rows (grams as packed code points, looked up by binary search), so there
+    is no row per gram, no shuffle and no join back;
+    a larger profile is joined on the gram instead: only the key is carried,
+    sums are partial per task before the one shuffle (AQE splits a hot gram's
+    partition).
+    -> log prior added, arg-max and softmax probability.
 Grams never seen in training are ignored for every language.
 """
 
@@ -25,11 +26,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .sizing import broadcast_if_bounded, broadcast_rows_if_bounded
+from .sizing import DEFAULT_BROADCAST_LIMIT, broadcast_rows_if_bounded
 
 MAX_N = 3
 
@@ -61,13 +65,51 @@ class Profile:
     langs: list[str]
     priors: list[float]          # log prior per language, same order as langs
     table: DataFrame             # (gram string, lp array<double>)
-    rows: int = -1               # counted size of ``table`` (-1: unknown)
+    rows: int                    # counted size of ``table``
+    limit: int = DEFAULT_BROADCAST_LIMIT
+
+    @property
+    def row_bytes(self) -> int:
+        return 48 + 8 * len(self.langs)
+
+    def fits(self) -> bool:
+        return self.rows * self.row_bytes <= self.limit
 
     def join_side(self) -> DataFrame:
         """The profile as a join side: broadcast only when its counted size fits."""
-        if self.rows < 0:
-            return broadcast_if_bounded(self.table)
-        return broadcast_rows_if_bounded(self.table, self.rows, 48 + 8 * len(self.langs))
+        return broadcast_rows_if_bounded(self.table, self.rows, self.row_bytes, self.limit)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted gram codes and their log probabilities (only for a profile that fits)."""
+        t = self.table.toArrow()
+        code = np.array([_code(g) for g in t.column("gram").to_pylist()], np.uint64)
+        lp = np.array(t.column("lp").to_pylist(), np.float64).reshape(len(code), len(self.langs))
+        order = np.argsort(code)
+        return code[order], lp[order]
+
+
+def _code(gram: str) -> int:
+    """A gram of at most three code points as one integer: 21 bits each."""
+    c = 0
+    for ch in gram:
+        c = c << 21 | ord(ch)
+    return c
+
+
+def _row_scores(text: str, code: np.ndarray, lp: np.ndarray) -> np.ndarray | None:
+    """Sums of log probabilities over the known grams of a normalised text; None without any."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    total, known, gram = np.zeros(lp.shape[1]), 0, np.zeros(len(points), np.uint64)
+    for n in range(1, MAX_N + 1):
+        if len(points) < n:
+            break
+        gram = (gram[:len(points) - n + 1] << np.uint64(21)) | points[n - 1:]
+        found, times = np.unique(gram, return_counts=True)
+        at = np.minimum(np.searchsorted(code, found), max(len(code) - 1, 0))
+        hit = code[at] == found if len(code) else np.zeros(len(found), bool)
+        total += times[hit] @ lp[at[hit]]
+        known += int(hit.sum())
+    return total if known else None
 
 
 def fit_profile(docs: DataFrame, text: str = "text", label: str = "lang") -> Profile:
@@ -92,34 +134,50 @@ def fit_profile(docs: DataFrame, text: str = "text", label: str = "lang") -> Pro
     return Profile(langs, priors, by_gram.select("gram", lp.alias("lp")), int(vocab))
 
 
+def _joined_scores(df: DataFrame, profile: Profile, text: Column, key: str) -> DataFrame:
+    """(key, scores array) by joining grams with the profile: the way for a profile that does not fit a worker."""
+    k = len(profile.langs)
+    grams_of = explode_grams(df.select(F.col(key).alias("__k"), text.alias("__t")), F.col("__t"), ["__k"])
+    j = grams_of.join(profile.join_side(), "gram")
+    sums = j.groupBy("__k").agg(*[F.sum(F.col("lp")[i]).alias(f"__s{i}") for i in range(k)])
+    return sums.select(F.col("__k").alias(key), F.array(*[F.col(f"__s{i}") for i in range(k)]).alias("__scores"))
+
+
+def with_scores(df: DataFrame, profile: Profile, text: Column, key: str) -> DataFrame:
+    """``df`` with ``__scores``: per language the log likelihood of ``text`` (null without a known gram)."""
+    if not profile.fits():
+        return df.join(_joined_scores(df, profile, text, key), key, "left")
+    sent = df.sparkSession.sparkContext.broadcast(profile.arrays())  # at most ``limit`` bytes
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def score(texts: pd.Series) -> pd.Series:
+        code, lp = sent.value
+        return texts.map(lambda t: None if t is None else _row_scores(t, code, lp))
+
+    return df.withColumn("__scores", score(normalise(text)))
+
+
 def detect(df: DataFrame, profile: Profile, text: Column, key: str,
            lang_col: str = "detected_lang", prob_col: str = "detected_prob") -> DataFrame:
     """Add (lang, prob) of the most likely language of ``text`` to every row of ``df``.
 
-    Rows whose text has no known gram get null (detection failed).
+    Rows whose text has no known gram get null (detection failed).  ``key``
+    names a unique column, used only where the profile is too large to send.
     """
     k = len(profile.langs)
-    g = (explode_grams(df.select(F.col(key).alias("__k"), text.alias("__t")), F.col("__t"), ["__k"])
-         .groupBy("__k", "gram").agg(F.count(F.lit(1)).alias("n")))
-    j = g.join(profile.join_side(), "gram")
-    sums = j.groupBy("__k").agg(*[F.sum(F.col("n") * F.col("lp")[i]).alias(f"__s{i}") for i in range(k)])
-    scores = [F.col(f"__s{i}") + F.lit(profile.priors[i]) for i in range(k)]
-    best = F.greatest(*scores)
+    scored = with_scores(df, profile, text, key)
+    scores = [F.col("__scores")[i] + F.lit(profile.priors[i]) for i in range(k)]
+    best = F.greatest(*scores) if k > 1 else scores[0]
     denom = sum((F.exp(s - best) for s in scores), F.lit(0.0))
     arg = F.lit(None).cast("string")
     for i in reversed(range(k)):  # first language wins ties
         arg = F.when(scores[i] == best, F.lit(profile.langs[i])).otherwise(arg)
-    res = sums.select(F.col("__k").alias(key), arg.alias(lang_col), (F.lit(1.0) / denom).alias(prob_col))
-    return df.join(res, key, "left")
+    return scored.withColumns({lang_col: arg, prob_col: F.lit(1.0) / denom}).drop("__scores")
 
 
 def language_scores(df: DataFrame, profile: Profile, text: Column, key: str) -> DataFrame:
     """(key, lang, log score) for every language -- the unnormalised posterior."""
-    k = len(profile.langs)
-    g = (explode_grams(df.select(F.col(key).alias("__k"), text.alias("__t")), F.col("__t"), ["__k"])
-         .groupBy("__k", "gram").agg(F.count(F.lit(1)).alias("n")))
-    j = g.join(profile.join_side(), "gram")
-    sums = j.groupBy("__k").agg(*[F.sum(F.col("n") * F.col("lp")[i]).alias(f"__s{i}") for i in range(k)])
-    stacked = F.array(*[F.struct(F.lit(profile.langs[i]).alias("lang"),
-                                 (F.col(f"__s{i}") + F.lit(profile.priors[i])).alias("score")) for i in range(k)])
-    return sums.select(F.col("__k").alias(key), F.explode(stacked).alias("x")).select(key, "x.lang", "x.score")
+    scored = with_scores(df.select(key, text.alias("__text")), profile, F.col("__text"), key).filter("__scores is not null")
+    stacked = F.array(*[F.struct(F.lit(lang).alias("lang"), (F.col("__scores")[i] + F.lit(profile.priors[i])).alias("score"))
+                        for i, lang in enumerate(profile.langs)])
+    return scored.select(key, F.explode(stacked).alias("x")).select(key, "x.lang", "x.score")

@@ -16,11 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.experience import required_years
 from ..functions.text import contains_any, searchable_text
-from ..schema import KNOWN_SOURCES
-
-# Above this many terms a keyword test becomes a broadcast join (J6) instead
-# of an OR-chain of ``contains`` inside generated code.
-OR_CHAIN_LIMIT = 50
+from ..schema import KNOWN_SOURCES, POSTING_COLUMNS
 
 
 def _col(c) -> Column:
@@ -121,6 +117,18 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             tagged.filter(F.col("reason").isNotNull()))
 
 
+def finish(df: DataFrame, with_rejects: bool = False) -> DataFrame:
+    """The last step of a feed reader: POSTING rows whose fields all parsed (``__ok``, where given) and are valid.
+
+    With ``with_rejects`` the other rows stay and say why (``reason``), for the quarantine table (F14).
+    """
+    reason = rejection_reason()
+    if "__ok" in df.columns:
+        reason = F.when(~F.coalesce(F.col("__ok"), F.lit(False)), F.lit("malformed")).otherwise(reason)
+    tagged = df.select(*POSTING_COLUMNS, reason.alias("reason"))
+    return tagged if with_rejects else tagged.filter(F.col("reason").isNull()).drop("reason")
+
+
 def cheap_conjuncts(p) -> list[tuple[str, Column]]:
     """F1-F4, F6 in the reference's order; absent parameters emit nothing."""
     out = [("relevant", keyword_filter(p.keywords, p.require_remote))]
@@ -135,28 +143,29 @@ def cheap_conjuncts(p) -> list[tuple[str, Column]]:
     return out
 
 
+def funnel_counts(p) -> list[Column]:
+    """F8: aggregates that count, in one pass, the rows left after each cumulative stage."""
+    out, acc = [F.count(F.lit(1)).alias("n_total")], F.lit(True)
+    for stage, cond in cheap_conjuncts(p):
+        acc = acc & cond
+        out.append(F.count_if(acc).alias(f"n_{stage}"))
+    return out
+
+
 def posting_filter(df: DataFrame, p, detector=None) -> DataFrame:
     """the conjunction F1..F6 as one Filter.
 
     The cheap conjuncts run first; language detection (A7, a join) is only
     computed for the survivors, then F5 is applied.  The conjunction is
     order-free, so the result equals the reference's sequence of list filters.
+    A language list without a detector is an error, not a filter that is off;
+    ``allowed_languages=None`` turns F5 off.
     """
-    named = cheap_conjuncts(p)
-    long_list = len(p.keywords) > OR_CHAIN_LIMIT
-    if long_list:  # keyword containment becomes the J6 theta join below
-        named = [(n, c) for n, c in named if n != "relevant"]
-        if p.require_remote:
-            named.insert(0, ("remote", F.col("is_remote")))
-    conj = [c for _, c in named]
+    if p.allowed_languages is not None and detector is None:
+        raise ValueError("allowed_languages needs a language profile; pass None to do without the language filter")
+    conj = [c for _, c in cheap_conjuncts(p)]
     out = df.filter(reduce(lambda a, b: a & b, conj)) if conj else df
-    if long_list:
-        from .joins import keyword_semi, keyword_table
-        out = keyword_semi(out, keyword_table(out.sparkSession, [k.lower() for k in p.keywords]))
-    if p.allowed_languages is not None and detector is not None:
-        # Materialise the survivors once (shared checkpoint folder): detection
-        # reads them twice (grams, then the join back of the result).
+    if p.allowed_languages is not None:
         cols = out.columns
-        out = out.checkpoint()
         out = detector(out).filter(language_filter(p.allowed_languages)).select(*cols)
     return out

@@ -1,11 +1,9 @@
-"""Broadcast only behind a size check.
+"""Broadcast only behind a counted size.
 
-``estimated_bytes`` reads the optimizer's size statistic of a plan.  For the
-plans we guard (scans, filters, projections, aggregates over them) Spark's
-estimate never under-shoots: a filter keeps its child's size and a
-projection scales it by row width.  So "estimate <= limit" is a proof that
-the side fits; when the proof fails we do not hint and let the sort-merge
-plan (or AQE, from the measured shuffle size) decide.
+A plan estimate is no proof (an ``explode`` or a compressed file beats it), so
+the only way to a broadcast hint is a row count times a bound per row.  Beyond
+the limit nothing is hinted, and the sort-merge plan or adaptive execution,
+from measured shuffle sizes, decides.
 """
 
 from __future__ import annotations
@@ -15,19 +13,6 @@ from pyspark.sql import functions as F
 
 # 64 MiB: comfortably below executor memory on any cluster we target.
 DEFAULT_BROADCAST_LIMIT = 64 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # pragma: no cover - Spark Connect has no JVM handle
-        return 1 << 62
-
-
-def broadcast_if_bounded(df: DataFrame, limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """``broadcast(df)`` when its estimated size is provably under ``limit``, else ``df``."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
-
 # Bytes per row of a one-key table (64-hex fingerprint + row overhead), generous.
 KEY_ROW_BYTES = 128
 

@@ -15,6 +15,7 @@ import datetime as dt
 from dataclasses import dataclass, field
 
 from .schema import KNOWN_FEEDS
+from .sources.registry import LocalSearch
 
 # Default parameter lists (must equal the reference's defaults).
 DEFAULT_KEYWORDS = (
@@ -80,6 +81,7 @@ class PostingParams:
     digest_size: int = DEFAULT_DIGEST_SIZE
     enabled_feeds: tuple[str, ...] = tuple(clean_list(DEFAULT_ENABLED_FEEDS))
     jobspy_terms: tuple[str, ...] = tuple(clean_list(DEFAULT_JOBSPY_TERMS))
+    search: LocalSearch = LocalSearch()
 
     def __post_init__(self):
         bad = sorted(set(self.enabled_feeds) - set(KNOWN_FEEDS))
@@ -96,12 +98,5 @@ class LeadParams:
     lon: float
     radius_km: float = DEFAULT_RADIUS_KM
     contact_paths: tuple[str, ...] = tuple(paths_list(DEFAULT_CONTACT_PATHS))
-    max_per_run: int = DEFAULT_LEADS_PER_RUN
+    max_per_run: int | None = DEFAULT_LEADS_PER_RUN  # None: no cap
     digest_size: int = DEFAULT_LEAD_DIGEST_SIZE
-
-
-def parse_min_salary(raw: str | float | None) -> float | None:
-    """An empty salary floor means 'no floor'."""
-    if raw is None or raw == "":
-        return None
-    return float(raw)

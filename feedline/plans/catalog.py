@@ -19,7 +19,7 @@ from ..sources import json_feeds, payloads
 
 OUT_COLS = [*POSTING_COLUMNS, "fingerprint"]
 
-from .registry import QUERIES, register  # noqa: F401
+from .registry import QUERIES, packed, register  # noqa: F401
 
 
 def _flagship_filter() -> F.Column:
@@ -46,32 +46,32 @@ def _all_postings(spark, base):
 @register("src_json_array")
 def src_json_array(spark, base):
     p = _all_postings(spark, base)
-    return json_feeds.read_json_array(payloads.json_array_payloads(p)).withColumn("fingerprint", fingerprint())
+    return packed(json_feeds.read_json_array(payloads.json_array_payloads(p)).withColumn("fingerprint", fingerprint()))
 
 
 @register("src_json_envelope")
 def src_json_envelope(spark, base):
     p = _all_postings(spark, base)
-    return json_feeds.read_json_envelope(payloads.json_envelope_payloads(p)).withColumn(
-        "fingerprint", fingerprint())
+    return packed(json_feeds.read_json_envelope(payloads.json_envelope_payloads(p)).withColumn(
+        "fingerprint", fingerprint()))
 
 
 @register("src_json_salaried")
 def src_json_salaried(spark, base):
     p = _all_postings(spark, base)
-    return json_feeds.read_json_salaried(payloads.json_salaried_payloads(p)).withColumn(
-        "fingerprint", fingerprint())
+    return packed(json_feeds.read_json_salaried(payloads.json_salaried_payloads(p)).withColumn(
+        "fingerprint", fingerprint()))
 
 
 @register("src_thread_comments")
 def src_thread_comments(spark, base):
     p = _all_postings(spark, base)
-    return json_feeds.read_thread_comments(payloads.thread_payloads(p))
+    return packed(json_feeds.read_thread_comments(payloads.thread_payloads(p)))
 
 
 @register("src_geo_elements")
 def src_geo_elements(spark, base):
-    return json_feeds.read_geo_elements(payloads.geo_payloads(fx.geo_elements(spark, base)))
+    return packed(json_feeds.read_geo_elements(payloads.geo_payloads(fx.geo_elements(spark, base))))
 
 
 # Importing the query modules registers their queries.

@@ -10,7 +10,7 @@ which leaves the saved table unchanged because saving is insert-or-ignore)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.fingerprint import lead_fingerprint
 from ..functions.html import explode_mailto
@@ -18,7 +18,10 @@ from ..operators.contacts import attach_contacts, best_contact, with_hr_flag
 from ..operators.dedup import dedup_last_value_first_position
 from ..operators.digest import digest_slice
 from ..operators.joins import new_rows, robots_allowed, site_pages, within_radius
+from ..params import LeadParams
 from ..sources.crawl import readable_pages
+from ..sources.json_feeds import read_geo_elements
+from .state import RunReport, Send, Store
 
 
 def discover(leads: DataFrame, lat: float, lon: float, radius_km: float) -> DataFrame:
@@ -40,17 +43,30 @@ def crawl_targets(leads: DataFrame, pages: DataFrame, rules: DataFrame, paths) -
 
 def contacts(targets: DataFrame) -> DataFrame:
     """X3 -> P25 -> A3: best contact per site."""
-    cands = explode_mailto(targets.select("page_id", "html"))
-    cands = cands.join(targets.select("page_id", "website", "path_ord"), "page_id")
-    return best_contact(with_hr_flag(cands))
+    return best_contact(with_hr_flag(explode_mailto(targets, keep=("website", "path_ord"))))
 
 
 def leads_batch(leads: DataFrame, pages: DataFrame, rules: DataFrame, paths,
-                lat: float, lon: float, radius_km: float, history: DataFrame | None = None) -> DataFrame:
-    """The whole flow up to the rows to save (LEAD columns + fingerprint + distance)."""
+                lat: float, lon: float, radius_km: float, history: DataFrame | None = None,
+                max_per_run: int | None = None) -> DataFrame:
+    """The whole flow up to the rows to save (LEAD columns + fingerprint + distance).
+
+    ``max_per_run`` (W2) is the discovery cap: the first leads found, before
+    those known already are taken off, like the reference's request limit.
+    """
     found = discover(leads, lat, lon, radius_km)
+    if max_per_run is not None:
+        found = discovery_cap(found, max_per_run)
     found = dedup_last_value_first_position(found, "fingerprint")
     if history is not None:
         found = new_rows(found, history, "fingerprint")
     return attach_contacts(found, contacts(crawl_targets(found, pages, rules, paths)))
 
+
+def run_leads(spark: SparkSession, payloads: DataFrame, pages: DataFrame, rules: DataFrame, store: Store, run_id: int,
+              params: LeadParams, send: Send) -> RunReport:
+    """One batch run over landed geo payloads: S12 -> W2 -> the flow -> ``Store.run``."""
+    history = store.rows(run_id)
+    rows = leads_batch(read_geo_elements(payloads), pages, rules, params.contact_paths, params.lat, params.lon, params.radius_km,
+                       None if history is None else history.select("fingerprint"), params.max_per_run)
+    return store.run(rows.drop("distance_km", "type"), run_id, params.digest_size, send)

@@ -14,7 +14,7 @@ postings AS (
   SELECT d.doc_id AS seq,
          (d.doc_id // 15) % 2 AS run_no,
          CASE WHEN d.doc_id % 10 = 9 THEN upper(t.title0) ELSE t.title0 END AS title,
-         c.c_name AS company,
+         coalesce(c.c_name, 'Company ' || CAST(d.k AS VARCHAR)) AS company,
          CASE WHEN d.doc_id % 5 <> 0 THEN 'Remote' ELSE 'On-site' END AS location,
          CASE WHEN d.doc_id % 17 = 16 THEN 'ftp' ELSE 'https' END || '://x.example/' || CAST(d.k AS VARCHAR) AS url,
          CASE d.doc_id % 4 WHEN 0 THEN 'remoteok' WHEN 1 THEN 'himalayas' WHEN 2 THEN 'hackernews'
@@ -31,7 +31,7 @@ postings AS (
   LEFT JOIN (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'Senior ' WHEN 1 THEN 'Junior '
                     WHEN 2 THEN 'Sr. ' WHEN 3 THEN 'Líder ' ELSE '' END || p_name AS title0
              FROM part) t ON t.p_partkey = d.k
-  LEFT JOIN customer c ON c.c_custkey = d.k % 50
+  LEFT JOIN customer c ON c.c_custkey = d.k
   LEFT JOIN events e ON e.event_id = d.doc_id * 5
   LEFT JOIN orders o ON o.o_orderkey = d.doc_id
 ),
@@ -79,12 +79,12 @@ GEO_CTE = r"""
 geo AS (
   SELECT s_suppkey AS element_id,
          CASE WHEN s_suppkey % 2 = 0 THEN 'node' ELSE 'way' END AS type,
-         'Lead ' || CAST(s_suppkey % 90 AS VARCHAR) AS name,
+         'Lead ' || CAST(site AS VARCHAR) AS name,
          CASE WHEN s_suppkey % 13 = 12 THEN NULL
-              ELSE 'https://lead' || CAST(s_suppkey % 90 AS VARCHAR) || '.example' END AS website,
+              ELSE 'https://lead' || CAST(site AS VARCHAR) || '.example' || CASE WHEN site % 8 = 5 THEN '/es' ELSE '' END END AS website,
          CAST(19.1 AS DOUBLE) + CAST(s_suppkey % 40 AS DOUBLE) * CAST(0.05 AS DOUBLE) AS latitude,
          CAST(-101.8 AS DOUBLE) + CAST(s_suppkey % 25 AS DOUBLE) * CAST(0.08 AS DOUBLE) AS longitude
-  FROM supplier
+  FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey - 9 ELSE s_suppkey END AS site FROM supplier)
 )"""
 
 FEED_SEQ = "(seq // 50) * 1048576 + seq % 50"
@@ -133,12 +133,13 @@ SELECT *, {FP} FROM s3 WHERE starts_with(url, 'https://') OR starts_with(url, 'h
 
 ORACLE["src_thread_comments"] = with_postings(f"""
 s4 AS (
-  SELECT seq, title, company,
+  SELECT seq, pos, title, company,
          company || ' | ' || title || ' | ' || CASE WHEN is_remote THEN 'REMOTE' ELSE 'Onsite' END
            || description AS plain, posted_at
-  FROM postings WHERE seq % 13 NOT IN (6, 7)
+  FROM (SELECT *, row_number() OVER (PARTITION BY seq // 50 ORDER BY seq) - 1 AS pos FROM postings WHERE run_no = 1)
+  WHERE seq % 13 NOT IN (6, 7)
 )
-SELECT {FEED_SEQ} AS seq, title, company,
+SELECT (seq // 50) * 1048576 + pos AS seq, title, company,
        CASE WHEN contains(upper(plain), 'REMOTE') THEN 'Remote' ELSE 'On-site' END AS location,
        'https://news.ycombinator.com/item?id=' || CAST(seq AS VARCHAR) AS url, 'hackernews' AS source,
        contains(upper(plain), 'REMOTE') AS is_remote, plain AS description,
@@ -268,8 +269,6 @@ SELECT seq, (starts_with(url, 'https://') OR starts_with(url, 'http://')) AS val
   source IN ('linkedin','indeed','glassdoor','remoteok','remotive','weworkremotely','cybersecjobs',
              'computrabajo','bumeran','himalayas','hackernews','occ','getonboard') AS known_source,
   (length(title) > 0 AND length(url) > 0) AS required_fields FROM postings""")
-ORACLE["posting_filter"] = with_postings(f"""x AS (SELECT 1)
-SELECT seq FROM postings WHERE {VALID_SQL} AND {F1_SQL} AND {F2_SQL} AND {F3_SQL} AND {F4_SQL} AND {F6_SQL}""")
 ORACLE["filter_funnel"] = with_postings(f"""x AS (SELECT 1)
 SELECT count(*) AS n_total, count_if({F1_SQL}) AS n_relevant,
   count_if({F1_SQL} AND {F2_SQL}) AS n_experience,
@@ -287,7 +286,7 @@ WHERE NOT (starts_with(url, 'https://') OR starts_with(url, 'http://'))
 # ---------------------------------------------------------------- dedup / state / digest oracles
 
 SCENARIO = f"""
-f AS (SELECT * FROM fp_postings WHERE {VALID_SQL} AND {F1_SQL} AND {F3_SQL}),
+f AS (SELECT * REPLACE ((seq // 30) * 15 + seq % 15 AS seq) FROM fp_postings WHERE {VALID_SQL} AND {F1_SQL} AND {F3_SQL}),
 b0 AS ({dedup_sql("(SELECT * FROM f WHERE run_no = 0)")}),
 b1 AS ({dedup_sql("(SELECT * FROM f WHERE run_no = 1)")}),
 saved0 AS (SELECT *, CAST(0 AS BIGINT) AS run_id FROM b0),
@@ -298,7 +297,10 @@ new1 AS (SELECT * FROM b1 WHERE fingerprint NOT IN (SELECT fingerprint FROM save
 saved1 AS (SELECT *, CAST(1 AS BIGINT) AS run_id FROM new1),
 marks1n AS (SELECT fingerprint, CAST(1 AS BIGINT) AS run_id, 'new' AS kind FROM new1 ORDER BY seq LIMIT 10),
 tbl AS (SELECT * FROM saved0 UNION ALL SELECT * FROM saved1),
-notes AS (SELECT * FROM marks0 UNION ALL SELECT * FROM marks1r UNION ALL SELECT * FROM marks1n),
+notes1 AS (SELECT * FROM marks0 UNION ALL SELECT * FROM marks1r UNION ALL SELECT * FROM marks1n),
+pend2 AS (SELECT * FROM tbl WHERE fingerprint NOT IN (SELECT fingerprint FROM notes1)),
+marks2r AS (SELECT fingerprint, CAST(2 AS BIGINT) AS run_id, 'retry' AS kind FROM pend2 ORDER BY pend2.run_id, seq, fingerprint LIMIT 10),
+notes AS (SELECT * FROM notes1 UNION ALL SELECT * FROM marks2r),
 pend AS (SELECT * FROM tbl WHERE fingerprint NOT IN (SELECT fingerprint FROM notes) AND {VALID_SQL})"""
 
 POSTING_LINE_SQL = ("'• *' || title || '* @ ' || company || chr(10) || '  [' || source || '] ' || url || chr(10)")
@@ -312,7 +314,7 @@ ORACLE["insert_ignore"] = with_postings(SCENARIO + "\nSELECT fingerprint, seq, r
 ORACLE["inserted_count"] = with_postings(SCENARIO + "\nSELECT run_id, count(*) AS inserted FROM tbl GROUP BY run_id")
 ORACLE["mark_notified"] = with_postings(SCENARIO + "\nSELECT * FROM notes")
 ORACLE["retry_pending"] = with_postings(SCENARIO + """
-SELECT fingerprint, seq FROM pend1 WHERE fingerprint IN (SELECT fingerprint FROM marks1r)""")
+SELECT n.run_id, t.run_id AS saved_run, t.seq, t.fingerprint FROM notes n JOIN tbl t USING (fingerprint) WHERE n.kind = 'retry'""")
 ORACLE["scan_unnotified"] = with_postings(SCENARIO + """
 SELECT fingerprint, title, company, location, url, source, is_remote, description FROM pend""")
 ORACLE["pending_count"] = with_postings(SCENARIO + "\nSELECT count(*) AS pending FROM pend")
@@ -338,8 +340,7 @@ SELECT DISTINCT source FROM postings WHERE source NOT IN ('linkedin','indeed','g
 
 CRAWL_CTE = r"""
 crawl AS (
-  SELECT page_id, 'https://lead' || CAST(page_id % 90 AS VARCHAR) || '.example' AS website,
-         (page_id // 90) % 6 AS path_ord,
+  SELECT page_id, host || base AS website, host, base, site, (page_id // 90) % 6 AS path_ord,
          ['', '/contacto', '/trabaja-con-nosotros', '/bolsa-de-trabajo', '/careers', '/rh'][(page_id // 90) % 6 + 1] AS path,
          CASE WHEN page_id % 19 = 18 THEN 404 ELSE 200 END AS status,
          html || CASE page_id % 4
@@ -348,13 +349,12 @@ crawl AS (
                        || '@lead.example?subject=Hola">ventas</a></p><p>Recursos Humanos: <a href="mailto:rh'
                        || CAST(page_id AS VARCHAR) || '@lead.example">escribir</a></p>'
            ELSE '' END AS html
-  FROM pages
+  FROM (SELECT *, 'https://lead' || CAST(site AS VARCHAR) || '.example' AS host, CASE WHEN site % 8 = 5 THEN '/es' ELSE '' END AS base
+        FROM (SELECT page_id, html, (page_id // 540) * 90 + page_id % 90 AS site FROM pages))
 ),
-rsites AS (SELECT DISTINCT 'https://lead' || CAST(page_id % 90 AS VARCHAR) || '.example' AS website
-           FROM pages WHERE page_id % 90 % 7 = 3),
+rsites AS (SELECT DISTINCT host AS website, base || '/contacto' AS prefix FROM crawl WHERE site % 7 = 3),
 allowed AS (
-  SELECT * FROM crawl WHERE status < 400 AND NOT (website IN (SELECT website FROM rsites)
-    AND starts_with(CASE WHEN path = '' THEN '/' ELSE path END, '/contacto'))
+  SELECT * FROM crawl WHERE status < 400 AND NOT (site % 7 = 3 AND starts_with(base || path, base || '/contacto'))
 )"""
 
 HAVERSINE = ("(CAST(12742.0 AS DOUBLE) * asin(sqrt(pow(sin((radians(latitude) - radians(CAST(20.1 AS DOUBLE))) / 2), 2)"
@@ -405,7 +405,7 @@ LEAD_LINE_SQL = ("'• *' || name || '* (' || CASE WHEN email_is_hr_context THEN
                  "ELSE '⚠️ contacto general' END || ')' || chr(10) || '  ' || email || ' — ' || website || chr(10)")
 
 ORACLE["geo_radius"] = LEADS_BASE + "\nSELECT seq, name, website, round(distance_km, 6) AS distance_km FROM found"
-ORACLE["discovery_cap"] = LEADS_BASE + "\nSELECT seq, name, website FROM found ORDER BY seq LIMIT 100"
+ORACLE["discovery_cap"] = LEADS_BASE + "\nSELECT seq, name, website FROM found ORDER BY seq, fingerprint LIMIT 5"
 ORACLE["union_geo_types"] = "WITH " + GEO_CTE + """
 SELECT element_id, type, latitude, longitude FROM geo WHERE website IS NOT NULL"""
 ORACLE["site_pages"] = LEADS_BASE + """
@@ -414,7 +414,7 @@ WHERE c.website IN (SELECT website FROM found)"""
 ORACLE["src_pages"] = "WITH " + CRAWL_CTE + "\nSELECT page_id, website, path_ord, status FROM crawl WHERE status < 400"
 ORACLE["robots_anti"] = "WITH " + CRAWL_CTE + "\nSELECT page_id, website, path FROM allowed"
 ORACLE["src_robots"] = "WITH " + CRAWL_CTE + """
-SELECT website, CAST(0 AS BIGINT) AS ord, false AS allow, '/contacto' AS prefix FROM rsites"""
+SELECT website, CAST(0 AS BIGINT) AS ord, false AS allow, prefix FROM rsites"""
 ORACLE["mailto_candidates"] = "WITH " + CRAWL_CTE + "," + CAND_CTE.replace(
     "FROM SRC", "FROM crawl WHERE status < 400") + "\nSELECT page_id, pos, email, context, is_hr FROM hcand"
 ORACLE["hr_context"] = "WITH " + CRAWL_CTE + "," + CAND_CTE.replace(
@@ -487,8 +487,8 @@ ORACLE["src_tabular"] = with_postings(TAB_CTE + "\nSELECT * FROM tab")
 ORACLE["union_passes"] = with_postings(TAB_CTE + "\nSELECT is_remote, count(*) AS n FROM tab GROUP BY is_remote")
 ORACLE["source_map"] = with_postings(TAB_CTE + "\nSELECT source, count(*) AS n FROM tab GROUP BY source")
 ORACLE["per_site_cap"] = with_postings(TAB_CTE + """,
-f AS (SELECT * FROM tab WHERE posted_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 720 HOUR),
-r AS (SELECT source, url, posted_at, row_number() OVER (PARTITION BY source ORDER BY posted_at DESC, url ASC) AS rank
+f AS (SELECT * FROM tab WHERE posted_at IS NULL OR posted_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 720 HOUR),
+r AS (SELECT source, url, posted_at, row_number() OVER (PARTITION BY source ORDER BY posted_at DESC NULLS LAST, url ASC) AS rank
       FROM f)
 SELECT source, url, posted_at, rank FROM r WHERE rank <= 50""")
 
@@ -541,10 +541,18 @@ ORACLE["dedup_url_first"] = with_postings(f"""
 d AS (SELECT url, seq, title, row_number() OVER (PARTITION BY url ORDER BY seq) AS rn
       FROM postings WHERE {VALID_SQL})
 SELECT url, seq, title FROM d WHERE rn = 1""")
-ORACLE["union_feeds"] = (
-    f"SELECT seq, source, fingerprint FROM ({ORACLE['src_json_array']})\nUNION ALL\n"
-    f"SELECT seq + 1099511627776 AS seq, source, fingerprint FROM ({ORACLE['src_json_envelope']})\nUNION ALL\n"
-    f"SELECT seq + 2199023255552 AS seq, source, fingerprint FROM ({ORACLE['src_json_salaried']})")
+
+
+def _feed(i: int, key: str) -> str:
+    """One feed of the union: its number, the file and the place in the file, from the packed order of its own key."""
+    place = "CASE WHEN is_remote THEN 0 ELSE 1 END AS payload, seq AS pos" if key == "src_tabular" else "seq // 1048576 AS payload, seq % 1048576 AS pos"
+    return (f"SELECT {i} AS feed, {place}, source, sha256(lower(title || company || url)) AS fingerprint FROM ({ORACLE[key]})")
+
+
+UNION_KEYS = ("src_tabular", "src_json_array", "src_json_envelope", "src_rss", "src_html_list", "src_card_fields", "src_card_text",
+              "src_json_salaried", "src_thread_comments", "src_card_links", "src_html_cards")
+ORACLE["union_feeds"] = ("SELECT feed, dense_rank() OVER (PARTITION BY feed ORDER BY payload) AS file, pos, source, fingerprint FROM (\n"
+                         + "\nUNION ALL\n".join(_feed(i, k) for i, k in enumerate(UNION_KEYS)) + ")")
 _THETA = ("widget", "schkeit", *[f"zz-term-{i:03d}" for i in range(60)])
 ORACLE["keyword_theta"] = with_postings("x AS (SELECT 1)\nSELECT seq FROM postings WHERE "
                                         + " OR ".join(f"contains({SEARCHABLE}, '{t}')" for t in _THETA))
@@ -585,18 +593,21 @@ det AS (SELECT t.{key}, min(CASE WHEN t.score = b.m THEN t.lang END) AS detected
         FROM tot t JOIN best b USING ({key}) GROUP BY t.{key})"""
 
 
-PWIN = ("pw AS (SELECT seq, substring(regexp_replace(title || ' ' || description, '^\\s+|\\s+$', '', 'g'), 1, 500)"
-        " AS t FROM postings)")
+PTEXT = "pt AS (SELECT seq, title || ' ' || description AS t FROM postings)"
 
-ORACLE["detect_language"] = with_postings(NB_MODEL + ",\n" + PWIN + "," + nb_scores("pw", "seq") + """
+ORACLE["detect_language"] = with_postings(NB_MODEL + ",\n" + PTEXT + "," + nb_scores("pt", "seq") + """
 SELECT p.seq, d.detected_lang, round(d.detected_prob, 4) AS detected_prob
 FROM postings p LEFT JOIN det d USING (seq)""")
-ORACLE["language_scores"] = with_postings(NB_MODEL + ",\n" + PWIN + "," + nb_scores("pw", "seq") + """
+ORACLE["language_scores"] = with_postings(NB_MODEL + ",\n" + PTEXT + "," + nb_scores("pt", "seq") + """
 SELECT seq, lang, round(score, 4) AS score FROM tot""")
-ORACLE["language_filter"] = with_postings(NB_MODEL + ",\n" + PWIN + "," + nb_scores("pw", "seq") + """
+ORACLE["language_filter"] = with_postings(NB_MODEL + ",\n" + PTEXT + "," + nb_scores("pt", "seq") + """
 SELECT p.seq FROM postings p LEFT JOIN det d USING (seq)
 WHERE d.detected_lang IS NULL OR d.detected_prob IS NULL OR d.detected_prob < 0.8
    OR d.detected_lang IN ('en', 'es')""")
+ORACLE["posting_filter"] = with_postings(NB_MODEL + ",\n" + PTEXT + "," + nb_scores("pt", "seq") + f"""
+SELECT p.seq FROM postings p LEFT JOIN det d USING (seq)
+WHERE {VALID_SQL} AND {F1_SQL} AND {F2_SQL} AND {F3_SQL} AND {F4_SQL} AND {F6_SQL}
+  AND (d.detected_lang IS NULL OR d.detected_prob < 0.8 OR d.detected_lang IN ('en', 'es'))""")
 ORACLE["language_accuracy"] = ("WITH " + NB_MODEL + """,
 held AS (SELECT doc_id, lang AS true_lang, text AS t FROM documents WHERE doc_id % 2 = 1),"""
                                + nb_scores("held", "doc_id") + """
@@ -605,11 +616,38 @@ FROM held h LEFT JOIN det d USING (doc_id) GROUP BY h.true_lang""")
 
 # ---------------------------------------------------------------- streaming twins (batch SQL)
 
-ORACLE["stream_postings"] = ORACLE["insert_ignore"]
+# Two landings of three feeds: payloads of the postings of either run, read back, filtered, deduplicated, saved once.
+def _landing(run: int) -> str:
+    feeds = (("src_json_array", 0), ("src_json_envelope", 1), ("src_rss", 2))
+    rows = " UNION ALL ".join(
+        f"SELECT {i} AS feed, seq // 1048576 AS payload, seq % 1048576 AS pos, title, company, url, source, is_remote, description, posted_at"
+        f" FROM ({ORACLE[k].replace('postings AS (', 'all_postings AS (', 1).replace('fp_postings AS (', f'postings AS (SELECT * FROM all_postings WHERE run_no = {run}), fp_postings AS (', 1)})"
+        for k, i in feeds)
+    return f"""u{run} AS (SELECT *, sha256(lower(title || company || url)) AS fingerprint FROM ({rows}) WHERE {F1_SQL} AND {F3_SQL}),
+l{run} AS (SELECT fingerprint, arg_max(title, (feed, payload, pos)) AS title, arg_max(source, (feed, payload, pos)) AS source FROM u{run} GROUP BY fingerprint)"""
+
+
+ORACLE["stream_postings"] = f"""WITH {_landing(0)},
+{_landing(1)}
+SELECT fingerprint, title, source, CAST(0 AS BIGINT) AS run_id FROM l0
+UNION ALL SELECT fingerprint, title, source, CAST(1 AS BIGINT) AS run_id FROM l1 WHERE fingerprint NOT IN (SELECT fingerprint FROM l0)"""
 ORACLE["late_postings"] = ORACLE["recency_filter"]
 ORACLE["stream_leads"] = ORACLE["new_leads"]
-ORACLE["stream_dedup_bounded"] = with_postings("""x AS (SELECT 1)
-SELECT DISTINCT sha256(lower(title || company || url)) AS fingerprint FROM postings""")
+# Over two landings with late rows: a key once, unless it comes back later than the delay after the watermark.
+ORACLE["stream_dedup_bounded"] = with_postings("""k AS (
+  SELECT sha256(lower(title || company || url)) AS fingerprint, posted_at FROM postings)
+SELECT fingerprint, CAST(1 AS BIGINT) AS n FROM (SELECT DISTINCT fingerprint FROM k)""")
+
+
+def _digest(run: int, kind: str, rows: str) -> str:
+    return f"""SELECT CAST({run} AS BIGINT) AS run_id, '{kind}' AS kind, count(*) AS n_items, (SELECT count(*) FROM {rows}) AS n_total,
+  '*Nuevas ofertas:*' || chr(10) || chr(10) || string_agg({POSTING_LINE_SQL}, chr(10) ORDER BY run_id, seq, fingerprint) ||
+  CASE WHEN (SELECT count(*) FROM {rows}) > 10 THEN chr(10) || '_...y ' || CAST((SELECT count(*) FROM {rows}) - 10 AS VARCHAR) || ' más guardadas en DB_' ELSE '' END AS text
+FROM (SELECT * FROM {rows} ORDER BY run_id, seq, fingerprint LIMIT 10) HAVING count(*) > 0"""
+
+
+ORACLE["digest_log"] = with_postings(SCENARIO + "\n" + "\nUNION ALL ".join((
+    _digest(0, "new", "saved0"), _digest(1, "retry", "pend1"), _digest(1, "new", "saved1"), _digest(2, "retry", "pend2"))))
 
 # ---------------------------------------------------------------- single-operator keys
 
@@ -643,5 +681,13 @@ SELECT seq, source FROM postings WHERE source IN ('linkedin','indeed','glassdoor
   'weworkremotely','cybersecjobs','computrabajo','bumeran','himalayas','hackernews','occ','getonboard')""")
 ORACLE["required_fields"] = with_postings("""x AS (SELECT 1)
 SELECT seq // 50 AS step, seq % 50 AS pos FROM postings WHERE seq % 13 <> 6 AND seq % 23 <> 22""")
-ORACLE["unknown_feeds"] = ORACLE["unknown_sources"]
-ORACLE["stream_dedup_exact"] = with_postings(SCENARIO + "\nSELECT fingerprint FROM tbl")
+ORACLE["unknown_feeds"] = """SELECT DISTINCT source AS feed FROM documents
+WHERE source NOT IN ('jobspy','remoteok','remotive','wwr','cybersecjobs','computrabajo','bumeran','himalayas','hackernews','occ','getonboard')"""
+ORACLE["stream_dedup_exact"] = f"SELECT fingerprint FROM ({ORACLE['stream_postings']})"
+CENTRES = ((0, 20.1, -100.8), (1, 70.0, 10.0), (2, 10.0, 179.9), (3, -10.0, -179.5), (4, 89.0, 0.0))
+ORACLE["radius_join"] = f"""WITH c AS (SELECT * FROM (VALUES {", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, a, b in CENTRES)}) v(centre_id, centre_lat, centre_lon)),
+p AS (SELECT c_custkey AS point_id, ((c_custkey * 7919) % 180001) / 1000.0::DOUBLE - 90.0::DOUBLE AS latitude,
+             ((c_custkey * 104729) % 360001) / 1000.0::DOUBLE - 180.0::DOUBLE AS longitude FROM customer),
+d AS (SELECT centre_id, point_id, CAST(12742.0 AS DOUBLE) * asin(sqrt(pow(sin((radians(latitude) - radians(centre_lat)) / 2), 2)
+        + cos(radians(centre_lat)) * cos(radians(latitude)) * pow(sin((radians(longitude) - radians(centre_lon)) / 2), 2))) AS km FROM c, p)
+SELECT CAST(centre_id AS BIGINT) AS centre_id, point_id, round(km, 6) AS distance_km FROM d WHERE km <= 800.0"""

@@ -11,47 +11,47 @@ no extra pass, the counts are there once the run's write has executed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import fingerprint
-from ..functions.text import language_window
 from ..operators.dedup import dedup_last_value_first_position
 from ..operators.language import Profile, detect
-from ..operators.predicates import cheap_conjuncts, posting_filter
+from ..operators.predicates import funnel_counts, posting_filter
 from ..params import PostingParams
 from ..sources.registry import union_feeds
-from .state import RunReport, Store
+from .state import RunReport, Send, Store
 
 
 def observe_funnel(postings: DataFrame, params: PostingParams, name: str = "funnel") -> tuple[DataFrame, Observation]:
     """F8: rows surviving each cumulative stage, observed on the way through (one pass)."""
     obs = Observation(name)
-    aggs = [F.count(F.lit(1)).alias("n_total")]
-    acc = F.lit(True)
-    for stage, cond in cheap_conjuncts(params):
-        acc = acc & cond
-        aggs.append(F.count_if(acc).alias(f"n_{stage}"))
-    return postings.observe(obs, *aggs), obs
+    return postings.observe(obs, *funnel_counts(params)), obs
+
+
+def language_detector(profile: Profile | None):
+    """X4's detector over whole texts, or None without a profile."""
+    if profile is None:
+        return None
+    text = F.concat(F.col("title"), F.lit(" "), F.col("description"))
+    return lambda df: detect(df, profile, text, "seq")
 
 
 def relevant_batch(postings: DataFrame, params: PostingParams, profile: Profile | None = None) -> DataFrame:
-    """F7 (+F5 when a language profile is given) then A1 on the fingerprint."""
-    detector = None
-    if profile is not None:
-        def detector(df):
-            return detect(df, profile, language_window(), "seq")
-    kept = posting_filter(postings, params, detector)
+    """F7 then A1 on the fingerprint; F5 needs a language profile where ``params`` asks for it."""
+    kept = posting_filter(postings, params, language_detector(profile))
     return dedup_last_value_first_position(kept.withColumn("fingerprint", fingerprint()))
 
 
 def run_postings(spark: SparkSession, landing_root: str, store: Store, run_id: int, params: PostingParams,
-                 send: Callable[[DataFrame], bool], profile: Profile | None = None
+                 send: Send, profile: Profile | None = None, quarantine: str | None = None
                  ) -> tuple[RunReport, dict, dict]:
-    """One cron-equivalent run: (run report, feeds that failed to read, funnel counts)."""
-    postings, failed = union_feeds(spark, landing_root, params.enabled_feeds)
+    """One cron-equivalent run: (run report, feeds that failed to read, funnel counts).
+
+    Rejected feed items go to ``quarantine``/run_id=N, if given.
+    """
+    rejects = f"{quarantine}/run_id={run_id}" if quarantine else None
+    postings, failed = union_feeds(spark, landing_root, params.enabled_feeds, params.search, rejects)
     postings, funnel = observe_funnel(postings, params)
     report = store.run(relevant_batch(postings, params, profile), run_id, params.digest_size, send)
     return report, failed, funnel.get

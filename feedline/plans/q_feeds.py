@@ -3,22 +3,24 @@ per-group windows (W3-W5, F13), URL-first dedup (A2), keyword theta join (J6).""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import fingerprint
 from ..operators.dedup import dedup_first
-from ..operators.joins import keyword_semi, keyword_table
+from ..operators.joins import keyword_semi
 from ..operators.predicates import valid_posting
 from ..operators.windows import cut_after_first_block, newest, per_site_cap
 from ..sources import card_feeds as cf
 from ..sources import fixtures as fx
 from ..sources import json_feeds, markup_feeds, payloads
 from ..sources import payloads_markup as pm
+from ..sources.registry import LocalSearch, union_feeds
 from ..sources.tables import table
-from .registry import register
+from ..streaming.flows import checkpoint_path
+from .registry import packed, register
 
 CITY = "celaya"
-FEED_STRIDE = 1 << 40
 
 
 def _p(spark, base):
@@ -27,17 +29,17 @@ def _p(spark, base):
 
 @register("src_rss")
 def q_src_rss(spark, base):
-    return markup_feeds.read_rss(pm.rss_payloads(_p(spark, base)))
+    return packed(markup_feeds.read_rss(pm.rss_payloads(_p(spark, base))))
 
 
 @register("src_html_cards")
 def q_src_html_cards(spark, base):
-    return markup_feeds.read_result_cards(pm.card_page_payloads(_p(spark, base)))
+    return packed(markup_feeds.read_result_cards(pm.card_page_payloads(_p(spark, base))))
 
 
 @register("src_html_list")
 def q_src_html_list(spark, base):
-    return markup_feeds.read_list_links(pm.list_page_payloads(_p(spark, base)))
+    return packed(markup_feeds.read_list_links(pm.list_page_payloads(_p(spark, base))))
 
 
 def _tab(spark, base):
@@ -48,7 +50,7 @@ def _tab(spark, base):
 @register("src_tabular")
 def q_src_tabular(spark, base):
     """S8 + J8 + P8: both passes of the tabular feed."""
-    return _tab(spark, base)
+    return _tab(spark, base).withColumn("seq", F.col("seq.pos"))
 
 
 @register("union_passes")
@@ -73,19 +75,19 @@ def q_per_site_cap(spark, base):
 @register("src_card_text")
 def q_src_card_text(spark, base):
     cards = pm.card_rows(_p(spark, base), "bumeran", cf.CARD_TEXT_BASE)
-    return cf.read_card_text(cards, city=CITY)
+    return packed(cf.read_card_text(cards, city=CITY))
 
 
 @register("src_card_fields")
 def q_src_card_fields(spark, base):
     cards = pm.card_rows(_p(spark, base), "computrabajo", cf.CARD_FIELDS_BASE)
-    return cf.read_card_fields(cards, city=CITY)
+    return packed(cf.read_card_fields(cards, city=CITY))
 
 
 @register("src_card_links")
 def q_src_card_links(spark, base):
     cards = pm.card_rows(_p(spark, base), "occ", cf.CARD_LINKS_BASE)
-    return cf.read_card_links(cards, city=CITY)
+    return packed(cf.read_card_links(cards, city=CITY))
 
 
 @register("first_blocked")
@@ -109,24 +111,48 @@ def q_dedup_url_first(spark, base):
     return dedup_first(p, "url")
 
 
-@register("union_feeds")
-def q_union_feeds(spark, base):
-    """The JSON feeds concatenated in configured order; seq = feed order, then item order."""
-    p = _p(spark, base)
-    feeds = [json_feeds.read_json_array(payloads.json_array_payloads(p)),
-             json_feeds.read_json_envelope(payloads.json_envelope_payloads(p)),
-             json_feeds.read_json_salaried(payloads.json_salaried_payloads(p))]
-    out = None
-    for i, f in enumerate(feeds):
-        f = f.withColumn("seq", F.col("seq") + F.lit(i * FEED_STRIDE))
-        out = f if out is None else out.unionByName(f)
-    return out.select("seq", "source", fingerprint().alias("fingerprint"))
+def land_feeds(spark, p, root: str) -> None:
+    """All eleven feeds' responses under ``root``; the files of a feed share the start of their names, a date."""
+    texts = {
+        "remoteok": payloads.json_array_payloads(p), "remotive": payloads.json_envelope_payloads(p),
+        "himalayas": payloads.json_salaried_payloads(p), "hackernews": payloads.thread_payloads(p),
+        "wwr": pm.rss_payloads(p), "getonboard": pm.card_page_payloads(p), "cybersecjobs": pm.list_page_payloads(p),
+    }
+    for name, pages in texts.items():
+        thread = F.get_json_object("payload", "$.id") if name == "hackernews" else F.lit("0")
+        page = F.concat(F.lit("20260707-"), F.col("payload_id").cast("string"), F.lit("-"), thread)
+        (pages.select(page.alias("page"), F.col("payload").alias("value")).repartition("page")
+         .write.partitionBy("page").text(f"{root}/{name}"))
+    for name, site in (("bumeran", cf.CARD_TEXT_BASE), ("computrabajo", cf.CARD_FIELDS_BASE), ("occ", cf.CARD_LINKS_BASE)):
+        pm.card_rows(p, name, site).write.parquet(f"{root}/{name}")
+    rows = pm.tabular_rows(p)
+    rows.filter(F.col("run_no") == 0).write.parquet(f"{root}/jobspy/remote")
+    rows.filter(F.col("run_no") == 1).write.parquet(f"{root}/jobspy/local")
+
 
+#: All feeds, in the default order.
+ALL_FEEDS = ("jobspy", "remoteok", "remotive", "wwr", "cybersecjobs", "computrabajo", "bumeran", "himalayas", "hackernews", "occ", "getonboard")
 
-# A long keyword list (above the OR-chain limit) goes through the theta join.
+
+@register("union_feeds")
+def q_union_feeds(spark, base):
+    """U1 over all landed feeds: feed order, then the files in natural order, then the place in the file."""
+    root = f"{checkpoint_path(spark, 'union')}/landing"
+    land_feeds(spark, _p(spark, base).checkpoint(), root)
+    rows, failed = union_feeds(spark, root, ALL_FEEDS, LocalSearch(CITY, True))
+    if failed:
+        raise RuntimeError(str(failed))
+    rows = rows.select("seq.feed", "seq.payload", "seq.pos", "source", fingerprint().alias("fingerprint"))
+    # files are few beside rows: their numbers come from the distinct names
+    files = rows.select("feed", "payload").distinct().withColumn(
+        "file", F.dense_rank().over(Window.partitionBy("feed").orderBy("payload")).cast("bigint"))
+    return rows.join(files, ["feed", "payload"]).select("feed", "file", "pos", "source", "fingerprint")
+
+
+# A long list of terms is one scan of each text as well.
 THETA_TERMS = ("widget", "schkeit", *[f"zz-term-{i:03d}" for i in range(60)])
 
 
 @register("keyword_theta")
 def q_keyword_theta(spark, base):
-    return keyword_semi(_p(spark, base), keyword_table(spark, THETA_TERMS)).select("seq")
+    return keyword_semi(_p(spark, base), THETA_TERMS).select("seq")

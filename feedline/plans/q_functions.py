@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions import dates, experience, salary, text
 from ..functions.fingerprint import fingerprint, lead_fingerprint
 from ..operators import predicates as pr
-from ..operators.sizing import broadcast_if_bounded
-from ..params import DEFAULT_BLACKLIST, clean_list
+from ..params import DEFAULT_BLACKLIST, PostingParams, clean_list
 from ..sources import fixtures as fx
+from ..sources import search
 from ..sources.tables import table
 from .registry import register
 
@@ -140,48 +138,17 @@ def q_absolutise_url(spark, base):
         text.absolutise_if_rooted(href, "https://board-b.example").alias("url_b"))
 
 
-# Search URL shapes of the three card boards.
-BUMERAN_BASE = "https://www.bumeran.com.mx"
-COMPUTRABAJO_BASE = "https://mx.computrabajo.com"
-OCC_BASE = "https://www.occ.com.mx"
-
-
-def search_urls(terms, city: str, state: str):
-    """The crawl frontier -- one row per (board, term, pass) with its search URL.
-
-    The remote pass and (when a city is set) the local pass are two
-    projections of the term table, unioned -- no cross join.
-    """
-    t = text.slugify(F.col("term"))
-    c, st = F.lit(city), F.lit(state)
-    remote = terms.select(
-        "term", F.lit(True).alias("is_remote"),
-        F.concat(F.lit(BUMERAN_BASE + "/empleos-busqueda-"), t, F.lit(".html")).alias("bumeran"),
-        F.concat(F.lit(COMPUTRABAJO_BASE + "/trabajo-de-"), t).alias("computrabajo"),
-        F.concat(F.lit(OCC_BASE + "/empleos/de-"), t, F.lit("/tipo-home-office-remoto/")).alias("occ"))
-    if not city:
-        return remote
-    local = terms.select(
-        "term", F.lit(False).alias("is_remote"),
-        F.concat(F.lit(BUMERAN_BASE + "/empleos-busqueda-"), t, F.lit("-en-"), text.slugify(c),
-                 F.lit(".html")).alias("bumeran"),
-        F.concat(F.lit(COMPUTRABAJO_BASE + "/trabajo-de-"), t, F.lit("/en-"), text.slugify(c)).alias("computrabajo"),
-        F.concat(F.lit(OCC_BASE + "/empleos/de-"), t, F.lit("/en-"), text.slugify(st), F.lit("/en-"),
-                 text.slugify(c), F.lit("/")).alias("occ"))
-    return remote.unionByName(local)
-
-
 @register("search_url")
 def q_search_url(spark, base):
     terms = table(spark, base, "part").select(F.col("p_name").alias("term")).distinct()
-    return search_urls(terms, "celaya", "guanajuato")
+    return search.search_urls(terms, "celaya", "guanajuato")
 
 
 @register("title_case_place")
 def q_title_case_place(spark, base):
     n = table(spark, base, "nation")
     r = table(spark, base, "region")
-    j = n.join(broadcast_if_bounded(r), n["n_regionkey"] == r["r_regionkey"])
+    j = n.join(r, n["n_regionkey"] == r["r_regionkey"])
     city = F.lower(F.concat(F.col("n_name"), F.lit(" d'or-"), F.col("n_nationkey").cast("string"), F.lit("x")))
     state = F.when(F.col("n_nationkey") % 4 == 0, F.lit("  ")).otherwise(F.lower(F.col("r_name")))
     return j.select("n_nationkey", text.title_case_place(city, state).alias("place"))
@@ -260,32 +227,12 @@ def q_valid_url(spark, base):
                                   pr.required_fields("title", "url").alias("required_fields"))
 
 
-def fixture_conjuncts():
-    return [
-        ("relevant", pr.keyword_filter(fx.FIXTURE_KEYWORDS, True)),
-        ("experience", pr.experience_filter(fx.FIXTURE_MAX_YEARS)),
-        ("recent", pr.recency_filter(fx.FIXTURE_MAX_AGE_DAYS, fx.AS_OF)),
-        ("not_blacklisted", pr.blacklist_filter(BLACKLIST)),
-        ("salary", pr.salary_filter(fx.FIXTURE_MIN_SALARY)),
-    ]
-
-
-@register("posting_filter")
-def q_posting_filter(spark, base):
-    conj = [c for _, c in fixture_conjuncts()]
-    return _seqs(_p(spark, base).filter(pr.valid_posting()), reduce(lambda a, b: a & b, conj))
-
-
 @register("filter_funnel")
 def q_filter_funnel(spark, base):
-    """F8: rows surviving each cumulative stage, in one pass (count_if per prefix)."""
-    p = _p(spark, base).filter(pr.valid_posting())
-    aggs = [F.count(F.lit(1)).alias("n_total")]
-    acc = F.lit(True)
-    for name, c in fixture_conjuncts():
-        acc = acc & c
-        aggs.append(F.count_if(acc).alias(f"n_{name}"))
-    return p.agg(*aggs)
+    """F8: rows surviving each cumulative stage, in one pass."""
+    params = PostingParams(keywords=fx.FIXTURE_KEYWORDS, max_years=fx.FIXTURE_MAX_YEARS, max_age_days=fx.FIXTURE_MAX_AGE_DAYS,
+                           min_salary=fx.FIXTURE_MIN_SALARY, as_of=fx.AS_OF)
+    return _p(spark, base).filter(pr.valid_posting()).agg(*pr.funnel_counts(params))
 
 
 @register("quarantine")

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from ..functions.html import explode_mailto
 from ..operators import digest as dg
 from ..operators.contacts import with_hr_flag
+from ..operators.joins import radius_join
 from ..params import DEFAULT_CONTACT_PATHS, paths_list
 from ..sources import crawl, fixtures as fx, json_feeds, payloads
+from ..sources.tables import table
 from . import leads_flow as lf
-from .registry import register
+from .registry import packed, register
 from .state import marks, pending_leads
 
 PATHS = tuple(paths_list(DEFAULT_CONTACT_PATHS))
 LAT, LON = fx.CENTRE
 LEAD_DIGEST = 30
-CAP = 100
+CAP = 5
 
 
 def _leads(spark, base):
@@ -33,12 +35,27 @@ def _found(spark, base):
 
 @register("geo_radius")
 def q_geo_radius(spark, base):
-    return _found(spark, base).select("seq", "name", "website", F.round("distance_km", 6).alias("distance_km"))
+    return packed(_found(spark, base)).select("seq", "name", "website", F.round("distance_km", 6).alias("distance_km"))
+
+
+#: Centres near 180 degrees, at latitude 70 and by the pole.
+CENTRES = ((0, 20.1, -100.8), (1, 70.0, 10.0), (2, 10.0, 179.9), (3, -10.0, -179.5), (4, 89.0, 0.0))
+
+
+@register("radius_join")
+def q_radius_join(spark, base):
+    """J7 with many centres over points spread round the globe, one per customer."""
+    key = F.col("c_custkey")
+    points = table(spark, base, "customer").select(
+        key.alias("point_id"), ((key * 7919) % 180001 / F.lit(1000.0) - F.lit(90.0)).alias("latitude"),
+        ((key * 104729) % 360001 / F.lit(1000.0) - F.lit(180.0)).alias("longitude"))
+    centres = spark.createDataFrame(list(CENTRES), "centre_id long, centre_lat double, centre_lon double")
+    return radius_join(points, centres, 800.0).select("centre_id", "point_id", F.round("distance_km", 6).alias("distance_km"))
 
 
 @register("discovery_cap")
 def q_discovery_cap(spark, base):
-    return lf.discovery_cap(_found(spark, base), CAP).select("seq", "name", "website")
+    return packed(lf.discovery_cap(_found(spark, base), CAP)).select("seq", "name", "website")
 
 
 @register("union_geo_types")
@@ -101,14 +118,14 @@ def _new_leads(spark, base):
 
 @register("new_leads")
 def q_new_leads(spark, base):
-    return _new_leads(spark, base).select("seq", "name", "website", "latitude", "longitude", "email",
+    return packed(_new_leads(spark, base)).select("seq", "name", "website", "latitude", "longitude", "email",
                                           "email_is_hr_context", "status", "fingerprint")
 
 
 @register("scan_unnotified_leads")
 def q_scan_unnotified_leads(spark, base):
     """After the run announced the first 30 leads with an e-mail, the rest stay pending."""
-    saved = _new_leads(spark, base)
+    saved = _new_leads(spark, base).checkpoint()  # one crawl for the saved rows and the announced ones
     notifiable = saved.filter(F.col("email").isNotNull())
     notes = marks(notifiable, LEAD_DIGEST, 0, "new")
     return pending_leads(saved, notes).select("fingerprint", "name", "email")
@@ -116,5 +133,5 @@ def q_scan_unnotified_leads(spark, base):
 
 @register("lead_digest_text")
 def q_lead_digest_text(spark, base):
-    notifiable = _new_leads(spark, base).filter(F.col("email").isNotNull())
+    notifiable = _new_leads(spark, base).filter(F.col("email").isNotNull()).checkpoint()
     return dg.digest_text(notifiable, LEAD_DIGEST, dg.lead_line(), dg.LEAD_HEADER)

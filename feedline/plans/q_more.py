@@ -11,8 +11,10 @@ from ..operators.predicates import known_source, remote_marker_filter, required_
 from ..sources import card_feeds as cf
 from ..sources import fixtures as fx
 from ..sources import payloads_markup as pm
-from ..sources.tables import table
-from . import q_functions, q_leads, q_state, q_streaming
+from ..sources.tables import spread, table
+from ..functions.text import csv_list
+from ..schema import KNOWN_FEEDS
+from . import q_functions, q_leads, q_streaming
 from .registry import register
 
 
@@ -24,7 +26,7 @@ def q_salary_annual(spark, base):
 @register("html_to_text")
 def q_html_to_text(spark, base):
     """Plain text of every page (script/style/comments excluded, entities decoded)."""
-    return table(spark, base, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+    return spread(table(spark, base, "pages").select("page_id", "html")).select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
 @register("language_window")
@@ -81,7 +83,11 @@ def q_required_fields(spark, base):
 
 @register("unknown_feeds")
 def q_unknown_feeds(spark, base):
-    return q_state.q_unknown_sources(spark, base)
+    """U3 over configured names: every source name of the documents, as one configured list; a row per unknown feed."""
+    names = table(spark, base, "documents").agg(F.array_join(F.collect_set("source"), " , ").alias("raw"))
+    feeds = csv_list(F.col("raw"))
+    known = F.array(*[F.lit(f) for f in KNOWN_FEEDS])
+    return names.select(F.explode(F.array_except(feeds, known)).alias("feed"))
 
 
 @register("stream_dedup_exact")

@@ -1,9 +1,11 @@
-"""Registered queries for dedup, history joins, digest and the two-run state scenario.
+"""Registered queries for dedup, history joins, digest and the three-run state scenario.
 
-Scenario over the derived postings (flagship filter F1 + F3):
+Scenario over the derived postings (flagship filter F1 + F3), whose places
+start at 0 again in each run:
 run 0 saves its deduplicated batch and marks the first N it announced;
 run 1 first retries what run 0 left pending (K5), then saves what is new
-against run 0 (J1/J2/J3) and marks the first N of those.
+against run 0 (J1/J2/J3) and marks the first N of those;
+run 2 brings nothing and retries the oldest of what is pending.
 """
 
 from __future__ import annotations
@@ -16,22 +18,25 @@ from ..operators.joins import seen_keys
 from ..operators.predicates import keyword_filter, recency_filter, valid_posting
 from ..schema import KNOWN_SOURCES, POSTING_COLUMNS
 from ..sources import fixtures as fx
+from ..streaming.flows import checkpoint_path, digest_sink
 from .registry import register
-from .state import insert_ignore, marks, pending
+from .state import Store, insert_ignore, marks, pending
 
 N = 10
 COLS = [*POSTING_COLUMNS, "fingerprint"]
 
 
 def _filtered(spark, base):
+    """The relevant rows of both runs, written once: every step of the scenario reads these."""
     cond = valid_posting() & keyword_filter(fx.FIXTURE_KEYWORDS, True) & recency_filter(
         fx.FIXTURE_MAX_AGE_DAYS, fx.AS_OF)
-    return fx.postings(spark, base).filter(cond)
+    rows = fx.postings(spark, base).filter(cond).select(*COLS, "run_no")
+    return rows.withColumn("seq", F.floor(F.col("seq") / 30) * 15 + F.col("seq") % 15).checkpoint()
 
 
 def _batches(spark, base):
-    """Each run's deduplicated batch (the run filter is pushed below the aggregate)."""
-    f = _filtered(spark, base).select(*COLS, "run_no")
+    """Each run's deduplicated batch."""
+    f = _filtered(spark, base)
     return [dedup_last_value_first_position(f.filter(F.col("run_no") == r).drop("run_no")) for r in (0, 1)]
 
 
@@ -45,9 +50,9 @@ def scenario(spark, base):
     saved1 = new1.withColumn("run_id", F.lit(1).cast("bigint"))
     marks1n = marks(new1, N, 1, "new")
     table = saved0.unionByName(saved1)
-    notes = marks0.unionByName(marks1r).unionByName(marks1n)
-    return dict(b0=b0, b1=b1, saved0=saved0, pend1=pend1, marks1r=marks1r, new1=new1,
-                table=table, notes=notes)
+    notes1 = marks0.unionByName(marks1r).unionByName(marks1n)
+    marks2r = marks(pending(table, notes1), N, 2, "retry")
+    return dict(b0=b0, b1=b1, new1=new1, table=table, notes=notes1.unionByName(marks2r))
 
 
 @register("dedup_batch_last")
@@ -80,8 +85,22 @@ def q_mark_notified(spark, base):
 
 @register("retry_pending")
 def q_retry_pending(spark, base):
+    """K5: what each run retried: the oldest pending rows, by the run that saved them, then their place."""
     s = scenario(spark, base)
-    return s["pend1"].join(s["marks1r"], "fingerprint", "left_semi").select("fingerprint", "seq")
+    saved = s["table"].select("fingerprint", F.col("run_id").alias("saved_run"), "seq")
+    return s["notes"].filter("kind = 'retry'").join(saved, "fingerprint").select("run_id", "saved_run", "seq", "fingerprint")
+
+
+@register("digest_log")
+def q_digest_log(spark, base):
+    """K4 + K6: the digests that the store's runs delivered, the second run twice (a replay)."""
+    b0, b1 = _batches(spark, base)
+    root = checkpoint_path(spark, "digest-log")
+    store, send = Store(spark, f"{root}/state"), digest_sink(f"{root}/digests", N)
+    for run, batch in ((0, b0), (1, b1), (1, b1), (2, b1.limit(0))):
+        store.run(batch, run, N, send)
+    log = spark.read.parquet(f"{root}/digests")
+    return log.select(F.col("run_id").cast("bigint").alias("run_id"), "kind", "n_items", "n_total", "text")
 
 
 @register("scan_unnotified")

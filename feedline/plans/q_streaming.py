@@ -12,11 +12,11 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..operators.predicates import keyword_filter, recency_filter
-from ..params import DEFAULT_CONTACT_PATHS, paths_list
-from ..sources import crawl, fixtures as fx, payloads
+from ..params import LeadParams, PostingParams
+from ..sources import crawl, fixtures as fx, json_feeds, markup_feeds, payloads
+from ..sources import payloads_markup as pm
 from ..streaming import flows
-from .registry import register
+from .registry import packed, register
 from .state import Store
 
 COLS = ["seq", "title", "company", "location", "url", "source", "is_remote", "description", "posted_at",
@@ -34,31 +34,44 @@ def _run(q):
         raise RuntimeError(str(q.exception()))
 
 
+def _cannot_read(payloads_df, with_rejects=True):
+    """A feed whose payloads break its reader while they are read."""
+    rows = json_feeds.read_json_array(payloads_df, with_rejects)
+    return rows.withColumn("title", F.raise_error(F.lit("unreadable response")).cast("string"))
+
+
 @register("stream_postings")
 def q_stream_postings(spark, base):
-    """T1 + T2: two landings (run 0, run 1) -> two availableNow runs -> saved table."""
+    """T1 + T2: two landings of three feeds and a broken one -> two availableNow runs -> saved table."""
     root, land = _landed(spark, base, "postings")
-    p = fx.postings(spark, base)
-    schema = p.select(*COLS).schema
+    p = fx.postings(spark, base).checkpoint()
     store = Store(spark, os.path.join(root, "state"))
-    cond = keyword_filter(fx.FIXTURE_KEYWORDS, True) & recency_filter(fx.FIXTURE_MAX_AGE_DAYS, fx.AS_OF)
-    send = flows.digest_sink(os.path.join(root, "digests"), 10)
-    ckpt = os.path.join(root, "checkpoint")
+    params = PostingParams(keywords=fx.FIXTURE_KEYWORDS, max_years=None, max_age_days=fx.FIXTURE_MAX_AGE_DAYS, blacklist=None,
+                           allowed_languages=None, as_of=fx.AS_OF)
+    readers = {"remoteok": json_feeds.read_json_array, "remotive": json_feeds.read_json_envelope, "wwr": markup_feeds.read_rss,
+               "getonboard": _cannot_read}
+    send = flows.digest_sink(os.path.join(root, "digests"), params.digest_size)
     for run in (0, 1):
-        p.filter(F.col("run_no") == run).select(*COLS).write.mode("append").parquet(land)
-        _run(flows.postings_stream(spark, land, schema, store, cond, 10, send, ckpt))
-    return store.rows().select("fingerprint", "seq", "run_id", "title", "source")
+        q = p.filter(F.col("run_no") == run)
+        feeds = {"remoteok": payloads.json_array_payloads(q), "remotive": payloads.json_envelope_payloads(q),
+                 "wwr": pm.rss_payloads(q), "getonboard": payloads.json_array_payloads(q)}
+        for name, pages in feeds.items():
+            (pages.select(F.lit(name).alias("feed"), F.concat(F.lit(f"20260707-{run}-"), F.col("payload_id").cast("string")).alias("page"),
+                          F.col("payload").alias("value")).repartition("page").write.mode("append").partitionBy("feed", "page").text(land))
+        _run(flows.postings_stream(spark, land, store, params, send, os.path.join(root, "checkpoint"), readers))
+    return store.rows().select("fingerprint", "title", "source", "run_id")
 
 
 @register("stream_dedup_bounded")
 def q_stream_dedup_bounded(spark, base):
-    """Watermark-bounded dedup on fingerprint (one landing; undated rows are deduplicated too)."""
+    """Watermark-bounded dedup over two landings, the second with late rows: how often each key came out."""
     root, land = _landed(spark, base, "bounded")
-    p = fx.postings(spark, base).select(*COLS)
-    p.write.parquet(land)
-    sink = os.path.join(root, "out")
-    _run(flows.bounded_dedup_stream(spark, land, p.schema, sink, os.path.join(root, "checkpoint")))
-    return spark.read.parquet(sink).select("fingerprint").distinct()
+    p = fx.postings(spark, base).select(*COLS, "run_no").checkpoint()
+    sink, ckpt, schema = os.path.join(root, "out"), os.path.join(root, "checkpoint"), p.drop("run_no").schema
+    for run in (0, 1):
+        p.filter(F.col("run_no") == run).drop("run_no").write.mode("append").parquet(land)
+        _run(flows.bounded_dedup_stream(spark, land, schema, sink, ckpt, "100 days"))
+    return spark.read.parquet(sink).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("late_postings")
@@ -85,9 +98,8 @@ def q_stream_leads(spark, base):
     from ..operators.digest import LEAD_HEADER, lead_line
     send = flows.digest_sink(os.path.join(root, "digests"), 30, LEAD_HEADER, lead_line())
     rules = crawl.robots_rules(crawl.robots_bodies(fx.robots_rules(spark, base)))
-    q = flows.leads_stream(spark, land, pl.schema, fx.crawl_pages(spark, base), rules,
-                           tuple(paths_list(DEFAULT_CONTACT_PATHS)), fx.CENTRE[0], fx.CENTRE[1], fx.RADIUS_KM,
-                           store, 30, send, os.path.join(root, "checkpoint"))
-    _run(q)
-    return store.rows().select("seq", "name", "website", "latitude", "longitude", "email",
-                               "email_is_hr_context", "status", "fingerprint")
+    params = LeadParams(fx.CENTRE[0], fx.CENTRE[1], fx.RADIUS_KM, max_per_run=None, digest_size=30)
+    _run(flows.leads_stream(spark, land, pl.schema, fx.crawl_pages(spark, base), rules, params, store, send,
+                            os.path.join(root, "checkpoint")))
+    return packed(store.rows()).select("seq", "name", "website", "latitude", "longitude", "email",
+                                       "email_is_hr_context", "status", "fingerprint")

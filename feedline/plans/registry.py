@@ -25,3 +25,10 @@ def register(name):
         QUERIES[name] = wrapped
         return wrapped
     return deco
+
+
+def packed(df):
+    """``df`` with ``seq`` as one number, to compare with SQL: landed test payloads hold at most 50 items each."""
+    from pyspark.sql import functions as F
+
+    return df.withColumn("seq", F.col("seq.payload").cast("bigint") * (1 << 20) + F.col("seq.pos"))

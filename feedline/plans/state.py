@@ -1,35 +1,45 @@
 """Incremental state as append-only tables.
 
 The reference keeps one mutable row per key (insert-or-ignore, then
-``UPDATE ... SET notified=1``).  Here both facts are append-only:
-
-* ``postings`` (K1) / ``leads`` (K2): one row per key, written once, in the
-  partition ``run_id=<id>`` of the run that first saw it;
-* ``notifications`` (K3): (fingerprint, run_id, kind, sent_at), one partition
-  per (run, kind) -- the "notified" flag is the existence of a row.
-
-Pending = table ``left_anti`` notifications (S15); status is derived, never
-updated.  Every write overwrites only its own (run_id[, kind]) partition and
-every read for run R looks only at runs < R, so re-running a run after a
-failure (or an executor loss mid-write) reproduces the same partitions:
-runs are idempotent, keyed by run id (K6).
+``UPDATE ... SET notified=1``).  Here every fact is append-only, and each run
+writes folders of its own:
+
+* ``<table>/run_id=R`` (K1 / K2): the rows that run R saw first, written once;
+* ``<table>_keys/run_id=R/fp=xx``: their fingerprints, by the first two hex digits, so
+  that a batch reads only the key files of its own prefixes (J1);
+* ``<table>_notifications/run_id=R/kind=K`` (K3): what run R announced -- the
+  "notified" flag is the existence of a row;
+* ``<table>_ledger/run_id=R``: per run it touched, how many announceable rows R saved
+  or announced, a few rows.
+
+Pending rows are those saved and not announced (S15 / S16), oldest run first.
+The ledger says which runs have any, so a retry reads the rows of the few
+oldest such runs, never the history, and nothing is ever rewritten.
+
+A run reads only runs before it and replaces its folders as a whole, also
+with nothing, so a replay after a failure gives the same tables (K6).
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import os
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.dedup import dedup_first
 from ..operators.digest import digest_slice
 from ..operators.joins import new_rows
 from ..operators.predicates import valid_posting
+from ..schema import conform
 from ..session import ensure_checkpoint_dir
+from ..sources import fs
+
+PREFIX = 2  #: hex digits of a fingerprint that name its key folder: 256 folders
 
 # ---------------------------------------------------------------- pure operators
 
@@ -49,11 +59,6 @@ def pending(table: DataFrame, notifications: DataFrame, key: str = "fingerprint"
     return table.join(notifications.select(key).distinct(), key, "left_anti")
 
 
-def readable_pending(table: DataFrame, notifications: DataFrame) -> DataFrame:
-    """S15 with re-validation: unreadable rows (bad scheme, unknown source) are not sent."""
-    return pending(table, notifications).filter(valid_posting())
-
-
 def pending_leads(table: DataFrame, notifications: DataFrame) -> DataFrame:
     """Leads with an e-mail and no notification."""
     return pending(table.filter(F.col("email").isNotNull()), notifications)
@@ -67,6 +72,15 @@ def marks(rows: DataFrame, n: int, run_id: int, kind: str, key: str = "fingerpri
 
 # ---------------------------------------------------------------- file-backed store
 
+#: ``send(rows, total, run_id, kind)``: delivers the digest's rows (at most its size) out of ``total``.
+Send = Callable[[DataFrame, int, int, str], bool]
+
+NOTE = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("saved_run", T.LongType()),
+                     T.StructField("sent_at", T.TimestampNTZType())])
+LEDGER = T.StructType([T.StructField("saved_run", T.LongType()), T.StructField("saved", T.LongType()),
+                       T.StructField("announced", T.LongType())])
+
+
 @dataclass
 class RunReport:
     run_id: int
@@ -77,145 +91,156 @@ class RunReport:
 
 
 class Store:
-    """Append-only postings (or leads) table plus its notification log under ``root``."""
+    """Append-only postings (or leads) table plus its notification log under ``root``.
 
-    def __init__(self, spark: SparkSession, root: str, table: str = "postings", leads: bool = False):
+    ``schema``: the fixed columns of a saved row (from the first batch where it
+    is not given); a column that later batches lack reads as null.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, table: str = "postings", leads: bool = False,
+                 schema: T.StructType | None = None):
         """``leads=True``: pending means "has an e-mail and no notification" (S16) and only
         leads with an e-mail are announced; otherwise pending rows are re-validated (S15)."""
         self.spark = spark
         self.leads = leads
         ensure_checkpoint_dir(spark)
-        self.table_path = os.path.join(root, table)
-        self.notes_path = os.path.join(root, f"{table}_notifications")
-        # Rows still pending after each run (partition as_of_run): the next run
-        # starts from the latest snapshot instead of anti-joining the whole history.
-        self.pending_path = os.path.join(root, f"{table}_pending")
-
-    def _read(self, path: str, run_id: int | None) -> DataFrame | None:
-        try:
-            # mergeSchema: a column added by a later release reads as null in old runs
-            df = self.spark.read.option("mergeSchema", "true").parquet(path)
-        except Exception:  # nothing written yet
+        self.table_path, self.keys_path, self.notes_path, self.ledger_path = (
+            f"{root.rstrip('/')}/{table}{part}" for part in ("", "_keys", "_notifications", "_ledger"))
+        self.schema_path = f"{root.rstrip('/')}/{table}_schema"
+        self._schema = schema
+
+    # ------------------------------------------------------------ folders
+
+    def _runs(self, path: str, before: int | None = None) -> list[int]:
+        runs = sorted(int(n.removeprefix("run_id=")) for n in fs.names(self.spark, path) if n.startswith("run_id="))
+        return [r for r in runs if before is None or r < before]
+
+    def _read(self, path: str, schema: T.StructType, runs: list[int], extra: str = "") -> DataFrame:
+        """Rows of some runs' folders, under a fixed schema: no file is asked for its own."""
+        fields = T.StructType([*schema, *T._parse_datatype_string(f"run_id long{extra}")])
+        if not runs:
+            return self.spark.createDataFrame([], fields)
+        return self.spark.read.schema(fields).option("basePath", path).parquet(*(f"{path}/run_id={r}" for r in runs))
+
+    def schema(self, batch: DataFrame | None = None) -> T.StructType | None:
+        """The saved rows' columns; a first batch fixes them."""
+        if self._schema is None and fs.exists(self.spark, self.schema_path):
+            text = "".join(r.value for r in self.spark.read.text(self.schema_path).collect())  # one line
+            self._schema = T.StructType.fromJson(json.loads(text))
+        if self._schema is None and batch is not None:
+            cols = [f for f in batch.schema if f.name not in ("run_id", "created_at")]
+            self._schema = T.StructType([T.StructField(f.name, f.dataType) for f in cols])
+            self.spark.createDataFrame([(self._schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(self.schema_path)
+        return self._schema
+
+    def rows(self, before_run: int | None = None, runs: list[int] | None = None) -> DataFrame | None:
+        """Saved rows (None while nothing was saved)."""
+        if self.schema() is None:
             return None
-        return df if run_id is None else df.filter(F.col("run_id") < run_id)
-
-    def rows(self, before_run: int | None = None) -> DataFrame | None:
-        return self._read(self.table_path, before_run)
-
-    def notifications(self, before_run: int | None = None) -> DataFrame | None:
-        return self._read(self.notes_path, before_run)
-
-    def _latest_snapshot(self, before_run: int | None) -> tuple[DataFrame | None, int | None]:
-        snap = self._read(self.pending_path, None)
-        if snap is None:
-            return None, None
-        runs = snap.select("as_of_run")
-        if before_run is not None:
-            runs = runs.filter(F.col("as_of_run") < before_run)
-        last = runs.agg(F.max("as_of_run")).first()[0]
-        if last is None:
-            return None, None
-        return snap.filter(F.col("as_of_run") == last).drop("as_of_run"), int(last)
-
-    def _pending_raw(self, bound: int | None, snapshot_before: int | None) -> DataFrame | None:
-        """Rows saved by runs < ``bound`` and not notified by runs < ``bound``.
-
-        = (latest snapshot S before ``snapshot_before``  U  rows of runs in (S, bound))
-          anti notifications of runs in (S, bound)
-        so only the runs after the snapshot are read, never the whole history.
-        """
-        snap, s = self._latest_snapshot(snapshot_before)
-
-        def after_snapshot(df):
-            c = F.lit(True)
-            if s is not None:
-                c = c & (F.col("run_id") > s)
-            if bound is not None:
-                c = c & (F.col("run_id") < bound)
-            return df.filter(c)
-
-        rows, notes = self.rows(), self.notifications()
-        parts = ([snap] if snap is not None else []) + ([after_snapshot(rows)] if rows is not None else [])
-        if not parts:
-            return None
-        base = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return base if notes is None else pending(base, after_snapshot(notes))
+        full = T.StructType([*self.schema(), T.StructField("created_at", T.TimestampNTZType())])
+        return self._read(self.table_path, full, self._runs(self.table_path, before_run) if runs is None else runs)
+
+    def notifications(self, before_run: int | None = None) -> DataFrame:
+        return self._read(self.notes_path, NOTE, self._runs(self.notes_path, before_run), ", kind string")
 
-    def pending(self, before_run: int | None = None, validate: bool = True) -> DataFrame | None:
+    def keys(self, before_run: int, prefixes: list[str]) -> DataFrame:
+        """Fingerprints saved before a run, from the folders of some prefixes only."""
+        key = T.StructType([T.StructField("fingerprint", T.StringType())])
+        rows = self._read(self.keys_path, key, self._runs(self.keys_path, before_run), ", fp string")
+        return rows.filter(F.col("fp").isin(prefixes))
+
+    # ------------------------------------------------------------ pending
+
+    def announceable(self, rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("email").isNotNull()) if self.leads else rows.filter(valid_posting())
+
+    def open_runs(self, before_run: int | None = None) -> dict[int, int]:
+        """Saved run -> announceable rows still pending, oldest first (one row per run)."""
+        ledger = self._read(self.ledger_path, LEDGER, self._runs(self.ledger_path, before_run))
+        left = ledger.groupBy("saved_run").agg(F.sum(F.col("saved") - F.col("announced")).alias("n")).filter("n > 0")
+        return {r.saved_run: r.n for r in left.orderBy("saved_run").collect()}
+
+    def _pending_of(self, runs: list[int], before_run: int | None) -> DataFrame:
+        notes = self.notifications(before_run).filter(F.col("saved_run").isin(runs))
+        return self.announceable(pending(self.rows(runs=runs), notes))
+
+    def pending(self, before_run: int | None = None) -> DataFrame | None:
         """Rows pending before ``before_run`` (all runs when None)."""
-        p = self._pending_raw(before_run, before_run)
-        if p is None:
-            return None
-        if self.leads:
-            return p.filter(F.col("email").isNotNull())
-        return p.filter(valid_posting()) if validate else p
+        return None if self.schema() is None else self._pending_of(list(self.open_runs(before_run)), before_run)
 
     def pending_by_full_scan(self, before_run: int | None = None) -> DataFrame | None:
         """The same set as ``pending`` computed from the whole history (for checks)."""
-        t = self.rows(before_run)
-        if t is None:
-            return None
-        n = self.notifications(before_run)
-        p = t if n is None else pending(t, n)
-        return p.filter(F.col("email").isNotNull()) if self.leads else p.filter(valid_posting())
+        rows = self.rows(before_run)
+        return None if rows is None else self.announceable(pending(rows, self.notifications(before_run)))
 
-    def snapshot(self, run_id: int) -> None:
-        """Write the pending set after run ``run_id`` (from the snapshot before it)."""
-        p = self._pending_raw(run_id + 1, run_id)
-        if p is not None:
-            self._write(p.withColumn("as_of_run", F.lit(run_id).cast("bigint")), self.pending_path, ["as_of_run"])
+    def oldest_pending(self, before_run: int, n: int) -> tuple[DataFrame | None, int]:
+        """The first ``n`` pending rows, materialised, and how many are pending in all.
 
-    def _write(self, df: DataFrame, path: str, parts: list[str]) -> None:
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*parts).parquet(path))
+        Reads the oldest open runs that hold ``n`` rows by the ledger, and more
+        only if some of those rows are unreadable by now.
+        """
+        left = self.open_runs(before_run)
+        total, take, runs = sum(left.values()), 0, []
+        for run, k in left.items():
+            runs.append(run)
+            take += k
+            if take < n and run != list(left)[-1]:
+                continue
+            rows = digest_slice(self._pending_of(runs, before_run), n).checkpoint()
+            if rows.count() >= min(n, total) or run == list(left)[-1]:
+                return rows, total
+        return None, 0
+
+    # ------------------------------------------------------------ a run
 
     def insert(self, batch: DataFrame, run_id: int) -> int:
-        """J3 + A4: write the new rows of ``batch`` into partition ``run_id``; return their count."""
-        hist = self.rows(run_id)
-        if hist is None:
-            new = batch
-        else:
-            # Materialise the batch in the shared checkpoint folder (cuts lineage,
-            # survives executor loss) and count it: the count proves whether its
-            # keys may be broadcast against the ever-growing history.
-            batch = batch.checkpoint()
-            new = insert_ignore(batch, hist, batch_rows=batch.count())
-        out = new.withColumn("created_at", F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None))) \
-                 .withColumn("run_id", F.lit(run_id).cast("bigint"))
-        self._write(out, self.table_path, ["run_id"])
-        return self.spark.read.parquet(self.table_path).filter(F.col("run_id") == run_id).count()
-
-    def mark(self, rows: DataFrame, n: int, run_id: int, kind: str) -> None:
-        """Log notifications for the first ``n`` rows of ``rows``."""
-        m = marks(rows, n, run_id, kind).withColumn(
-            "sent_at", F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None)))
-        self._write(m, self.notes_path, ["run_id", "kind"])
-
-    def run(self, batch: DataFrame, run_id: int, digest_size: int,
-            send: Callable[[DataFrame], bool]) -> RunReport:
+        """J3 + A4: write the new rows of ``batch`` as run ``run_id``; return their count."""
+        schema = self.schema(batch)
+        # Materialise the batch in the shared checkpoint folder (cuts lineage,
+        # survives executor loss) and count it: the count proves whether its
+        # keys may be broadcast against the ever-growing history.
+        batch = conform(batch, schema).checkpoint()
+        prefix = F.substring("fingerprint", 1, PREFIX)
+        prefixes = [r[0] for r in batch.select(prefix).distinct().collect()]  # at most 256
+        new = insert_ignore(batch, self.keys(run_id, prefixes), batch_rows=batch.count())
+        out = new.withColumn("created_at", F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None)))
+        path = f"{self.table_path}/run_id={run_id}"
+        out.write.mode("overwrite").parquet(path)
+        saved = self.rows(runs=[run_id])
+        keys = saved.select("fingerprint", prefix.alias("fp"))
+        fs.delete(self.spark, f"{self.keys_path}/run_id={run_id}")
+        keys.repartition("fp").write.partitionBy("fp").mode("overwrite").parquet(f"{self.keys_path}/run_id={run_id}")
+        return saved.count()
+
+    def mark(self, rows: DataFrame | None, run_id: int, kind: str) -> dict[int, int]:
+        """Log notifications for ``rows``; how many per run that saved them."""
+        empty = self.spark.createDataFrame([], NOTE)
+        notes = empty if rows is None else rows.select(
+            "fingerprint", F.col("run_id").alias("saved_run"), F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None)).alias("sent_at"))
+        notes.coalesce(1).write.mode("overwrite").parquet(f"{self.notes_path}/run_id={run_id}/kind={kind}")
+        return {} if rows is None else {r.run_id: r["count"] for r in rows.groupBy("run_id").count().collect()}
+
+    def run(self, batch: DataFrame, run_id: int, digest_size: int, send: Send) -> RunReport:
         """K5 + K6: retry pending first, then save, send, mark (a failed send leaves rows pending).
 
-        ``send`` receives the rows to announce (the digest shows the first
-        ``digest_size``) and returns whether delivery succeeded; an empty set
-        is never sent.
+        The rows of a digest are chosen once: ``send`` gets what is then
+        marked.  An empty set is never sent.
         """
-        retried, retry_sent = 0, False
-        pend = self.pending(run_id)
-        if pend is not None:
-            pend = pend.checkpoint()
-            retried = pend.count()
-            if retried:
-                retry_sent = bool(send(pend))
-                if retry_sent:
-                    self.mark(pend, digest_size, run_id, "retry")
+        moved: dict[int, list[int]] = {}
+
+        def announce(rows, total, kind):
+            ok = bool(rows is not None and rows.count() and send(rows, total, run_id, kind))
+            for run, k in self.mark(rows if ok else None, run_id, kind).items():
+                moved.setdefault(run, [0, 0])[1] += k
+            return ok
+
+        rows, retried = self.oldest_pending(run_id, digest_size)
+        retry_sent = announce(rows, retried, "retry")
         inserted = self.insert(batch, run_id)
-        sent = False
-        if inserted:
-            new = self.spark.read.parquet(self.table_path).filter(F.col("run_id") == run_id)
-            if self.leads:
-                new = new.filter(F.col("email").isNotNull())
-            sent = bool(send(new)) if (not self.leads or new.count()) else False
-            if sent:
-                self.mark(new, digest_size, run_id, "new")
-        self.snapshot(run_id)
+        new = self.announceable(self.rows(runs=[run_id]))
+        fresh = new.count()
+        moved.setdefault(run_id, [0, 0])[0] = fresh
+        sent = announce(digest_slice(new, digest_size).checkpoint() if fresh else None, fresh, "new")
+        ledger = self.spark.createDataFrame([(r, s, k) for r, (s, k) in moved.items()], LEDGER)
+        ledger.coalesce(1).write.mode("overwrite").parquet(f"{self.ledger_path}/run_id={run_id}")
         return RunReport(run_id, retried, retry_sent, inserted, sent)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +19,16 @@ KNOWN_FEEDS = (
     "himalayas", "hackernews", "occ", "getonboard",
 )
 
+# The place of a row: feed order, then the landed file, then the position in it.
+# A struct sorts field by field, so no field can run into the next one.
+PLACE = T.StructType([
+    T.StructField("feed", T.IntegerType(), False),
+    T.StructField("payload", T.StringType(), True),
+    T.StructField("pos", T.LongType(), True),
+])
+
 POSTING = T.StructType([
-    T.StructField("seq", T.LongType(), False),
+    T.StructField("seq", PLACE, False),
     T.StructField("title", T.StringType(), False),
     T.StructField("company", T.StringType(), False),
     T.StructField("location", T.StringType(), False),
@@ -35,7 +43,7 @@ POSTING = T.StructType([
 POSTING_COLUMNS = [f.name for f in POSTING.fields]
 
 LEAD = T.StructType([
-    T.StructField("seq", T.LongType(), False),
+    T.StructField("seq", PLACE, False),
     T.StructField("name", T.StringType(), False),
     T.StructField("website", T.StringType(), False),
     T.StructField("latitude", T.DoubleType(), False),
@@ -50,6 +58,20 @@ LEAD_STATUS_PENDING = "pending"
 LEAD_STATUS_NO_EMAIL = "no_email_found"
 
 
+def place(payload: Column, pos: Column, feed: int = 0) -> Column:
+    """PLACE of an item: ``payload`` is a landed file's name or number, in natural order."""
+    return F.struct(F.lit(feed).cast("int").alias("feed"), natural_key(payload).alias("payload"),
+                    pos.cast("bigint").alias("pos"))
+
+
+def natural_key(name: Column) -> Column:
+    """A text that sorts like ``name`` with its digit runs as numbers; different names stay different."""
+    runs = F.regexp_extract_all(name.cast("string"), F.lit(r"(\d+|\D+)"), 1)
+    padded = F.transform(runs, lambda t: F.when(
+        t.rlike(r"^\d"), F.lpad(t, F.greatest(F.length(t), F.lit(20)), F.lit("0"))).otherwise(t))
+    return F.array_join(padded, "")
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto ``schema`` (order, names, types); missing columns become null."""
     cols = []
@@ -57,11 +79,3 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
         c = F.col(f.name) if f.name in df.columns else F.lit(None)
         cols.append(c.cast(f.dataType).alias(f.name))
     return df.select(*cols)
-
-
-def posting_rows(df: DataFrame) -> DataFrame:
-    return conform(df, POSTING)
-
-
-def lead_rows(df: DataFrame) -> DataFrame:
-    return conform(df, LEAD)

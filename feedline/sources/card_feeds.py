@@ -22,14 +22,12 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_to_ts
 from ..functions.text import (absolutise_if_rooted, absolutise_unless_http, contains_any,
-                              title_case, title_company_lines)
+                              strip, title_case, title_company_lines)
 from ..operators.dedup import dedup_first
 from ..operators.joins import map_source
-from ..operators.predicates import valid_posting
+from ..operators.predicates import finish
 from ..operators.windows import cut_after_first_block
-from ..schema import POSTING_COLUMNS
-
-SEQ_STRIDE = 1 << 20
+from ..schema import place
 
 # Board bases and remote marker words.
 CARD_TEXT_BASE = "https://www.bumeran.com.mx"
@@ -44,15 +42,11 @@ def _location(city: str) -> F.Column:
 
 
 def _seq():
-    return (F.col("step") * SEQ_STRIDE + F.col("pos")).alias("seq")
-
-
-def _finish(df: DataFrame) -> DataFrame:
-    return df.filter(valid_posting()).select(*POSTING_COLUMNS)
+    return place(F.col("step"), F.col("pos")).alias("seq")
 
 
 def read_card_text(cards: DataFrame, source: str = "bumeran", base: str = CARD_TEXT_BASE,
-                   markers=CARD_TEXT_MARKERS, city: str = "") -> DataFrame:
+                   markers=CARD_TEXT_MARKERS, city: str = "", with_rejects: bool = False) -> DataFrame:
     """S9 (markers given) / S11 (markers None): href + inner text cards."""
     c = cut_after_first_block(cards).filter(F.coalesce(F.col("href"), F.lit("")) != "")
     c = c.select(_seq(), "href", "raw", "is_remote")
@@ -62,52 +56,54 @@ def read_card_text(cards: DataFrame, source: str = "bumeran", base: str = CARD_T
     if markers:
         c = c.filter(~F.col("is_remote") | contains_any(F.lower(F.col("raw")), markers))
     loc = F.when(F.col("is_remote"), F.lit("Remote")).otherwise(_location(city))
-    return _finish(c.select(
+    return finish(c.select(
         "seq", F.col("__tc.title").alias("title"), F.col("__tc.company").alias("company"),
         loc.alias("location"), absolutise_unless_http("href", base).alias("url"),
         F.lit(source).alias("source"), "is_remote", F.lit("").alias("description"),
         F.lit(None).cast("timestamp_ntz").alias("posted_at"),
-        F.lit(None).cast("double").alias("min_salary_usd_monthly")))
+        F.lit(None).cast("double").alias("min_salary_usd_monthly")), with_rejects)
 
 
-def read_card_links(cards: DataFrame, city: str = "") -> DataFrame:
+def read_card_links(cards: DataFrame, city: str = "", with_rejects: bool = False) -> DataFrame:
     """Like S9 without the marker test (the pass is encoded in the URL)."""
-    return read_card_text(cards, "occ", CARD_LINKS_BASE, None, city)
+    return read_card_text(cards, "occ", CARD_LINKS_BASE, None, city, with_rejects)
 
 
 def read_card_fields(cards: DataFrame, base: str = CARD_FIELDS_BASE, markers=CARD_FIELDS_MARKERS,
-                     city: str = "") -> DataFrame:
-    """Cards with title / company / href / full text fields."""
-    c = cut_after_first_block(cards)
-    c = c.filter((F.coalesce(F.col("title"), F.lit("")) != "") & (F.coalesce(F.col("href"), F.lit("")) != ""))
-    c = c.select(_seq(), F.trim("title").alias("title"), F.trim(F.coalesce("company", F.lit(""))).alias("company"),
+                     city: str = "", with_rejects: bool = False) -> DataFrame:
+    """Cards with title / company / href / full text fields; a blank title is no title."""
+    c = cut_after_first_block(cards).withColumn("title", strip(F.coalesce(F.col("title"), F.lit(""))))
+    c = c.filter((F.col("title") != "") & (F.coalesce(F.col("href"), F.lit("")) != ""))
+    c = c.select(_seq(), "title", strip(F.coalesce(F.col("company"), F.lit(""))).alias("company"),
                  absolutise_if_rooted("href", base).alias("url"), "text", "is_remote")
     c = dedup_first(c, "url")
     c = c.filter(~F.col("is_remote") | contains_any(F.lower(F.col("text")), markers))
     loc = F.when(F.col("is_remote"), F.lit("Remote")).otherwise(_location(city))
-    return _finish(c.select(
+    return finish(c.select(
         "seq", "title", "company", loc.alias("location"), "url", F.lit("computrabajo").alias("source"),
         "is_remote", F.lit("").alias("description"), F.lit(None).cast("timestamp_ntz").alias("posted_at"),
-        F.lit(None).cast("double").alias("min_salary_usd_monthly")))
+        F.lit(None).cast("double").alias("min_salary_usd_monthly")), with_rejects)
 
 
-def read_tabular(spark: SparkSession, rows: DataFrame, is_remote: bool) -> DataFrame:
+def read_tabular(spark: SparkSession, rows: DataFrame, is_remote: bool, with_rejects: bool = False) -> DataFrame:
     """One pass of board-library rows (site, title, company, location, job_url,
     description, date_posted); the site maps to a source (J8, unknown -> dropped),
     the date becomes midnight UTC (P8), the remote flag is the pass's literal."""
     m = map_source(rows, spark, "site")
-    return _finish(m.select(
-        F.col("seq").cast("bigint").alias("seq"), "title", "company",
+    # the remote pass comes first, whatever numbers the rows of either pass bear
+    return finish(m.select(
+        place(F.lit(0 if is_remote else 1), F.col("seq")).alias("seq"), "title", "company",
         F.coalesce(F.col("location"), F.lit("Remote")).alias("location"),
         F.col("job_url").alias("url"), "source", F.lit(is_remote).alias("is_remote"),
         F.coalesce(F.col("description"), F.lit("")).alias("description"),
         date_to_ts(F.col("date_posted")).alias("posted_at"),
-        F.lit(None).cast("double").alias("min_salary_usd_monthly")))
+        F.lit(None).cast("double").alias("min_salary_usd_monthly")), with_rejects)
 
 
-def read_tabular_passes(spark: SparkSession, remote_rows: DataFrame, local_rows: DataFrame | None) -> DataFrame:
+def read_tabular_passes(spark: SparkSession, remote_rows: DataFrame, local_rows: DataFrame | None,
+                        with_rejects: bool = False) -> DataFrame:
     """The remote pass, then (when local search is on) the local pass."""
-    out = read_tabular(spark, remote_rows, True)
+    out = read_tabular(spark, remote_rows, True, with_rejects)
     if local_rows is not None:
-        out = out.unionByName(read_tabular(spark, local_rows, False))
+        out = out.unionByName(read_tabular(spark, local_rows, False, with_rejects))
     return out

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 DEFAULT_AGENT = "postbot/1.0"
 
 
@@ -29,32 +31,59 @@ def readable_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col("status") < 400)
 
 
+def url_host(url) -> F.Column:
+    """Scheme and host of a URL, lower-cased: what a robots file covers."""
+    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+
+
+def url_path(url) -> F.Column:
+    """Path and query of a URL, '/' for a bare host."""
+    rest = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"#.*$", "")
+    return F.when(rest == "", F.lit("/")).when(rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest)
+
+
+def percent_encoded(path) -> F.Column:
+    """A path with its escapes in one form, so that ``/a%20b`` and ``/a b`` are alike."""
+    plain = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    code = F.url_encode(F.coalesce(plain, path))
+    for escape, sign in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        code = F.replace(code, F.lit(escape), F.lit(sign))
+    return code
+
+
 def robots_rules(robots: DataFrame, agent: str = DEFAULT_AGENT) -> DataFrame:
-    """Robots bodies -> (website, ord, allow, prefix) for ``agent``."""
+    """Robots bodies ``(website, status, body)`` -> (website, ord, allow, prefix) for ``agent``.
+
+    ``website`` is the host that the file was fetched from.  A group is one or
+    more ``User-agent`` lines and what follows up to the next such line after
+    a rule; a blank line after a group's rules ends it.  Other lines
+    (``Crawl-delay``, ``Sitemap``) belong to their group but give no rule.
+    """
     ok = robots.filter((F.coalesce(F.col("status"), F.lit(200)) < 400) & F.col("body").isNotNull())
-    lines = ok.select("website", F.posexplode(F.split("body", r"\r?\n|\r")).alias("line_no", "raw"))
-    clean = F.trim(F.regexp_replace("raw", "#.*$", ""))
-    colon = F.instr(clean, ":")
-    lines = (lines.select("website", "line_no",
-                          F.lower(F.trim(F.substring_index(clean, ":", 1))).alias("key"),
-                          F.trim(F.substring(clean, colon + 1, 1 << 30)).alias("value"),
-                          (colon > 0).alias("has_colon"))
-             .filter(F.col("has_colon") & F.col("key").isin("user-agent", "allow", "disallow")))
+    raw = ok.select("website", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("line_no", "raw"))
+    line = strip(F.regexp_replace("raw", "#.*$", ""))
+    # a line that is a comment only is skipped, an empty one may end a group
+    raw = raw.filter(~((strip(F.col("raw")) != "") & (line == "")))
+    colon = F.instr(line, ":")
+    lines = raw.select("website", "line_no", (line == "").alias("blank"),
+                       F.when(colon > 0, F.lower(strip(F.substring_index(line, ":", 1)))).otherwise("").alias("key"),
+                       strip(F.substring(line, colon + 1, 1 << 30)).alias("value"))
     w = Window.partitionBy("website").orderBy("line_no")
     is_ua = F.col("key") == "user-agent"
-    prev_ua = F.coalesce(F.lag(is_ua).over(w), F.lit(False))
-    lines = lines.withColumn("grp", F.sum(F.when(is_ua & ~prev_ua, 1).otherwise(0)).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.withColumn("starts", is_ua & ~F.coalesce(F.lag(is_ua).over(w), F.lit(False)))
+    lines = lines.withColumn("grp", F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    in_group = Window.partitionBy("website", "grp").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("ended", F.max(F.col("blank").cast("int")).over(in_group) == 1)
     me = agent.split("/")[0].lower()
     agents = (lines.filter(is_ua)
               .groupBy("website", "grp")
-              .agg(F.max(F.when((F.lower("value") != "*") & F.lit(me).contains(F.lower("value"))
+              .agg(F.max(F.when((F.col("value") != "*") & F.lit(me).contains(F.lower("value"))
                                 & (F.col("value") != ""), 1).otherwise(0)).alias("mine"),
                    F.max(F.when(F.col("value") == "*", 1).otherwise(0)).alias("star")))
     chosen = (agents.filter((F.col("mine") == 1) | (F.col("star") == 1))
               .groupBy("website")
               .agg(F.min_by("grp", F.struct(-F.col("mine"), F.col("grp"))).alias("grp")))
-    rules = lines.filter(~is_ua & (F.col("grp") > 0)).join(chosen, ["website", "grp"])
+    rules = lines.filter(F.col("key").isin("allow", "disallow") & (F.col("grp") > 0) & ~F.col("ended")).join(chosen, ["website", "grp"])
     w2 = Window.partitionBy("website").orderBy("line_no")
     return rules.select(
         "website",

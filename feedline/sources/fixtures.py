@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import fingerprint
-from .tables import table
+from .tables import spread, table
 
 # Fixed values used by the derived views and their oracle twins.
 AS_OF = dt.datetime(2024, 1, 31)
@@ -24,8 +24,8 @@ FIXTURE_MAX_YEARS = 3
 CENTRE = (20.1, -100.8)
 RADIUS_KM = 80.0
 CRAWL_PATHS = ("", "/contacto", "/trabaja-con-nosotros", "/bolsa-de-trabajo", "/careers", "/rh")
-N_SITES = 90
-N_CUSTOMERS = 50
+#: Crawl sites per block of pages: each block of 540 pages holds six paths of 90 sites of its own.
+SITES_PER_BLOCK = 90
 
 
 def _mod(c, n):
@@ -34,19 +34,17 @@ def _mod(c, n):
 
 def postings(spark: SparkSession, base: str) -> DataFrame:
     """B1: one posting per document; every tenth row copies an earlier one."""
-    docs = table(spark, base, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, base, "documents").select("doc_id", "text", "lang"))
     k = F.when(_mod("doc_id", 10) == 9, F.col("doc_id") - 9).otherwise(F.col("doc_id"))
     docs = docs.withColumn("k", k)
     part = table(spark, base, "part").select(F.col("p_partkey").alias("k"), "p_name")
-    # Only 50 customer rows can match (k % 50): the side is bounded by the filter.
-    cust = (table(spark, base, "customer").filter(F.col("c_custkey") < N_CUSTOMERS)
-            .select(F.col("c_custkey").alias("ck"), "c_name"))
+    cust = table(spark, base, "customer").select(F.col("c_custkey").alias("k"), "c_name")
     ev = (table(spark, base, "events").filter(_mod("event_id", 5) == 0)
           .select((F.col("event_id") / 5).cast("bigint").alias("doc_id"), "ts"))
     orders = table(spark, base, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_totalprice")
 
     j = (docs.join(part, "k", "left")
-         .join(F.broadcast(cust), F.col("k") % N_CUSTOMERS == F.col("ck"), "left")
+         .join(cust, "k", "left")
          .join(ev, "doc_id", "left")
          .join(orders, "doc_id", "left"))
 
@@ -69,7 +67,7 @@ def postings(spark: SparkSession, base: str) -> DataFrame:
         d.alias("seq"),
         ((d / 15).cast("bigint") % 2).alias("run_no"),
         title.alias("title"),
-        F.col("c_name").alias("company"),
+        F.coalesce(F.col("c_name"), F.concat(F.lit("Company "), kk.cast("string"))).alias("company"),
         F.when(is_remote, "Remote").otherwise("On-site").alias("location"),
         url.alias("url"),
         source.alias("source"),
@@ -83,20 +81,35 @@ def postings(spark: SparkSession, base: str) -> DataFrame:
     return out.withColumn("fingerprint", fingerprint())
 
 
+def site_host(site: F.Column) -> F.Column:
+    return F.concat(F.lit("https://lead"), site.cast("string"), F.lit(".example"))
+
+
+def site_path(site: F.Column) -> F.Column:
+    """Every eighth site lives under a path of its host."""
+    return F.when(site % 8 == 5, "/es").otherwise("")
+
+
+def site_url(site: F.Column) -> F.Column:
+    return F.concat(site_host(site), site_path(site))
+
+
 def geo_elements(spark: SparkSession, base: str) -> DataFrame:
-    """B2: OSM-like elements; even keys are nodes with lat/lon, odd keys ways with a centre."""
+    """B2: OSM-like elements; even keys are nodes with lat/lon, odd keys ways with a centre.
+
+    One site per supplier, but every tenth names an earlier one's.
+    """
     s = table(spark, base, "supplier").select("s_suppkey")
     key = F.col("s_suppkey")
-    site = (key % N_SITES).cast("string")
+    site = F.when(key % 10 == 9, key - 9).otherwise(key)
     lat = F.lit(19.1) + (key % 40).cast("double") * F.lit(0.05)
     lon = F.lit(-101.8) + (key % 25).cast("double") * F.lit(0.08)
     even = key % 2 == 0
     return s.select(
         key.alias("element_id"),
         F.when(even, "node").otherwise("way").alias("type"),
-        F.concat(F.lit("Lead "), site).alias("name"),
-        F.when(key % 13 == 12, F.lit(None)).otherwise(
-            F.concat(F.lit("https://lead"), site, F.lit(".example"))).alias("website"),
+        F.concat(F.lit("Lead "), site.cast("string")).alias("name"),
+        F.when(key % 13 == 12, F.lit(None)).otherwise(site_url(site)).alias("website"),
         F.when(even, lat).alias("lat"),
         F.when(even, lon).alias("lon"),
         F.when(~even, lat).alias("center_lat"),
@@ -115,15 +128,19 @@ def _fragment(pid):
     return F.when(pid % 4 == 0, generic).when(pid % 4 == 1, hr).otherwise(F.lit(""))
 
 
+def page_site(pid: F.Column) -> F.Column:
+    return (pid / (SITES_PER_BLOCK * len(CRAWL_PATHS))).cast("bigint") * SITES_PER_BLOCK + pid % SITES_PER_BLOCK
+
+
 def crawl_pages(spark: SparkSession, base: str) -> DataFrame:
-    """Crawled pages keyed by (website, path_ord, page_id) with a status code."""
-    pg = table(spark, base, "pages").select("page_id", "html")
+    """Crawled pages keyed by (website, path_ord, page_id) with a status code; sites grow with the pages."""
+    pg = spread(table(spark, base, "pages").select("page_id", "html"))
     pid = F.col("page_id")
     paths = F.array(*[F.lit(p) for p in CRAWL_PATHS])
-    path_ord = (pid / N_SITES).cast("bigint") % len(CRAWL_PATHS)
+    path_ord = (pid / SITES_PER_BLOCK).cast("bigint") % len(CRAWL_PATHS)
     return pg.select(
         pid,
-        F.concat(F.lit("https://lead"), (pid % N_SITES).cast("string"), F.lit(".example")).alias("website"),
+        site_url(page_site(pid)).alias("website"),
         path_ord.alias("path_ord"),
         F.element_at(paths, (path_ord + 1).cast("int")).alias("path"),
         F.when(pid % 19 == 18, 404).otherwise(200).alias("status"),
@@ -132,11 +149,9 @@ def crawl_pages(spark: SparkSession, base: str) -> DataFrame:
 
 
 def robots_rules(spark: SparkSession, base: str) -> DataFrame:
-    """One disallow rule for '/contacto' on every seventh crawl site."""
-    pg = table(spark, base, "pages").select("page_id")
-    site = F.col("page_id") % N_SITES
-    return (pg.filter(site % 7 == 3)
-            .select(F.concat(F.lit("https://lead"), site.cast("string"), F.lit(".example")).alias("website"))
-            .distinct()
-            .select("website", F.lit(0).cast("bigint").alias("ord"), F.lit("*").alias("agent"),
-                    F.lit(False).alias("allow"), F.lit("/contacto").alias("prefix")))
+    """The hosts of every seventh crawl site disallow that site's '/contacto' (with the site's own path)."""
+    site = page_site(F.col("page_id"))
+    pg = table(spark, base, "pages").select(site.alias("site")).filter(F.col("site") % 7 == 3).distinct()
+    s = F.col("site")
+    return pg.select(site_host(s).alias("website"), F.lit(0).cast("bigint").alias("ord"), F.lit("*").alias("agent"),
+                     F.lit(False).alias("allow"), F.concat(site_path(s), F.lit("/contacto")).alias("prefix"))

@@ -8,8 +8,10 @@ keeps "missing key" (SQL NULL) apart from "explicit null"
 null makes the item malformed, and malformed items are dropped (or routed to
 quarantine, F14) without failing the feed.
 
-``seq`` = payload_id * 2^20 + position of the item inside the payload, i.e.
-the order in which the reference would have listed the items.
+``seq`` is the item's PLACE: its payload in fetch order, then its position
+inside it, i.e. the order in which the reference would have listed the items.
+With ``with_rejects`` a reader returns its malformed items too, each with the
+``reason`` for the quarantine table (F14).
 """
 
 from __future__ import annotations
@@ -21,10 +23,8 @@ from ..functions.dates import epoch_to_ts, rfc2822_to_ts
 from ..functions.html import html_to_text
 from ..functions.salary import salary_annual, salary_by_period
 from ..functions.text import remote_flag, title_company_pipes
-from ..operators.predicates import valid_posting
-from ..schema import POSTING_COLUMNS
-
-SEQ_STRIDE = 1 << 20
+from ..operators.predicates import finish
+from ..schema import place
 
 # URL shapes the feeds build from item fields.
 REMOTEOK_JOB_URL = "https://remoteok.com/remote-jobs/"
@@ -36,7 +36,7 @@ def _items(payloads: DataFrame, path: str) -> DataFrame:
     v = payloads.select("payload_id", F.try_parse_json("payload").alias("v"))
     arr = F.try_variant_get("v", path, "array<variant>")
     return (v.select("payload_id", F.posexplode(arr).alias("pos", "item"))
-            .select((F.col("payload_id") * SEQ_STRIDE + F.col("pos")).alias("seq"), "item"))
+            .select(place(F.col("payload_id"), F.col("pos")).alias("seq"), "item"))
 
 
 def _raw(item: Column, key: str) -> Column:
@@ -60,24 +60,20 @@ def _num(item: Column, key: str) -> Column:
     return F.try_variant_get(item, f"$.{key}", "double")
 
 
-def _finish(df: DataFrame, rejects: bool = False) -> DataFrame:
-    """Rows whose fields all parsed and that pass construction validity."""
-    ok = F.col("__ok") & valid_posting()
-    if rejects:
-        return df.filter(~ok)
-    return df.filter(ok).select(*POSTING_COLUMNS)
-
-
 # ---------------------------------------------------------------- S1
 
-def read_json_array(payloads: DataFrame) -> DataFrame:
+def read_json_array(payloads: DataFrame, with_rejects: bool = False) -> DataFrame:
     """Top-level array; dict elements having a ``position`` key are postings."""
     it = _items(payloads, "$")
     item = F.col("item")
     it = it.filter(F.schema_of_variant(item).startswith("OBJECT") & _raw(item, "position").isNotNull())
     title, ok1 = str_field(item, "position")
     company, ok2 = str_field(item, "company")
-    slug, ok3 = str_field(item, "slug")
+    # the slug only goes into the URL, where a null or a number is written as text
+    kind = F.schema_of_variant(_raw(item, "slug"))
+    slug = (F.when(_raw(item, "slug").isNull(), F.lit("")).when(kind == "VOID", F.lit("None"))
+            .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(item, "$.slug", "string")))
+            .otherwise(F.coalesce(F.try_variant_get(item, "$.slug", "string"), F.to_json(_raw(item, "slug")))))
     desc, ok4 = str_field(item, "description")
     epoch = F.try_variant_get(item, "$.epoch", "bigint")
     out = it.select(
@@ -88,13 +84,13 @@ def read_json_array(payloads: DataFrame) -> DataFrame:
         desc.alias("description"),
         epoch_to_ts(epoch).alias("posted_at"),
         salary_annual(_num(item, "salary_min")).alias("min_salary_usd_monthly"),
-        (ok1 & ok2 & ok3 & ok4).alias("__ok"))
-    return _finish(out)
+        (ok1 & ok2 & ok4).alias("__ok"))
+    return finish(out, with_rejects)
 
 
 # ---------------------------------------------------------------- S2
 
-def read_json_envelope(payloads: DataFrame) -> DataFrame:
+def read_json_envelope(payloads: DataFrame, with_rejects: bool = False) -> DataFrame:
     """Object with a ``jobs`` array (absent -> no rows); location defaults to Remote."""
     it = _items(payloads, "$.jobs")
     item = F.col("item")
@@ -109,12 +105,12 @@ def read_json_envelope(payloads: DataFrame) -> DataFrame:
         desc.alias("description"), F.lit(None).cast("timestamp_ntz").alias("posted_at"),
         F.lit(None).cast("double").alias("min_salary_usd_monthly"),
         (ok1 & ok2 & ok3 & ok4 & ok5).alias("__ok"))
-    return _finish(out)
+    return finish(out, with_rejects)
 
 
 # ---------------------------------------------------------------- S3
 
-def read_json_salaried(payloads: DataFrame) -> DataFrame:
+def read_json_salaried(payloads: DataFrame, with_rejects: bool = False) -> DataFrame:
     """S3: ``jobs`` array with location restrictions, int-or-RFC-2822 dates and USD salary."""
     it = _items(payloads, "$.jobs")
     item = F.col("item")
@@ -126,6 +122,9 @@ def read_json_salaried(payloads: DataFrame) -> DataFrame:
     restrictions = F.try_variant_get(item, "$.locationRestrictions", "array<string>")
     location = F.coalesce(F.get(restrictions, 0), F.lit("Remote"))
     desc, ok3 = str_field(item, "description")
+    # a salary that is there but no number makes the item malformed
+    salary_t = F.schema_of_variant(_raw(item, "minSalary"))
+    ok4 = _raw(item, "minSalary").isNull() | (salary_t == "VOID") | salary_t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | salary_t.startswith("DECIMAL")
     pub_t = F.schema_of_variant(_raw(item, "pubDate"))
     numeric = pub_t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | pub_t.startswith("DECIMAL")
     posted = (F.when(numeric, F.timestamp_seconds(_num(item, "pubDate")).cast("timestamp_ntz"))
@@ -137,19 +136,29 @@ def read_json_salaried(payloads: DataFrame) -> DataFrame:
         posted.alias("posted_at"),
         salary_by_period(F.try_variant_get(item, "$.currency", "string"), _num(item, "minSalary"),
                          F.try_variant_get(item, "$.salaryPeriod", "string")).alias("min_salary_usd_monthly"),
-        (ok1 & ok2 & ok3).alias("__ok"))
-    return _finish(out)
+        (ok1 & ok2 & ok3 & F.coalesce(ok4, F.lit(True))).alias("__ok"))
+    return finish(out, with_rejects)
 
 
 # ---------------------------------------------------------------- S4
 
-def read_thread_comments(threads: DataFrame) -> DataFrame:
-    """Comments (``children``) of landed thread payloads -> postings.
+def newest_thread_payloads(threads: DataFrame) -> DataFrame:
+    """W4 over landed thread payloads: those of the newest thread (creation time, then id)."""
+    v = F.try_parse_json("payload")
+    t = threads.select("payload_id", "payload", F.struct(
+        F.coalesce(F.try_variant_get(v, "$.created_at_i", "bigint"), F.lit(-1)).alias("created_at"),
+        F.coalesce(F.try_variant_get(v, "$.id", "bigint"), F.lit(-1)).alias("id")).alias("__thread"))
+    newest = t.agg(F.max("__thread").alias("__newest"))  # one row
+    return t.join(F.broadcast(newest), F.col("__thread") == F.col("__newest")).select("payload_id", "payload")
+
+
+def read_thread_comments(threads: DataFrame, with_rejects: bool = False) -> DataFrame:
+    """Comments (``children``) of the newest landed thread -> postings.
 
     Deleted (null) and empty comments are skipped; the first line of the
     plain text gives "company | title | ..."; REMOTE anywhere sets the flag.
     """
-    it = _items(threads, "$.children")
+    it = _items(newest_thread_payloads(threads), "$.children")
     item = F.col("item")
     text = F.try_variant_get(item, "$.text", "string")
     it = it.filter(text.isNotNull() & (text != "")).select(
@@ -167,13 +176,7 @@ def read_thread_comments(threads: DataFrame) -> DataFrame:
         F.col("plain").alias("description"), epoch_to_ts(F.col("created")).alias("posted_at"),
         F.lit(None).cast("double").alias("min_salary_usd_monthly"),
         (tc["title"] != "").alias("__ok"))
-    return _finish(out)
-
-
-def latest_thread(hits: DataFrame) -> DataFrame:
-    """The newest thread (by creation time, then id) of a search-hits table."""
-    return hits.agg(F.max_by(F.struct("object_id", "title", "created_at"),
-                             F.struct("created_at", "object_id")).alias("t")).select("t.*")
+    return finish(out, with_rejects)
 
 
 # ---------------------------------------------------------------- S12 / U4

@@ -118,9 +118,9 @@ def _escape_html(c: Column) -> Column:
 
 
 def thread_payloads(postings: DataFrame) -> DataFrame:
-    """S4 payloads: one thread per chunk, {"id", "title", "children": [comment, ...]}.
+    """S4 payloads: pages of two threads, an old one (run 0) and the newest (run 1).
 
-    Comment text: "company | title | REMOTE-or-Onsite<p>description</p>"; every
+    {"id", "created_at_i", "title", "children": [comment, ...]}.  Comment text: "company | title | REMOTE-or-Onsite<p>description</p>"; every
     13th comment is deleted (null text), the next one is empty.
     """
     q = F.col("seq")
@@ -131,10 +131,12 @@ def thread_payloads(postings: DataFrame) -> DataFrame:
         q.alias("id"), F.lit("someone").alias("author"),
         F.when(q % 13 == 6, F.lit(NULL_MARK)).when(q % 13 == 7, F.lit("")).otherwise(text).alias("text"),
         _epoch(F.col("posted_at")).alias("created_at_i"))
-    items = postings.select("seq", _json(item).alias("js"))
-    return _chunked(items, lambda pid, body: F.concat(
-        F.lit('{"id":'), pid.cast("string"), F.lit(',"title":"Ask HN: Who is hiring?","children":['),
-        body, F.lit("]}")))
+    def pages(run: int) -> DataFrame:
+        items = postings.filter(F.col("run_no") == run).select("seq", _json(item).alias("js"))
+        head = f'{{"id":{run},"created_at_i":{1_700_000_000 + run},"title":"Ask HN: Who is hiring?","children":['
+        return _chunked(items, lambda pid, body: F.concat(F.lit(head), body, F.lit("]}")))
+
+    return pages(0).unionByName(pages(1))
 
 
 def geo_payloads(elements: DataFrame) -> DataFrame:

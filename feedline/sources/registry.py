@@ -1,91 +1,134 @@
 """The feed registry and the union of enabled feeds.
 
-A feed is a name -> reader over its landing folder.  Landed files are one
-fetched response each; their fetch order is the number in the file name
-(``page-0003.json`` -> 3), which becomes ``payload_id`` and so the item
-order (``seq``).  Adding a feed = writing a reader that returns POSTING rows
-and registering it here.
-
-``union_feeds`` reads every enabled feed and concatenates them in
-configured order (``seq`` = feed order, then item order).  A feed whose
-folder is missing or unreadable contributes nothing and is reported, like
-a failed fetch in a cron run; the other feeds go on.
+A feed is a name -> reader over its landing folder.  A reader takes
+``(spark, path, search)`` and returns POSTING columns plus ``reason`` (null for
+a valid row, F14).  Landed files are one fetched response each; their names
+give the fetch order (digit runs count as numbers, so ``page-2`` comes before
+``page-10``), and the whole name is the payload's identity.  Adding a feed =
+writing a reader and registering it here.
+
+``union_feeds`` reads every enabled feed and concatenates them in configured
+order (``seq``: feed, then file, then item).  Each feed is read and written to
+the shared scratch folder by itself, so one that cannot be read, even halfway,
+contributes nothing and is reported, like a failed fetch in a cron run; the
+other feeds go on.  Rejected items go to the quarantine table.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import POSTING
-from . import card_feeds, json_feeds, markup_feeds
+from ..schema import POSTING, POSTING_COLUMNS
+from ..session import ensure_checkpoint_dir
+from . import card_feeds, fs, json_feeds, markup_feeds
 
-FEED_STRIDE = 1 << 40
+REJECTED = T.StructType([T.StructField("feed", T.StringType()), *POSTING.fields, T.StructField("reason", T.StringType())])
+
+
+@dataclass(frozen=True)
+class LocalSearch:
+    """The local pass of the boards: off without a city."""
+
+    city: str = ""
+    enabled: bool = False
+
+    @property
+    def place(self) -> str:
+        return self.city.strip().lower() if self.enabled else ""
 
 
 def landed_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed file: (payload_id from the file name's number, payload text)."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"),
-                                                       F.input_file_name().alias("__f"))
-    num = F.regexp_extract(F.regexp_extract("__f", r"([^/]+)$", 1), r"(\d+)", 1)
-    pid = F.coalesce(num.try_cast("bigint"), F.pmod(F.xxhash64("__f"), F.lit(1 << 40)))
-    return raw.select(pid.alias("payload_id"), "payload")
+    """One row per landed file: (payload_id = its whole name below the feed's folder, payload text)."""
+    folder = re.escape(os.path.basename(path.rstrip("/")))
+    raw = spark.read.text(path, wholetext=True)
+    name = F.regexp_extract(F.col("_metadata.file_path"), f".*/{folder}/(.*)$", 1)
+    return raw.select(name.alias("payload_id"), F.col("value").alias("payload"))
+
+
+# Feeds whose landed files are responses as text; streams read these too.
+PAYLOAD_READERS: dict[str, Callable[..., DataFrame]] = {
+    "remoteok": json_feeds.read_json_array,
+    "remotive": json_feeds.read_json_envelope,
+    "himalayas": json_feeds.read_json_salaried,
+    "hackernews": json_feeds.read_thread_comments,
+    "wwr": markup_feeds.read_rss,
+    "getonboard": markup_feeds.read_result_cards,
+    "cybersecjobs": markup_feeds.read_list_links,
+}
 
 
 def _payload_reader(fn):
-    return lambda spark, path: fn(landed_payloads(spark, path))
-
-
-def _table_reader(fn):
-    return lambda spark, path: fn(spark.read.parquet(path))
-
-
-FEEDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "remoteok": _payload_reader(json_feeds.read_json_array),
-    "remotive": _payload_reader(json_feeds.read_json_envelope),
-    "himalayas": _payload_reader(json_feeds.read_json_salaried),
-    "hackernews": _payload_reader(json_feeds.read_thread_comments),
-    "wwr": _payload_reader(markup_feeds.read_rss),
-    "getonboard": _payload_reader(markup_feeds.read_result_cards),
-    "cybersecjobs": _payload_reader(markup_feeds.read_list_links),
-    "bumeran": _table_reader(card_feeds.read_card_text),
-    "computrabajo": _table_reader(card_feeds.read_card_fields),
-    "occ": _table_reader(card_feeds.read_card_links),
-    # tabular rows land as two tables: <path>/remote and (optionally) <path>/local
-    "jobspy": lambda spark, path: card_feeds.read_tabular_passes(
-        spark, spark.read.parquet(os.path.join(path, "remote")),
-        _maybe(spark, os.path.join(path, "local"))),
-}
+    return lambda spark, path, search: fn(landed_payloads(spark, path), with_rejects=True)
 
 
-def _maybe(spark, path):
-    try:
-        return spark.read.parquet(path)
-    except Exception:
-        return None
+def _card_reader(fn):
+    """Rendered cards land as rows; without a local search only the remote passes count."""
+    def read(spark, path, search):
+        cards = spark.read.parquet(path)
+        cards = cards if search.place else cards.filter("is_remote")
+        return fn(cards, city=search.place, with_rejects=True)
+    return read
+
+
+def _tabular(spark, path, search):
+    """Tabular rows land as two tables: <path>/remote and, with a local search, <path>/local."""
+    local = os.path.join(path, "local")
+    rows = spark.read.parquet(local) if search.place and fs.exists(spark, local) else None
+    return card_feeds.read_tabular_passes(spark, spark.read.parquet(os.path.join(path, "remote")), rows, with_rejects=True)
+
+
+FEEDS: dict[str, Callable[[SparkSession, str, LocalSearch], DataFrame]] = {
+    **{name: _payload_reader(fn) for name, fn in PAYLOAD_READERS.items()},
+    "bumeran": _card_reader(card_feeds.read_card_text),
+    "computrabajo": _card_reader(card_feeds.read_card_fields),
+    "occ": _card_reader(card_feeds.read_card_links),
+    "jobspy": _tabular,
+}
 
 
-def register_feed(name: str, reader: Callable[[SparkSession, str], DataFrame]) -> None:
+def register_feed(name: str, reader: Callable[[SparkSession, str, LocalSearch], DataFrame]) -> None:
     FEEDS[name] = reader
 
 
-def read_feed(spark: SparkSession, name: str, path: str) -> DataFrame:
-    return FEEDS[name](spark, path)
+def at_feed(seq: F.Column, feed: int) -> F.Column:
+    """A row's place with its feed's number in front."""
+    return F.struct(F.lit(feed).alias("feed"), seq["payload"].alias("payload"), seq["pos"].alias("pos"))
 
 
-def union_feeds(spark: SparkSession, landing_root: str, enabled) -> tuple[DataFrame, dict[str, str]]:
-    """(all enabled feeds' postings, {feed: error} for feeds that contributed nothing)."""
-    out = spark.createDataFrame([], POSTING)
-    failed = {}
+def concat_feeds(spark: SparkSession, enabled, read: Callable[[str], DataFrame], root: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """(valid rows, rejected rows, {feed: error}) of ``read(feed)`` for each enabled feed, under ``root``."""
+    tagged, failed = spark.createDataFrame([], REJECTED), {}
     for i, name in enumerate(enabled):
+        path = f"{root}/feed={name}"
         try:
-            df = read_feed(spark, name, os.path.join(landing_root, name))
-            df.schema  # resolve now: a missing folder fails here, not mid-run
-        except Exception as e:  # noqa: BLE001 - a failed feed contributes nothing
+            rows = read(name)
+            rows = rows.select(at_feed(F.col("seq"), i).alias("seq"), *(c for c in rows.columns if c != "seq"))
+            rows.write.mode("overwrite").parquet(path)  # a feed that cannot be read fails here, by itself
+        except Exception as e:  # noqa: BLE001 - a failed feed contributes nothing, and is reported
             failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
             continue
-        out = out.unionByName(df.withColumn("seq", F.col("seq") + F.lit(i * FEED_STRIDE)))
-    return out, failed
+        tagged = tagged.unionByName(spark.read.schema(rows.schema).parquet(path).withColumn("feed", F.lit(name)))
+    valid = tagged.filter("reason is null").select(*POSTING_COLUMNS)
+    return valid, tagged.filter("reason is not null"), failed
+
+
+def union_feeds(spark: SparkSession, landing_root: str, enabled, search: LocalSearch = LocalSearch(),
+                quarantine: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """(all enabled feeds' postings, {feed: error} for feeds that contributed nothing).
+
+    Rejected items are written to ``quarantine`` (replaced as a whole), if given.
+    """
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/feeds-{uuid.uuid4().hex}"
+    valid, rejected, failed = concat_feeds(
+        spark, enabled, lambda name: FEEDS[name](spark, os.path.join(landing_root, name), search), root)
+    if quarantine:
+        rejected.write.mode("overwrite").parquet(quarantine)
+    return valid, failed

@@ -10,23 +10,15 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-# Tables whose rows carry long texts: per-row regexes, explodes and parses run on them.
-TEXT_TABLES = frozenset({"documents", "pages"})
+def table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """``<base>/<name>.parquet`` (file or folder of parts)."""
+    return spark.read.parquet(os.path.join(base, f"{name}.parquet"))
 
 
-def table(spark: SparkSession, base: str, name: str, min_partitions: int | None = None) -> DataFrame:
-    """``<base>/<name>.parquet`` (file or folder of parts).
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is a single split, which would run in one task.
 
-    A scan yields one task per file split.  A text table landed as a single
-    unsplittable file (one row group) would run every per-row regex, explode
-    or parse of the query in one task, so only in that case the scan is
-    round-robin repartitioned to the default parallelism.  A large table has
-    many splits already and is left alone (no extra shuffle); small key
-    tables stay single-split (they end up broadcast or cheaply shuffled).
+    A split is bounded (``spark.sql.files.maxPartitionBytes``), so at most that
+    much is ever shuffled; anything larger has several splits and is left alone.
     """
-    df = spark.read.parquet(os.path.join(base, f"{name}.parquet"))
-    if name in TEXT_TABLES or min_partitions:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
-            df = df.repartition(want)
-    return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
