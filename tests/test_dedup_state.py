@@ -50,20 +50,24 @@ def test_digest_text_format_and_overflow(spark):
     assert digest_text(df.limit(0), 10, posting_line(), POSTING_HEADER).count() == 0
 
 
+def _keys(df):
+    return sorted(r["fingerprint"] for r in df.collect())
+
+
 def test_store_two_runs_retry_overflow_and_idempotence(spark, tmp_dir):
     store = Store(spark, os.path.join(tmp_dir, "state"))
     sent = []
 
-    def ok(rows):
-        sent.append(rows.count())
+    def ok(rows, total, run_id, kind):
+        sent.append((rows.count(), total, run_id, kind))
         return True
 
-    def fail(rows):
+    def fail(*_):
         return False
 
     run0 = _rows(spark, [(i, f"a{i}", "remoteok") for i in range(12)])
     rep = store.run(run0, 0, 10, ok)
-    assert (rep.retried, rep.inserted, rep.sent) == (0, 12, True)
+    assert (rep.retried, rep.inserted, rep.sent) == (0, 12, True) and sent == [(10, 12, 0, "new")]
     assert store.pending().count() == 2  # overflow beyond the digest stays pending
 
     # run 1: delivery fails -> new rows stay pending; the retry of run 0's overflow also fails
@@ -72,21 +76,85 @@ def test_store_two_runs_retry_overflow_and_idempotence(spark, tmp_dir):
     assert (rep.retried, rep.retry_sent, rep.inserted, rep.sent) == (2, False, 1, False)
     assert store.pending().count() == 3
 
-    # re-running run 1 (same batch id) rewrites the same partitions: idempotent
+    # re-running run 1 (same batch id) rewrites the same folders: idempotent
     rep = store.run(run1, 1, 10, fail)
     assert rep.inserted == 1 and store.rows().count() == 13
 
     # run 2: retry succeeds and marks the first N pending
     rep = store.run(_rows(spark, [(200, "a0", "x")]), 2, 10, ok)
     assert (rep.retried, rep.retry_sent, rep.inserted) == (3, True, 0)
-    assert store.pending().count() == 0
+    assert store.pending().count() == 0 and sent[-1] == (3, 3, 2, "retry")
+
+
+def test_retry_takes_the_oldest_rows_although_places_start_anew(spark, tmp_dir):
+    """Eight new rows a run and a digest of two: rows of the first run come before those of later ones."""
+    store, shown = Store(spark, os.path.join(tmp_dir, "s")), {}
+
+    def send(rows, total, run_id, kind):
+        shown[run_id, kind] = _keys(rows)
+        return True
+
+    for run in range(4):
+        store.run(_rows(spark, [((100 if run == 0 else 0) + i, f"r{run}_{i}", "remoteok") for i in range(8)]), run, 2, send)
+    assert [shown[r, "retry"] for r in (1, 2, 3)] == [["r0_2", "r0_3"], ["r0_4", "r0_5"], ["r0_6", "r0_7"]]
+    assert all(shown[r, "new"] == [f"r{r}_0", f"r{r}_1"] for r in range(4))
+    # what was shown is what is marked
+    assert sorted(sum(shown.values(), [])) == _keys(store.notifications())
+
+
+def test_ties_are_shown_and_marked_alike(spark, tmp_dir):
+    store, shown = Store(spark, os.path.join(tmp_dir, "s")), []
+    store.run(_rows(spark, [(7, f"k{i}", "remoteok") for i in range(9)]), 0, 4, lambda rows, *_: shown.extend(_keys(rows)) or True)
+    assert shown == ["k0", "k1", "k2", "k3"] == _keys(store.notifications())
+
+
+def test_first_run_keeps_one_row_per_key(spark, tmp_dir):
+    store = Store(spark, os.path.join(tmp_dir, "s"))
+    assert store.insert(_rows(spark, [(1, "a", "remoteok"), (2, "a", "himalayas"), (3, "b", "remoteok")]), 0) == 2
+    assert {r["fingerprint"]: r["source"] for r in store.rows().collect()} == {"a": "remoteok", "b": "remoteok"}
+
+
+def test_a_replay_with_nothing_leaves_nothing_of_the_run(spark, tmp_dir):
+    from feedline.streaming.flows import digest_sink
+    store, log = Store(spark, os.path.join(tmp_dir, "s")), os.path.join(tmp_dir, "digests")
+    send = digest_sink(log, 2)
+    store.run(_rows(spark, [(i, f"a{i}", "remoteok") for i in range(3)]), 0, 2, send)
+    batch = _rows(spark, [(i, f"b{i}", "remoteok") for i in range(3)])
+    for _ in range(2):
+        store.run(batch, 1, 2, send)
+    assert spark.read.parquet(log).count() == 3  # run 0 new, run 1 retry and new, each once
+    rep = store.run(batch.limit(0), 1, 2, lambda *_: False)
+    assert rep.inserted == 0 and _keys(store.rows()) == ["a0", "a1", "a2"] and _keys(store.pending()) == ["a2"]
+
+
+def test_a_damaged_history_is_an_error_and_not_an_empty_one(spark, tmp_dir):
+    import glob
+
+    import pytest
+    store = Store(spark, os.path.join(tmp_dir, "s"))
+    store.run(_rows(spark, [(i, f"a{i}", "remoteok") for i in range(3)]), 0, 2, lambda *_: True)
+    for path in glob.glob(os.path.join(tmp_dir, "s", "postings_keys", "run_id=0", "**", "*.parquet"), recursive=True):
+        with open(path, "wb") as f:
+            f.write(b"no parquet")
+    with pytest.raises(Exception):
+        store.run(_rows(spark, [(0, "a0", "remoteok")]), 1, 2, lambda *_: True)
+
+
+def test_a_batch_reads_the_key_files_of_its_own_prefixes(spark, tmp_dir):
+    store = Store(spark, os.path.join(tmp_dir, "s"))
+    store.run(_rows(spark, [(i, f"{i:02x}rest", "remoteok") for i in range(64)]), 0, 2, lambda *_: True)
+    keys = store.keys(1, ["0a", "0b"])
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "fp IN (0a,0b)" in plan.replace("fp#", "fp ").replace("  ", " ") or "PartitionFilters: [" in plan and "0a" in plan
+    assert _keys(keys) == ["0arest", "0brest"] and len(keys.inputFiles()) <= 64
+    assert set(store.rows().columns) == {*SCHEMA.replace(",", "").split()[::2], "created_at", "run_id"}
 
 
 def test_store_pending_skips_unreadable_rows(spark, tmp_dir):
     store = Store(spark, os.path.join(tmp_dir, "s"))
     bad = _rows(spark, [(0, "a", "retired_board"), (1, "b", "remoteok")])
-    store.insert(bad, 0)
-    assert [r["fingerprint"] for r in store.pending().collect()] == ["b"]
+    store.run(bad, 0, 5, lambda *_: False)
+    assert _keys(store.pending()) == ["b"]
     assert store.rows().filter(F.col("run_id") == 0).count() == 2
 
 
@@ -105,33 +173,28 @@ def test_postings_run_over_landed_feeds(spark, tmp_dir):
     params = PostingParams(keywords=("python",), max_years=None, max_age_days=30, blacklist=None,
                            allowed_languages=None, as_of=dt.datetime(2024, 1, 31), enabled_feeds=("remotive",))
     store = Store(spark, os.path.join(tmp_dir, "state"))
-    rep, failed, funnel = run_postings(spark, os.path.join(tmp_dir, "land"), store, 0, params, lambda rows: True)
+    rep, failed, funnel = run_postings(spark, os.path.join(tmp_dir, "land"), store, 0, params, lambda *_: True)
     assert failed == {} and rep.inserted == 1 and rep.sent
     assert funnel["n_total"] == 3 and funnel["n_relevant"] == 2 and funnel["n_recent"] == 2
     assert store.rows().first()["title"] == "python dev"  # last values win within the batch
-    rep, _, _ = run_postings(spark, os.path.join(tmp_dir, "land"), store, 1, params, lambda rows: True)
+    rep, _, _ = run_postings(spark, os.path.join(tmp_dir, "land"), store, 1, params, lambda *_: True)
     assert rep.inserted == 0  # a second run over the same feeds inserts nothing
 
 
-def test_pending_snapshots_equal_full_history_scan(spark, tmp_dir):
+def test_pending_by_ledger_equals_full_history_scan(spark, tmp_dir):
     store = Store(spark, os.path.join(tmp_dir, "snap"))
     results = iter([True, False, True, False, True, True, True, True])
 
-    def send(rows):
-        return next(results)
+    def batch(run):
+        return _rows(spark, [(i, f"r{run}-{i}" if i % 4 else f"shared-{i}", "remoteok") for i in range(13)])
 
     for run in range(4):
-        batch = _rows(spark, [(run * 100 + i, f"r{run}-{i}" if i % 4 else f"shared-{i}", "remoteok")
-                              for i in range(13)])
-        store.run(batch, run, 5, send)
-        fast = sorted(r["fingerprint"] for r in store.pending().collect())
-        full = sorted(r["fingerprint"] for r in store.pending_by_full_scan().collect())
-        assert fast == full
+        store.run(batch(run), run, 5, lambda *_: next(results))
+        assert _keys(store.pending()) == _keys(store.pending_by_full_scan())
+        assert sum(store.open_runs().values()) == store.pending().count()
     # a replay of the last run reproduces the same state
-    store.run(_rows(spark, [(300 + i, f"r3-{i}" if i % 4 else f"shared-{i}", "remoteok") for i in range(13)]),
-              3, 5, lambda rows: True)
-    assert sorted(r["fingerprint"] for r in store.pending().collect()) == \
-        sorted(r["fingerprint"] for r in store.pending_by_full_scan().collect())
+    store.run(batch(3), 3, 5, lambda *_: True)
+    assert _keys(store.pending()) == _keys(store.pending_by_full_scan())
 
 
 def test_new_by_aggregation_equals_dedup_then_anti_join(spark):
@@ -144,3 +207,12 @@ def test_new_by_aggregation_equals_dedup_then_anti_join(spark):
     want = {r["fingerprint"]: (r["seq"], r["source"])
             for r in new_rows(batch, df.filter(F.col("run_no") < 1)).collect()}
     assert got == want == {"b": (2, "z"), "c": (5, "v")}
+
+
+def test_language_list_without_a_profile_is_an_error(spark):
+    import pytest
+
+    from feedline.operators.predicates import posting_filter
+    from feedline.params import PostingParams
+    with pytest.raises(ValueError):
+        posting_filter(_rows(spark, [(0, "a", "remoteok")]), PostingParams())

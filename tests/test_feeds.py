@@ -146,10 +146,10 @@ def test_tabular_passes_and_source_map(spark):
          (3, "indeed", None, "C", "NY", "https://i/3", "d", None)],
         "seq long, site string, title string, company string, location string, job_url string, "
         "description string, date_posted string")
-    out = cf.read_tabular_passes(spark, rows, rows.withColumn("seq", F.col("seq") + 10))
-    got = sorted((r["seq"], r["source"], r["is_remote"], r["location"], r["posted_at"]) for r in out.collect())
+    out = cf.read_tabular_passes(spark, rows, rows)
+    got = [(r["seq"]["pos"], r["source"], r["is_remote"], r["location"], r["posted_at"]) for r in out.orderBy("seq").collect()]
     assert got == [(1, "linkedin", True, "Remote", dt.datetime(2024, 1, 5)),
-                   (11, "linkedin", False, "Remote", dt.datetime(2024, 1, 5))]
+                   (1, "linkedin", False, "Remote", dt.datetime(2024, 1, 5))]  # the local pass comes second
 
 
 CARD_SCHEMA = ("feed string, step long, pos long, href string, raw string, title string, company string, "
@@ -200,3 +200,78 @@ def test_registry_reads_landed_files_and_skips_failed_feeds(spark, tmp_dir):
     assert list(failed) == ["himalayas"]
     seqs = {r["source"]: r["seq"] for r in df.collect()}
     assert seqs["remoteok"] < seqs["remotive"]
+
+
+def test_files_of_one_date_keep_their_order_and_their_own_places(spark, tmp_dir):
+    import os
+
+    from feedline.sources.registry import union_feeds
+    os.makedirs(os.path.join(tmp_dir, "remoteok"))
+    os.makedirs(os.path.join(tmp_dir, "remotive"))
+    for n in (1, 2, 10):
+        with open(os.path.join(tmp_dir, "remoteok", f"page-20260707-{n}.json"), "w") as f:
+            json.dump([{"position": f"Dev {n}", "company": "A", "slug": n if n > 1 else None}], f)
+    with open(os.path.join(tmp_dir, "remotive", "a.json"), "w") as f:
+        json.dump({"jobs": [{"title": "Ops", "company_name": "B", "url": "https://r/1"}]}, f)
+    df, failed = union_feeds(spark, tmp_dir, ["remoteok", "remotive"])
+    rows = df.orderBy("seq").collect()
+    assert [r["title"] for r in rows] == ["Dev 1", "Dev 2", "Dev 10", "Ops"] and not failed
+    assert len({tuple(r["seq"]) for r in rows}) == 4
+    # a null or numeric slug only makes the URL odd
+    assert [r["url"].rsplit("/", 1)[1] for r in rows[:3]] == ["None", "2", "10"]
+
+
+def test_newest_thread_only(spark):
+    old = {"id": 9, "created_at_i": 100, "children": [{"id": 1, "text": "A | Old", "created_at_i": 1}]}
+    new = {"id": 3, "created_at_i": 200, "children": [{"id": 2, "text": "B | New", "created_at_i": 1}]}
+    page2 = {"id": 3, "created_at_i": 200, "children": [{"id": 4, "text": "C | More", "created_at_i": 1}]}
+    got = _by_title(json_feeds.read_thread_comments(_payloads(spark, old, new, page2)))
+    assert set(got) == {"New", "More"}
+
+
+def test_salary_that_is_no_number_rejects_the_item(spark):
+    doc = {"jobs": [{"title": "A", "companyName": "X", "applicationLink": "https://a/1", "minSalary": "a lot"},
+                    {"title": "B", "companyName": "X", "applicationLink": "https://a/2", "minSalary": None}]}
+    rows = json_feeds.read_json_salaried(_payloads(spark, doc), with_rejects=True).collect()
+    assert {r["title"]: r["reason"] for r in rows} == {"A": "malformed", "B": None}
+
+
+def test_blank_card_title_is_no_title(spark):
+    cards = spark.createDataFrame([("computrabajo", 0, 0, "/o/1", "", " \t\u00a0", "A", "remoto", True, False),
+                                   ("computrabajo", 0, 1, "/o/1", "", "\tDev ", "A", "remoto", True, False)], CARD_SCHEMA)
+    assert list(_by_title(cf.read_card_fields(cards))) == ["Dev"]
+
+
+def test_blocks_of_any_feed_cut_it(spark):
+    from feedline.operators.windows import cut_after_first_block
+    df = spark.createDataFrame([("own-feed", 0, False), ("own-feed", 1, True), ("own-feed", 2, False), (None, 0, True), ("x", 5, False)], "feed string, step int, blocked boolean")
+    assert sorted((r.feed, r.step) for r in cut_after_first_block(df).collect()) == [("own-feed", 0), ("x", 5)]
+
+
+def test_local_search_reads_the_local_rows(spark, tmp_dir):
+    import os
+
+    from feedline.sources.registry import LocalSearch, union_feeds
+    spark.createDataFrame([("bumeran", 0, 0, "/e/1", "Desarrollador Python\nAcme\nremoto", "", "", "", True, False),
+                           ("bumeran", 1, 0, "/e/2", "Programador Java\nBeta\nCelaya", "", "", "", False, False)], CARD_SCHEMA).write.parquet(os.path.join(tmp_dir, "bumeran"))
+    for search, want in ((LocalSearch(), {"Desarrollador Python": "Remote"}),
+                         (LocalSearch(" Celaya ", True), {"Desarrollador Python": "Remote", "Programador Java": "Celaya"})):
+        rows, _ = union_feeds(spark, tmp_dir, ["bumeran"], search)
+        assert {r["title"]: r["location"] for r in rows.collect()} == want
+
+
+def test_rfc2822_forms(spark):
+    from email.utils import parsedate_to_datetime
+
+    from feedline.functions.dates import rfc2822_to_ts
+    texts = ["Tue, 07 Jul 2026 10:00:00 +0000 (UTC)", "Tue, 07 Jul 2026 10:00:00", "7 Jul 26 10:00:00 GMT", "Tue, 07 Jul 2026 10:00 -0530",
+             "7 Jul 70 10:00:00 EST", "Tue, 07 Jul 2026 10:00:00 PDT", "Tue, 7 July 2026 10:00:00 Z", "Sun, 06 Nov 1994 08:49:37 +0130",
+             "not a date", "", "31 Feb 2026 10:00:00 GMT", "tomorrow 10:00", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rfc2822_to_ts(F.col("t")).alias("ts"))
+    for r in df.collect():
+        try:
+            want = parsedate_to_datetime(r["t"])
+            want = want.astimezone(dt.UTC).replace(tzinfo=None) if want.tzinfo else want
+        except (TypeError, ValueError):
+            want = None
+        assert r["ts"] == want, r["t"]

@@ -1,20 +1,30 @@
-from pyspark.sql import functions as F
-
-from feedline.functions.html import mailto_candidates, plain_text
+from feedline.functions.html import anchors, explode_mailto, list_links, plain_text, result_cards
 from feedline.operators.contacts import best_contact, with_hr_flag
 from feedline.operators.joins import radius_join, robots_allowed, within_radius
 from feedline.sources.crawl import robots_rules
 
 
-def test_mailto_context_uses_parent_own_text_only():
+def _candidates(spark, *pages):
+    df = spark.createDataFrame([(i, "w", h) for i, h in enumerate(pages)], "page_id long, website string, html string")
+    return [tuple(r) for r in explode_mailto(df, keep=("website",)).orderBy("page_id", "pos").collect()]
+
+
+def test_mailto_context_uses_parent_own_text_only(spark):
     html = ('<div>Ventas <a href="mailto:ventas@x.mx?subject=hola">escribir</a> '
             '<span>Recursos Humanos</span> <a href="MAILTO:rh@x.mx">rh</a></div>'
-            '<p>Trabaja con nosotros: <a href="mailto:jobs@x.mx">aquí</a></p><a href="mailto:">empty</a>')
-    got = mailto_candidates(html)
-    assert [g[1] for g in got] == ["ventas@x.mx", "rh@x.mx", "jobs@x.mx"]
+            '<p>Trabaja con nosotros: <a href="mailto:jobs@x.mx">aquí</a></p><a href="mailto:">empty</a><a>none</a>')
+    got = _candidates(spark, html, None, "", "<p>no link")
+    assert [(g[0], g[1], g[2], g[3]) for g in got] == [(0, "w", 0, "ventas@x.mx"), (0, "w", 1, "rh@x.mx"), (0, "w", 2, "jobs@x.mx")]
     # the sibling span's "Recursos Humanos" does not bleed into the first anchor's context
-    assert "recursos" not in got[0][2] and got[0][2].startswith("escribir ventas")
-    assert "trabaja con nosotros" in got[2][2]
+    assert "recursos" not in got[0][4] and got[0][4].startswith("escribir ventas")
+    assert "trabaja con nosotros" in got[2][4]
+
+
+def test_deep_pages_do_not_break_the_walk(spark):
+    deep = "<li>" * 100_000 + '<a href="mailto:x@y.mx">z</a>'
+    assert plain_text(deep) == "z" and len(anchors(deep)) == 1
+    assert result_cards("<b>" * 100_000) == [] and list_links("</i>" * 100_000 + "<p>" * 100_000, "/x") == []
+    assert [g[3] for g in _candidates(spark, deep, '<a href="mailto:q@r.mx">s</a>')] == ["x@y.mx", "q@r.mx"]
 
 
 def test_plain_text_skips_script_and_decodes_entities():
@@ -51,14 +61,48 @@ def test_robots_rules_and_anti_join(spark):
     assert kept == [1, 4, 5]
 
 
-def test_radius_single_centre_and_grid_join_agree(spark):
-    pts = spark.createDataFrame([(i, 20.1 + (i % 20) * 0.05 - 0.5, -100.8 + (i // 20) * 0.05 - 0.5)
-                                 for i in range(400)], "id long, latitude double, longitude double")
-    one = {r["id"] for r in within_radius(pts, 20.1, -100.8, 30.0).collect()}
-    centres = spark.createDataFrame([(0, 20.1, -100.8), (1, 19.8, -101.0)], "centre_id long, centre_lat double, centre_lon double")
-    many = radius_join(pts, centres, 30.0)
-    assert {r["id"] for r in many.filter(F.col("centre_id") == 0).collect()} == one
-    assert 0 < len(one) < 400
+def test_robots_rules_hold_for_the_whole_host_and_path(spark):
+    """Against the standard parser: groups, other lines, blank lines, tabs, escapes, sites with a path."""
+    import urllib.robotparser
+    bodies = ["User-agent: postbot\nCrawl-delay: 3\nUser-agent: badbot\nDisallow: /\n",
+              "User-agent:\tpostbot\nDisallow:\t/x\n\nDisallow: /y\n", "User-agent: *\n\nDisallow: /a\n",
+              "User-agent: a\nUser-agent: postbot\nDisallow: /q\nUser-agent: *\nDisallow: /\n",
+              "# c\n\nUser-agent: *\n# hi\nDisallow: /z%20a\nAllow: /\n",
+              "User-agent: *\nDisallow: /b\n\n\nUser-agent: postbot\nDisallow: /c\nSitemap: x\nDisallow: /d",
+              "User-agent: *\nDisallow: /es/contacto\n"]
+    robots = spark.createDataFrame([(f"https://h{i}.x", 200, b) for i, b in enumerate(bodies)], "website string, status int, body string")
+    paths = ["", "/", "/x", "/y/1", "/a", "/q", "/z a", "/z%20a", "/b", "/c", "/d", "/contacto", "/es/contacto"]
+    pages = spark.createDataFrame([(f"https://h{i}.x{s}", p) for i in range(len(bodies)) for s in ("", "/es") for p in paths], "website string, path string")
+    kept = {(r.website, r.path) for r in robots_allowed(pages, robots_rules(robots)).collect()}
+    for i, body in enumerate(bodies):
+        std = urllib.robotparser.RobotFileParser()
+        std.parse(body.splitlines())
+        for s in ("", "/es"):
+            for p in paths:
+                assert ((f"https://h{i}.x{s}", p) in kept) == std.can_fetch("postbot/1.0", f"https://h{i}.x{s}{p}"), (i, s, p)
+
+
+def _km(a, b, c, d):
+    import math
+    r = math.radians
+    x = math.sin((r(c) - r(a)) / 2) ** 2 + math.cos(r(a)) * math.cos(r(c)) * math.sin((r(d) - r(b)) / 2) ** 2
+    return 2 * 6371.0 * math.asin(math.sqrt(x))
+
+
+def test_radius_finds_all_points_round_the_globe(spark):
+    import random
+    rng = random.Random(1)
+    pts = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(2000)]
+    pts += [(3000 + i, rng.uniform(60, 90), rng.uniform(-180, 180)) for i in range(1500)]
+    pts += [(5000 + i, rng.uniform(-20, 20), rng.choice([-1, 1]) * rng.uniform(178, 180)) for i in range(800)]
+    centres = [(0, 70.0, 10.0), (1, 89.0, 0.0), (2, 0.0, 179.9), (3, 10.0, -179.5), (4, -88.0, 100.0), (5, 20.1, -100.8), (6, 90.0, 0.0)]
+    points = spark.createDataFrame(pts, "id long, latitude double, longitude double")
+    cs = spark.createDataFrame(centres, "centre_id long, centre_lat double, centre_lon double")
+    for radius in (80.0, 500.0, 3000.0):
+        want = sorted((c, i) for c, a, b in centres for i, la, lo in pts if _km(a, b, la, lo) <= radius)
+        assert sorted((r.centre_id, r.id) for r in radius_join(points, cs, radius).collect()) == want
+        for c, a, b in centres[:4]:
+            assert sorted(r.id for r in within_radius(points, a, b, radius).collect()) == [i for k, i in want if k == c]
 
 
 def test_leads_without_email_are_saved_but_never_notified_or_retried(spark, tmp_dir):
@@ -75,14 +119,14 @@ def test_leads_without_email_are_saved_but_never_notified_or_retried(spark, tmp_
     store = Store(spark, os.path.join(tmp_dir, "leads"), "leads", leads=True)
     announced = []
 
-    def send(rows):
+    def send(rows, *_):
         announced.append(sorted(r["fingerprint"] for r in rows.collect()))
         return False  # delivery fails: announced leads stay pending, e-mail-less ones never appear
 
     rep = store.run(leads, 0, 30, send)
     assert rep.inserted == 3 and announced == [["fa", "fc"]]
     assert sorted(r["fingerprint"] for r in store.pending().collect()) == ["fa", "fc"]
-    rep = store.run(leads.limit(0), 1, 30, lambda rows: True)  # the retry marks them
+    rep = store.run(leads.limit(0), 1, 30, lambda *_: True)  # the retry marks them
     assert rep.retried == 2 and rep.retry_sent and store.pending().count() == 0
     assert store.rows().filter("status = 'no_email_found'").count() == 1
 
