@@ -4,7 +4,7 @@ Model: multinomial naive Bayes over character 1..3-grams of normalised text
 (lower-cased, every run of non-letters -> one space).
 
 fit (``fit_profile``), over labelled documents:
-    explode grams -> count per (lang, gram) [partial aggregation]
+    count grams inside each Arrow batch -> sum per (lang, gram) [partial aggregation]
     -> one row per gram: array of log P(gram | lang), Laplace-smoothed,
        languages in sorted order  (the "profile")
     + per-language log prior.
@@ -96,15 +96,24 @@ def _code(gram: str) -> int:
     return c
 
 
+def _codes(points: np.ndarray, n: int) -> np.ndarray:
+    """Codes of all grams of ``n`` code points."""
+    code = points[:len(points) - n + 1].copy()
+    for i in range(1, n):
+        code = (code << np.uint64(21)) | points[i:len(points) - n + 1 + i]
+    return code
+
+
+def _gram(code: int, n: int) -> str:
+    return "".join(chr(code >> 21 * (n - 1 - i) & 0x1FFFFF) for i in range(n))
+
+
 def _row_scores(text: str, code: np.ndarray, lp: np.ndarray) -> np.ndarray | None:
     """Sums of log probabilities over the known grams of a normalised text; None without any."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    total, known, gram = np.zeros(lp.shape[1]), 0, np.zeros(len(points), np.uint64)
-    for n in range(1, MAX_N + 1):
-        if len(points) < n:
-            break
-        gram = (gram[:len(points) - n + 1] << np.uint64(21)) | points[n - 1:]
-        found, times = np.unique(gram, return_counts=True)
+    total, known = np.zeros(lp.shape[1]), 0
+    for n in range(1, min(MAX_N, len(points)) + 1):
+        found, times = np.unique(_codes(points, n), return_counts=True)
         at = np.minimum(np.searchsorted(code, found), max(len(code) - 1, 0))
         hit = code[at] == found if len(code) else np.zeros(len(found), bool)
         total += times[hit] @ lp[at[hit]]
@@ -116,14 +125,26 @@ def fit_profile(docs: DataFrame, text: str = "text", label: str = "lang") -> Pro
     """Train on labelled documents (whole texts)."""
     ensure_checkpoint_dir(docs.sparkSession)
     docs = docs.filter(F.col(label).isNotNull())
+
+    def count(batches):
+        for pdf in batches:
+            for lang, texts in pdf.groupby("lang")["t"]:
+                points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in texts if t]
+                for n in range(1, MAX_N + 1):
+                    codes = [_codes(p, n) for p in points if len(p) >= n]
+                    if codes:
+                        code, times = np.unique(np.concatenate(codes), return_counts=True)
+                        yield pd.DataFrame({"lang": lang, "gram": [_gram(int(c), n) for c in code], "n": times})
+
     # Small driver-side facts: one row per language (reads the label column only).
     n_docs = {r[0]: r[1] for r in docs.groupBy(label).agg(F.count(F.lit(1))).collect()}
     langs = sorted(n_docs)
     d = docs.select(F.col(label).alias("lang"), F.col(text))
-    # One row per gram with its count in every language (one aggregation pass),
-    # materialised in the shared checkpoint folder: it is the model.
-    by_gram = (explode_grams(d, F.col(text), ["lang"])
-               .groupBy("gram").pivot("lang", langs).agg(F.count(F.lit(1)))
+    # Grams are counted inside each Arrow batch, so a batch sends one row per
+    # gram and language; one aggregation gives one row per gram with its count
+    # in every language, materialised in the shared checkpoint folder: the model.
+    counts = d.select("lang", normalise(F.col(text)).alias("t")).mapInPandas(count, "lang string, gram string, n long")
+    by_gram = (counts.groupBy("gram").pivot("lang", langs).agg(F.sum("n"))
                .fillna(0, subset=langs)).checkpoint()
     stats = by_gram.agg(F.count(F.lit(1)).alias("vocab"), *[F.sum(F.col(l)).alias(l) for l in langs]).first()
     vocab = stats["vocab"]
