@@ -48,11 +48,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object store)
-    folder and we only read it.  Only when it is unset -- local tests -- do we
-    create a scratch folder of our own.
+    folder and we only read it.  Only when it is unset and the master is local
+    -- tests -- do we create a scratch folder of our own; elsewhere that is an error.
     """
     d = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="feedline-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, d)
     if not spark.sparkContext.getCheckpointDir():
