@@ -19,8 +19,9 @@ only runs of one anchor need be compared:
    anchor may fill many partitions.  Each partition sorts all strings of its suffixes by
    multikey quicksort, eight bytes at a time; equal strings become neighbours,
    and all but those of the smallest id are repeated.
-3. An anchor at the edge of a partition may go on in the next one.  Strings of
-   such anchors are compared across partitions by an aggregation on 128-bit hashes.
+3. An anchor at the edge of a partition may go on in the next one.  Of the
+   strings of such anchors each partition sends its first holder, as packed 128-bit
+   hashes, and these are compared across partitions.
 
 Memory holds a slice of texts, a bucket of runs or a range of suffixes.  Only
 counts reach the driver.  Runs are compared by 64-bit hashes within a 40-bit
@@ -189,19 +190,41 @@ def multikey_groups(buf: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return group
 
 
-FINE = "did long, c long, mask long, h0 long, h1 long, t int"
+FINE = "did long, c long, mask long, b long, h0 binary, h1 binary, holder binary, run binary, t binary"
+_PACKED = (("h0", np.uint64), ("h1", np.uint64), ("holder", np.int64), ("run", np.int64), ("t", np.uint8))
 
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _compare(tab: pa.Table, edge: bool) -> pa.RecordBatch | None:
-    """Strings of some whole anchors: the repeated ones as masks, or at an edge all strings by their hashes."""
+def _masks(did: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document and run the strings ``t`` as a mask."""
+    order = np.lexsort((c, did))
+    did, c, bit = did[order], c[order], np.int64(1) << t[order].astype(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (c[1:] != c[:-1])])) if len(did) else np.zeros(0, np.int64)
+    return did[head], c[head], np.bitwise_or.reduceat(bit, head) if len(head) else bit
+
+
+def _fine(did: np.ndarray, c: np.ndarray, mask: np.ndarray, packed: list[tuple] = ()) -> pa.RecordBatch:
+    """Rows of FINE: masks, then packed holders by bucket."""
+    n, cols = len(did), list(zip(*packed)) or [()] * 6
+    none = [None] * len(packed)
+    arrays = [pa.array([*x.tolist(), *none], pa.int64()) for x in (did, c, mask)]
+    arrays.append(pa.array([*[None] * n, *cols[0]], pa.int64()))
+    arrays += [pa.array([*[None] * n, *x], pa.binary()) for x in cols[1:]]
+    return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in FINE.split(", ")])
+
+
+def _compare(tab: pa.Table, edge: bool, buckets: int) -> pa.RecordBatch:
+    """Strings of some whole anchors of a range: the repeated ones as masks.
+
+    At an edge the anchor may go on in the next range, so each different
+    string's first holder here goes on too, to be compared with those of other ranges.
+    """
     tab = tab.combine_chunks()
     did, c = tab.column("did").to_numpy(), tab.column("c").to_numpy()
-    col = tab.column("s").combine_chunks()
-    col = col.cast(pa.large_binary())
+    col = tab.column("s").combine_chunks().cast(pa.large_binary())
     _, o, data = col.buffers()
     offs = np.frombuffer(o, np.int64, len(col) + 1, col.offset * 8)
     buf = np.frombuffer(data, np.uint8)[offs[0]:offs[-1]]
@@ -209,55 +232,65 @@ def _compare(tab: pa.Table, edge: bool) -> pa.RecordBatch | None:
     n = np.diff(offs) - LENGTH + 1
     pos, own = _ranges(offs[:-1], n), np.repeat(np.arange(len(n)), n)
     t = pos - offs[own]
-    if edge:
-        h0 = span_hashes(prefix_sums(buf), pos, pos + LENGTH)
-        e = eights(buf)
-        h1 = np.zeros(len(pos), np.uint64)
-        for step in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-            h1 = mix64(h1 + e[pos + step] * ODD)
-        none = pa.nulls(len(pos), pa.int64())
-        cols = [pa.array(did[own]), pa.array(c[own]), none, pa.array(h0.view(np.int64)), pa.array(h1.view(np.int64)), pa.array(t.astype(np.int32))]
-    else:
-        g = multikey_groups(buf, pos)
-        least = np.full(g.max() + 1, LAST)
-        np.minimum.at(least, g, did[own])
-        late = did[own] > least[g]
-        if not late.any():
-            return None
-        mask = np.zeros(len(n), np.int64)
-        np.bitwise_or.at(mask, own[late], np.int64(1) << t[late])
-        some = np.flatnonzero(mask)
-        none = pa.nulls(len(some), pa.int64())
-        cols = [pa.array(did[some]), pa.array(c[some]), pa.array(mask[some]), none, none, pa.nulls(len(some), pa.int32())]
-    return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in FINE.split(", ")])
-
-
-def compare_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    g = multikey_groups(buf, pos)
+    order = np.lexsort((did[own], g))
+    head = np.concatenate([[True], g[order][1:] != g[order][:-1]])
+    first = order[head]  # of each string, the row of its smallest id
+    least = np.empty(g.max() + 1, np.int64)
+    least[g[first]] = did[own[first]]
+    late = did[own] > least[g]
+    masks = _masks(did[own[late]], c[own[late]], t[late])
+    if not edge:
+        return _fine(*masks)
+    pos, own, t = pos[first], own[first], t[first]
+    h0 = span_hashes(prefix_sums(buf), pos, pos + LENGTH)
+    e = eights(buf)
+    h1 = np.zeros(len(pos), np.uint64)
+    for step in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        h1 = mix64(h1 + e[pos + step] * ODD)
+    b = (h0 % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    cut = np.concatenate([[0], np.flatnonzero(b[order][1:] != b[order][:-1]) + 1, [len(b)]])
+    columns = (h0, h1, did[own], c[own], t.astype(np.uint8))
+    return _fine(*masks, [(int(b[order[s]]), *(x[order[s:e]].tobytes() for x in columns)) for s, e in zip(cut[:-1], cut[1:])])
+
+
+def meet_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Holders of equal strings from different ranges: all but the smallest id's are repeated.
+
+    A range sends a string once, so a string has at most one holder per range.
+    """
+    for tab in whole_groups(batches, "b"):
+        for s, e in zip(*_bucket_rows(tab)):
+            part = tab.slice(s, e - s)
+            h0, h1, did, c, t = (np.frombuffer(b"".join(x.as_py() for x in part.column(k)), kind) for k, kind in _PACKED)
+            order = np.lexsort((did, h1, h0))
+            new = np.concatenate([[True], (h0[order][1:] != h0[order][:-1]) | (h1[order][1:] != h1[order][:-1])])
+            least = did[order][new][np.cumsum(new) - 1]
+            late = order[did[order] > least]
+            if len(late):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _masks(did[late], c[late], t[late])], ["did", "c", "mask"])
+
+
+def compare_suffixes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """One range of suffixes in the order of their leading bytes; its first and last leading eight bytes are its edges."""
     held, first = None, True
     for tab in whole_groups(batches, "l0"):
-        lead = tab.column("l0").combine_chunks().to_numpy()
         if held is not None:
-            yield from _some(_compare(held, first))
-            first, held = False, None
+            yield _compare(held, first, buckets)
+            first = False
         # only the last group may go on in the next range, only the first may come from the one before
+        lead = tab.column("l0").combine_chunks().to_numpy()
         cut = int(np.flatnonzero(lead == lead[-1])[0])
-        if cut and first:
-            start = int(np.flatnonzero(lead != lead[0])[0])
-            yield from _some(_compare(tab.slice(0, start), True))
-            first = False
-            if cut > start:
-                yield from _some(_compare(tab.slice(start, cut - start), False))
-        elif cut:
-            yield from _some(_compare(tab.slice(0, cut), False))
+        start = int(np.flatnonzero(lead != lead[0])[0]) if cut and first else 0
+        if start:
+            yield _compare(tab.slice(0, start), True, buckets)
+        if cut > start:
+            yield _compare(tab.slice(start, cut - start), False, buckets)
+        first = first and not cut
         held = tab.slice(cut)
     if held is not None:
-        yield from _some(_compare(held, True))
-
-
-def _some(batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
-    if batch is not None and batch.num_rows:
-        yield batch
+        yield _compare(held, True, buckets)
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -339,12 +372,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     suffixes = asked.mapInArrow(send, "l0 long, l1 long, did long, c long, s binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fine = suffixes.repartitionByRange(parts, "l0", "l1", "did", "c").sortWithinPartitions("l0").mapInArrow(compare_suffixes, FINE)
+    fine = suffixes.repartitionByRange(parts, "l0", "l1", "did", "c").sortWithinPartitions("l0").mapInArrow(lambda b: compare_suffixes(b, parts), FINE)
     fine = scratch.write(fine, "fine")
-    edges = fine.filter("h0 is not null")
-    first = edges.groupBy("h0", "h1").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most").select("h0", "h1", "least")
-    late = edges.join(first, ["h0", "h1"]).filter("did > least").groupBy("did", "c").agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("mask"))
-    masks = fine.filter("h0 is null").select("did", "c", "mask").union(late.select("did", "c", "mask"))
+    edges = fine.filter("b is not null").drop("did", "c", "mask")
+    late = edges.repartition("b").sortWithinPartitions("b").mapInArrow(meet_holders, "did long, c long, mask long")
+    masks = fine.filter("b is null").select("did", "c", "mask").union(late)
+    masks = masks.groupBy("did", "c").agg(F.bit_or("mask").alias("mask"))
 
     # per document what to remove; bounded by its own runs
     gone = judged.filter("whole").select("did", F.col("c"), F.lit(None).cast("array<struct<c:long,mask:long>>").alias("m")).union(
