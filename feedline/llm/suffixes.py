@@ -370,7 +370,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(data)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*(pa.array((v ^ TOP).view(np.int64)) for v in lead), pa.array(did[t]), pa.array(c.view(np.int64)), text], ["l0", "l1", "did", "c", "s"])
 
-    suffixes = asked.mapInArrow(send, "l0 long, l1 long, did long, c long, s binary")
+    # written first: sampling the splitters and dealing the rows both read them
+    suffixes = scratch.write(asked.mapInArrow(send, "l0 long, l1 long, did long, c long, s binary"), "suffixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fine = suffixes.repartitionByRange(parts, "l0", "l1", "did", "c").sortWithinPartitions("l0").mapInArrow(lambda b: compare_suffixes(b, parts), FINE)
     fine = scratch.write(fine, "fine")
