@@ -126,7 +126,7 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 
-def slices(offs: np.ndarray, budget: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offs: np.ndarray, budget: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``budget`` bytes each; a longer text is a range of its own."""
     n, lo = len(offs) - 1, 0
     while lo < n:

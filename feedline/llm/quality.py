@@ -42,7 +42,7 @@ class Settings:
     batch: int = 32
     rate: float = 60.0
     seed: int = 7
-    max_rows: int = 3000
+    max_rows: int = 2000
 
 
 def features(buf: np.ndarray, offs: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
