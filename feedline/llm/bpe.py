@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 #: Fixed value: how byte-level pre-tokenizers split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of at most this many bytes are remembered, and at most twice so many of them at a time.
-KEEP_BYTES, KEEP_PIECES = 64, 200_000
+KEEP_BYTES, KEEP_PIECES = 64, 150_000
+#: Results of pair tests remembered at a time.
+KEEP_SEAMS = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -88,6 +90,7 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
         self.pieces = _Pieces(self.piece)
+        self.seams: dict[int, bool] = {}  # pairs tested so far
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of ``a`` and ``b`` side by side merge to ``a, b``.
@@ -113,11 +116,21 @@ class Bpe:
     def piece(self, raw: bytes) -> list[int]:
         """The ids of one piece."""
         last: list[int] = [-1] * len(raw)
-        ok = self.compatible
+        seams = self.seams
         for end, (t, n) in self.tokens.iter(raw.decode("latin-1")):
+            if last[end] >= 0:
+                continue
             before = end - n
-            if last[end] < 0 and (before < 0 or last[before] >= 0 and ok(last[before], t)):
+            if before < 0:
                 last[end] = t
+            elif (a := last[before]) >= 0:
+                ok = seams.get(seam := a << 32 | t)
+                if ok is None:
+                    if len(seams) >= KEEP_SEAMS:
+                        seams.clear()
+                    ok = seams[seam] = self.compatible(a, t)
+                if ok:
+                    last[end] = t
         ids, end = [], len(raw) - 1
         while end >= 0:
             ids.append(last[end])
