@@ -61,7 +61,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: in
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 17,
-        range_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        range_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         row_key: tuple[Column, ...] = ()) -> DataFrame:
     """``doc_id, size, source_size, target, copies, taken`` (and ``k0, k1, ...`` for ``row_key``), one row per document.
 
