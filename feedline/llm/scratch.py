@@ -5,6 +5,8 @@ Every executor sees that folder, so a written table survives lost executors.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +15,16 @@ from ..session import ensure_checkpoint_dir
 
 
 class Scratch:
-    """Parquet tables under one fresh folder; ``drop`` frees a table that nothing reads any more."""
+    """Parquet tables under one fresh folder.
+
+    Results read them lazily, so they stay until the driver's Python ends;
+    ``drop`` frees a table earlier that nothing reads any more.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._forget)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -25,6 +32,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
+        self._delete(f"{self.root}/{name}")
+
+    def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _forget(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone by now
+            self._delete(self.root)
