@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sizing import broadcast_rows_if_bounded
 from .batches import runs, whole_groups
 from .components import LocalComponents, connected_components
 from .scratch import Scratch
@@ -220,5 +221,7 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = near_groups(docs, id_col, text_col, shingle, max_bits)
     stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
     stay = Scratch(docs.sparkSession, "simhash").write(stay, "stay")
-    kept = docs.join(stay.select("__id"), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col]) if stay.filter("__n > 1").limit(1).count() else kept
+    n, most = stay.agg(F.count(F.lit(1)), F.max("__n")).first()
+    ids = broadcast_rows_if_bounded(stay.select("__id"), n, 32)  # else the texts are shuffled by id
+    kept = docs.join(ids, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([id_col]) if (most or 0) > 1 else kept
