@@ -37,6 +37,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that outputs of long texts stay small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end offsets of equal neighbours."""
     if not len(keys):

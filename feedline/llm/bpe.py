@@ -25,12 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import parts
+
 #: Fixed value: how byte-level pre-tokenizers split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of at most this many bytes are remembered, and at most twice so many of them at a time.
-KEEP_BYTES, KEEP_PIECES = 64, 150_000
+KEEP_BYTES, KEEP_PIECES = 64, 120_000
 #: Results of pair tests remembered at a time.
-KEEP_SEAMS = 300_000
+KEEP_SEAMS = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -180,7 +182,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(spec)
-        for b in batches:
+        for b in parts(batches):
             ids = [bpe.encode(t.as_py() or "") for t in b.column("__text")]
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n, pa.array(ids, pa.binary())], [*keep, "n_tokens", "ids"])
@@ -196,7 +198,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(spec)
-        for b in batches:
+        for b in parts(batches):
             text = pa.array([bpe.decode(x.as_py() or b"") for x in b.column("__ids")], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], text], [*keep, "text"])
 
