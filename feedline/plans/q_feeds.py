@@ -13,7 +13,7 @@ from ..operators.predicates import valid_posting
 from ..operators.windows import cut_after_first_block, newest, per_site_cap
 from ..sources import card_feeds as cf
 from ..sources import fixtures as fx
-from ..sources import json_feeds, markup_feeds, payloads
+from ..sources import markup_feeds, payloads
 from ..sources import payloads_markup as pm
 from ..sources.registry import LocalSearch, union_feeds
 from ..sources.tables import table
