@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import parts
+from .batches import frugal, parts
 
 #: Fixed value: how byte-level pre-tokenizers split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -188,7 +188,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n, pa.array(ids, pa.binary())], [*keep, "n_tokens", "ids"])
 
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids", "binary")
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(frugal(scan), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -202,4 +202,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str,
             text = pa.array([bpe.decode(x.as_py() or b"") for x in b.column("__ids")], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], text], [*keep, "text"])
 
-    return rows.mapInArrow(scan, encoded.select(*keep).schema.add("text", "string"))
+    return rows.mapInArrow(frugal(scan), encoded.select(*keep).schema.add("text", "string"))

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices, text_bytes
+from .batches import frugal, slices, text_bytes
 
 ASSISTANT = "assistant"
 CONTROL = re.compile(rb"</?s>|\[/?INST\]")
@@ -128,7 +128,7 @@ def format_conversations(turns: DataFrame, partitions: int | None = None) -> Dat
                     ["conv_id", "part", "n_turns", "formatted", "loss"])
                 part += len(first)
 
-    return rows.mapInArrow(scan, FORMATTED)
+    return rows.mapInArrow(frugal(scan), FORMATTED)
 
 
 TURN = re.compile(r"""
@@ -197,4 +197,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             close()
             yield flush()
 
-    return formatted.select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(scan, schema)
+    return formatted.select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(frugal(scan), schema)

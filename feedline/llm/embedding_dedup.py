@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .batches import M1, mix64, whole_groups
+from .batches import M1, frugal, mix64, whole_groups
 from .components import LocalComponents, connected_components
 from .scratch import Scratch
 
@@ -165,7 +165,7 @@ def near_duplicates(emb: DataFrame, threshold: float = 0.98, recall: float = 0.9
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * tables, pa.int32()), pa.array(names.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "names"])
 
-    placed = scratch.write(classes.mapInArrow(meet, StructType([*classes.schema, StructField("names", ArrayType(LongType()))])), "placed")
+    placed = scratch.write(classes.mapInArrow(frugal(meet), StructType([*classes.schema, StructField("names", ArrayType(LongType()))])), "placed")
     spread = placed.select("h0", "h1", "rep", "size", "vec", "names", F.posexplode("names").alias("t", "g"))
     sizes = placed.select(F.explode("names").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     blocks = sizes.select("g", F.ceil(F.col("m") / block).cast("int").alias("nb"))
@@ -195,7 +195,7 @@ def near_duplicates(emb: DataFrame, threshold: float = 0.98, recall: float = 0.9
                 x, links, root = (np.concatenate(c) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h0[x], h1[x], rep[x], links, root)], ["h0", "h1", "rep", "links", "root"])
 
-    found = met.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "h0 long, h1 long, rep long, links long, root long")
+    found = met.repartition("g").sortWithinPartitions("g").mapInArrow(frugal(compare), "h0 long, h1 long, rep long, links long, root long")
     found = scratch.write(found, "found")
     comp = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)
     links = found.groupBy("h0", "h1").agg(F.sum("links").alias("links"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .batches import M1, M2, mix64, prefix_sums, slices, span_hashes, text_bytes, words
+from .batches import M1, M2, frugal, mix64, prefix_sums, slices, span_hashes, text_bytes, words
 
 GRAM = 4
 
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, conf: Settings = Settings(), id_col:
                 [b.column("__id").cast(pa.string()), b.column("__label"), pa.array(idx, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))],
                 ["id", "label", "idx", "n"])
 
-    t = texts.mapInArrow(count, "id string, label int, idx array<int>, n array<int>").toArrow().combine_chunks()
+    t = texts.mapInArrow(frugal(count), "id string, label int, idx array<int>, n array<int>").toArrow().combine_chunks()
     label = t.column("label").to_numpy()
     lists = t.column("idx").combine_chunks()
     if not len(label):
@@ -167,4 +167,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             p = pa.array(np.concatenate(parts) if parts else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], p], [*keep, out])
 
-    return rows.mapInArrow(scan, StructType([*kept.schema, StructField(out, DoubleType())]))
+    return rows.mapInArrow(frugal(scan), StructType([*kept.schema, StructField(out, DoubleType())]))

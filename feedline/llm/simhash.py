@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sizing import broadcast_rows_if_bounded
-from .batches import runs, whole_groups
+from .batches import ID_ROW_BYTES, frugal, runs, whole_groups
 from .components import LocalComponents, connected_components
 from .scratch import Scratch
 
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((simhash(t.as_py(), shingle) for t in b.column("text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return rows.mapInArrow(scan, "id long, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(scan), "id long, fp long").withColumnRenamed("id", id_col)
 
 
 def trie_forest(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, top: int, budget: int) -> np.ndarray:
@@ -175,7 +175,7 @@ def trie_links(classes: DataFrame, max_bits: int = 3, split_above: int = 20_000)
                     for u, v in _group_links(key, fp, s[part], e[part], int(bits), max_bits):
                         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return plain.union(split).repartition("g").sortWithinPartitions("g").mapInArrow(join, "u long, v long")
+    return plain.union(split).repartition("g").sortWithinPartitions("g").mapInArrow(frugal(join), "u long, v long")
 
 
 def _group_links(key, fp, s, e, top, budget) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -222,6 +222,6 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
     stay = Scratch(docs.sparkSession, "simhash").write(stay, "stay")
     n, most = stay.agg(F.count(F.lit(1)), F.max("__n")).first()
-    ids = broadcast_rows_if_bounded(stay.select("__id"), n, 32)  # else the texts are shuffled by id
+    ids = broadcast_rows_if_bounded(stay.select("__id"), n, ID_ROW_BYTES)  # else the texts are shuffled by id
     kept = docs.join(ids, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
     return kept.dropDuplicates([id_col]) if (most or 0) > 1 else kept

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sizing import broadcast_rows_if_bounded
-from .batches import M1, M2, ODD, mix64, prefix_sums, slices, span_hashes, text_bytes, whole_groups
+from .batches import ID_ROW_BYTES, M1, M2, ODD, frugal, mix64, prefix_sums, slices, span_hashes, text_bytes, whole_groups
 from .scratch import Scratch
 
 LENGTH, GRAM = 50, 16
@@ -342,8 +342,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     if len(x):
                         yield _by_document(did[x], c[x], whole)
 
-    dealt = rows.mapInArrow(deal, "b long, a binary, c binary, did binary, n binary")
-    judged = dealt.repartition("b").sortWithinPartitions("b").mapInArrow(judge, "did long, whole boolean, c array<long>")
+    dealt = rows.mapInArrow(frugal(deal), "b long, a binary, c binary, did binary, n binary")
+    judged = dealt.repartition("b").sortWithinPartitions("b").mapInArrow(frugal(judge), "did long, whole boolean, c array<long>")
     judged = scratch.write(judged, "judged")
 
     # bytes of runs that differ from others of their anchor
@@ -371,12 +371,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([*(pa.array((v ^ TOP).view(np.int64)) for v in lead), pa.array(did[t]), pa.array(c.view(np.int64)), text], ["l0", "l1", "did", "c", "s"])
 
     # written first: sampling the splitters and dealing the rows both read them
-    suffixes = scratch.write(asked.mapInArrow(send, "l0 long, l1 long, did long, c long, s binary"), "suffixes")
+    suffixes = scratch.write(asked.mapInArrow(frugal(send), "l0 long, l1 long, did long, c long, s binary"), "suffixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fine = suffixes.repartitionByRange(parts, "l0", "l1", "did", "c").sortWithinPartitions("l0").mapInArrow(lambda b: compare_suffixes(b, parts), FINE)
+    fine = suffixes.repartitionByRange(parts, "l0", "l1", "did", "c").sortWithinPartitions("l0").mapInArrow(frugal(lambda b: compare_suffixes(b, parts)), FINE)
     fine = scratch.write(fine, "fine")
     edges = fine.filter("b is not null").drop("did", "c", "mask")
-    late = edges.repartition("b").sortWithinPartitions("b").mapInArrow(meet_holders, "did long, c long, mask long")
+    late = edges.repartition("b").sortWithinPartitions("b").mapInArrow(frugal(meet_holders), "did long, c long, mask long")
     masks = fine.filter("b is null").select("did", "c", "mask").union(late)
     masks = masks.groupBy("did", "c").agg(F.bit_or("mask").alias("mask"))
 
@@ -396,7 +396,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     schema = "did long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     clean = _without(rows, gone, scratch, "hit").select("did", F.octet_length("text").cast("long").alias("n_bytes"),
                                                           F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.encode("text", "UTF-8").alias("kept"))
-    done = hit.mapInArrow(remove, schema).union(clean)
+    done = hit.mapInArrow(frugal(remove), schema).union(clean)
     return done.select(F.when(F.col("did") < LAST, F.col("did")).alias(id_col), "n_bytes", "spans", "kept")
 
 
@@ -447,12 +447,12 @@ def _bucket_rows(tab: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _only(rows: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Rows whose document is in ``ids``, so that other texts are not shuffled."""
     few = scratch.write(ids.select("did"), name)
-    return rows.join(broadcast_rows_if_bounded(few, few.count(), 16), "did", "left_semi")
+    return rows.join(broadcast_rows_if_bounded(few, few.count(), ID_ROW_BYTES), "did", "left_semi")
 
 
 def _without(rows: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     few = ids.select("did")
-    return rows.join(broadcast_rows_if_bounded(few, few.count(), 16), "did", "left_anti")
+    return rows.join(broadcast_rows_if_bounded(few, few.count(), ID_ROW_BYTES), "did", "left_anti")
 
 
 def _leads(data: np.ndarray, at: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import frugal
+
 STATE = "doc_id long, version string, source string, lang string, tokens long, known boolean"
 DELTA = "source string, lang string, version string, docs long, tokens long"
 GROUP = ["source", "lang", "version"]
@@ -141,7 +143,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, version: str, t
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], [*keep, "tokens"])
 
     schema = docs.select(*keep).schema.add("tokens", "long")
-    return rows.mapInArrow(scan, schema).withColumn("version", F.lit(version))
+    return rows.mapInArrow(frugal(scan), schema).withColumn("version", F.lit(version))
 
 
 _MADE: dict[tuple[int, str], object] = {}
