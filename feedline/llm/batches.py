@@ -141,11 +141,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def running_sums(values: np.ndarray) -> np.ndarray:
+    """S[i]: the wrapped sum of value * base^position over the first i unsigned 64-bit values."""
+    s = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(_BASE, len(values)), out=s[1:])
+    return s
+
+
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """S[i]: the wrapped sum of table[byte] * base^position over the first i bytes."""
-    s = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TABLE[buf] * powers(_BASE, len(buf)), out=s[1:])
-    return s
+    return running_sums(_TABLE[buf])
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -156,6 +161,19 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 
+def planes(a: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each little-endian integer, first all lowest ones: bytes that vary little lie together."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1)[:, :width].T).tobytes()
+
+
+def from_planes(data: memoryview | bytes, width: int, dtype: type) -> np.ndarray:
+    """The integers of ``planes``; bytes not kept are 0."""
+    got = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((got.shape[1], np.dtype(dtype).itemsize), np.uint8)
+    out[:, :width] = got.T
+    return out.view(dtype).ravel()
+
+
 def slices(offs: np.ndarray, budget: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``budget`` bytes each; a longer text is a range of its own."""
     n, lo = len(offs) - 1, 0
