@@ -63,16 +63,16 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id_col, fp)``: one row per document, ``fp`` the fingerprint's bits as a signed long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id_col, fp, *keep)``: one row per document, ``fp`` the fingerprint's bits as a signed long; ``keep`` are longs."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((simhash(t.as_py(), shingle) for t in b.column("text")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64)), *map(b.column, keep)], ["id", "fp", *keep])
 
-    return rows.mapInArrow(frugal(scan), "id long, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(scan), ", ".join(["id long, fp long", *(f"{c} long" for c in keep)])).withColumnRenamed("id", id_col)
 
 
 def trie_forest(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, top: int, budget: int) -> np.ndarray:
@@ -201,27 +201,42 @@ def _group_links(key, fp, s, e, top, budget) -> Iterator[tuple[np.ndarray, np.nd
         yield f[tied], f[label[tied]]
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """``(id_col, fp, component_id)`` per document: fingerprint and the smallest id reachable by links."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id_col, fp, *keep, root, component_id)`` per document; ``root`` names its component also where no row has an id."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.write(fingerprints(docs, id_col, text_col, shingle), "fps")
+    fps = scratch.write(fingerprints(docs, id_col, text_col, shingle, keep), "fps")
     classes = scratch.write(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
     comp = connected_components(trie_links(classes.select("fp"), max_bits), scratch)
     rooted = classes.join(comp, classes.fp == comp.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = scratch.write(rooted.join(least, "root").select(F.col("fp").alias("cfp"), "component_id"), "named")
-    return fps.join(named, fps.fp == named.cfp).select(id_col, "fp", "component_id")
+    named = scratch.write(rooted.join(least, "root").select(F.col("fp").alias("cfp"), "root", "component_id"), "named")
+    return fps.join(named, fps.fp == named.cfp).drop("cfp")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """``(id_col, fp, component_id)`` per document: fingerprint and the smallest id reachable by links."""
+    return _rooted(docs, id_col, text_col, shingle, max_bits).select(id_col, "fp", "component_id")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; of rows that share that id, one stays.
+    """One row of ``docs`` per group: that with the smallest id, nulls last, and then with the smallest hashes.
 
-    Of all groups in which no row has an id one row stays.
+    Rows are told apart by their id and two hashes of all columns but maps and variants.
     """
-    groups = near_groups(docs, id_col, text_col, shingle, max_bits)
-    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    stay = Scratch(docs.sparkSession, "simhash").write(stay, "stay")
-    n, most = stay.agg(F.count(F.lit(1)), F.max("__n")).first()
-    ids = broadcast_rows_if_bounded(stay.select("__id"), n, ID_ROW_BYTES)  # else the texts are shuffled by id
-    kept = docs.join(ids, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col]) if (most or 0) > 1 else kept
+    cols = [F.col(f"`{f.name}`") for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    cols += [c.isNull() for c in cols]  # hashes pass over nulls
+    keyed = docs.withColumns({"__h1": F.xxhash64(*cols), "__h2": F.xxhash64(F.lit(1), *cols)})
+    groups = _rooted(keyed, id_col, text_col, shingle, max_bits, ("__h1", "__h2"))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__h1", "__h2")).alias("x"))
+    stay = Scratch(docs.sparkSession, "simhash").write(best.select(F.col("x.id").alias("__id"), F.col("x.__h1").alias("__g1"), F.col("x.__h2").alias("__g2")), "stay")
+    keys = broadcast_rows_if_bounded(stay, stay.count(), ID_ROW_BYTES + 32)  # else the texts are shuffled by id and hashes
+
+    def staying(rows: DataFrame) -> DataFrame:
+        same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2"))
+        return rows.join(keys, same, "left_semi")
+
+    kept = staying(keyed)
+    key = [id_col, "__h1", "__h2"]
+    if not staying(groups).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # rows equal in all columns
+        kept = kept.dropDuplicates(key)
+    return kept.drop("__h1", "__h2")

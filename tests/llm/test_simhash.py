@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from feedline.llm.simhash import fingerprints, keep_one_each, near_groups, simha
 from feedline.llm.components import connected_components
 from feedline.llm.scratch import Scratch
 
-from .common import WORD, components, docs, odd_rows
+from .common import WORD, components, docs, odd_rows, words
 
 
 def brute(text, k=3):
@@ -71,3 +73,10 @@ def test_trie_join_finds_all_links_in_plain_and_cut_tries(spark):
 
 def test_fingerprints_of_an_empty_table(spark):
     assert fingerprints(docs(spark, [(1, "a")]).filter(F.lit(False))).count() == 0
+
+
+def test_groups_without_ids_and_texts_that_share_an_id_all_keep_one_row(spark):
+    a, b, c, d, e = (" ".join(words(60, random.Random(i))) for i in range(5))
+    rows = [(None, a), (None, a), (None, b), (5, c), (5, d), (5, d), (6, c), (7, e), (None, e)]
+    got = sorted(((r.doc_id, r.text) for r in keep_one_each(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (5, c), (5, d), (7, e)], key=str)
