@@ -139,3 +139,18 @@ def op9(spark: SparkSession, base: str) -> DataFrame:
     d = repeated(table(spark, base, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op12_cross_tokenizer_alignment")
+def op12(spark: SparkSession, base: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import pair_counts, score_links, token_groups
+    from .scratch import Scratch
+
+    paths = vocabulary(), public_tokenizers.path("piece_bpe_32k.model")
+    groups = token_groups(table(spark, base, "documents"), *paths)
+    digest = F.when(F.length("groups") > 0, F.sha2("groups", 256)).otherwise("")
+    groups = Scratch(spark, "alignment").write(groups.withColumn("groups_sha256", digest).drop("groups"), "groups")
+    scored = score_links(groups, pair_counts(groups, *paths), *paths)
+    return scored.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
