@@ -154,3 +154,10 @@ def op12(spark: SparkSession, base: str) -> DataFrame:
     groups = Scratch(spark, "alignment").write(groups.withColumn("groups_sha256", digest).drop("groups"), "groups")
     scored = score_links(groups, pair_counts(groups, *paths), *paths)
     return scored.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@register("op11_embedding_whitening")
+def op11(spark: SparkSession, base: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, base, "embeddings")).select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
