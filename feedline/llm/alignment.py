@@ -26,17 +26,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import frugal, slices, text_bytes
 
-#: Segments remembered by a task before it starts anew, and their bytes.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 8 << 20
+#: Segments remembered by a worker before it starts anew, and their bytes.
+REMEMBERED, REMEMBERED_BYTES = 500_000, 24 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -99,48 +102,91 @@ def segment_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class Bytes:
+    """A growing column of byte strings."""
+
+    def __init__(self):
+        self.data, self.offs, self.n = np.zeros(1 << 16, np.uint8), np.zeros(1 << 12, np.int64), 0
+
+    def extend(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = int(self.offs[self.n]), self.n
+        while len(self.data) < at + len(data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        while len(self.offs) < n + len(sizes) + 1:
+            self.offs = np.concatenate([self.offs, np.zeros_like(self.offs)])
+        self.data[at:at + len(data)] = data
+        self.offs[n + 1:n + 1 + len(sizes)] = at + np.cumsum(sizes)
+        self.n = n + len(sizes)
+
+    def take(self, at: np.ndarray) -> pa.Array:
+        col = pa.Array.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(self.offs), pa.py_buffer(self.data)])
+        return col.take(pa.array(at))
+
+
 class Lexicon:
-    """Segments with their tokens, groups and links; ragged columns that grow with each new segment."""
+    """Segments with their numbers of tokens and groups, groups as text, plain links and other links."""
 
     def __init__(self, pair: Pair):
         self.pair, self.same = pair, pair.same()
         self.space = [i for i, t in enumerate(pair.b_bytes) if t == b" " and not pair.b.is_byte(i)]
-        self.a_size = np.array([len(t) for t in pair.a_bytes], np.int64)
-        self.b_size = np.array([len(t) for t in pair.b_bytes], np.int64)
-        self.nb = len(pair.b_bytes)
+        self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (pair.a_bytes, pair.b_bytes))
+        self.na, self.nb = len(pair.a_bytes), len(pair.b_bytes)
+        # an id as text with what follows it: another id of its group, or not
+        self.names = pa.array([b"%d%s" % (i, end) for n, last in ((self.na, b"|"), (self.nb, b";")) for end in (b",", last) for i in range(n)], pa.large_binary())
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.bytes = 0
-        self.texts: list[bytes] = []
-        self.numbers: list[tuple[int, int, int, bool]] = []
-        self.fast: list[np.ndarray] = []
-        self.slow: list[np.ndarray] = []
+        self.numbers = np.zeros((0, 4), np.int64)  #: tokens of A and B, groups, whether the tokens give the segment back
+        self.text, self.fast, self.slow = Bytes(), Bytes(), Bytes()
 
     def _add(self, segs: list[bytes]) -> None:
         strings = [s.decode() for s in segs]
-        ours = self.pair.a.encode_batch(strings, add_special_tokens=False)
-        theirs = self.pair.b.encode([s[1:] for s in strings], num_threads=1)
-        for seg, x, y in zip(segs, ours, theirs):
-            a, b = x.ids, (self.space if seg == b" " else y)
-            ok = b"".join([self.pair.a_bytes[i] for i in a]) == seg and b"".join([self.pair.b_bytes[i] for i in b]) == seg
-            a, b = np.array(a if ok else [], np.int64), np.array(b if ok else [], np.int64)
-            ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-            _, ia, ib = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-            la, lb = a[ia], b[ib]
-            plain = (np.diff(ia, prepend=-1) == 1) & (np.diff(ib, prepend=-1) == 1) & (self.same[la] == lb)
-            la_, lb_, text = a.tolist(), b.tolist(), []
-            i = j = 0
-            for p, q in zip((ia + 1).tolist(), (ib + 1).tolist()):
-                text.append(b"%s|%s;" % (b",".join([b"%d" % v for v in la_[i:p]]), b",".join([b"%d" % v for v in lb_[j:q]])))
-                i, j = p, q
-            self.place[seg] = len(self.texts)
-            self.bytes += len(seg)
-            self.texts.append(b"".join(text))
-            self.numbers.append((len(a), len(b), len(ia), ok))
-            self.fast.append(la[plain].astype(np.int32))
-            self.slow.append((la * self.nb + lb)[~plain])
+        a = [x.ids for x in self.pair.a.encode_batch(strings, add_special_tokens=False)]
+        b = [self.space if s == " " else x for s, x in zip(strings, self.pair.b.encode([s[1:] for s in strings], num_threads=1))]
+        size = np.array([len(s) for s in segs])
+        good = self._gives(a, self.pair.a_bytes, self.a_size, segs, size) & self._gives(b, self.pair.b_bytes, self.b_size, segs, size)
+        empty: list[int] = []
+        (a, na), (b, nb) = (self._flat([x if ok else empty for x, ok in zip(ids, good)]) for ids in (a, b))
+        # places where tokens of both end, over all segments one after the other: each ends there itself
+        _, ia, ib = np.intersect1d(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), assume_unique=True, return_indices=True)
+        la, lb = a[ia], b[ib]
+        plain = (np.diff(ia, prepend=-1) == 1) & (np.diff(ib, prepend=-1) == 1) & (self.same[la] == lb)
+        owner = np.searchsorted(np.cumsum(na), ia, "right")
+        n = len(segs)
+        groups = np.bincount(owner, minlength=n)
+        # a group's A tokens come before its B tokens
+        ga, gb = np.searchsorted(ia, np.arange(len(a))), np.searchsorted(ib, np.arange(len(b)))
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[ia], last_b[ib] = self.na, self.nb
+        name = np.empty(len(a) + len(b), np.int64)
+        name[np.arange(len(a)) + np.concatenate([[0], ib + 1])[ga]] = a + last_a
+        name[np.arange(len(b)) + (ia + 1)[gb]] = 2 * self.na + b + last_b
+        text = self.names.take(pa.array(name))
+        offs = np.frombuffer(text.buffers()[1], np.int64, len(name) + 1) if len(name) else np.zeros(1, np.int64)
+        ends = offs[np.cumsum(na + nb)]
+        data = np.frombuffer(text.buffers()[2], np.uint8)[:ends[-1]] if len(name) else np.zeros(0, np.uint8)
+        self.text.extend(data, np.diff(ends, prepend=0))
+        self.fast.extend(la[plain].astype(np.int32).view(np.uint8), 4 * np.bincount(owner[plain], minlength=n))
+        self.slow.extend((la * self.nb + lb)[~plain].view(np.uint8), 8 * np.bincount(owner[~plain], minlength=n))
+        self.place.update(zip(segs, range(len(self.numbers), len(self.numbers) + n)))
+        self.numbers = np.concatenate([self.numbers, np.column_stack([na, nb, groups, good])])
+        self.bytes += int(size.sum())
+
+    @staticmethod
+    def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(x) for x in ids], np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
+
+    def _gives(self, ids: list[list[int]], of: list[bytes], width: np.ndarray, segs: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Whether the tokens' bytes are the segment."""
+        flat, n = self._flat(ids)
+        whole = np.concatenate([[0], np.cumsum(width[flat])])[np.concatenate([[0], np.cumsum(n)])]
+        good = np.diff(whole) == size
+        if good.all() and b"".join([of[i] for i in flat.tolist()]) == b"".join(segs):
+            return good
+        return np.array([b"".join([of[i] for i in x]) == s for x, s in zip(ids, segs)])
 
     def look_up(self, segs: list[bytes]) -> np.ndarray:
         """Places of distinct segments, new ones added; places given before are void if the memory was full."""
@@ -152,22 +198,10 @@ class Lexicon:
         return np.array([self.place[s] for s in segs], np.int64)
 
 
-def _ragged(parts: list[np.ndarray], kind: type) -> tuple[np.ndarray, np.ndarray]:
-    size = np.array([len(p) for p in parts], np.int64)
-    return (np.concatenate(parts) if parts else np.zeros(0)).astype(kind, copy=False), np.concatenate([[0], np.cumsum(size)])
-
-
-def _gather(values: np.ndarray, offs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ragged rows ``at`` one after the other, and their sizes."""
-    size = (offs[1:] - offs[:-1])[at]
-    start = np.cumsum(size) - size
-    return values[np.repeat(offs[at] - start, size) + np.arange(size.sum())], size
-
-
-def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    data = np.ascontiguousarray(data)
-    offs = np.concatenate([[0], np.cumsum(sizes)]) * data.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+@lru_cache(maxsize=1)
+def lexicon(a_path: str, b_path: str) -> Lexicon:
+    """A worker's own, kept from task to task."""
+    return Lexicon(Pair.load(a_path, b_path))
 
 
 def token_groups(docs: DataFrame, a_path: str, b_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
@@ -179,12 +213,8 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, keep: tuple[str, ...
     ``a * size of B + b`` as 64-bit integers.
     """
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    loaded: list[Lexicon] = []
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not loaded:
-            loaded.append(Lexicon(Pair.load(a_path, b_path)))
-        lex = loaded[0]
+        lex = lexicon(a_path, b_path)
         for b in batches:
             buf, offs = text_bytes(b.column("text"))
             for lo, hi in slices(offs):
@@ -205,32 +235,37 @@ def _align_slice(lex: Lexicon, row: pa.Array, buf: np.ndarray, offs: np.ndarray,
     keep[moved[:-1][own]] = False
     full[keep] = buf
     starts = segment_starts(full, moved)
-    ends = np.append(starts[1:], len(full))
     segs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(full)).astype(np.int64)), pa.py_buffer(full)])
     coded = segs.dictionary_encode()
     place = lex.look_up(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64)
-    doc = np.searchsorted(moved, ends - 1, "right") - 1
-    used, local = np.unique(place, return_inverse=True)
-    numbers = np.array([lex.numbers[i] for i in used.tolist()], np.int64).reshape(-1, 4)
+    doc = np.searchsorted(moved, starts, "right") - 1
     bad = np.zeros(n, bool)
-    bad[doc[numbers[local, 3] == 0]] = True
+    bad[doc[lex.numbers[place, 3] == 0]] = True
     fine = ~bad[doc]
-    local, doc = local[fine], doc[fine]
-    sums = [np.bincount(doc, numbers[local, i], n).astype(np.int64) for i in range(3)]
-    out = []
-    for kind, stored in ((np.int32, lex.fast), (np.int64, lex.slow)):
-        values, sizes = _gather(*_ragged([stored[i] for i in used.tolist()], kind), local)
-        out.append(_binary(values, np.bincount(doc, sizes, n).astype(np.int64)))
-    if a_text:
-        chars, at = _ragged([np.frombuffer(lex.texts[i], np.uint8) for i in used.tolist()], np.uint8)
-        chars, sizes = _gather(chars, at, local)
-        total = np.bincount(doc, sizes, n).astype(np.int64)
-        last = np.cumsum(total)[total > 0] - 1  # the ; behind a text's last group
-        chars = np.delete(chars, last)
-        groups = _binary(chars, np.maximum(total - 1, 0)).cast(pa.string())
-    else:
-        groups = pa.nulls(n, pa.string())
-    return pa.RecordBatch.from_arrays([row, *map(pa.array, sums), groups, *out], ["row", "n_a", "n_b", "n_groups", "groups", "fast", "slow"])
+    place, doc = place[fine], doc[fine]
+    edge = np.searchsorted(doc, np.arange(n + 1))  # segments before each text
+    sums = [np.diff(np.concatenate([[0], np.cumsum(lex.numbers[place, i])])[edge]) for i in range(3)]
+    cols = [_by_text(c.take(place), edge) for c in (lex.fast, lex.slow)]
+    groups = pc.ascii_rtrim(_by_text(lex.text.take(place), edge).cast(pa.string()), ";") if a_text else pa.nulls(n, pa.string())
+    return pa.RecordBatch.from_arrays([row, *map(pa.array, sums), groups, *cols], ["row", "n_a", "n_b", "n_groups", "groups", "fast", "slow"])
+
+
+def _by_text(col: pa.Array, edge: np.ndarray) -> pa.Array:
+    """The strings of each text's segments joined."""
+    if not len(col):
+        return pa.array([b""] * (len(edge) - 1), pa.binary())
+    _, offs, data = col.buffers()
+    at = np.frombuffer(offs, np.int64, len(col) + 1, 8 * col.offset)[edge].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer(at), data]).cast(pa.binary())
+
+
+def _numbers(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers packed in a column, and the n + 1 offsets of its rows into them."""
+    col = col.cast(pa.large_binary())
+    _, offs, data = col.buffers()
+    at = np.frombuffer(offs, np.int64, len(col) + 1, 8 * col.offset) if len(col) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw.copy().view(kind), (at - at[0]) // np.dtype(kind).itemsize
 
 
 def pair_counts(groups: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -241,8 +276,7 @@ def pair_counts(groups: DataFrame, a_path: str, b_path: str) -> DataFrame:
         vector = np.zeros(len(same), np.int64)
         pairs, seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            fast, slow = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in b.column(c)] or [np.zeros(0, k)])
-                          for c, k in (("fast", np.int32), ("slow", np.int64)))
+            fast, slow = (_numbers(b.column(c), k)[0] for c, k in (("fast", np.int32), ("slow", np.int64)))
             vector += np.bincount(fast, minlength=len(vector))
             got, n = np.unique(slow, return_counts=True)
             pairs, back = np.unique(np.concatenate([pairs, got]), return_inverse=True)
@@ -287,19 +321,13 @@ def score_links(groups: DataFrame, counts: DataFrame, a_path: str, b_path: str)
         for b in batches:
             total = np.zeros((3, b.num_rows), np.int64)
             for c, k in (("fast", np.int32), ("slow", np.int64)):
-                parts = [np.frombuffer(x.as_buffer(), k) for x in b.column(c)]
-                values, offs = _ragged(parts, k)
-                row = np.repeat(np.arange(b.num_rows), np.diff(offs))
+                values, edge = _numbers(b.column(c), k)
                 at = values if c == "fast" else np.searchsorted(keys, values)
                 n, top = (plain[at], plain_best[at]) if c == "fast" else (count[at], best[at])
-                total[0] += np.diff(offs)
-                total[1] += np.bincount(row, top, b.num_rows).astype(np.int64)
-                np.add.at(total[2], row, n)
+                for i, v in enumerate((np.ones(len(at), np.int64), top, n)):
+                    total[i] += np.diff(np.concatenate([[0], np.cumsum(v, dtype=np.int64)])[edge])
             names = [x for x in b.schema.names if x not in ("fast", "slow")]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), *map(pa.array, total)], [*names, "n_links", "n_best", "count_sum"])
 
     fields = [f for f in groups.schema if f.name not in ("fast", "slow")]
     return groups.mapInArrow(frugal(score), T.StructType([*fields, *T._parse_datatype_string("n_links long, n_best long, count_sum long")]))
-
-
-__all__ = ["Pair", "best_matches", "most_pairs", "pair_counts", "score_links", "token_groups"]
