@@ -161,3 +161,13 @@ def op11(spark: SparkSession, base: str) -> DataFrame:
     from .whitening import whiten
 
     return whiten(table(spark, base, "embeddings")).select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@register("op13_lm_scoring")
+def op13(spark: SparkSession, base: str) -> DataFrame:
+    from .katz import score
+
+    away = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    docs = table(spark, base, "documents").select("doc_id", "text", away.alias("held_out"))
+    scored = score(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
+    return scored.select("row.doc_id", "row.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
