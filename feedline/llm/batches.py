@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -39,6 +41,22 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until none of ``columns`` is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of whole rows.  Nulls count; columns that cannot be hashed (maps, variants) count as their JSON."""
+    cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if any(x in f.dataType.simpleString() for x in ("map<", "variant")) else F.col(f"`{f.name}`")
+            for f in df.schema]
+    cols += [c.isNull() for c in cols]  # hashes pass over nulls
+    return F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)
+
+
 #: Bytes of a broadcast row that holds one id (about 110 are measured).
 ID_ROW_BYTES = 128
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import row_hashes, unused
 from .scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -129,11 +130,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    keys = (F.xxhash64(whole), F.xxhash64(F.lit(1), whole))
-    taken = mix(docs, id_col=id_col, row_key=keys, **options).groupBy("k0", "k1").agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
+    k0, k1, copies, copy = (unused(n, docs.columns) for n in ("__k0", "__k1", "__copies", "__copy"))
+    keys = row_hashes(docs)
+    taken = mix(docs, id_col=id_col, row_key=keys, **options).groupBy(F.col("k0").alias(k0), F.col("k1").alias(k1)).agg(F.sum("copies").alias(copies))
     # equal rows stand for each other: one of them carries the copies of all
-    rows = docs.withColumns({"__k0": keys[0], "__k1": keys[1]})
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__k0", "__k1").orderBy("__k0")))
-    rows = rows.join(taken.withColumnsRenamed({"k0": "__k0", "k1": "__k1"}), ["__k0", "__k1"]).filter("__nth = 1")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.withColumns(dict(zip((k0, k1), keys))).dropDuplicates([k0, k1])
+    rows = rows.join(taken.filter(F.col(copies) > 0), [k0, k1])
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sizing import broadcast_rows_if_bounded
-from .batches import ID_ROW_BYTES, frugal, runs, whole_groups
+from .batches import ID_ROW_BYTES, frugal, row_hashes, runs, unused, whole_groups
 from .components import LocalComponents, connected_components
 from .scratch import Scratch
 
@@ -221,22 +221,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """One row of ``docs`` per group: that with the smallest id, nulls last, and then with the smallest hashes.
 
-    Rows are told apart by their id and two hashes of all columns but maps and variants.
+    Rows are told apart by their id and two hashes of all columns.
     """
-    cols = [F.col(f"`{f.name}`") for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
-    cols += [c.isNull() for c in cols]  # hashes pass over nulls
-    keyed = docs.withColumns({"__h1": F.xxhash64(*cols), "__h2": F.xxhash64(F.lit(1), *cols)})
-    groups = _rooted(keyed, id_col, text_col, shingle, max_bits, ("__h1", "__h2"))
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__h1", "__h2")).alias("x"))
-    stay = Scratch(docs.sparkSession, "simhash").write(best.select(F.col("x.id").alias("__id"), F.col("x.__h1").alias("__g1"), F.col("x.__h2").alias("__g2")), "stay")
+    h1, h2, key, g1, g2 = (unused(n, docs.columns) for n in ("__h1", "__h2", "__id", "__g1", "__g2"))
+    keyed = docs.withColumns(dict(zip((h1, h2), row_hashes(docs))))
+    groups = _rooted(keyed, id_col, text_col, shingle, max_bits, (h1, h2))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(h1).alias("h1"), F.col(h2).alias("h2"))).alias("x"))
+    stay = Scratch(docs.sparkSession, "simhash").write(best.select(F.col("x.id").alias(key), F.col("x.h1").alias(g1), F.col("x.h2").alias(g2)), "stay")
     keys = broadcast_rows_if_bounded(stay, stay.count(), ID_ROW_BYTES + 32)  # else the texts are shuffled by id and hashes
 
     def staying(rows: DataFrame) -> DataFrame:
-        same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2"))
+        same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key)) & (F.col(h1) == F.col(g1)) & (F.col(h2) == F.col(g2))
         return rows.join(keys, same, "left_semi")
 
     kept = staying(keyed)
-    key = [id_col, "__h1", "__h2"]
-    if not staying(groups).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # rows equal in all columns
-        kept = kept.dropDuplicates(key)
-    return kept.drop("__h1", "__h2")
+    by = [id_col, h1, h2]
+    if not staying(groups).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # rows equal in all columns
+        kept = kept.dropDuplicates(by)
+    return kept.drop(h1, h2)
