@@ -36,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import frugal, slices, text_bytes
+from .batches import frugal, parts, slices, text_bytes
 
 #: Segments remembered by a worker before it starts anew, and their bytes.
-REMEMBERED, REMEMBERED_BYTES = 500_000, 24 << 20
+REMEMBERED, REMEMBERED_BYTES = 300_000, 16 << 20
+#: Texts whose links are looked at together.
+LINKED_ROWS = 500
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -273,9 +275,10 @@ def pair_counts(groups: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair.load(a_path, b_path)
         same, nb = pair.same(), len(pair.b_bytes)
+        lexicon.cache_clear()  # of a worker that has aligned before
         vector = np.zeros(len(same), np.int64)
         pairs, seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
+        for b in parts(batches, LINKED_ROWS):
             fast, slow = (_numbers(b.column(c), k)[0] for c, k in (("fast", np.int32), ("slow", np.int64)))
             vector += np.bincount(fast, minlength=len(vector))
             got, n = np.unique(slow, return_counts=True)
@@ -318,7 +321,8 @@ def score_links(groups: DataFrame, counts: DataFrame, a_path: str, b_path: str)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, count, best, plain, plain_best = shared.value
-        for b in batches:
+        lexicon.cache_clear()
+        for b in parts(batches, LINKED_ROWS):
             total = np.zeros((3, b.num_rows), np.int64)
             for c, k in (("fast", np.int32), ("slow", np.int64)):
                 values, edge = _numbers(b.column(c), k)
