@@ -7,8 +7,13 @@ matched case-insensitively.
 
 from __future__ import annotations
 
+import importlib.util
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _col(c) -> Column:
@@ -151,22 +156,53 @@ def literal_alternation(terms) -> str:
     return "(?:" + "|".join(quoted) + ")"
 
 
+#: Terms up to this many are one alternation in the JVM, which tries them one after the other at every place.
+MANY_TERMS = 200
+
+
 def contains_any(text, terms) -> Column:
     """Any term is a substring of ``text``; an empty term list is false.
 
     Several terms become one regex alternation of literals: the text (often a
     lower-cased concatenation) is computed and scanned once, where an OR-chain
-    of ``contains`` would rebuild it once per term inside a Filter.
+    of ``contains`` would rebuild it once per term inside a Filter.  Long lists
+    become an automaton of all terms (Aho-Corasick) that reads each text once, up
+    to the first term, whatever the length of the list; it runs on Arrow batches.
     """
     t = _col(text)
-    terms = list(terms)
+    terms = list(dict.fromkeys(terms))
     if not terms:
         return F.lit(False)
+    if "" in terms:  # the empty term is in every text
+        return F.when(t.isNotNull(), F.lit(True))
     if len(terms) == 1:
         return t.contains(F.lit(terms[0]))
+    if len(terms) > MANY_TERMS and importlib.util.find_spec("ahocorasick"):
+        return _holds_any(tuple(terms))(t)
     return t.rlike(literal_alternation(terms))
 
 
+@lru_cache(maxsize=4)
+def _automaton(terms: tuple[str, ...]):
+    """A worker's own automaton of a term list."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for term in terms:
+        found.add_word(term)
+    found.make_automaton()
+    return found
+
+
+def _holds_any(terms: tuple[str, ...]):
+    @F.pandas_udf(T.BooleanType())
+    def holds_any(col: pd.Series) -> pd.Series:
+        found = _automaton(terms)
+        return col.map(lambda t: None if t is None else next(found.iter(t), None) is not None).astype(object)
+
+    return holds_any
+
+
 def hr_context(context) -> Column:
     """P25: the (lower-cased) context mentions an HR phrase."""
     return contains_any(context, HR_CONTEXT_PHRASES)

@@ -62,21 +62,27 @@ def robots_allowed(pages: DataFrame, rules: DataFrame, site: str = "website",
     rule applies when the request's whole path starts with its prefix (or the
     prefix is ``*``), both with their escapes in one form.  The first
     applicable rule (by ``ord``) decides -- plain prefix matching, no wildcards
-    inside paths.  The decision is taken once per distinct (site, path) -- an
-    equi-join on the host with the prefix test as residual -- and the pages are
-    then anti-joined with the denied pairs, so page bodies never meet the rules.
+    inside paths.
+
+    Each distinct (site, path) gives its prefixes of the lengths that rules of
+    its host have, and (host, prefix) is an equi-join with at most one rule, the
+    first of those with that prefix: no path meets every rule of its host.  Page
+    bodies never meet the rules; the pages are anti-joined with the denied pairs.
     """
     url = F.concat(F.regexp_replace(F.col(site), "/+$", ""), F.col(path))
     pairs = pages.select(site, path).distinct().select(
         site, path, url_host(url).alias("__host"), percent_encoded(url_path(url)).alias("__req"))
-    r = rules.select(url_host(F.col(site)).alias("__rhost"), F.col("ord").alias("__ord"),
-                     F.col("allow").alias("__allow"), F.col("prefix").alias("__raw"),
-                     percent_encoded(F.col("prefix")).alias("__prefix"))
-    applies = F.col("__req").startswith(F.col("__prefix")) | (F.col("__raw") == "*")
-    j = pairs.join(r, (F.col("__host") == F.col("__rhost")) & applies)
-    denied = (j.groupBy(site, path).agg(F.min_by("__allow", "__ord").alias("__allow"))
-              .filter(~F.col("__allow")).select(site, path))
-    return pages.join(denied, [site, path], "left_anti")
+    # '*' applies to every path, like the empty prefix
+    prefix = F.when(F.col("prefix") == "*", F.lit("")).otherwise(percent_encoded(F.col("prefix")))
+    first = (rules.select(url_host(F.col(site)).alias("__host"), prefix.alias("__prefix"), "ord", "allow")
+             .groupBy("__host", "__prefix").agg(F.min(F.struct("ord", "allow")).alias("__rule")))
+    # as many lengths as the longest rule of a host has characters, at most
+    lengths = first.groupBy("__host").agg(F.collect_set(F.length("__prefix")).alias("__lengths"))
+    some = F.filter("__lengths", lambda n: n <= F.length("__req"))
+    cut = pairs.join(lengths, "__host").select(site, path, "__host", F.explode(some).alias("__n"), "__req")
+    cut = cut.select(site, path, "__host", F.expr("left(__req, __n)").alias("__prefix"))
+    ruled = cut.join(first, ["__host", "__prefix"]).groupBy(site, path).agg(F.min("__rule").alias("__rule"))
+    return pages.join(ruled.filter("not __rule.allow").select(site, path), [site, path], "left_anti")
 
 
 # ---------------------------------------------------------------- J6 keyword theta
@@ -85,7 +91,7 @@ def keyword_semi(df: DataFrame, terms, text: Column | None = None, how: str = "l
     """Rows whose searchable text contains any term (``left_anti``: none).
 
     The terms are a parameter list of any length; one scan of each text tests
-    them all (a literal alternation), so no row meets the terms one by one.
+    them all (``contains_any``), so no row meets the terms one by one.
     """
     found = contains_any(searchable_text() if text is None else text, list(terms))
     return df.filter(found if how == "left_semi" else ~found)

@@ -117,14 +117,22 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             tagged.filter(F.col("reason").isNotNull()))
 
 
+#: Why a whole response gave nothing.
+RESPONSE_REASONS = ("empty_response", "not_parsable", "wrong_shape")
+EMPTY, NOT_PARSABLE, WRONG_SHAPE = RESPONSE_REASONS
+
+
 def finish(df: DataFrame, with_rejects: bool = False) -> DataFrame:
     """The last step of a feed reader: POSTING rows whose fields all parsed (``__ok``, where given) and are valid.
 
+    A row whose ``bad`` (where given) is set stands for a whole response and says why it gave nothing.
     With ``with_rejects`` the other rows stay and say why (``reason``), for the quarantine table (F14).
     """
     reason = rejection_reason()
     if "__ok" in df.columns:
         reason = F.when(~F.coalesce(F.col("__ok"), F.lit(False)), F.lit("malformed")).otherwise(reason)
+    if "bad" in df.columns:
+        reason = F.coalesce(F.col("bad"), reason)
     tagged = df.select(*POSTING_COLUMNS, reason.alias("reason"))
     return tagged if with_rejects else tagged.filter(F.col("reason").isNull()).drop("reason")
 

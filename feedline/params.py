@@ -71,7 +71,7 @@ class PostingParams:
     """Parameters of the postings flow.  ``None`` removes a filter conjunct."""
 
     keywords: tuple[str, ...] = tuple(keywords_list(DEFAULT_KEYWORDS))
-    require_remote: bool = True
+    require_remote: bool | None = None  #: by default unless a local search is on, whose postings are not remote
     max_years: int | None = DEFAULT_MAX_YEARS
     max_age_days: int | None = DEFAULT_MAX_AGE_DAYS
     blacklist: tuple[str, ...] | None = tuple(clean_list(DEFAULT_BLACKLIST))
@@ -84,6 +84,8 @@ class PostingParams:
     search: LocalSearch = LocalSearch()
 
     def __post_init__(self):
+        if self.require_remote is None:
+            object.__setattr__(self, "require_remote", not self.search.enabled)
         bad = sorted(set(self.enabled_feeds) - set(KNOWN_FEEDS))
         if bad:
             raise ValueError(f"Unknown feeds: {bad}. Known: {sorted(KNOWN_FEEDS)}")

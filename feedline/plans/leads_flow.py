@@ -10,6 +10,8 @@ which leaves the saved table unchanged because saving is insert-or-ignore)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.fingerprint import lead_fingerprint
@@ -48,11 +50,13 @@ def contacts(targets: DataFrame) -> DataFrame:
 
 def leads_batch(leads: DataFrame, pages: DataFrame, rules: DataFrame, paths,
                 lat: float, lon: float, radius_km: float, history: DataFrame | None = None,
-                max_per_run: int | None = None) -> DataFrame:
+                max_per_run: int | None = None, unseen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The whole flow up to the rows to save (LEAD columns + fingerprint + distance).
 
     ``max_per_run`` (W2) is the discovery cap: the first leads found, before
     those known already are taken off, like the reference's request limit.
+    ``history`` or ``unseen`` takes off the known leads: a table of them, or a
+    function that returns what a store has not saved.
     """
     found = discover(leads, lat, lon, radius_km)
     if max_per_run is not None:
@@ -60,13 +64,14 @@ def leads_batch(leads: DataFrame, pages: DataFrame, rules: DataFrame, paths,
     found = dedup_last_value_first_position(found, "fingerprint")
     if history is not None:
         found = new_rows(found, history, "fingerprint")
+    if unseen is not None:
+        found = unseen(found)
     return attach_contacts(found, contacts(crawl_targets(found, pages, rules, paths)))
 
 
 def run_leads(spark: SparkSession, payloads: DataFrame, pages: DataFrame, rules: DataFrame, store: Store, run_id: int,
               params: LeadParams, send: Send) -> RunReport:
     """One batch run over landed geo payloads: S12 -> W2 -> the flow -> ``Store.run``."""
-    history = store.rows(run_id)
     rows = leads_batch(read_geo_elements(payloads), pages, rules, params.contact_paths, params.lat, params.lon, params.radius_km,
-                       None if history is None else history.select("fingerprint"), params.max_per_run)
+                       max_per_run=params.max_per_run, unseen=lambda found: store.unseen(found, run_id))
     return store.run(rows.drop("distance_km", "type"), run_id, params.digest_size, send)

@@ -4,16 +4,21 @@ The reference keeps one mutable row per key (insert-or-ignore, then
 ``UPDATE ... SET notified=1``).  Here every fact is append-only, and each run
 writes folders of its own:
 
-* ``<table>/run_id=R`` (K1 / K2): the rows that run R saw first, written once;
-* ``<table>_keys/run_id=R/fp=xx``: their fingerprints, by the first two hex digits, so
-  that a batch reads only the key files of its own prefixes (J1);
+* ``<table>/run_id=R`` (K1 / K2): the rows that run R saw first, under the version of
+  the columns it was written with (``schema_log``);
+* ``<table>_keys``: their fingerprints, as sorted segments merged in levels (``key_index``, J1);
 * ``<table>_notifications/run_id=R/kind=K`` (K3): what run R announced -- the
   "notified" flag is the existence of a row;
-* ``<table>_ledger/run_id=R``: per run it touched, how many announceable rows R saved
-  or announced, a few rows.
+* ``<table>_log``: how far each run came and, once it is over, how many announceable
+  rows it saved and announced (``run_log``).
+
+A run publishes in steps: its intent, what the retry announced, its rows and keys
+together, what it announced of them, its commit.  A run that broke off between two
+of them is found by the next one and counted from its own folders (K5), so what it
+saved is retried and what it did not save is still new.
 
 Pending rows are those saved and not announced (S15 / S16), oldest run first.
-The ledger says which runs have any, so a retry reads the rows of the few
+The ledgers say which runs have any, so a retry reads the rows of the few
 oldest such runs, never the history, and nothing is ever rewritten.
 
 A run reads only runs before it and replaces its folders as a whole, also
@@ -23,7 +28,6 @@ with nothing, so a replay after a failure gives the same tables (K6).
 from __future__ import annotations
 
 import datetime as dt
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -38,8 +42,9 @@ from ..operators.predicates import valid_posting
 from ..schema import conform
 from ..session import ensure_checkpoint_dir
 from ..sources import fs
-
-PREFIX = 2  #: hex digits of a fingerprint that name its key folder: 256 folders
+from .key_index import KeyIndex
+from .run_log import Ledger, RunLog, Runs, add
+from .schema_log import SchemaLog
 
 # ---------------------------------------------------------------- pure operators
 
@@ -77,8 +82,7 @@ Send = Callable[[DataFrame, int, int, str], bool]
 
 NOTE = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("saved_run", T.LongType()),
                      T.StructField("sent_at", T.TimestampNTZType())])
-LEDGER = T.StructType([T.StructField("saved_run", T.LongType()), T.StructField("saved", T.LongType()),
-                       T.StructField("announced", T.LongType())])
+STAMP = T.StructType([T.StructField("created_at", T.TimestampNTZType()), T.StructField("run_id", T.LongType())])
 
 
 @dataclass
@@ -93,8 +97,8 @@ class RunReport:
 class Store:
     """Append-only postings (or leads) table plus its notification log under ``root``.
 
-    ``schema``: the fixed columns of a saved row (from the first batch where it
-    is not given); a column that later batches lack reads as null.
+    ``schema``: columns that a saved row has from the start; those that later
+    batches bring are added, those they lack read as null.
     """
 
     def __init__(self, spark: SparkSession, root: str, table: str = "postings", leads: bool = False,
@@ -104,69 +108,86 @@ class Store:
         self.spark = spark
         self.leads = leads
         ensure_checkpoint_dir(spark)
-        self.table_path, self.keys_path, self.notes_path, self.ledger_path = (
-            f"{root.rstrip('/')}/{table}{part}" for part in ("", "_keys", "_notifications", "_ledger"))
-        self.schema_path = f"{root.rstrip('/')}/{table}_schema"
-        self._schema = schema
-
-    # ------------------------------------------------------------ folders
+        base = f"{root.rstrip('/')}/{table}"
+        self.table_path, self.notes_path = base, f"{base}_notifications"
+        self.log, self.index, self.schemas = RunLog(spark, f"{base}_log"), KeyIndex(spark, f"{base}_keys"), SchemaLog(spark, f"{base}_schema")
+        if schema is not None:
+            self.schemas.admit(schema)
 
-    def _runs(self, path: str, before: int | None = None) -> list[int]:
-        runs = sorted(int(n.removeprefix("run_id=")) for n in fs.names(self.spark, path) if n.startswith("run_id="))
-        return [r for r in runs if before is None or r < before]
-
-    def _read(self, path: str, schema: T.StructType, runs: list[int], extra: str = "") -> DataFrame:
-        """Rows of some runs' folders, under a fixed schema: no file is asked for its own."""
-        fields = T.StructType([*schema, *T._parse_datatype_string(f"run_id long{extra}")])
-        if not runs:
-            return self.spark.createDataFrame([], fields)
-        return self.spark.read.schema(fields).option("basePath", path).parquet(*(f"{path}/run_id={r}" for r in runs))
-
-    def schema(self, batch: DataFrame | None = None) -> T.StructType | None:
-        """The saved rows' columns; a first batch fixes them."""
-        if self._schema is None and fs.exists(self.spark, self.schema_path):
-            text = "".join(r.value for r in self.spark.read.text(self.schema_path).collect())  # one line
-            self._schema = T.StructType.fromJson(json.loads(text))
-        if self._schema is None and batch is not None:
-            cols = [f for f in batch.schema if f.name not in ("run_id", "created_at")]
-            self._schema = T.StructType([T.StructField(f.name, f.dataType) for f in cols])
-            self.spark.createDataFrame([(self._schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(self.schema_path)
-        return self._schema
+    # ------------------------------------------------------------ tables
 
     def rows(self, before_run: int | None = None, runs: list[int] | None = None) -> DataFrame | None:
-        """Saved rows (None while nothing was saved)."""
-        if self.schema() is None:
+        """Saved rows, each run read under its own columns (None while there are none to name)."""
+        latest = self.schemas.latest()
+        if latest < 0:
             return None
-        full = T.StructType([*self.schema(), T.StructField("created_at", T.TimestampNTZType())])
-        return self._read(self.table_path, full, self._runs(self.table_path, before_run) if runs is None else runs)
-
-    def notifications(self, before_run: int | None = None) -> DataFrame:
-        return self._read(self.notes_path, NOTE, self._runs(self.notes_path, before_run), ", kind string")
+        saved = self.log.runs().saved
+        of: dict[int, list[int]] = {}
+        for run, (version, n) in sorted(saved.items()):
+            if n and (run in runs if runs is not None else before_run is None or run < before_run):
+                of.setdefault(version, []).append(run)
+        full = T.StructType([*self.schemas.version(latest), *STAMP])
+        out = None if of else self.spark.createDataFrame([], full)
+        for version, some in of.items():
+            fields = T.StructType([*self.schemas.version(version), *STAMP])
+            read = self.spark.read.schema(fields).option("basePath", self.table_path).parquet(*(f"{self.table_path}/run_id={r}" for r in some))
+            read = conform(read, full)
+            out = read if out is None else out.unionByName(read)
+        return out
+
+    def notifications(self, before_run: int | None = None, since: int | None = None) -> DataFrame:
+        """K3: what the runs from ``since`` on and before ``before_run`` announced."""
+        runs = sorted(int(n.removeprefix("run_id=")) for n in fs.names(self.spark, self.notes_path) if n.startswith("run_id="))
+        runs = [r for r in runs if (before_run is None or r < before_run) and (since is None or r >= since)]
+        fields = T.StructType([*NOTE, T.StructField("run_id", T.LongType()), T.StructField("kind", T.StringType())])
+        if not runs:
+            return self.spark.createDataFrame([], fields)
+        return self.spark.read.schema(fields).option("basePath", self.notes_path).parquet(*(f"{self.notes_path}/run_id={r}" for r in runs))
 
-    def keys(self, before_run: int, prefixes: list[str]) -> DataFrame:
-        """Fingerprints saved before a run, from the folders of some prefixes only."""
-        key = T.StructType([T.StructField("fingerprint", T.StringType())])
-        rows = self._read(self.keys_path, key, self._runs(self.keys_path, before_run), ", fp string")
-        return rows.filter(F.col("fp").isin(prefixes))
+    def unseen(self, batch: DataFrame, run_id: int) -> DataFrame:
+        """J1 + J2: rows of ``batch`` whose keys no run before ``run_id`` saved, by the key index alone."""
+        batch = batch.checkpoint()  # counted, then read again: the count proves whether its keys may be broadcast
+        return self.index.new_rows(batch, batch.count(), self.log.runs(), run_id)
 
     # ------------------------------------------------------------ pending
 
     def announceable(self, rows: DataFrame) -> DataFrame:
         return rows.filter(F.col("email").isNotNull()) if self.leads else rows.filter(valid_posting())
 
+    def _ledger(self, run: int, now: Runs) -> Ledger:
+        """What a run saved and announced; of one that broke off, counted from its own folders."""
+        if run in now.committed:
+            return self.log.ledger(run)
+        told = [[r.saved_run, 0, r["count"]] for r in self.notifications(run + 1, run).groupBy("saved_run").count().collect()]
+        return [[run, self.announceable(self.rows(runs=[run])).count(), 0], *told] if run in now.saved else told
+
+    def _broken(self, now: Runs, before_run: int | None) -> list[int]:
+        return sorted(r for r in now.begun - now.committed if r > now.folded and (before_run is None or r < before_run))
+
     def open_runs(self, before_run: int | None = None) -> dict[int, int]:
-        """Saved run -> announceable rows still pending, oldest first (one row per run)."""
-        ledger = self._read(self.ledger_path, LEDGER, self._runs(self.ledger_path, before_run))
-        left = ledger.groupBy("saved_run").agg(F.sum(F.col("saved") - F.col("announced")).alias("n")).filter("n > 0")
-        return {r.saved_run: r.n for r in left.orderBy("saved_run").collect()}
+        """Saved run -> announceable rows still pending, oldest first (one entry per run)."""
+        now = self.log.runs()
+        left = self.log.snapshot(now)
+        runs = sorted(r for r in now.begun | now.committed if r > now.folded and (before_run is None or r < before_run))
+        add(left, (self._ledger(r, now) for r in runs))
+        return {r: n for r, n in sorted(left.items()) if n > 0}
+
+    def recover(self, before_run: int | None = None) -> list[int]:
+        """Writes the commits that runs before ``before_run`` did not come to; the runs."""
+        now = self.log.runs()
+        broken = self._broken(now, before_run)
+        for run in broken:
+            self.log.commit(run, self._ledger(run, now))
+        return broken
 
     def _pending_of(self, runs: list[int], before_run: int | None) -> DataFrame:
-        notes = self.notifications(before_run).filter(F.col("saved_run").isin(runs))
+        # a row is announced by the run that saved it or by a later one
+        notes = self.notifications(before_run, min(runs, default=0)).filter(F.col("saved_run").isin(runs))
         return self.announceable(pending(self.rows(runs=runs), notes))
 
     def pending(self, before_run: int | None = None) -> DataFrame | None:
         """Rows pending before ``before_run`` (all runs when None)."""
-        return None if self.schema() is None else self._pending_of(list(self.open_runs(before_run)), before_run)
+        return None if self.schemas.latest() < 0 else self._pending_of(list(self.open_runs(before_run)), before_run)
 
     def pending_by_full_scan(self, before_run: int | None = None) -> DataFrame | None:
         """The same set as ``pending`` computed from the whole history (for checks)."""
@@ -195,22 +216,20 @@ class Store:
 
     def insert(self, batch: DataFrame, run_id: int) -> int:
         """J3 + A4: write the new rows of ``batch`` as run ``run_id``; return their count."""
-        schema = self.schema(batch)
-        # Materialise the batch in the shared checkpoint folder (cuts lineage,
-        # survives executor loss) and count it: the count proves whether its
-        # keys may be broadcast against the ever-growing history.
-        batch = conform(batch, schema).checkpoint()
-        prefix = F.substring("fingerprint", 1, PREFIX)
-        prefixes = [r[0] for r in batch.select(prefix).distinct().collect()]  # at most 256
-        new = insert_ignore(batch, self.keys(run_id, prefixes), batch_rows=batch.count())
+        if run_id not in self.log.runs().begun:
+            self.log.begin(run_id)
+        version = self.schemas.admit(T.StructType([f for f in batch.schema if f.name not in STAMP.fieldNames()]))
+        # Materialise the batch in the shared checkpoint folder (cuts lineage, survives executor loss).
+        batch = dedup_first(conform(batch, self.schemas.version(version)), "fingerprint").checkpoint()
+        new = self.index.new_rows(batch, batch.count(), self.log.runs(), run_id)
         out = new.withColumn("created_at", F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None)))
         path = f"{self.table_path}/run_id={run_id}"
         out.write.mode("overwrite").parquet(path)
-        saved = self.rows(runs=[run_id])
-        keys = saved.select("fingerprint", prefix.alias("fp"))
-        fs.delete(self.spark, f"{self.keys_path}/run_id={run_id}")
-        keys.repartition("fp").write.partitionBy("fp").mode("overwrite").parquet(f"{self.keys_path}/run_id={run_id}")
-        return saved.count()
+        saved = self.spark.read.schema(T.StructType([T.StructField("fingerprint", T.StringType())])).parquet(path)
+        rows = saved.count()
+        self.index.add(saved, run_id, rows)
+        self.log.save(run_id, version, rows)
+        return rows
 
     def mark(self, rows: DataFrame | None, run_id: int, kind: str) -> dict[int, int]:
         """Log notifications for ``rows``; how many per run that saved them."""
@@ -224,8 +243,12 @@ class Store:
         """K5 + K6: retry pending first, then save, send, mark (a failed send leaves rows pending).
 
         The rows of a digest are chosen once: ``send`` gets what is then
-        marked.  An empty set is never sent.
+        marked.  An empty set is never sent.  A ``send`` that raises breaks the
+        run off like a crash; the next run takes up what was saved.
         """
+        self.recover(run_id)
+        self.log.begin(run_id)
+        fs.delete(self.spark, f"{self.notes_path}/run_id={run_id}")
         moved: dict[int, list[int]] = {}
 
         def announce(rows, total, kind):
@@ -241,6 +264,7 @@ class Store:
         fresh = new.count()
         moved.setdefault(run_id, [0, 0])[0] = fresh
         sent = announce(digest_slice(new, digest_size).checkpoint() if fresh else None, fresh, "new")
-        ledger = self.spark.createDataFrame([(r, s, k) for r, (s, k) in moved.items()], LEDGER)
-        ledger.coalesce(1).write.mode("overwrite").parquet(f"{self.ledger_path}/run_id={run_id}")
+        self.log.commit(run_id, [[r, s, k] for r, (s, k) in moved.items()])
+        self.log.fold(run_id)
+        self.index.merge(self.log.runs(), run_id)
         return RunReport(run_id, retried, retry_sent, inserted, sent)

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import epoch_to_ts, rfc2822_to_ts
 from ..functions.html import html_to_text
 from ..functions.salary import salary_annual, salary_by_period
-from ..functions.text import remote_flag, title_company_pipes
-from ..operators.predicates import finish
+from ..functions.text import remote_flag, strip, title_company_pipes
+from ..operators.predicates import EMPTY, NOT_PARSABLE, WRONG_SHAPE, finish
 from ..schema import place
 
 # URL shapes the feeds build from item fields.
@@ -32,11 +32,27 @@ HN_ITEM_URL = "https://news.ycombinator.com/item?id="
 
 
 def _items(payloads: DataFrame, path: str) -> DataFrame:
-    """Explode the array at ``path`` of every payload into (seq, item variant)."""
-    v = payloads.select("payload_id", F.try_parse_json("payload").alias("v"))
+    """Explode the array at ``path`` of every payload into (seq, item variant, ``bad``).
+
+    A response that is empty, does not parse or has another shape gives one row
+    without an item whose ``bad`` says so, in the same scan.  A list that is
+    missing from an object is no fault: it holds nothing.
+    """
+    text = F.coalesce(F.col("payload"), F.lit(""))
+    v = payloads.select("payload_id", (strip(text) == "").alias("blank"), F.try_parse_json("payload").alias("v"))
     arr = F.try_variant_get("v", path, "array<variant>")
-    return (v.select("payload_id", F.posexplode(arr).alias("pos", "item"))
-            .select(place(F.col("payload_id"), F.col("pos")).alias("seq"), "item"))
+    top = F.schema_of_variant("v")
+    at = F.schema_of_variant(F.try_variant_get("v", path, "variant"))
+    if path == "$":
+        shaped = top.startswith("ARRAY")
+    else:
+        shaped = top.startswith("OBJECT") & F.coalesce(at.startswith("ARRAY"), F.lit(True))
+    bad = (F.when(F.col("blank"), F.lit(EMPTY)).when(F.col("v").isNull(), F.lit(NOT_PARSABLE))
+           .when(~F.coalesce(shaped, F.lit(False)), F.lit(WRONG_SHAPE)))
+    nothing = F.array(F.lit(None).cast("variant"))
+    return (v.select("payload_id", bad.alias("bad"), arr.alias("arr"))
+            .select("payload_id", "bad", F.posexplode(F.when(F.col("bad").isNotNull(), nothing).otherwise(F.col("arr"))).alias("pos", "item"))
+            .select(place(F.col("payload_id"), F.col("pos")).alias("seq"), "item", "bad"))
 
 
 def _raw(item: Column, key: str) -> Column:
@@ -60,13 +76,30 @@ def _num(item: Column, key: str) -> Column:
     return F.try_variant_get(item, f"$.{key}", "double")
 
 
+def number_field(item: Column, key: str, whole: bool = False) -> tuple[Column, Column]:
+    """(value, ok): a number, or a text that is one; missing, null, false and empty values -> null and ok; anything else -> not ok.
+
+    ``whole``: a text must be a whole number, and the value one that is a time between the years 1 and 9999.
+    """
+    raw = _raw(item, key)
+    kind = F.coalesce(F.schema_of_variant(raw), F.lit("VOID"))
+    text = F.trim(F.try_variant_get(item, f"$.{key}", "string"))
+    shape = r"^[+-]?\d+$" if whole else r"^(?i)[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"
+    value = F.when(kind == "BOOLEAN", F.nullif(_num(item, key), F.lit(0.0))).when(kind == "STRING", F.when(text.rlike(shape), text.try_cast("double"))).otherwise(_num(item, key))
+    nothing = (kind == "VOID") | (F.to_json(raw).isin("", '""', "false", "[]", "{}"))
+    ok = nothing | value.isNotNull()
+    if whole:
+        ok &= nothing | value.between(-62135596800, 253402300799)
+    return F.when(~nothing, value), F.coalesce(ok, F.lit(False))
+
+
 # ---------------------------------------------------------------- S1
 
 def read_json_array(payloads: DataFrame, with_rejects: bool = False) -> DataFrame:
     """Top-level array; dict elements having a ``position`` key are postings."""
     it = _items(payloads, "$")
     item = F.col("item")
-    it = it.filter(F.schema_of_variant(item).startswith("OBJECT") & _raw(item, "position").isNotNull())
+    it = it.filter(F.col("bad").isNotNull() | F.schema_of_variant(item).startswith("OBJECT") & _raw(item, "position").isNotNull())
     title, ok1 = str_field(item, "position")
     company, ok2 = str_field(item, "company")
     # the slug only goes into the URL, where a null or a number is written as text
@@ -75,16 +108,17 @@ def read_json_array(payloads: DataFrame, with_rejects: bool = False) -> DataFram
             .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(item, "$.slug", "string")))
             .otherwise(F.coalesce(F.try_variant_get(item, "$.slug", "string"), F.to_json(_raw(item, "slug")))))
     desc, ok4 = str_field(item, "description")
-    epoch = F.try_variant_get(item, "$.epoch", "bigint")
+    epoch, ok5 = number_field(item, "epoch", whole=True)
+    salary, ok6 = number_field(item, "salary_min")
     out = it.select(
-        "seq",
+        "seq", "bad",
         title.alias("title"), company.alias("company"), F.lit("Remote").alias("location"),
         F.concat(F.lit(REMOTEOK_JOB_URL), slug).alias("url"),
         F.lit("remoteok").alias("source"), F.lit(True).alias("is_remote"),
         desc.alias("description"),
-        epoch_to_ts(epoch).alias("posted_at"),
-        salary_annual(_num(item, "salary_min")).alias("min_salary_usd_monthly"),
-        (ok1 & ok2 & ok4).alias("__ok"))
+        epoch_to_ts(epoch.cast("bigint")).alias("posted_at"),
+        salary_annual(F.when(~F.isnan(salary), salary)).alias("min_salary_usd_monthly"),
+        (ok1 & ok2 & ok4 & ok5 & ok6).alias("__ok"))
     return finish(out, with_rejects)
 
 
@@ -100,7 +134,7 @@ def read_json_envelope(payloads: DataFrame, with_rejects: bool = False) -> DataF
     url, ok4 = str_field(item, "url")
     desc, ok5 = str_field(item, "description")
     out = it.select(
-        "seq", title.alias("title"), company.alias("company"), loc.alias("location"),
+        "seq", "bad", title.alias("title"), company.alias("company"), loc.alias("location"),
         url.alias("url"), F.lit("remotive").alias("source"), F.lit(True).alias("is_remote"),
         desc.alias("description"), F.lit(None).cast("timestamp_ntz").alias("posted_at"),
         F.lit(None).cast("double").alias("min_salary_usd_monthly"),
@@ -130,7 +164,7 @@ def read_json_salaried(payloads: DataFrame, with_rejects: bool = False) -> DataF
     posted = (F.when(numeric, F.timestamp_seconds(_num(item, "pubDate")).cast("timestamp_ntz"))
                .when(pub_t == "STRING", rfc2822_to_ts(F.variant_get(item, "$.pubDate", "string"))))
     out = it.select(
-        "seq", title.alias("title"), company.alias("company"), location.alias("location"),
+        "seq", "bad", title.alias("title"), company.alias("company"), location.alias("location"),
         url.alias("url"), F.lit("himalayas").alias("source"), F.lit(True).alias("is_remote"),
         desc.alias("description"),
         posted.alias("posted_at"),
@@ -148,8 +182,12 @@ def newest_thread_payloads(threads: DataFrame) -> DataFrame:
     t = threads.select("payload_id", "payload", F.struct(
         F.coalesce(F.try_variant_get(v, "$.created_at_i", "bigint"), F.lit(-1)).alias("created_at"),
         F.coalesce(F.try_variant_get(v, "$.id", "bigint"), F.lit(-1)).alias("id")).alias("__thread"))
-    newest = t.agg(F.max("__thread").alias("__newest"))  # one row
-    return t.join(F.broadcast(newest), F.col("__thread") == F.col("__newest")).select("payload_id", "payload")
+    # a response that is no thread takes no part in the choice, and stays to be rejected
+    is_thread = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    t = t.withColumn("__is_thread", is_thread)
+    newest = t.filter("__is_thread").agg(F.max("__thread").alias("__newest"))  # one row
+    kept = t.join(F.broadcast(newest), ~F.col("__is_thread") | (F.col("__thread") == F.col("__newest")))
+    return kept.select("payload_id", "payload")
 
 
 def read_thread_comments(threads: DataFrame, with_rejects: bool = False) -> DataFrame:
@@ -161,15 +199,15 @@ def read_thread_comments(threads: DataFrame, with_rejects: bool = False) -> Data
     it = _items(newest_thread_payloads(threads), "$.children")
     item = F.col("item")
     text = F.try_variant_get(item, "$.text", "string")
-    it = it.filter(text.isNotNull() & (text != "")).select(
-        "seq", F.try_variant_get(item, "$.id", "string").alias("id"),
+    it = it.filter(F.col("bad").isNotNull() | text.isNotNull() & (text != "")).select(
+        "seq", "bad", F.try_variant_get(item, "$.id", "string").alias("id"),
         F.try_variant_get(item, "$.created_at_i", "bigint").alias("created"),
         text.alias("html"))
     plain = it.withColumn("plain", html_to_text(F.col("html")))
     tc = title_company_pipes(F.col("plain"))
     remote = remote_flag(F.col("plain"))
     out = plain.select(
-        "seq", tc["title"].alias("title"), tc["company"].alias("company"),
+        "seq", "bad", tc["title"].alias("title"), tc["company"].alias("company"),
         F.when(remote, "Remote").otherwise("On-site").alias("location"),
         F.concat(F.lit(HN_ITEM_URL), F.coalesce(F.col("id"), F.lit(""))).alias("url"),
         F.lit("hackernews").alias("source"), remote.alias("is_remote"),

@@ -8,16 +8,19 @@ give the fetch order (digit runs count as numbers, so ``page-2`` comes before
 writing a reader and registering it here.
 
 ``union_feeds`` reads every enabled feed and concatenates them in configured
-order (``seq``: feed, then file, then item).  Each feed is read and written to
-the shared scratch folder by itself, so one that cannot be read, even halfway,
-contributes nothing and is reported, like a failed fetch in a cron run; the
-other feeds go on.  Rejected items go to the quarantine table.
+order (``seq``: feed, then file, then item).  Feeds are read side by side, each
+in a thread and under a job tag of its own, and written to the shared scratch
+folder; one that cannot be read, even halfway, or takes too long contributes
+nothing and is reported, like a failed fetch in a cron run; the other feeds go
+on.  Rejected items and responses go to the quarantine table.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import threading
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -25,7 +28,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import InheritableThread
 
+from ..operators.predicates import RESPONSE_REASONS
 from ..schema import POSTING, POSTING_COLUMNS
 from ..session import ensure_checkpoint_dir
 from . import card_feeds, fs, json_feeds, markup_feeds
@@ -35,14 +40,17 @@ REJECTED = T.StructType([T.StructField("feed", T.StringType()), *POSTING.fields,
 
 @dataclass(frozen=True)
 class LocalSearch:
-    """The local pass of the boards: off without a city."""
+    """The local pass of the boards: off without a city or a state."""
 
     city: str = ""
     enabled: bool = False
+    state: str = ""
 
     @property
     def place(self) -> str:
-        return self.city.strip().lower() if self.enabled else ""
+        """City and state in lower case, or '' while there is no local pass; readers write it as ``title_case_place`` does."""
+        parts = [p.strip().lower() for p in (self.city, self.state)]
+        return ", ".join(p for p in parts if p) if self.enabled else ""
 
 
 def landed_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -103,32 +111,92 @@ def at_feed(seq: F.Column, feed: int) -> F.Column:
     return F.struct(F.lit(feed).alias("feed"), seq["payload"].alias("payload"), seq["pos"].alias("pos"))
 
 
-def concat_feeds(spark: SparkSession, enabled, read: Callable[[str], DataFrame], root: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:
-    """(valid rows, rejected rows, {feed: error}) of ``read(feed)`` for each enabled feed, under ``root``."""
-    tagged, failed = spark.createDataFrame([], REJECTED), {}
-    for i, name in enumerate(enabled):
+# Fixed value: seconds that a feed may take.
+FEED_SECONDS = 120.0
+FEEDS_AT_ONCE = 4
+
+
+def _side_by_side(spark: SparkSession, names, work: Callable[[str], object], seconds: float, at_once: int) -> dict[str, object]:
+    """``work(name)`` for each name, ``at_once`` at a time: its result, or the exception that ended it.
+
+    Each runs in a thread of its own whose Spark jobs bear a tag; after ``seconds``
+    the jobs of its tag are cancelled and the thread is left to itself.
+    """
+    sc, out, started = spark.sparkContext, {}, {}
+    tags = {name: f"feed-{uuid.uuid4().hex}" for name in names}
+    free = threading.Semaphore(at_once)
+
+    def run(name: str) -> None:
+        with free:
+            if name in out:
+                return
+            started[name] = time.monotonic()
+            sc.addJobTag(tags[name])
+            try:
+                got = work(name)
+            except Exception as e:  # noqa: BLE001 - handed to the caller
+                got = e
+            finally:
+                sc.removeJobTag(tags[name])
+            out.setdefault(name, got)
+
+    threads = {name: InheritableThread(target=run, args=(name,), session=spark, daemon=True) for name in names}
+    for t in threads.values():
+        t.start()
+    while len(out) < len(threads):
+        time.sleep(0.02)
+        for name, began in list(started.items()):
+            if name not in out and time.monotonic() - began > seconds:
+                out.setdefault(name, TimeoutError(f"took more than {seconds:g} s"))
+                sc.cancelJobsWithTag(tags[name])
+                free.release()  # a thread that hangs does not keep its place
+    return out
+
+
+def concat_feeds(spark: SparkSession, enabled, read: Callable[[str], DataFrame], root: str, seconds: float = FEED_SECONDS,
+                 at_once: int = FEEDS_AT_ONCE) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """(valid rows, rejected rows, {feed: error}) of ``read(feed)`` for each enabled feed, under ``root``.
+
+    Feeds are read side by side, each no longer than ``seconds``.  A feed whose
+    responses all gave nothing is an error too, and its rejects say why.
+    """
+    order = list(enabled)
+
+    def land(name: str) -> tuple[T.StructType, str | None]:
+        rows = read(name)
+        rows = rows.select(at_feed(F.col("seq"), order.index(name)).alias("seq"), *(c for c in rows.columns if c != "seq"))
         path = f"{root}/feed={name}"
-        try:
-            rows = read(name)
-            rows = rows.select(at_feed(F.col("seq"), i).alias("seq"), *(c for c in rows.columns if c != "seq"))
-            rows.write.mode("overwrite").parquet(path)  # a feed that cannot be read fails here, by itself
-        except Exception as e:  # noqa: BLE001 - a failed feed contributes nothing, and is reported
-            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+        rows.write.mode("overwrite").parquet(path)  # a feed that cannot be read fails here, by itself
+        said = spark.read.schema(rows.schema).parquet(path).groupBy("reason").count().collect()  # a few reasons
+        counts = {r.reason: r["count"] for r in said}
+        bad = {k: n for k, n in counts.items() if k in RESPONSE_REASONS}
+        nothing = bad and None not in counts
+        return rows.schema, "ResponseError: " + ", ".join(f"{n} x {k}" for k, n in sorted(bad.items())) if nothing else None
+
+    landed = _side_by_side(spark, order, land, seconds, at_once)
+    tagged, failed = spark.createDataFrame([], REJECTED), {}
+    for name in order:
+        got = landed[name]
+        if isinstance(got, Exception):  # contributes nothing, and is reported
+            failed[name] = f"{type(got).__name__}: {str(got)[:200]}"
             continue
-        tagged = tagged.unionByName(spark.read.schema(rows.schema).parquet(path).withColumn("feed", F.lit(name)))
+        schema, error = got
+        if error:
+            failed[name] = error
+        tagged = tagged.unionByName(spark.read.schema(schema).parquet(f"{root}/feed={name}").withColumn("feed", F.lit(name)))
     valid = tagged.filter("reason is null").select(*POSTING_COLUMNS)
     return valid, tagged.filter("reason is not null"), failed
 
 
 def union_feeds(spark: SparkSession, landing_root: str, enabled, search: LocalSearch = LocalSearch(),
-                quarantine: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+                quarantine: str | None = None, seconds: float = FEED_SECONDS) -> tuple[DataFrame, dict[str, str]]:
     """(all enabled feeds' postings, {feed: error} for feeds that contributed nothing).
 
     Rejected items are written to ``quarantine`` (replaced as a whole), if given.
     """
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/feeds-{uuid.uuid4().hex}"
     valid, rejected, failed = concat_feeds(
-        spark, enabled, lambda name: FEEDS[name](spark, os.path.join(landing_root, name), search), root)
+        spark, enabled, lambda name: FEEDS[name](spark, os.path.join(landing_root, name), search), root, seconds)
     if quarantine:
         rejected.write.mode("overwrite").parquet(quarantine)
     return valid, failed

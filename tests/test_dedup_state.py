@@ -1,3 +1,4 @@
+import itertools
 import os
 
 from pyspark.sql import functions as F
@@ -140,16 +141,130 @@ def test_a_damaged_history_is_an_error_and_not_an_empty_one(spark, tmp_dir):
         store.run(_rows(spark, [(0, "a0", "remoteok")]), 1, 2, lambda *_: True)
 
 
-def test_a_batch_reads_the_key_files_of_its_own_prefixes(spark, tmp_dir):
+def _break(monkeypatch, store, point):
+    """Makes the store's next call of ``point`` fail, before or after its work."""
+    import pytest
+
+    when, name = point
+    owner, attr = {"keys": (store.index, "add"), "saved": (store.log, "save"), "mark": (store, "mark"), "commit": (store.log, "commit"),
+                   "intent": (store.log, "begin"), "admit": (store.schemas, "admit")}[name]
+    real = getattr(owner, attr)
+
+    def broken(*args):
+        monkeypatch.setattr(owner, attr, real)
+        if when == "after":
+            real(*args)
+        raise RuntimeError(f"{when} {name}")
+
+    monkeypatch.setattr(owner, attr, broken)
+    return pytest.raises(RuntimeError)
+
+
+POINTS = [(when, name) for name in ("intent", "admit", "keys", "saved", "mark", "commit") for when in ("before", "after")]
+
+
+def test_a_run_that_breaks_off_anywhere_forgets_nothing(spark, tmp_dir, monkeypatch):
+    """After every step of a run: pending stays what the full history says, and later runs announce each row once saved."""
+    for number, point in enumerate(POINTS):
+        store, shown = Store(spark, os.path.join(tmp_dir, f"s{number}")), []
+
+        def send(rows, total, run_id, kind):
+            shown.extend(_keys(rows))
+            return True
+
+        store.run(_rows(spark, [(i, f"a{i}", "remoteok") for i in range(3)]), 0, 2, send)
+        batch = _rows(spark, [(i, f"b{i}", "remoteok") for i in range(5)] + [(9, "a0", "x")])
+        with _break(monkeypatch, store, point):
+            store.run(batch, 1, 2, send)
+        assert _keys(store.pending()) == _keys(store.pending_by_full_scan()), point
+        assert sum(store.open_runs().values()) == store.pending().count(), point
+        # the feeds still bring the rows; run number 2 is a new one and run 1 is never replayed
+        store.run(batch, 2, 10, send)
+        store.run(batch.limit(0), 4, 10, send)
+        assert _keys(store.rows()) == ["a0", "a1", "a2", "b0", "b1", "b2", "b3", "b4"], point
+        assert store.pending().count() == 0 and set(shown) == set(_keys(store.rows())), point
+        assert store.recover() == [] and _keys(store.notifications()) == _keys(store.rows()), point
+
+
+def test_a_send_that_raises_leaves_its_rows_to_the_next_run(spark, tmp_dir):
+    import pytest
+    store = Store(spark, os.path.join(tmp_dir, "s"))
+
+    def crash(*_):
+        raise RuntimeError("no network")
+
+    batch = _rows(spark, [(i, f"a{i}", "remoteok") for i in range(5)])
+    with pytest.raises(RuntimeError):
+        store.run(batch, 0, 3, crash)
+    assert store.pending().count() == store.pending_by_full_scan().count() == 5
+    rep = store.run(batch, 1, 3, lambda *_: True)
+    assert (rep.retried, rep.retry_sent, rep.inserted) == (5, True, 0) and _keys(store.pending()) == ["a3", "a4"]
+
+
+def test_a_replay_of_a_broken_run_gives_the_tables_of_a_whole_one(spark, tmp_dir, monkeypatch):
+    whole, broken = (Store(spark, os.path.join(tmp_dir, n)) for n in ("whole", "broken"))
+    first, batch = (_rows(spark, [(i, f"{n}{i}", "remoteok") for i in range(4)]) for n in "ab")
+    for store in (whole, broken):
+        store.run(first, 0, 3, lambda *_: True)
+    with _break(monkeypatch, broken, ("after", "keys")):
+        broken.run(batch, 1, 3, lambda *_: True)
+    for store in (whole, broken):
+        store.run(batch, 1, 3, lambda *_: True)
+    assert _keys(whole.rows()) == _keys(broken.rows()) and _keys(whole.notifications()) == _keys(broken.notifications())
+    assert whole.open_runs() == broken.open_runs()
+
+
+def test_key_segments_are_merged_in_levels(spark, tmp_dir, monkeypatch):
+    """Thirty runs: few segments are read, and a batch finds what a scan of all rows finds."""
+    from feedline.plans import key_index, run_log
+    monkeypatch.setattr(key_index, "FANOUT", 3)
+    for module in (key_index, run_log):
+        monkeypatch.setattr(module, "KEEP", 2)
+    monkeypatch.setattr(run_log, "FOLD", 5)
+    store = Store(spark, os.path.join(tmp_dir, "s"))
+    results = itertools.cycle([True, False, True, True, False])
+    for run in range(30):
+        store.run(_rows(spark, [(i, f"r{run}-{i}" if i else "shared", "remoteok") for i in range(4)]), run, 2, lambda *_: next(results))
+    runs = store.log.runs()
+    segments = store.index.segments(runs, 30)
+    assert len(segments) <= 3 + 3 * 3 and max(s.level for s in segments) >= 2
+    assert sum(s.rows for s in segments) == store.rows().count() == 30 * 3 + 1
+    assert _keys(store.index.keys(runs, 30)) == _keys(store.rows())
+    assert len(store.index.keys(runs, 30).inputFiles()) <= len(segments)
+    batch = _rows(spark, [(i, k, "x") for i, k in enumerate(["shared", "r3-1", "r17-2", "r29-3", "new"])])
+    for rows in (5, key_index.FEW + 1):  # by value, and by join
+        assert _keys(store.index.new_rows(batch, rows, runs, 30)) == ["new"]
+    # ledgers were folded, and say what the full history says
+    assert runs.folded >= 10 and _keys(store.pending()) == _keys(store.pending_by_full_scan())
+    import pytest
+    with pytest.raises(ValueError):
+        store.run(batch, 3, 2, lambda *_: True)
+    again = Store(spark, os.path.join(tmp_dir, "s"))
+    assert again.run(batch, 30, 50, lambda *_: True).inserted == 1 and again.open_runs() == {}
+
+
+def test_few_keys_are_pushed_to_the_files(spark, tmp_dir):
     store = Store(spark, os.path.join(tmp_dir, "s"))
     store.run(_rows(spark, [(i, f"{i:02x}rest", "remoteok") for i in range(64)]), 0, 2, lambda *_: True)
-    keys = store.keys(1, ["0a", "0b"])
-    plan = keys._jdf.queryExecution().executedPlan().toString()
-    assert "fp IN (0a,0b)" in plan.replace("fp#", "fp ").replace("  ", " ") or "PartitionFilters: [" in plan and "0a" in plan
-    assert _keys(keys) == ["0arest", "0brest"] and len(keys.inputFiles()) <= 64
+    plan = store.index.new_rows(_rows(spark, [(0, "0arest", "x"), (1, "zz", "x")]), 2, store.log.runs(), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "In(fingerprint" in plan
     assert set(store.rows().columns) == {*SCHEMA.replace(",", "").split()[::2], "created_at", "run_id"}
 
 
+def test_later_columns_are_kept_and_old_rows_read_null(spark, tmp_dir):
+    import pytest
+    store = Store(spark, os.path.join(tmp_dir, "s"))
+    first = _rows(spark, [(1, "a", "remoteok")]).withColumn("score", F.lit(3))
+    store.run(first, 0, 5, lambda *_: True)
+    store.run(_rows(spark, [(1, "b", "remoteok")]).withColumn("board", F.lit("x")), 1, 5, lambda *_: True)
+    store.run(_rows(spark, [(1, "c", "remoteok")]).withColumns({"score": F.lit(1 << 40), "board": F.lit("y")}), 2, 5, lambda *_: True)
+    got = {r["fingerprint"]: (r["score"], r["board"]) for r in store.rows().collect()}
+    assert got == {"a": (3, None), "b": (None, "x"), "c": (1 << 40, "y")}
+    assert store.rows().schema["score"].dataType.simpleString() == "bigint" and store.schemas.latest() == 2
+    with pytest.raises(ValueError):
+        store.run(_rows(spark, [(1, "d", "remoteok")]).withColumn("board", F.lit(True)), 3, 5, lambda *_: True)
+
+
 def test_store_pending_skips_unreadable_rows(spark, tmp_dir):
     store = Store(spark, os.path.join(tmp_dir, "s"))
     bad = _rows(spark, [(0, "a", "retired_board"), (1, "b", "remoteok")])

@@ -1,4 +1,4 @@
-from feedline.functions.html import anchors, explode_mailto, list_links, plain_text, result_cards
+from feedline.functions.html import Page, anchors, explode_mailto, list_links, mail_anchors, plain_text, result_cards
 from feedline.operators.contacts import best_contact, with_hr_flag
 from feedline.operators.joins import radius_join, robots_allowed, within_radius
 from feedline.sources.crawl import robots_rules
@@ -22,11 +22,52 @@ def test_mailto_context_uses_parent_own_text_only(spark):
 
 def test_deep_pages_do_not_break_the_walk(spark):
     deep = "<li>" * 100_000 + '<a href="mailto:x@y.mx">z</a>'
-    assert plain_text(deep) == "z" and len(anchors(deep)) == 1
+    assert plain_text(deep) == "z" and len(anchors(Page(deep))) == 1
     assert result_cards("<b>" * 100_000) == [] and list_links("</i>" * 100_000 + "<p>" * 100_000, "/x") == []
     assert [g[3] for g in _candidates(spark, deep, '<a href="mailto:q@r.mx">s</a>')] == ["x@y.mx", "q@r.mx"]
 
 
+def test_elements_left_open_cost_what_closed_ones_do():
+    import time
+    n = 100_000
+    start = time.process_time()
+    links, own = mail_anchors(Page('<a href="/x">t' * n + '<a href="mailto:a@b.mx">z</a>'))
+    assert len(links) == 1 and links[0].ord == n and own == ["t"]
+    links, own = mail_anchors(Page('<p>own<a href="mailto:a@b.mx">t' * n))
+    assert len(links) == n and len(own) == n and links[0].size == 1 + 6 * (n - 1)
+    card = '<a class="results-item" href="/j"><h4 class="results-list-title">'
+    assert result_cards(card * n) == []
+    assert list_links('<li class="list-group-item"><a class="stretched-link" hx-get="/other">x' * n, "/jobs/") == []
+    assert time.process_time() - start < 30  # quadratic walks take minutes
+
+
+def test_ranges_equal_a_walk_of_the_tree():
+    """Texts and first descendants against a plain tree over random markup."""
+    import random
+    rng = random.Random(7)
+    tags = ["a", "div", "p", "li", "br", "script", "template", "strong"]
+    for _ in range(60):
+        html = "".join(rng.choice([f"<{t} class='c{rng.randrange(3)} d'>", f"</{t}>", f" w{rng.randrange(50)} ", "<!-- x -->"])
+                       for t in rng.choices(tags, k=60))
+        page = Page(html)
+        below = {n: set() for n in range(len(page.tags))}
+        for n in range(1, len(page.tags)):
+            up = n
+            while up:
+                up = page.parents[up]
+                below[up].add(n)
+        for n in below:
+            assert below[n] == set(range(n + 1, page.last[n] + 1))
+            texts = [t for t, p in zip(page.texts, page.text_parents) if p == n or p in below[n]]
+            assert page.text(n) == "".join(t.strip() for t in texts)
+            start, size = page.span(n)
+            assert page.spaced[0][start:start + size].decode() == " ".join(t.strip() for t in texts if t.strip())
+            for tag in tags:
+                for cls in ("", "c1", "d"):
+                    want = [m for m in sorted(below[n]) if page.tags[m] == tag and (not cls or cls in page.attrs[m].get("class", "").split())]
+                    assert page.first(n, tag, cls) == (want[0] if want else None)
+
+
 def test_plain_text_skips_script_and_decodes_entities():
     assert plain_text("<p>a &amp; b</p><script>var x='<p>';</script><style>p{}</style>c") == "a & bc"
 
