@@ -318,6 +318,11 @@ SELECT n.run_id, t.run_id AS saved_run, t.seq, t.fingerprint FROM notes n JOIN t
 ORACLE["scan_unnotified"] = with_postings(SCENARIO + """
 SELECT fingerprint, title, company, location, url, source, is_remote, description FROM pend""")
 ORACLE["pending_count"] = with_postings(SCENARIO + "\nSELECT count(*) AS pending FROM pend")
+# the first run's delivery broke it off: its rows are saved, none is announced
+AFTER_BREAK = SCENARIO.replace("FROM saved0 ORDER BY seq LIMIT 10", "FROM saved0 ORDER BY seq LIMIT 0")
+ORACLE["retry_after_break"] = with_postings(AFTER_BREAK + """
+SELECT n.run_id, n.kind, t.run_id AS saved_run, t.seq, t.fingerprint FROM notes n JOIN tbl t USING (fingerprint)""")
+ORACLE["pending_after_break"] = with_postings(AFTER_BREAK + "\nSELECT fingerprint, run_id, title, url, source FROM pend")
 ORACLE["digest_slice"] = with_postings(SCENARIO + "\nSELECT seq, fingerprint, title FROM new1 ORDER BY seq LIMIT 10")
 ORACLE["digest_line"] = with_postings(SCENARIO + f"\nSELECT seq, {POSTING_LINE_SQL} AS line FROM new1")
 ORACLE["digest_text"] = with_postings(SCENARIO + f""",
@@ -423,7 +428,7 @@ ORACLE["best_email"] = LEADS_BASE + "," + BEST_CTE + "\nSELECT website, email, e
 ORACLE["new_leads"] = LEADS_BASE + "," + BEST_CTE + "\nSELECT * FROM nl"
 ORACLE["scan_unnotified_leads"] = LEADS_BASE + "," + BEST_CTE + """,
 notif AS (SELECT * FROM nl WHERE email IS NOT NULL),
-m AS (SELECT fingerprint FROM notif ORDER BY seq LIMIT 30)
+m AS (SELECT fingerprint FROM notif ORDER BY seq LIMIT 3)
 SELECT fingerprint, name, email FROM notif WHERE fingerprint NOT IN (SELECT fingerprint FROM m)"""
 ORACLE["lead_digest_text"] = LEADS_BASE + "," + BEST_CTE + f""",
 notif AS (SELECT * FROM nl WHERE email IS NOT NULL),
@@ -553,6 +558,11 @@ UNION_KEYS = ("src_tabular", "src_json_array", "src_json_envelope", "src_rss", "
               "src_json_salaried", "src_thread_comments", "src_card_links", "src_html_cards")
 ORACLE["union_feeds"] = ("SELECT feed, dense_rank() OVER (PARTITION BY feed ORDER BY payload) AS file, pos, source, fingerprint FROM (\n"
                          + "\nUNION ALL\n".join(_feed(i, k) for i, k in enumerate(UNION_KEYS)) + ")")
+ORACLE["response_rejects"] = with_postings("""c AS (SELECT DISTINCT seq // 50 AS k FROM postings),
+r AS (SELECT feed, CASE WHEN k % 7 = 1 OR (k % 7 = 6 AND feed = 'wwr') THEN 'not_parsable'
+                        WHEN k % 7 = 2 THEN 'empty_response' WHEN k % 7 = 3 THEN 'wrong_shape' END AS reason
+      FROM c, (VALUES ('remoteok'), ('remotive'), ('himalayas'), ('wwr')) v(feed))
+SELECT feed, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY feed, reason""")
 _THETA = ("widget", "schkeit", *[f"zz-term-{i:03d}" for i in range(60)])
 ORACLE["keyword_theta"] = with_postings("x AS (SELECT 1)\nSELECT seq FROM postings WHERE "
                                         + " OR ".join(f"contains({SEARCHABLE}, '{t}')" for t in _THETA))
@@ -616,9 +626,13 @@ FROM held h LEFT JOIN det d USING (doc_id) GROUP BY h.true_lang""")
 
 # ---------------------------------------------------------------- streaming twins (batch SQL)
 
-# Two landings of three feeds: payloads of the postings of either run, read back, filtered, deduplicated, saved once.
+# Two landings of nine feeds: payloads of the postings of either run, read back, filtered, deduplicated, saved once.
+STREAM_KEYS = ("src_json_array", "src_json_envelope", "src_rss", "src_html_list", "src_card_fields", "src_card_text", "src_json_salaried",
+               "src_card_links", "src_html_cards")
+
+
 def _landing(run: int) -> str:
-    feeds = (("src_json_array", 0), ("src_json_envelope", 1), ("src_rss", 2))
+    feeds = [(k, i) for i, k in enumerate(STREAM_KEYS)]
     rows = " UNION ALL ".join(
         f"SELECT {i} AS feed, seq // 1048576 AS payload, seq % 1048576 AS pos, title, company, url, source, is_remote, description, posted_at"
         f" FROM ({ORACLE[k].replace('postings AS (', 'all_postings AS (', 1).replace('fp_postings AS (', f'postings AS (SELECT * FROM all_postings WHERE run_no = {run}), fp_postings AS (', 1)})"

@@ -3,17 +3,19 @@ per-group windows (W3-W5, F13), URL-first dedup (A2), keyword theta join (J6).""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import fingerprint
 from ..operators.dedup import dedup_first
 from ..operators.joins import keyword_semi
-from ..operators.predicates import valid_posting
+from ..operators.predicates import RESPONSE_REASONS, valid_posting
 from ..operators.windows import cut_after_first_block, newest, per_site_cap
 from ..sources import card_feeds as cf
 from ..sources import fixtures as fx
-from ..sources import markup_feeds, payloads
+from ..sources import json_feeds, markup_feeds, payloads
 from ..sources import payloads_markup as pm
 from ..sources.registry import LocalSearch, union_feeds
 from ..sources.tables import table
@@ -149,6 +151,24 @@ def q_union_feeds(spark, base):
     return rows.join(files, ["feed", "payload"]).select("feed", "file", "pos", "source", "fingerprint")
 
 
+def spoiled(pages, shape: str):
+    """Payloads of which some are cut, empty or of another shape, by their number."""
+    k = F.col("payload_id") % 7
+    return pages.withColumn("payload", F.when(k == 1, F.lit("{not json <rss")).when(k == 2, F.lit(" \n")).when(k == 3, F.lit(shape)).otherwise(F.col("payload")))
+
+
+@register("response_rejects")
+def q_response_rejects(spark, base):
+    """responses that gave nothing, by feed and reason, from the same scan as the items."""
+    p = _p(spark, base).checkpoint()
+    feeds = {"remoteok": (json_feeds.read_json_array, payloads.json_array_payloads(p), '{"a": 1}'),
+             "remotive": (json_feeds.read_json_envelope, payloads.json_envelope_payloads(p), '{"jobs": "none"}'),
+             "himalayas": (json_feeds.read_json_salaried, payloads.json_salaried_payloads(p), "[1, 2]"),
+             "wwr": (markup_feeds.read_rss, pm.rss_payloads(p), "<html><body>down</body></html>")}
+    rows = [read(spoiled(pages, shape), with_rejects=True).select(F.lit(name).alias("feed"), "reason") for name, (read, pages, shape) in feeds.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows).filter(F.col("reason").isin(*RESPONSE_REASONS)).groupBy("feed", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 # A long list of terms is one scan of each text as well.
 THETA_TERMS = ("widget", "schkeit", *[f"zz-term-{i:03d}" for i in range(60)])
 

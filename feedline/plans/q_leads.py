@@ -124,10 +124,10 @@ def q_new_leads(spark, base):
 
 @register("scan_unnotified_leads")
 def q_scan_unnotified_leads(spark, base):
-    """After the run announced the first 30 leads with an e-mail, the rest stay pending."""
+    """After a run that announced the first three leads with an e-mail, the rest stay pending."""
     saved = _new_leads(spark, base).checkpoint()  # one crawl for the saved rows and the announced ones
     notifiable = saved.filter(F.col("email").isNotNull())
-    notes = marks(notifiable, LEAD_DIGEST, 0, "new")
+    notes = marks(notifiable, 3, 0, "new")
     return pending_leads(saved, notes).select("fingerprint", "name", "email")
 
 

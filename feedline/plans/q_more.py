@@ -83,11 +83,10 @@ def q_required_fields(spark, base):
 
 @register("unknown_feeds")
 def q_unknown_feeds(spark, base):
-    """U3 over configured names: every source name of the documents, as one configured list; a row per unknown feed."""
-    names = table(spark, base, "documents").agg(F.array_join(F.collect_set("source"), " , ").alias("raw"))
-    feeds = csv_list(F.col("raw"))
-    known = F.array(*[F.lit(f) for f in KNOWN_FEEDS])
-    return names.select(F.explode(F.array_except(feeds, known)).alias("feed"))
+    """U3 over configured names: every source name of the documents as a configured list; a row per unknown feed."""
+    feeds = table(spark, base, "documents").select(F.explode(csv_list(F.col("source"))).alias("feed")).distinct()
+    known = spark.createDataFrame([(f,) for f in KNOWN_FEEDS], "feed string")
+    return feeds.join(F.broadcast(known), "feed", "left_anti")
 
 
 @register("stream_dedup_exact")

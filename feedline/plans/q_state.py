@@ -103,6 +103,42 @@ def q_digest_log(spark, base):
     return log.select(F.col("run_id").cast("bigint").alias("run_id"), "kind", "n_items", "n_total", "text")
 
 
+class BrokenOff(RuntimeError):
+    """What a run of the queries below ends with."""
+
+
+def _after_break(spark, base):
+    """The store after a first run whose delivery broke it off, a second one that took up its rows, and a third with nothing new."""
+    b0, b1 = _batches(spark, base)
+    store = Store(spark, f"{checkpoint_path(spark, 'after-break')}/state")
+
+    def breaks(rows, total, run_id, kind):
+        raise BrokenOff(kind)
+
+    try:
+        store.run(b0, 0, N, breaks)
+    except BrokenOff:
+        pass
+    for run, batch in ((1, b1), (2, b1.limit(0))):
+        store.run(batch, run, N, lambda *_: True)
+    return store
+
+
+@register("retry_after_break")
+def q_retry_after_break(spark, base):
+    """K3 + K5 + K6 through the store: what was announced, by which run, and which run had saved it."""
+    store = _after_break(spark, base)
+    saved = store.rows().select("fingerprint", F.col("run_id").alias("in_run"), "seq")
+    notes = store.notifications().select("fingerprint", "run_id", "kind", "saved_run")
+    return notes.join(saved, "fingerprint").filter("in_run = saved_run").select("run_id", "kind", "saved_run", "seq", "fingerprint")
+
+
+@register("pending_after_break")
+def q_pending_after_break(spark, base):
+    """S15 + K1 through the store: what is still to be announced after those runs, by the ledger."""
+    return _after_break(spark, base).pending().select("fingerprint", "run_id", "title", "url", "source")
+
+
 @register("scan_unnotified")
 def q_scan_unnotified(spark, base):
     s = scenario(spark, base)

@@ -9,12 +9,15 @@ DataFrame -- so the driver can compare it with the batch twin's SQL.
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..params import LeadParams, PostingParams
-from ..sources import crawl, fixtures as fx, json_feeds, markup_feeds, payloads
+from ..sources import card_feeds as cf
+from ..sources import crawl, fixtures as fx, json_feeds, payloads
 from ..sources import payloads_markup as pm
+from ..sources.registry import LocalSearch, stream_readers
 from ..streaming import flows
 from .registry import packed, register
 from .state import Store
@@ -40,24 +43,36 @@ def _cannot_read(payloads_df, with_rejects=True):
     return rows.withColumn("title", F.raise_error(F.lit("unreadable response")).cast("string"))
 
 
+def card_payloads(cards):
+    """Rendered pages as landed responses: the cards of a page as one JSON list."""
+    fields = ["step", "pos", "href", "raw", "title", "company", "text", "is_remote", "blocked"]
+    pages = cards.groupBy(F.col("step").alias("payload_id")).agg(F.collect_list(F.struct(*fields)).alias("cards"))  # 50 at most
+    return pages.select("payload_id", F.to_json("cards").alias("payload"))
+
+
 @register("stream_postings")
 def q_stream_postings(spark, base):
-    """T1 + T2: two landings of three feeds and a broken one -> two availableNow runs -> saved table."""
+    """T1 + T2: two landings of nine feeds and a broken one -> two availableNow runs -> saved table."""
     root, land = _landed(spark, base, "postings")
     p = fx.postings(spark, base).checkpoint()
     store = Store(spark, os.path.join(root, "state"))
-    params = PostingParams(keywords=fx.FIXTURE_KEYWORDS, max_years=None, max_age_days=fx.FIXTURE_MAX_AGE_DAYS, blacklist=None,
-                           allowed_languages=None, as_of=fx.AS_OF)
-    readers = {"remoteok": json_feeds.read_json_array, "remotive": json_feeds.read_json_envelope, "wwr": markup_feeds.read_rss,
-               "getonboard": _cannot_read}
+    search = LocalSearch("celaya", True)
+    params = PostingParams(keywords=fx.FIXTURE_KEYWORDS, require_remote=True, max_years=None, max_age_days=fx.FIXTURE_MAX_AGE_DAYS,
+                           blacklist=None, allowed_languages=None, as_of=fx.AS_OF, search=search)
+    known = stream_readers(spark, search)
+    names = ("remoteok", "remotive", "wwr", "cybersecjobs", "computrabajo", "bumeran", "himalayas", "occ", "getonboard")
+    readers = {**{n: known[n] for n in names}, "hackernews": _cannot_read}
     send = flows.digest_sink(os.path.join(root, "digests"), params.digest_size)
     for run in (0, 1):
         q = p.filter(F.col("run_no") == run)
-        feeds = {"remoteok": payloads.json_array_payloads(q), "remotive": payloads.json_envelope_payloads(q),
-                 "wwr": pm.rss_payloads(q), "getonboard": payloads.json_array_payloads(q)}
-        for name, pages in feeds.items():
-            (pages.select(F.lit(name).alias("feed"), F.concat(F.lit(f"20260707-{run}-"), F.col("payload_id").cast("string")).alias("page"),
-                          F.col("payload").alias("value")).repartition("page").write.mode("append").partitionBy("feed", "page").text(land))
+        feeds = {"remoteok": payloads.json_array_payloads(q), "remotive": payloads.json_envelope_payloads(q), "wwr": pm.rss_payloads(q),
+                 "cybersecjobs": pm.list_page_payloads(q), "himalayas": payloads.json_salaried_payloads(q), "getonboard": pm.card_page_payloads(q),
+                 "bumeran": card_payloads(pm.card_rows(q, "bumeran", cf.CARD_TEXT_BASE)),
+                 "computrabajo": card_payloads(pm.card_rows(q, "computrabajo", cf.CARD_FIELDS_BASE)),
+                 "occ": card_payloads(pm.card_rows(q, "occ", cf.CARD_LINKS_BASE)), "hackernews": payloads.json_array_payloads(q)}
+        pages = [d.select(F.lit(n).alias("feed"), F.concat(F.lit(f"20260707-{run}-"), F.col("payload_id").cast("string")).alias("page"),
+                          F.col("payload").alias("value")) for n, d in feeds.items()]
+        reduce(lambda a, b: a.unionByName(b), pages).repartition("feed", "page").write.mode("append").partitionBy("feed", "page").text(land)
         _run(flows.postings_stream(spark, land, store, params, send, os.path.join(root, "checkpoint"), readers))
     return store.rows().select("fingerprint", "title", "source", "run_id")
 

@@ -8,6 +8,8 @@ batch lacks read as null; a type that neither side widens to is an error.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
@@ -16,6 +18,17 @@ from ..sources import fs
 _WHOLE = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """A type as files give it back: nothing in it is without null."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
+
+
 def wider(old: T.DataType, new: T.DataType) -> T.DataType:
     """The type that holds values of both."""
     if old == new or isinstance(new, T.NullType):
@@ -38,8 +51,8 @@ def wider(old: T.DataType, new: T.DataType) -> T.DataType:
 
 def merged(old: T.StructType, new: T.StructType) -> T.StructType:
     """``old`` with the columns of ``new``: old ones first, each nullable and as wide as both need."""
-    more = {f.name: f.dataType for f in new}
-    out = [T.StructField(f.name, wider(f.dataType, more.pop(f.name)) if f.name in more else f.dataType) for f in old]
+    more = {f.name: nullable(f.dataType) for f in new}
+    out = [T.StructField(f.name, wider(nullable(f.dataType), more.pop(f.name)) if f.name in more else f.dataType) for f in old]
     return T.StructType([*out, *(T.StructField(n, t) for n, t in more.items())])
 
 
@@ -54,8 +67,6 @@ class SchemaLog:
 
     def version(self, n: int) -> T.StructType:
         if n not in self._known:
-            import json
-
             self._known[n] = T.StructType.fromJson(json.loads(fs.get(self.spark, f"{self.path}/{n:06d}")))
         return self._known[n]
 

@@ -25,9 +25,9 @@ from ..functions.text import (absolutise_if_rooted, absolutise_unless_http, cont
                               strip, title_case, title_company_lines)
 from ..operators.dedup import dedup_first
 from ..operators.joins import map_source
-from ..operators.predicates import finish
+from ..operators.predicates import EMPTY, NOT_PARSABLE, WRONG_SHAPE, finish
 from ..operators.windows import cut_after_first_block
-from ..schema import place
+from ..schema import POSTING, place
 
 # Board bases and remote marker words.
 CARD_TEXT_BASE = "https://www.bumeran.com.mx"
@@ -37,6 +37,44 @@ CARD_TEXT_MARKERS = ("remoto", "home office", "teletrabajo", "trabajo remoto")
 CARD_FIELDS_MARKERS = ("remoto", "home office", "teletrabajo")
 
 
+#: A landed response of a board whose pages are rendered: the cards of a page, or rows of the board library, as one JSON list.
+CARD = "step: bigint, pos: bigint, href: string, raw: string, title: string, company: string, text: string, is_remote: boolean, blocked: boolean"
+BOARD_ROW = "seq: bigint, site: string, title: string, company: string, location: string, job_url: string, description: string, date_posted: string, is_remote: boolean"
+
+
+def json_rows(payloads: DataFrame, fields: str) -> DataFrame:
+    """The rows of JSON lists, one list a payload; a payload that is none gives nothing (``bad_lists`` says why)."""
+    return payloads.select(F.inline(F.from_json("payload", f"array<struct<{fields}>>")))
+
+
+def bad_lists(payloads: DataFrame) -> DataFrame:
+    """a reject for each payload that is not a JSON list."""
+    v = F.try_parse_json("payload")
+    blank = F.trim(F.coalesce(F.col("payload"), F.lit(""))) == ""
+    reason = F.when(blank, F.lit(EMPTY)).when(v.isNull(), F.lit(NOT_PARSABLE)).when(~F.schema_of_variant(v).startswith("ARRAY"), F.lit(WRONG_SHAPE))
+    bad = payloads.select(place(F.col("payload_id"), F.lit(0)).alias("seq"), reason.alias("bad")).filter("bad is not null")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in POSTING.fields if f.name != "seq"]
+    return finish(bad.select("seq", "bad", *empty), True)
+
+
+def landed_cards(read, feed: str, city: str):
+    """A reader of card payloads: ``read`` over the cards, of the remote passes only where there is no local search."""
+    def run(payloads: DataFrame, with_rejects: bool = True) -> DataFrame:
+        cards = json_rows(payloads, CARD).withColumn("feed", F.lit(feed))
+        rows = read(cards if city else cards.filter("is_remote"), city=city, with_rejects=with_rejects)
+        return rows.unionByName(bad_lists(payloads)) if with_rejects else rows
+    return run
+
+
+def landed_board(spark: SparkSession, city: str):
+    """A reader of payloads with rows of the board library; each row says of which pass it is."""
+    def run(payloads: DataFrame, with_rejects: bool = True) -> DataFrame:
+        rows = json_rows(payloads, BOARD_ROW)
+        out = read_tabular_passes(spark, rows.filter("is_remote"), rows.filter("not is_remote") if city else None, with_rejects)
+        return out.unionByName(bad_lists(payloads)) if with_rejects else out
+    return run
+
+
 def _location(city: str) -> F.Column:
     return title_case(F.lit(city)) if city else F.lit("Remote")
 

@@ -73,6 +73,15 @@ PAYLOAD_READERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def stream_readers(spark: SparkSession, search: LocalSearch = LocalSearch()) -> dict[str, Callable[..., DataFrame]]:
+    """All feeds as readers of landed text: those of ``PAYLOAD_READERS``, and rendered cards and board rows landed as JSON lists."""
+    return {**PAYLOAD_READERS,
+            "bumeran": card_feeds.landed_cards(card_feeds.read_card_text, "bumeran", search.place),
+            "computrabajo": card_feeds.landed_cards(card_feeds.read_card_fields, "computrabajo", search.place),
+            "occ": card_feeds.landed_cards(card_feeds.read_card_links, "occ", search.place),
+            "jobspy": card_feeds.landed_board(spark, search.place)}
+
+
 def _payload_reader(fn):
     return lambda spark, path, search: fn(landed_payloads(spark, path), with_rejects=True)
 
