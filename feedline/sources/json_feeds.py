@@ -87,10 +87,9 @@ def number_field(item: Column, key: str, whole: bool = False) -> tuple[Column, C
     shape = r"^[+-]?\d+$" if whole else r"^(?i)[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"
     value = F.when(kind == "BOOLEAN", F.nullif(_num(item, key), F.lit(0.0))).when(kind == "STRING", F.when(text.rlike(shape), text.try_cast("double"))).otherwise(_num(item, key))
     nothing = (kind == "VOID") | (F.to_json(raw).isin("", '""', "false", "[]", "{}"))
-    ok = nothing | value.isNotNull()
     if whole:
-        ok &= nothing | value.between(-62135596800, 253402300799)
-    return F.when(~nothing, value), F.coalesce(ok, F.lit(False))
+        value = F.when(value.between(-62135596800, 253402300799), value)
+    return F.when(~nothing, value), nothing | value.isNotNull()
 
 
 # ---------------------------------------------------------------- S1

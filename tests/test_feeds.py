@@ -275,3 +275,130 @@ def test_rfc2822_forms(spark):
         except (TypeError, ValueError):
             want = None
         assert r["ts"] == want, r["t"]
+
+
+def test_numbers_that_are_none_reject_the_item(spark):
+    """Texts that are numbers count, empty values are nothing, anything else makes the item malformed."""
+    item = lambda n, **more: {"position": n, "company": "A", "slug": n, **more}
+    doc = [item("text", epoch="1700000000", salary_min="24000"), item("none", epoch="", salary_min=0), item("null", epoch=None, salary_min=None),
+           item("empty", epoch=False, salary_min=[]), item("float", epoch=1700000000.9, salary_min=1.2e4), item("negative", salary_min=-5),
+           item("nan", salary_min="nan"),
+           item("bad epoch", epoch="abc"), item("bad salary", salary_min="abc"), item("half", epoch="12.5"), item("far", epoch=1e18),
+           item("list", salary_min=[1]), item("object", epoch={"a": 1})]
+    rows = json_feeds.read_json_array(_payloads(spark, doc), with_rejects=True).collect()
+    got = {r["title"]: (r["posted_at"], r["min_salary_usd_monthly"]) for r in rows if r["reason"] is None}
+    at = dt.datetime(2023, 11, 14, 22, 13, 20)
+    assert got == {"text": (at, 2000.0), "none": (None, None), "null": (None, None), "empty": (None, None), "float": (at, 1000.0),
+                   "negative": (None, None), "nan": (None, None)}
+    assert {r["title"]: r["reason"] for r in rows if r["reason"]} == dict.fromkeys(
+        ["bad epoch", "bad salary", "half", "far", "list", "object"], "malformed")
+
+
+def test_responses_that_give_nothing_say_why(spark):
+    rejects = lambda read, *docs: sorted((r.seq.payload[-1], r.reason) for r in read(_payloads(spark, *docs), with_rejects=True)
+                                         .filter("reason is not null").collect())
+    three = [("1", "not_parsable"), ("2", "empty_response"), ("3", "wrong_shape")]
+    job = {"title": "Dev", "company_name": "A", "url": "https://r/1"}
+    assert rejects(json_feeds.read_json_envelope, {"jobs": [job]}, "{not json", " ", [1], {"other": 1}) == three
+    assert rejects(json_feeds.read_json_envelope, {"jobs": {"a": 1}}) == [("0", "wrong_shape")]
+    assert rejects(json_feeds.read_json_salaried, {"jobs": []}, "<html>", "", '"text"') == three
+    assert rejects(json_feeds.read_json_array, [], "[1", "\n", {"jobs": []}) == three
+    assert rejects(json_feeds.read_thread_comments, {"id": 1, "created_at_i": 5, "children": []}, "{", "", [2]) == three
+    assert rejects(markup_feeds.read_rss, "<rss><channel></channel></rss>", "<rss><channel>", " ", "<html><body/></html>") == three
+    # without rejects they are silent
+    assert json_feeds.read_json_envelope(_payloads(spark, "{not json", {"jobs": [job]})).count() == 1
+
+
+def _land(root, feed, *docs):
+    import os
+    os.makedirs(f"{root}/{feed}", exist_ok=True)
+    for i, d in enumerate(docs):
+        with open(f"{root}/{feed}/{i}.json", "w") as f:
+            f.write(d if isinstance(d, str) else json.dumps(d))
+
+
+def test_a_feed_of_bad_responses_is_reported_with_its_rejects(spark, tmp_dir):
+    from feedline.sources.registry import union_feeds
+    _land(f"{tmp_dir}/land", "remotive", "{not json", " ")
+    _land(f"{tmp_dir}/land", "himalayas", {"jobs": [{"title": "Dev", "companyName": "A", "guid": "https://r/1"}]}, "{")
+    rows, failed = union_feeds(spark, f"{tmp_dir}/land", ("remotive", "himalayas"), quarantine=f"{tmp_dir}/bad")
+    assert rows.count() == 1 and set(failed) == {"remotive"} and "1 x not_parsable" in failed["remotive"]
+    bad = sorted((r["feed"], r["reason"]) for r in spark.read.parquet(f"{tmp_dir}/bad").collect())
+    assert bad == [("himalayas", "not_parsable"), ("remotive", "empty_response"), ("remotive", "not_parsable")]
+
+
+def test_a_feed_that_hangs_is_cancelled_and_the_others_are_all_there(spark, tmp_dir):
+    import time
+
+    import pandas as pd
+
+    from feedline.sources import registry
+
+    def hangs(spark, path, search):
+        @F.pandas_udf("string")
+        def wait(col: pd.Series) -> pd.Series:
+            time.sleep(60)
+            return col
+        return registry.FEEDS["remotive"](spark, path, search).withColumn("title", wait("title"))
+
+    job = lambda n: {"jobs": [{"title": n, "company_name": "A", "url": f"https://r/{n}"}]}
+    _land(f"{tmp_dir}/land", "slow", job("s"))
+    for feed in ("remotive", "remotive2"):
+        _land(f"{tmp_dir}/land", feed, job(feed))
+    before = dict(registry.FEEDS)
+    try:
+        registry.register_feed("slow", hangs)
+        registry.register_feed("remotive2", registry.FEEDS["remotive"])
+        start = time.monotonic()
+        rows, failed = registry.union_feeds(spark, f"{tmp_dir}/land", ("slow", "remotive", "remotive2"), seconds=20.0)
+        assert [r["title"] for r in rows.orderBy("seq").collect()] == ["remotive", "remotive2"]
+        assert list(failed) == ["slow"] and failed["slow"].startswith("TimeoutError") and time.monotonic() - start < 55
+        # the jobs of the feed are gone
+        status = spark.sparkContext.statusTracker()
+        for _ in range(50):
+            if not status.getActiveStageIds():
+                break
+            time.sleep(0.1)
+        assert not status.getActiveStageIds()
+    finally:
+        registry.FEEDS.clear()
+        registry.FEEDS.update(before)
+
+
+def test_all_feeds_stream_under_one_checkpoint(spark, tmp_dir):
+    """One landing of all eleven feeds, rendered cards and board rows among them; one is broken."""
+    from feedline.params import PostingParams
+    from feedline.plans.state import Store
+    from feedline.sources.registry import LocalSearch, stream_readers
+    from feedline.streaming import flows
+    card = {"step": 0, "pos": 0, "href": "/j/1", "raw": "Python Dev\nAcme\nremoto", "title": "Python Dev", "company": "Acme",
+            "text": "Python Dev Acme remoto", "is_remote": True, "blocked": False}
+    local = {**card, "step": 1, "href": "/j/2", "is_remote": False}
+    board = {"seq": 0, "site": "linkedin", "title": "Python Dev", "company": "Board", "location": None, "job_url": "https://b/1",
+             "description": None, "date_posted": "2024-01-30", "is_remote": True}
+    docs = {
+        "remoteok": [{"position": "Python Dev", "company": "A", "slug": "a"}], "remotive": {"jobs": [{"title": "Python Dev", "company_name": "B", "url": "https://b"}]},
+        "himalayas": {"jobs": [{"title": "Python Dev", "companyName": "C", "guid": "https://c"}]}, "hackernews": "{broken",
+        "wwr": "<rss><channel><item><title>D: Python Dev</title><link>https://d</link></item></channel></rss>",
+        "getonboard": _card("https://e", "Python Dev", "E", True), "cybersecjobs":
+            '<li class="list-group-item"><a class="stretched-link" hx-get="/hiring/jobs/1">Python Dev</a></li>',
+        "bumeran": [card, local], "computrabajo": [card, local], "occ": [card, local], "jobspy": [board, {**board, "is_remote": False, "job_url": "https://b/2"}]}
+    for name, doc in docs.items():
+        _land(f"{tmp_dir}/land", f"feed={name}", doc)
+    params = PostingParams(keywords=("python",), max_years=None, max_age_days=None, blacklist=None, allowed_languages=None, search=LocalSearch("celaya", True, "guanajuato"))
+    store = Store(spark, f"{tmp_dir}/state")
+    flows.postings_stream(spark, f"{tmp_dir}/land", store, params, lambda *_: True, f"{tmp_dir}/checkpoint",
+                          stream_readers(spark, params.search), quarantine=f"{tmp_dir}/bad").awaitTermination()
+    got = sorted((r["source"], r["is_remote"], r["location"]) for r in store.rows().collect())
+    cards = [(s, remote, "Remote" if remote else "Celaya, Guanajuato") for s in ("bumeran", "computrabajo", "occ") for remote in (False, True)]
+    assert got == sorted([*cards, *((s, True, "Remote") for s in ("remoteok", "remotive", "himalayas", "weworkremotely", "getonboard", "cybersecjobs")),
+                          ("linkedin", True, "Remote"), ("linkedin", False, "Remote")])
+    assert [(r["feed"], r["reason"]) for r in spark.read.parquet(f"{tmp_dir}/bad/run_id=0").collect()] == [("hackernews", "not_parsable")]
+
+
+def test_a_local_search_keeps_local_rows(spark):
+    from feedline.params import PostingParams
+    from feedline.sources.registry import LocalSearch
+    assert PostingParams().require_remote and not PostingParams(search=LocalSearch("celaya", True)).require_remote
+    assert PostingParams(search=LocalSearch("celaya", True), require_remote=True).require_remote
+    assert LocalSearch(" Celaya", True, "Guanajuato").place == "celaya, guanajuato" and LocalSearch("celaya", False).place == ""

@@ -189,3 +189,31 @@ def test_leads_seen_before_are_not_crawled_again(spark):
     new = {r["fingerprint"]: r for r in lf.leads_batch(leads, *args, history=history).collect()}
     assert set(new) == set(full) - set(seen)
     assert all(new[f]["email"] == full[f]["email"] for f in new)
+
+
+def test_robots_of_a_host_with_many_rules_equal_the_plain_test(spark):
+    """A thousand rules and thousands of paths on one host: no path meets every rule."""
+    import random
+
+    from feedline.sources.crawl import percent_encoded, url_path
+    from pyspark.sql import functions as F
+    rng = random.Random(3)
+    piece = lambda: "/" + "".join(rng.choice("ab%é") for _ in range(rng.randint(0, 4)))
+    rules = [("https://h", n, rng.random() < 0.4, piece() + (piece() if rng.random() < 0.5 else "")) for n in range(1000)]
+    rules += [("https://s", 0, True, "/ok"), ("https://s", 1, False, "*"), ("https://t", 0, True, "")]
+    pages = [("https://h", piece() + piece() + piece(), i) for i in range(3000)]
+    pages += [("https://h/base", "/x", 5000), ("https://s", "/ok/1", 5001), ("https://s", "/no", 5002), ("https://t", "/a", 5003), ("https://u", "/a", 5004)]
+    rdf = spark.createDataFrame(rules, "website string, ord long, allow boolean, prefix string")
+    pdf = spark.createDataFrame(pages, "website string, path string, page_id long")
+    out = robots_allowed(pdf, rdf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    encoded = {r.p: r.e for r in rdf.select(F.col("prefix").alias("p"), percent_encoded(F.col("prefix")).alias("e")).distinct().collect()}
+    path = {r.page_id: r.e for r in pdf.select("page_id", percent_encoded(url_path(F.concat("website", "path"))).alias("e")).collect()}
+    own = {"https://h": [r for r in rules if r[0] == "https://h"], "https://s": rules[1000:1002], "https://t": rules[1002:]}
+    want = set()
+    for site, _, i in pages:
+        first = next((allow for _, _, allow, p in own.get(site[:9], []) if p == "*" or path[i].startswith(encoded[p])), True)
+        if first:
+            want.add(i)
+    assert {r.page_id for r in out.collect()} == want and 0 < len(want) < len(pages)

@@ -121,3 +121,22 @@ def test_posting_filter_takes_a_long_keyword_list_in_one_filter(spark):
     out = pr.posting_filter(df, p)
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
     assert _seqs(out, F.lit(True)) == [0]
+
+
+def test_long_term_lists_equal_the_plain_test_without_a_nested_loop(spark):
+    import random
+
+    from feedline.functions.text import contains_any
+    rng = random.Random(5)
+    terms = [f"{rng.choice(['py', 'ñu', 'x'])}{rng.randrange(10**6)}" for _ in range(100_000)]
+    texts = ["", None, "nothing here", *(" ".join([*rng.sample(terms, 1), "tail"]) for _ in range(20)), *(f"py{rng.randrange(10**6)}é" for _ in range(80))]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, t string")
+    out = df.select("seq", contains_any("t", terms).alias("found"))
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    known = set(terms)
+    want = {i: None if t is None else any(t[a:b] in known for a in range(len(t)) for b in range(a + 1, len(t) + 1)) for i, t in enumerate(texts)}
+    assert {r.seq: r.found for r in out.collect()} == want and sum(v is True for v in want.values()) >= 20
+    rows = _df(spark, [dict(title="python dev"), dict(title="chef"), dict(title="x" + terms[0])])
+    p = PostingParams(keywords=("python",), max_years=None, max_age_days=None, blacklist=tuple(terms), allowed_languages=None, min_salary=None, as_of=AS_OF)
+    assert _seqs(pr.posting_filter(rows, p), F.lit(True)) == [0]
+    assert df.filter(contains_any("t", ["", *terms])).count() == len(texts) - 1
