@@ -5,16 +5,25 @@ import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns that the operators use as names of their own.
-CLASH = ["did", "size", "score", "ids", "copies", "component_id", "seed", "src", "spans", "fp", "kept", "n_tokens"]
+CLASH = ["did", "size", "score", "ids", "copies", "component_id", "seed", "src", "spans", "fp", "kept", "n_tokens",
+         "row", "key", "text_", "__id", "__key", "__spans", "__h1", "__h2", "__g1", "__k0", "__k1", "__nth", "__copy", "__copies", "__score", "__text",
+         "k0", "k1", "learn", "block", "rows", "n", "data", "part", "n_a", "fast", "slow", "groups"]
 
 
 def docs(spark, rows, parts=3):
     """Documents from ``(doc_id, text)`` or ``(doc_id, text, source)``, with columns of clashing names."""
     full = [(*r, *([None] * (3 - len(r))), "en", *(["x"] * len(CLASH))) for r in rows]
-    schema = "doc_id long, text string, source string, lang string, " + ", ".join(f"{c} string" for c in CLASH)
+    schema = "doc_id long, text string, source string, lang string, " + ", ".join(f"`{c}` string" for c in CLASH)
     return spark.createDataFrame(full, schema).repartition(parts)
 
 
+def with_map(df):
+    """``df`` with a map and a list of maps, whose rows cannot be hashed."""
+    from pyspark.sql import functions as F
+
+    return df.withColumns({"tags": F.create_map(F.lit("id"), F.col("doc_id").cast("string")), "more": F.array(F.create_map(F.lit(1), F.lit("x")))})
+
+
 def words(n, rng, vocabulary=3000):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 

@@ -3,7 +3,7 @@ import __spark_entry__ as entry
 from feedline.llm.queries import QUERIES
 from feedline.llm.scratch import Scratch
 
-from .common import docs, odd_rows
+from .common import CLASH, docs, odd_rows, with_map
 
 BASE = "/root/testdata/sf0.001"
 
@@ -43,6 +43,37 @@ def test_odd_rows_and_empty_tables_pass_through(spark):
 
 def test_registered_once_for_each_operator():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(QUERIES) <= set(names)
+
+
+def test_other_columns_of_any_name_and_kind_come_through(spark):
+    """Each stage but the last gives back the columns it does not change as they were, whatever their names; maps too."""
+    rows = with_map(docs(spark, [(d, t, "s") for d, t in odd_rows()]))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, rows, BASE)
+        assert out.columns == rows.columns, name
+        for r in out.collect():
+            assert all(r[c] == "x" for c in CLASH), name
+            assert r.tags == {"id": None if r.doc_id is None else str(r.doc_id)} and r.more == [{1: "x"}], name
+
+
+def test_passages_stage_cuts_what_a_plain_search_cuts(spark):
+    """Exact repeats of 60 words in otherwise different texts, against a search for 50 words in a row."""
+    import random
+
+    rng = random.Random(21)
+    own = lambda n: [f"v{rng.randrange(10 ** 7)}" for _ in range(n)]
+    shared = [own(60) for _ in range(4)]
+    texts = [[*own(40), *rng.choice(shared), *own(40)] for _ in range(30)]
+    seen, want = set(), {}
+    for i, w in enumerate(texts):
+        cut = set()
+        for p in range(len(w) - 49):
+            if tuple(w[p:p + 50]) in seen:
+                cut.update(range(p, p + 50))
+        want[i] = [x for p, x in enumerate(w) if p not in cut]
+        seen.update(tuple(w[p:p + 50]) for p in range(len(w) - 49))
+    out = P.passages_stage(spark, docs(spark, [(i, " ".join(w)) for i, w in enumerate(texts)]), BASE)
+    assert {r.doc_id: r.text.split() for r in out.collect()} == want
