@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps whose results are written and whose frames are gone.
+
+    It does so when the driver collects its garbage, which may be long after the
+    next step has filled the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Parquet tables under one fresh folder.
 
