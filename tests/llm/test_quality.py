@@ -63,3 +63,35 @@ def test_gradient_steps_lower_the_loss():
     m = train(idx, np.ones(len(idx), np.float32), offs, label, Settings(buckets=128, steps=100, rate=5))
     z = m.bias + m.weight[idx].reshape(60, 20).mean(axis=1)
     assert ((z > 0) == label).all()
+
+
+def test_scores_equal_a_plain_loop_over_features():
+    """``Model.score`` against each text's words, pairs and grams looked up one by one."""
+    import math
+
+    from feedline.llm.batches import M1, M2, mix64, prefix_sums, span_hashes
+    from feedline.llm.quality import Model
+
+    from .common import WORD
+
+    buckets, mask = 1 << 12, (1 << 64) - 1
+    shift = 64 - 12
+    rng = np.random.default_rng(4)
+    model = Model(rng.normal(size=buckets).astype(np.float32), -0.3)
+
+    def name(word):
+        buf = np.frombuffer(word.encode(), np.uint8)
+        return int(span_hashes(prefix_sums(buf), np.array([0]), np.array([len(buf)]))[0])
+
+    def plain(text):
+        raw = (text or "").encode()
+        h = [name(w) for w in WORD.findall(text or "")]
+        found = [x >> shift for x in h]
+        found += [int(mix64(np.array([((b - a) * int(M1) + 1) & mask], np.uint64))[0]) >> shift for a, b in zip(h, h[1:])]
+        found += [((int.from_bytes(raw[i:i + 4], "little") + int(M1)) * int(M2) & mask) >> shift for i in range(len(raw) - 3)]
+        z = model.bias + (sum(float(model.weight[f]) for f in found) / len(found) if found else 0.0)
+        return 1 / (1 + math.exp(-z))
+
+    texts = ["", None, "a", "a b", "abc abc abc", "Ünï cödé  wörds\n\there", " lead and trail ", "x" * 300, *(" ".join(words(40, random.Random(i))) for i in range(5))]
+    buf, offs = text_bytes(pa.array(texts))
+    assert np.allclose(model.score(buf, offs), [plain(t) for t in texts], rtol=1e-9)
