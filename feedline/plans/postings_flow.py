@@ -19,7 +19,8 @@ from ..operators.dedup import dedup_last_value_first_position
 from ..operators.language import Profile, detect
 from ..operators.predicates import funnel_counts, posting_filter
 from ..params import PostingParams
-from ..sources.registry import union_feeds
+from ..sources import fs
+from ..sources.registry import feeds_root, union_feeds
 from .state import RunReport, Send, Store
 
 
@@ -51,7 +52,9 @@ def run_postings(spark: SparkSession, landing_root: str, store: Store, run_id: i
     Rejected feed items go to ``quarantine``/run_id=N, if given.
     """
     rejects = f"{quarantine}/run_id={run_id}" if quarantine else None
-    postings, failed = union_feeds(spark, landing_root, params.enabled_feeds, params.search, rejects)
+    root = feeds_root(spark)
+    postings, failed = union_feeds(spark, landing_root, params.enabled_feeds, params.search, rejects, root=root)
     postings, funnel = observe_funnel(postings, params)
     report = store.run(relevant_batch(postings, params, profile), run_id, params.digest_size, send)
+    fs.delete(spark, root)  # the run has committed
     return report, failed, funnel.get

@@ -197,13 +197,20 @@ def concat_feeds(spark: SparkSession, enabled, read: Callable[[str], DataFrame],
     return valid, tagged.filter("reason is not null"), failed
 
 
+def feeds_root(spark: SparkSession) -> str:
+    """A new folder for what the feeds of one run give."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/feeds-{uuid.uuid4().hex}"
+
+
 def union_feeds(spark: SparkSession, landing_root: str, enabled, search: LocalSearch = LocalSearch(),
-                quarantine: str | None = None, seconds: float = FEED_SECONDS) -> tuple[DataFrame, dict[str, str]]:
+                quarantine: str | None = None, seconds: float = FEED_SECONDS, root: str | None = None) -> tuple[DataFrame, dict[str, str]]:
     """(all enabled feeds' postings, {feed: error} for feeds that contributed nothing).
 
     Rejected items are written to ``quarantine`` (replaced as a whole), if given.
+    What the feeds gave is kept under ``root`` (a folder of its own by default)
+    for the caller to delete once it has used the rows.
     """
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/feeds-{uuid.uuid4().hex}"
+    root = root or feeds_root(spark)
     valid, rejected, failed = concat_feeds(
         spark, enabled, lambda name: FEEDS[name](spark, os.path.join(landing_root, name), search), root, seconds)
     if quarantine:
