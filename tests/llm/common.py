@@ -6,7 +6,7 @@ import re
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns that the operators use as names of their own.
 CLASH = ["did", "size", "score", "ids", "copies", "component_id", "seed", "src", "spans", "fp", "kept", "n_tokens",
-         "row", "key", "text_", "__id", "__key", "__spans", "__h1", "__h2", "__g1", "__k0", "__k1", "__nth", "__copy", "__copies", "__score", "__text",
+         "row", "key", "text_", "__id", "__key", "__spans", "__h1", "__h2", "__g1", "__k0", "__k1", "__nth", "__copy", "__copies", "__text",
          "k0", "k1", "learn", "block", "rows", "n", "data", "part", "n_a", "fast", "slow", "groups"]
 
 

@@ -99,12 +99,11 @@ def test_plain_and_irregular_pairs_are_apart_and_bounded(spark):
 
 def test_empty_table_and_clashing_columns(spark):
     df = docs(spark, odd_rows())
-    names = [*df.columns, "row", "n_a", "fast", "slow", "groups"]
-    for c in names[len(df.columns):]:
-        df = df.withColumn(c, df.lang)
+    names = df.columns
+    assert {"row", "n_a", "fast", "slow", "groups"} <= set(names)
     got = alignment.token_groups(df, *PATHS, keep=tuple(names))
     assert got.select("row.*").columns == names
-    assert got.filter("row.fast != 'en'").count() == 0
+    assert got.filter("row.fast != 'x'").count() == 0
     assert run(docs(spark, odd_rows()).filter("false"))[0].count() == 0
 
 
