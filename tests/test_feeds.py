@@ -402,3 +402,46 @@ def test_a_local_search_keeps_local_rows(spark):
     assert PostingParams().require_remote and not PostingParams(search=LocalSearch("celaya", True)).require_remote
     assert PostingParams(search=LocalSearch("celaya", True), require_remote=True).require_remote
     assert LocalSearch(" Celaya", True, "Guanajuato").place == "celaya, guanajuato" and LocalSearch("celaya", False).place == ""
+
+
+def test_a_feed_that_goes_on_is_not_cut_off(spark, tmp_dir):
+    """Two tasks after the other outlast the limit together, each by itself does not."""
+    import time
+
+    import pandas as pd
+
+    from feedline.sources import registry
+
+    def slow(spark, path, search):
+        @F.pandas_udf("string")
+        def wait(col: pd.Series) -> pd.Series:
+            time.sleep(6)
+            return col
+        rows = registry.FEEDS["remotive"](spark, path, search)
+        for k in range(3):  # a shuffle each, so that stages follow each other
+            rows = rows.withColumn("title", wait("title")).repartition(1, "title", F.lit(k))
+        return rows
+
+    _land(f"{tmp_dir}/land", "slow", {"jobs": [{"title": "s", "company_name": "A", "url": "https://r/s"}]})
+    before = dict(registry.FEEDS)
+    try:
+        registry.register_feed("slow", slow)
+        rows, failed = registry.union_feeds(spark, f"{tmp_dir}/land", ("slow",), seconds=15.0)
+        assert not failed and [r["title"] for r in rows.collect()] == ["s"]
+    finally:
+        registry.FEEDS.clear()
+        registry.FEEDS.update(before)
+
+
+def test_landed_pages_are_named_in_their_order_without_a_folder_each(spark, tmp_dir):
+    import os
+
+    from feedline.sources import payloads
+    from feedline.sources.registry import landed_payloads
+    from feedline.schema import natural_key
+    pages = spark.range(230).repartition(7).select(F.col("id").alias("payload_id"), F.concat(F.lit("p"), F.col("id")).alias("payload"))
+    both = pages.withColumn("thread", F.lit("1")).unionByName(pages.select("payload_id", F.concat("payload", F.lit("a")).alias("payload"), F.lit("0").alias("thread")))
+    payloads.land_pages(both, f"{tmp_dir}/land/x", "payload_id", "thread")
+    got = [r["payload"] for r in landed_payloads(spark, f"{tmp_dir}/land/x").orderBy(natural_key(F.col("payload_id"))).collect()]
+    assert got == [f"p{i}{t}\n" for i in range(230) for t in ("a", "")]
+    assert sum(len(d) for _, d, _ in os.walk(f"{tmp_dir}/land/x")) == 5
