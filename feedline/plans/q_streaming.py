@@ -70,10 +70,10 @@ def q_stream_postings(spark, base):
                  "bumeran": card_payloads(pm.card_rows(q, "bumeran", cf.CARD_TEXT_BASE)),
                  "computrabajo": card_payloads(pm.card_rows(q, "computrabajo", cf.CARD_FIELDS_BASE)),
                  "occ": card_payloads(pm.card_rows(q, "occ", cf.CARD_LINKS_BASE)), "hackernews": payloads.json_array_payloads(q)}
-        pages = [d.select(F.lit(n).alias("feed"), F.concat(F.lit(f"20260707-{run}-"), F.col("payload_id").cast("string")).alias("page"),
-                          F.col("payload").alias("value")) for n, d in feeds.items()]
-        reduce(lambda a, b: a.unionByName(b), pages).repartition("feed", "page").write.mode("append").partitionBy("feed", "page").text(land)
-        _run(flows.postings_stream(spark, land, store, params, send, os.path.join(root, "checkpoint"), readers))
+        pages = [d.select(F.lit(n).alias("feed"), F.concat(F.lit(f"20260707-{run}-"), F.col("payload_id").cast("string")).alias("payload_id"), "payload")
+                 for n, d in feeds.items()]
+        reduce(lambda a, b: a.unionByName(b), pages).write.mode("append").partitionBy("feed").parquet(land)
+        _run(flows.postings_stream(spark, land, store, params, send, os.path.join(root, "checkpoint"), readers, packed=True))
     return store.rows().select("fingerprint", "title", "source", "run_id")
 
 

@@ -445,3 +445,30 @@ def test_landed_pages_are_named_in_their_order_without_a_folder_each(spark, tmp_
     got = [r["payload"] for r in landed_payloads(spark, f"{tmp_dir}/land/x").orderBy(natural_key(F.col("payload_id"))).collect()]
     assert got == [f"p{i}{t}\n" for i in range(230) for t in ("a", "")]
     assert sum(len(d) for _, d, _ in os.walk(f"{tmp_dir}/land/x")) == 5
+
+
+def test_packed_responses_stream_like_a_file_each(spark, tmp_dir):
+    """The same responses as files and as rows of one file: the last one in natural order gives the values of a key that comes twice."""
+    import os
+
+    from feedline.params import PostingParams
+    from feedline.plans.state import Store
+    from feedline.streaming import flows
+    params = PostingParams(keywords=("dev",), max_years=None, max_age_days=None, blacklist=None, allowed_languages=None)
+    job = lambda d: {"jobs": [{"title": "Dev", "company_name": "A", "url": "https://a", "description": d}]}
+    docs = [("remotive", f"p-{n}", json.dumps(job(f"text {n}"))) for n in (10, 2)] + [("remoteok", "p-1", "{broken")]
+    got = {}
+    for packed in (False, True):
+        root = f"{tmp_dir}/{packed}"
+        for feed, page, text in docs:
+            os.makedirs(f"{root}/land/feed={feed}", exist_ok=True)
+            with open(f"{root}/land/feed={feed}/{page}", "w") as f:
+                f.write(text)
+        if packed:
+            spark.createDataFrame(docs, "feed string, payload_id string, payload string").coalesce(1).write.partitionBy("feed").parquet(f"{root}/packed")
+        store = Store(spark, f"{root}/state")
+        flows.postings_stream(spark, f"{root}/packed" if packed else f"{root}/land", store, params, lambda *_: True, f"{root}/checkpoint",
+                              quarantine=f"{root}/bad", packed=packed).awaitTermination()
+        got[packed] = ([tuple(r) for r in store.rows().select("title", "description", "seq", "source").collect()],
+                       [tuple(r) for r in spark.read.parquet(f"{root}/bad").select("feed", "reason").collect()])
+    assert got[True] == got[False] and got[True][0][0][1] == "text 10" and got[True][1] == [("remoteok", "not_parsable", )]
