@@ -4,7 +4,7 @@ Model: multinomial naive Bayes over character 1..3-grams of normalised text
 (lower-cased, every run of non-letters -> one space).
 
 fit (``fit_profile``), over labelled documents:
-    count grams inside each Arrow batch -> sum per (lang, gram) [partial aggregation]
+    count grams inside each task, by slices of its texts -> sum per (lang, gram) [partial aggregation]
     -> one row per gram: array of log P(gram | lang), Laplace-smoothed,
        languages in sorted order  (the "profile")
     + per-language log prior.
@@ -24,18 +24,23 @@ Grams never seen in training are ignored for every language.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow import map_texts, small
 from ..session import ensure_checkpoint_dir
 from .sizing import DEFAULT_BROADCAST_LIMIT, broadcast_rows_if_bounded
 
 MAX_N = 3
+#: Distinct grams that a task counts before it sends them, and those it sends at a time.
+HELD_GRAMS = 1 << 20
+OUT_ROWS = 1 << 14
 
 
 def normalise(text: Column) -> Column:
@@ -104,6 +109,14 @@ def _codes(points: np.ndarray, n: int) -> np.ndarray:
     return code
 
 
+def _summed(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two counts of codes as one."""
+    code, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    times = np.zeros(len(code), np.int64)
+    np.add.at(times, at, np.concatenate([m, n]))
+    return code, times
+
+
 def _gram(code: int, n: int) -> str:
     return "".join(chr(code >> 21 * (n - 1 - i) & 0x1FFFFF) for i in range(n))
 
@@ -127,23 +140,48 @@ def fit_profile(docs: DataFrame, text: str = "text", label: str = "lang") -> Pro
     docs = docs.filter(F.col(label).isNotNull())
 
     def count(batches):
-        for pdf in batches:
-            for lang, texts in pdf.groupby("lang")["t"]:
-                points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in texts if t]
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def add(lang: str, n: int, code: np.ndarray, times: np.ndarray) -> None:
+            parts = held.setdefault((lang, n), [])
+            parts.append((code, times))
+            # like the carries of a counter: every part has at least twice the codes of the next
+            while len(parts) > 1 and len(parts[-2][0]) < 2 * len(parts[-1][0]):
+                parts[-2:] = [_summed(*parts[-2], *parts[-1])]
+
+        def flush():
+            for (lang, n), parts in held.items():
+                code, times = parts[0]
+                for more in parts[1:]:
+                    code, times = _summed(code, times, *more)
+                for lo in range(0, len(code), OUT_ROWS):
+                    some = code[lo:lo + OUT_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([_gram(c, n) for c in some.tolist()], pa.string()),
+                                                      pa.array(times[lo:lo + OUT_ROWS], pa.int64())], ["lang", "gram", "n"])
+            held.clear()
+
+        for b in small(batches, "t"):
+            of: dict[str, list[np.ndarray]] = {}
+            for lang, t in zip(b.column("lang").to_pylist(), b.column("t").to_pylist()):
+                if t:
+                    of.setdefault(lang, []).append(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
+            for lang, points in of.items():
                 for n in range(1, MAX_N + 1):
                     codes = [_codes(p, n) for p in points if len(p) >= n]
                     if codes:
-                        code, times = np.unique(np.concatenate(codes), return_counts=True)
-                        yield pd.DataFrame({"lang": lang, "gram": [_gram(int(c), n) for c in code], "n": times})
+                        add(lang, n, *np.unique(np.concatenate(codes), return_counts=True))
+            if sum(len(code) for parts in held.values() for code, _ in parts) > HELD_GRAMS:
+                yield from flush()
+        yield from flush()
 
     # Small driver-side facts: one row per language (reads the label column only).
     n_docs = {r[0]: r[1] for r in docs.groupBy(label).agg(F.count(F.lit(1))).collect()}
     langs = sorted(n_docs)
     d = docs.select(F.col(label).alias("lang"), F.col(text))
-    # Grams are counted inside each Arrow batch, so a batch sends one row per
-    # gram and language; one aggregation gives one row per gram with its count
+    # Grams are counted inside each task, a slice of its texts at a time, so a task
+    # sends one row per gram and language; one aggregation gives one row per gram with its count
     # in every language, materialised in the shared checkpoint folder: the model.
-    counts = d.select("lang", normalise(F.col(text)).alias("t")).mapInPandas(count, "lang string, gram string, n long")
+    counts = d.select("lang", normalise(F.col(text)).alias("t")).mapInArrow(count, "lang string, gram string, n long")
     by_gram = (counts.groupBy("gram").pivot("lang", langs).agg(F.sum("n"))
                .fillna(0, subset=langs)).checkpoint()
     stats = by_gram.agg(F.count(F.lit(1)).alias("vocab"), *[F.sum(F.col(l)).alias(l) for l in langs]).first()
@@ -170,10 +208,10 @@ def with_scores(df: DataFrame, profile: Profile, text: Column, key: str) -> Data
         return df.join(_joined_scores(df, profile, text, key), key, "left")
     sent = df.sparkSession.sparkContext.broadcast(profile.arrays())  # at most ``limit`` bytes
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         code, lp = sent.value
-        return texts.map(lambda t: None if t is None else _row_scores(t, code, lp))
+        return map_texts(texts, lambda t: None if t is None else _row_scores(t, code, lp), pa.list_(pa.float64()))
 
     return df.withColumn("__scores", score(normalise(text)))
 

@@ -159,3 +159,46 @@ def test_salary_rules(spark):
     assert got == [10000.0, 5000.0, 0.0, None, None, None]
     got = _eval(spark, salary.salary_annual(F.col("x")), [120000.0, 0.0, -5.0, None], "x double")
     assert got == [10000.0, None, None, None]
+
+
+def test_texts_are_python_objects_by_slices_only():
+    """What a worker makes of a batch is bounded by bytes, whatever the rows of the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from feedline.functions.arrow import map_texts, slices, small
+    from feedline.functions.html import plain_text
+    col = pa.array([None, "", *(f"<p>{i} {'x' * 2000}</p>" for i in range(10_000)), "y" * 3_000_000])
+    cuts = list(slices(col))
+    assert [a for a, _ in cuts[1:]] == [b for _, b in cuts[:-1]] and cuts[0][0] == 0 and cuts[-1] == (len(col) - 1, len(col))
+    assert max(b - a for a, b in cuts) < 600
+    tracemalloc.start()
+    got = list(map_texts(iter([col, col.slice(0, 0)]), plain_text, pa.string()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000  # the texts as strings and what is made of them are twice 20 MB
+    assert [len(g) for g in got] == [len(col), 0] and got[0][:3].to_pylist() == [None, "", "0 " + "x" * 2000]
+    back = pa.Table.from_batches(small(iter([pa.record_batch({"t": col})]), "t"))
+    assert back.column("t").to_pylist() == col.to_pylist()
+
+
+def test_profile_counts_equal_a_plain_count(spark):
+    import collections
+    import math
+
+    from feedline.operators.language import fit_profile
+    texts = [("en", "the cat " * 50), ("es", "el gato ñandú " * 40), ("en", None), ("es", ""), (None, "lost"), *[("en" if i % 2 else "es", f"word {'ab' * (i % 9)}") for i in range(300)]]
+    p = fit_profile(spark.createDataFrame(texts, "lang string, text string").repartition(3))
+    want = collections.defaultdict(collections.Counter)
+    for lang, t in texts:
+        t = "".join(c if c.isalpha() else " " for c in (t or "").lower())
+        t = " ".join(t.split()) + " " * (t.endswith(" "))
+        for n in (1, 2, 3):
+            want[lang].update(t[i:i + n] for i in range(len(t) - n + 1))
+    vocab = set(want["en"]) | set(want["es"])
+    got = {r["gram"]: r["lp"] for r in p.table.collect()}
+    assert set(got) == vocab and p.rows == len(vocab)
+    for i, lang in enumerate(p.langs):
+        total = sum(want[lang].values()) + len(vocab)
+        assert all(math.isclose(got[g][i], math.log((want[lang][g] + 1) / total), rel_tol=1e-12) for g in vocab)
