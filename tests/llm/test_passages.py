@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from feedline.llm.passages import Settings, align, chains, find_passages, without_passages
+from feedline.llm import passages
+from feedline.llm.passages import BAG_BITS, Settings, align, around, chains, common_links, find_passages, kmers, meetings, open_places, without_passages
 
 from .common import docs, odd_rows, words
 
@@ -253,3 +254,76 @@ def test_edited_passages_of_shared_phrases_are_found(spark):
                 covered[r.doc_id].update(range(r.start_word, r.end_word))
         found[size] = sum(len(v) >= 72 for v in covered.values())
     assert min(found.values()) >= 9, found
+
+
+@pytest.mark.parametrize("block", [passages.BLOCK, 3])
+def test_edited_passages_whose_seeds_are_all_frequent_are_found(spark, monkeypatch, block):
+    """Phrases that many documents hold before the source and between it and the copy do not hide the source."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = random.Random(35)
+    own = lambda n: [f"v{rng.randrange(10 ** 7)}" for _ in range(n)]
+    rows, truth = [], {}
+    for size in (10, 15, 20):
+        for _ in range(4):
+            phrases = [own(size) for _ in range(120 // size)]
+            p = [w for x in phrases for w in x]
+            # seeds where two phrases meet are frequent too
+            pairs = [x + y for x, y in zip(phrases, phrases[1:])]
+
+            def alone():
+                for x in pairs:
+                    rows.append((len(rows), " ".join([*own(30), *x, *own(30)])))
+
+            for _ in range(3):
+                alone()
+            source = len(rows)
+            rows.append((source, " ".join([*own(40), *p, *own(40)])))
+            for _ in range(3):
+                alone()
+            copy = list(p)
+            for i in rng.sample(range(len(p)), 10):
+                copy[i] = own(1)[0]
+            truth[len(rows)] = source
+            rows.append((len(rows), " ".join([*own(40), *copy, *own(40)])))
+    df = docs(spark, rows)
+    covered = {d: set() for d in truth}
+    for r in find_passages(df).collect():
+        if truth.get(r.doc_id) == r.source_id:
+            covered[r.doc_id].update(range(r.start_word, r.end_word))
+    assert all(len(v & set(range(40, 160))) >= 100 for v in covered.values()), {d: len(v) for d, v in covered.items()}
+    left = {r.doc_id: r.text for r in without_passages(df).collect()}
+    assert all(len(left[d].split()) <= 100 for d in truth)
+
+
+def test_places_that_meet_are_those_of_enough_common_words_as_brute_force_finds_them():
+    rng = np.random.default_rng(36)
+    conf = Settings()
+    line = rng.integers(1, 1 << 60, 6).astype(np.uint64)
+    base = rng.integers(1, 1 << 60, 100).astype(np.uint64)
+    texts = []
+    for i in range(40):
+        w = np.where(rng.random(100) < i / 60, rng.integers(1, 1 << 60, 100).astype(np.uint64), base)
+        texts.append(np.concatenate([w[:50], line, w[50:]]))
+    at = np.array([50])
+    bags, more = zip(*(around(x, at, conf) for x in texts))
+    bags, more = np.concatenate(bags).view(np.uint64), np.concatenate(more)
+    assert bags.shape == (40, BAG_BITS // 64)
+    did, every = np.arange(40), np.arange(40)
+    prev = np.array([x[49] for x in texts])
+    got = {(int(a), int(b)) for i, j in meetings(did, prev, np.zeros(40, bool), bags, more, every, every, conf) for a, b in zip(i, j)}
+    same = {(i, j): len(set(texts[i][:104].tolist()) & set(texts[j][:104].tolist())) for i in range(40) for j in range(i)}
+    assert {p for p, n in same.items() if n >= 40} <= got  # none is lost
+    assert all(same[p] >= 15 for p in got) and len(got) < len(same)
+    after = {(int(a), int(b)) for i, j in meetings(did, prev, np.ones(40, bool), bags, more, every, every, conf) for a, b in zip(i, j)}
+    assert after == {(i, j) for i, j in got if prev[i] != prev[j]}
+
+
+def test_common_links_and_open_places():
+    conf = Settings()
+    x, y = np.array([1, 2, 3, 4, 5, 1, 2, 3, 4, 9], np.uint64), np.array([7, 1, 2, 3, 4, 5], np.uint64)
+    assert [c.tolist() for c in common_links(x, y, conf)] == [[0, 1, 5], [1, 2, 1]]
+    assert len(kmers(x[:3], 4)) == 0 and [len(c) for c in common_links(x[:3], y, conf)] == [0, 0]
+    pos = np.array([0, 6, 12, 18, 24, 30, 36, 100, 36, 300 | passages.RARE, 5 | passages.LONG], np.int32)
+    got = list(open_places(np.full(11, 3), np.zeros(11, np.int32), pos, conf))
+    assert got == [(3, 0, [0, 6, 12, 18, 24, 30, 36, 100], [True] * 7 + [False])]
+    assert list(open_places(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), conf)) == []
