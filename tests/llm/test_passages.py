@@ -327,3 +327,39 @@ def test_common_links_and_open_places():
     got = list(open_places(np.full(11, 3), np.zeros(11, np.int32), pos, conf))
     assert got == [(3, 0, [0, 6, 12, 18, 24, 30, 36, 100], [True] * 7 + [False])]
     assert list(open_places(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), conf)) == []
+
+
+def test_rounds_keep_what_is_moved_within_the_texts_and_find_the_same(spark, monkeypatch):
+    """Pairs and places go over the corpus in rounds."""
+    gb = 10 ** 9
+    assert [passages.rounds(n, gb) for n in (0, 1, 3 * gb // 2, 3 * gb // 2 + 1, 15 * gb)] == [1, 1, 1, 2, 10] and passages.rounds(10 ** 6, 0) == 1
+    rng = random.Random(37)
+    own = lambda n: [f"v{rng.randrange(10 ** 7)}" for _ in range(n)]
+    p, q = own(60), own(80)
+    phrases = [own(15) for _ in range(6)]
+    line = [w for x in phrases for w in x]
+    edited = [w if i % 12 else own(1)[0] for i, w in enumerate(line)]
+    # sources that are longer and shorter than their copies, and a fuzzy passage whose seeds are all frequent
+    rows = [(i, " ".join([*own(20), *phrases[i % 6], *phrases[(i + 1) % 6], *own(20)])) for i in range(30)]
+    rows += [(40, " ".join([*own(900), *p, *own(9)])), (41, " ".join(p)), (42, " ".join([*q, *own(9)])), (43, " ".join([*own(900), *q]))]
+    rows += [(50, " ".join([*own(30), *line, *own(30)]))]
+    rows += [(60 + i, " ".join([*own(20), *phrases[i % 6], *phrases[(i + 1) % 6], *own(20)])) for i in range(30)]
+    rows += [(99, " ".join([*own(30), *edited, *own(30)]))]
+    df = docs(spark, rows)
+    once = sorted(map(tuple, find_passages(df).collect()))
+    assert {(41, 40), (43, 42), (99, 50)} <= {r[:2] for r in once}
+    moved = []
+    monkeypatch.setattr(passages, "BLOCK", 7)
+    monkeypatch.setattr(passages, "rounds", lambda n, size: moved.append(n) or 2)
+    assert sorted(map(tuple, find_passages(df).collect())) == once
+    assert len(moved) == 5 and min(moved) > 0, moved  # pairs, seeds, blocks twice, pairs that met
+
+
+def test_the_shorter_text_of_a_pair_is_moved(spark, monkeypatch):
+    rng = random.Random(38)
+    own = lambda n: [f"v{rng.randrange(10 ** 7)}" for _ in range(n)]
+    p, q = own(60), own(80)
+    some, moved = [(40, " ".join([*own(900), *p, *own(9)])), (41, " ".join(p)), (42, " ".join([*q, *own(9)])), (43, " ".join([*own(900), *q]))], []
+    monkeypatch.setattr(passages, "rounds", lambda n, size: moved.append(n) or 1)
+    assert {r[:2] for r in map(tuple, find_passages(docs(spark, some)).collect())} == {(41, 40), (43, 42)}
+    assert moved[0] == len(some[1][1]) + len(some[2][1])
