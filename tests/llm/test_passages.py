@@ -363,3 +363,30 @@ def test_the_shorter_text_of_a_pair_is_moved(spark, monkeypatch):
     monkeypatch.setattr(passages, "rounds", lambda n, size: moved.append(n) or 1)
     assert {r[:2] for r in map(tuple, find_passages(docs(spark, some)).collect())} == {(41, 40), (43, 42)}
     assert moved[0] == len(some[1][1]) + len(some[2][1])
+
+
+def test_texts_of_common_words_around_a_frequent_line_do_not_meet(spark, monkeypatch):
+    """Words in common are not enough: pairs of words in a row must be, or else all holders of a line meet each other."""
+    rng = random.Random(40)
+    common = [f"c{i}" for i in range(60)]
+    line = [f"v{rng.randrange(10 ** 7)}" for _ in range(12)]
+    rows = [(i, " ".join([*line, *rng.choices(common, k=90)])) for i in range(40)]
+    moved = []
+    monkeypatch.setattr(passages, "rounds", lambda n, size: moved.append(n) or 1)
+    assert find_passages(docs(spark, rows)).count() == 0
+    assert moved[-1] == 0, moved  # the texts of pairs that met
+
+
+@pytest.mark.parametrize("block", [passages.BLOCK, 5])
+def test_places_behind_the_same_word_are_not_dealt_to_each_other(spark, monkeypatch, block):
+    """A line is met by its first seed; a holder that begins it otherwise meets all others by the next one."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = random.Random(41)
+    own = lambda n: [f"v{rng.randrange(10 ** 7)}" for _ in range(n)]
+    line, tail = own(30), own(30)
+    rows = [(i, " ".join([*own(40), *line, *own(40)])) for i in range(30)]
+    rows += [(40, " ".join([*own(40), *line, *tail]))]
+    rows += [(50 + i, " ".join([*own(40), *line, *own(40)])) for i in range(30)]
+    fuzzy = [w if i % 7 else own(1)[0] for i, w in enumerate(tail)]
+    rows += [(99, " ".join([*own(40), *line[3:], *fuzzy]))]
+    assert {r[:2] for r in map(tuple, find_passages(docs(spark, rows)).collect())} == {(99, 40)}
