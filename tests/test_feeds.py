@@ -472,3 +472,21 @@ def test_packed_responses_stream_like_a_file_each(spark, tmp_dir):
         got[packed] = ([tuple(r) for r in store.rows().select("title", "description", "seq", "source").collect()],
                        [tuple(r) for r in spark.read.parquet(f"{root}/bad").select("feed", "reason").collect()])
     assert got[True] == got[False] and got[True][0][0][1] == "text 10" and got[True][1] == [("remoteok", "not_parsable", )]
+
+
+def test_landed_responses_are_packed_and_leave_with_their_union(spark, tmp_dir, monkeypatch):
+    import os
+
+    from feedline.plans import q_feeds
+    from feedline.sources import payloads
+    from feedline.sources.registry import landed_payloads
+
+    texts = [f"response {i} " * 400 + "é\n\n" for i in range(3)]
+    payloads.land_pages(spark.createDataFrame(list(enumerate(texts)), "payload_id long, payload string"), f"{tmp_dir}/x", "payload_id")
+    assert sorted(r["payload"].rstrip("\n") for r in landed_payloads(spark, f"{tmp_dir}/x").collect()) == [t.rstrip("\n") for t in texts]
+    files = [os.path.join(d, f) for d, _, fs in os.walk(f"{tmp_dir}/x") for f in fs if f.startswith("part-")]
+    assert len(files) == 3 and sum(map(os.path.getsize, files)) < sum(map(len, texts)) / 4
+
+    monkeypatch.setattr(q_feeds, "checkpoint_path", lambda spark, name: f"{tmp_dir}/{name}")
+    rows = q_feeds.q_union_feeds(spark, "/root/testdata/sf0.001")
+    assert not os.path.exists(f"{tmp_dir}/union") and rows.count() > 0
