@@ -9,13 +9,13 @@ DataFrame -- so the driver can compare it with the batch twin's SQL.
 from __future__ import annotations
 
 import os
-from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..params import LeadParams, PostingParams
+from ..session import release
 from ..sources import card_feeds as cf
-from ..sources import crawl, fixtures as fx, json_feeds, payloads
+from ..sources import crawl, fixtures as fx, fs, json_feeds, payloads
 from ..sources import payloads_markup as pm
 from ..sources.registry import LocalSearch, stream_readers
 from ..streaming import flows
@@ -54,7 +54,7 @@ def card_payloads(cards):
 def q_stream_postings(spark, base):
     """T1 + T2: two landings of nine feeds and a broken one -> two availableNow runs -> saved table."""
     root, land = _landed(spark, base, "postings")
-    p = fx.postings(spark, base).checkpoint()
+    p = fs.kept(fx.postings(spark, base), os.path.join(root, "postings"))
     store = Store(spark, os.path.join(root, "state"))
     search = LocalSearch("celaya", True)
     params = PostingParams(keywords=fx.FIXTURE_KEYWORDS, require_remote=True, max_years=None, max_age_days=fx.FIXTURE_MAX_AGE_DAYS,
@@ -70,10 +70,14 @@ def q_stream_postings(spark, base):
                  "bumeran": card_payloads(pm.card_rows(q, "bumeran", cf.CARD_TEXT_BASE)),
                  "computrabajo": card_payloads(pm.card_rows(q, "computrabajo", cf.CARD_FIELDS_BASE)),
                  "occ": card_payloads(pm.card_rows(q, "occ", cf.CARD_LINKS_BASE)), "hackernews": payloads.json_array_payloads(q)}
-        pages = [d.select(F.lit(n).alias("feed"), F.concat(F.lit(f"20260707-{run}-"), F.col("payload_id").cast("string")).alias("payload_id"), "payload")
-                 for n, d in feeds.items()]
-        reduce(lambda a, b: a.unionByName(b), pages).write.mode("append").partitionBy("feed").parquet(land)
+        for n in list(feeds):
+            pages = feeds.pop(n).select(F.lit(n).alias("feed"), F.concat(F.lit(f"20260707-{run}-"), F.col("payload_id").cast("string")).alias("payload_id"), "payload")
+            pages.write.mode("append").option("compression", fs.CODEC).partitionBy("feed").parquet(land)
+            del pages
+            release(spark, 0)
         _run(flows.postings_stream(spark, land, store, params, send, os.path.join(root, "checkpoint"), readers, packed=True))
+        fs.delete(spark, land)  # its run has committed
+    fs.delete(spark, os.path.join(root, "postings"))
     return store.rows().select("fingerprint", "title", "source", "run_id")
 
 

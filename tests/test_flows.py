@@ -115,3 +115,17 @@ def test_one_unreadable_feed_leaves_the_others_and_rejects_are_kept(spark, tmp_d
     assert [r["title"] for r in rows.collect()] == ["Ops"] and set(failed) == {"occ", "wwr"}
     bad = spark.read.parquet(os.path.join(tmp_dir, "quarantine"))
     assert sorted((r["feed"], r["reason"]) for r in bad.collect()) == [("remotive", "bad_url"), ("remotive", "malformed")]
+
+
+def test_a_landing_leaves_once_its_run_has_committed(spark, tmp_dir, monkeypatch):
+    import os
+
+    from feedline.plans import q_streaming
+    from feedline.streaming import flows
+    seen = []
+    run, path = q_streaming._run, f"{tmp_dir}/postings"
+    monkeypatch.setattr(flows, "checkpoint_path", lambda spark, name: path)
+    monkeypatch.setattr(q_streaming, "_run", lambda q: (seen.append(sorted(os.listdir(path))), run(q)))
+    assert q_streaming.q_stream_postings(spark, SF_SMALL).count() > 0
+    assert len(seen) == 2 and "landing" in seen[0] and sorted(os.listdir(path)) == ["checkpoint", "checkpoint-feeds", "digests", "state"]
+    assert not [f for _, _, fs in os.walk(f"{path}/checkpoint-feeds") for f in fs]
