@@ -10,10 +10,14 @@ bytes, its anchor, and neighbouring strings with one anchor are one run; about
 one byte in eighteen starts a run.  Equal strings have equal anchors, so
 only runs of one anchor need be compared:
 
-1. Runs are dealt by anchor as packed arrays of hashes (13 bytes a run and the
+1. Runs are dealt by anchor as packed arrays of hashes (19 bytes a run and the
    ids).  A run whose bytes are also those of a run in a document with a smaller id is
    repeated as a whole.  Where runs of one anchor differ, the first document
-   of each such run sends its bytes to the second step.
+   of each such run sends its bytes to the second step, if another one has the same
+   bytes on one side of the anchor: a string that both hold has at least 17 bytes
+   before or behind it.  Most anchors of a large corpus are in several documents by
+   chance; their runs end here.  A run that holds its anchor twice goes on with all
+   others of that anchor.
 2. These suffixes, led by the 16 bytes of their anchor, are range-partitioned by
    splitters that Spark samples from the leading bytes and ids, so that one
    anchor may fill many partitions.  Each partition sorts all strings of its suffixes by
@@ -47,6 +51,8 @@ from .scratch import Scratch
 
 LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1  #: grams in a string, and strings in a run at most
+HALF = SPREAD // 2  #: bytes of a string before its anchor, or else behind it, at least
+TWICE = (1 << 24) - 1  #: the halves of a run that holds its anchor twice
 LAST = (1 << 63) - 1
 LONG = 1 << 20  #: texts longer than this are read piece by piece
 BUCKET = 4 << 20  #: bytes of text whose runs make a bucket
@@ -64,27 +70,71 @@ def eights(buf: np.ndarray, order: str = "<") -> np.ndarray:
     return out
 
 
-def anchors(buf: np.ndarray) -> np.ndarray:
-    """For each string of the buffer the smallest hash of its grams."""
+def grams(buf: np.ndarray) -> np.ndarray:
+    """Hashes of the grams of the buffer."""
     e = eights(buf)
     h = e[:-8] * M1 + (e[8:] ^ ODD) * M2
     h ^= h >> np.uint64(29)
     h *= M1
     h ^= h >> np.uint64(32)
+    return h
+
+
+def _sliding(of: np.ufunc, h: np.ndarray) -> np.ndarray:
+    """The least or greatest of each ``SPREAD`` values in a row."""
     width = 1
     while width * 2 <= SPREAD:
-        h = np.minimum(h[:-width], h[width:])
+        h = of(h[:-width], h[width:])
         width *= 2
     rest = SPREAD - width
-    return np.minimum(h[:-rest], h[rest:]) if rest else h
+    return of(h[:-rest], h[rest:]) if rest else h
+
+
+def anchors(buf: np.ndarray) -> np.ndarray:
+    """For each string of the buffer the smallest hash of its grams."""
+    return _sliding(np.minimum, grams(buf))
+
 
+def halves(sums: np.ndarray, h: np.ndarray, a: np.ndarray, inside: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run 24-bit hashes of its anchor with the ``HALF`` bytes before it and with those behind it.
 
-def runs_in(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, start, number of strings, anchor and hash of the bytes of each run."""
+    0: it has fewer there; ``TWICE``, both: it holds its anchor twice.  ``h``, ``a``: ``grams`` and ``anchors``
+    of the buffer; ``inside``: its strings that lie in one text.
+    """
+    edge = np.zeros(SPREAD - 1, np.uint64)
+    # a gram is an anchor where it is the greatest of the anchors of all strings around it, as it is none's less
+    places = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, np.where(inside, a, np.uint64(0)), edge])) == h)
+    end, anchor = s + n + SPREAD - 1, a[s]
+    at, found, place = np.searchsorted(places, s), np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+    left = np.arange(len(s))
+    while len(left):
+        left = left[at[left] < len(places)]
+        k = places[at[left]]
+        within = k < end[left]
+        left, k = left[within], k[within]
+        hit = h[k] == anchor[left]
+        new = left[hit]
+        place[new[found[new] == 0]] = k[hit][found[new] == 0]
+        found[new] += 1
+        at[left] += 1
+        left = left[found[left] < 2]
+    out = []
+    for lo, hi, has in ((place - HALF, place + GRAM, place - HALF >= s), (place, place + GRAM + HALF, place + GRAM + HALF <= s + n + LENGTH - 1)):
+        v = np.zeros(len(s), np.uint32)
+        has &= found == 1
+        v[has] = span_hashes(sums, lo[has], hi[has]) % np.uint64(TWICE - 1) + np.uint64(1)
+        v[found > 1] = TWICE
+        out.append(v)
+    return tuple(out)
+
+
+def runs_in(buf: np.ndarray, offs: np.ndarray, with_halves: bool = False) -> tuple[np.ndarray, ...]:
+    """Text number, start, number of strings, anchor and hash of the bytes of each run, and its ``halves`` if asked for."""
     if len(buf) < LENGTH:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
-    a = anchors(buf)
+        return z, z, z, z.astype(np.uint64), z.astype(np.uint64), *[z.astype(np.uint32)] * (2 * with_halves)
+    h = grams(buf)
+    a = _sliding(np.minimum, h)
     edge = np.zeros(len(a) + 1, np.int32)
     inner = offs[1:-1]
     np.add.at(edge, np.minimum(np.maximum(inner - LENGTH + 1, 0), len(a)), 1)
@@ -101,39 +151,41 @@ def runs_in(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         own = np.repeat(np.arange(len(s)), cut)
         k = np.arange(len(own)) - np.repeat(np.cumsum(cut) - cut, cut)
         s, n = s[own] + k * SPREAD, np.minimum(n[own] - k * SPREAD, SPREAD)
-    c = span_hashes(prefix_sums(buf), s, s + n + LENGTH - 1)
-    return np.searchsorted(offs, s, "right") - 1, s, n, a[s], c
+    sums = prefix_sums(buf)
+    c = span_hashes(sums, s, s + n + LENGTH - 1)
+    return np.searchsorted(offs, s, "right") - 1, s, n, a[s], c, *(halves(sums, h, a, inside, s, n) if with_halves else ())
 
 
-def all_runs(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def all_runs(buf: np.ndarray, offs: np.ndarray, with_halves: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """``runs_in`` for any number and length of texts, slice by slice; starts count from the start of ``buf``."""
     for lo, hi in slices(offs):
         start, end = offs[lo], offs[hi]
         if hi == lo + 1 and end - start > LONG:
             for at in range(start, end - LENGTH + 1, LONG):
                 piece = buf[at:min(at + LONG + LENGTH - 1, end)]
-                t, s, n, a, c = runs_in(piece, np.array([0, len(piece)]))
-                yield t + lo, s + at, n, a, c
+                t, s, *more = runs_in(piece, np.array([0, len(piece)]), with_halves)
+                yield t + lo, s + at, *more
         else:
-            t, s, n, a, c = runs_in(buf[start:end], offs[lo:hi + 1] - start)
-            yield t + lo, s + start, n, a, c
+            t, s, *more = runs_in(buf[start:end], offs[lo:hi + 1] - start, with_halves)
+            yield t + lo, s + start, *more
 
 
-def _packed(did: np.ndarray, a: np.ndarray, c: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _packed(did: np.ndarray, a: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, buckets: int) -> pa.RecordBatch:
     m = mix64(a)
     b = ((m >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(b, kind="stable")
     b, did = b[order], did[order]
     low = np.ascontiguousarray(m[order]).view(np.uint8).reshape(-1, 8)[:, :5]
     c = c[order]
+    sides = np.concatenate([np.ascontiguousarray(x[order]).view(np.uint8).reshape(-1, 4)[:, :3] for x in (left, right)], axis=1)
     cut = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
     rows = []
     for s, e in zip(cut[:-1], cut[1:]):
         d = did[s:e]
         turn = np.concatenate([[0], np.flatnonzero(d[1:] != d[:-1]) + 1, [e - s]])
-        rows.append((int(b[s]), low[s:e].tobytes(), c[s:e].tobytes(), d[turn[:-1]].tobytes(), np.diff(turn).astype(np.uint32).tobytes()))
+        rows.append((int(b[s]), low[s:e].tobytes(), c[s:e].tobytes(), sides[s:e].tobytes(), d[turn[:-1]].tobytes(), np.diff(turn).astype(np.uint32).tobytes()))
     cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:])], ["b", "a", "c", "did", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:])], ["b", "a", "c", "sides", "did", "n"])
 
 
 def _by_document(did: np.ndarray, c: np.ndarray, whole: bool) -> pa.RecordBatch:
@@ -144,10 +196,20 @@ def _by_document(did: np.ndarray, c: np.ndarray, whole: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(did[cut]), pa.array(np.full(len(cut), whole)), lists], ["did", "whole", "c"])
 
 
-def judge_runs(a: np.ndarray, c: np.ndarray, did: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _apart(of: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which belong to a group (``of``, numbers in order) that has different values of ``least``."""
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), of[1:] != of[:-1]]))
+    if not len(start):
+        return np.zeros(0, bool)
+    differ = np.minimum.reduceat(least, start) != np.maximum.reduceat(least, start)
+    return np.repeat(differ, np.diff(np.append(start, len(of))))
+
+
+def judge_runs(a: np.ndarray, c: np.ndarray, did: np.ndarray, *sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of runs with all others of their anchors: those repeated as a whole, and those whose bytes must be compared.
 
-    Both as row numbers; the latter are the first documents of runs that differ from others of their anchor.
+    Both as row numbers; the latter are the first documents of runs that differ from others of their anchor,
+    of those with ``halves`` (``sides``) the ones that share one with another document's.
     """
     order = np.lexsort((did, c, a))
     a, c, d = a[order], c[order], did[order]
@@ -158,10 +220,18 @@ def judge_runs(a: np.ndarray, c: np.ndarray, did: np.ndarray) -> tuple[np.ndarra
     whole = order[d > least[np.cumsum(new) - 1]]
     # anchors whose different runs start in different documents
     of = np.cumsum(new_a)[head] - 1
-    n = np.bincount(of)
-    start = np.cumsum(n) - n
-    apart = np.minimum.reduceat(least, start) != np.maximum.reduceat(least, start)
-    return whole, order[head[apart[of]]]
+    apart = np.flatnonzero(_apart(of, least))
+    if not sides or not len(apart):
+        return whole, order[head[apart]]
+    of, least, rows = of[apart], least[apart], order[head[apart]]
+    twice = sides[0][rows] == TWICE
+    alike = np.isin(of, of[twice])
+    for side in sides:
+        half = side[rows]
+        has = np.flatnonzero(half)
+        has = has[np.lexsort((half[has], of[has]))]
+        alike[has[_apart(of[has] << np.int64(24) | half[has].astype(np.int64), least[has])]] = True
+    return whole, rows[alike]
 
 
 def multikey_groups(buf: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -242,6 +312,7 @@ def _compare(tab: pa.Table, edge: bool, buckets: int) -> pa.RecordBatch:
     masks = _masks(did[own[late]], c[own[late]], t[late])
     if not edge:
         return _fine(*masks)
+    first = np.flatnonzero(did[own] == least[g])  # all its places there: the document may hold it in several runs
     pos, own, t = pos[first], own[first], t[first]
     h0 = span_hashes(prefix_sums(buf), pos, pos + LENGTH)
     e = eights(buf)
@@ -258,7 +329,7 @@ def _compare(tab: pa.Table, edge: bool, buckets: int) -> pa.RecordBatch:
 def meet_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Holders of equal strings from different ranges: all but the smallest id's are repeated.
 
-    A range sends a string once, so a string has at most one holder per range.
+    A range sends a string once, with all runs of one document that hold it.
     """
     for tab in whole_groups(batches, "b"):
         for s, e in zip(*_bucket_rows(tab)):
@@ -320,9 +391,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in batches:
             buf, offs = text_bytes(b.column("text"))
             did = b.column("did").to_numpy()
-            for t, _, n, a, c in all_runs(buf, offs):
+            for t, _, n, *hashes in all_runs(buf, offs, with_halves=True):
                 if len(t):
-                    kept.append((did[t], a, c))
+                    kept.append((did[t], *hashes))
                     size += int(n.sum())
                     if size >= FLUSH:
                         yield _packed(*(np.concatenate(x) for x in zip(*kept)), buckets)
@@ -334,15 +405,18 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for tab in whole_groups(batches, "b"):
             for s, e in zip(*_bucket_rows(tab)):
                 part = tab.slice(s, e - s)
-                a5, c, d, n = (np.frombuffer(b"".join(x.as_py() for x in part.column(k)), kind) for k, kind in (("a", np.uint8), ("c", np.uint64), ("did", np.int64), ("n", np.uint32)))
+                a5, c, halves6, d, n = (np.frombuffer(b"".join(x.as_py() for x in part.column(k)), kind)
+                                        for k, kind in (("a", np.uint8), ("c", np.uint64), ("sides", np.uint8), ("did", np.int64), ("n", np.uint32)))
                 a = np.zeros((len(c), 8), np.uint8)
                 a[:, :5] = a5.reshape(-1, 5)
+                sides = np.zeros((len(c), 2, 4), np.uint8)
+                sides[:, :, :3] = halves6.reshape(-1, 2, 3)
                 did = np.repeat(d, n)
-                for x, whole in zip(judge_runs(a.view(np.uint64).ravel(), c, did), (True, False)):
+                for x, whole in zip(judge_runs(a.view(np.uint64).ravel(), c, did, *sides.view(np.uint32)[:, :, 0].T), (True, False)):
                     if len(x):
                         yield _by_document(did[x], c[x], whole)
 
-    dealt = rows.mapInArrow(frugal(deal), "b long, a binary, c binary, did binary, n binary")
+    dealt = rows.mapInArrow(frugal(deal), "b long, a binary, c binary, sides binary, did binary, n binary")
     judged = dealt.repartition("b").sortWithinPartitions("b").mapInArrow(frugal(judge), "did long, whole boolean, c array<long>")
     judged = scratch.write(judged, "judged")
 

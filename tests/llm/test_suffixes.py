@@ -2,11 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from feedline.llm.queries import QUERIES
-from feedline.llm.suffixes import LAST, LENGTH, judge_runs, multikey_groups, repeated
+from feedline.llm.suffixes import GRAM, LAST, LENGTH, compare_suffixes, judge_runs, meet_holders, multikey_groups, repeated, runs_in
 
 from .common import docs, odd_rows
 
@@ -92,3 +93,40 @@ def test_query_over_all_documents(spark):
     base = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{base}/documents.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op9_suffix_array_dedup"](spark, base).collect()), key=str) == brute(rows)
+
+
+def test_runs_that_share_an_anchor_by_chance_are_not_compared():
+    """Bytes on a side of the anchor tell: those of a string that both hold are equal on one side, whatever the anchor's place in it."""
+    rng = np.random.default_rng(4)
+    own = lambda n: rng.integers(97, 123, n).astype(np.uint8)
+    gram, near = own(GRAM), own(34)
+    for shared in range(35):  # bytes before the gram that two texts share, of 34 in all
+        texts = [np.concatenate([own(60), near[34 - shared:], gram, near[:34 - shared], own(60)]) for _ in range(2)]
+        texts += [np.concatenate([own(94), gram, own(94)]) for _ in range(3)]
+        texts += [np.concatenate([own(40), gram, own(3), gram, own(60)])] if shared % 5 == 0 else []
+        buf, offs = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+        t, s, n, a, c, left, right = runs_in(buf, offs, True)
+        _, all_ = judge_runs(a, c, t)
+        _, some = judge_runs(a, c, t, left, right)
+        strings = {}
+        for i in all_:
+            for x in range(s[i], s[i] + n[i]):
+                strings.setdefault(buf[x:x + LENGTH].tobytes(), {}).setdefault(int(t[i]), []).append(int(i))
+        needed = {i for held in strings.values() if len(held) > 1 for rows in held.values() for i in rows}
+        assert needed and needed <= set(some.tolist()) <= set(all_.tolist())
+        lone = set(np.flatnonzero(np.isin(t, [2, 3, 4])).tolist())
+        assert not lone & set(some.tolist()) if shared % 5 else True
+
+
+def test_a_string_in_two_runs_of_a_document_goes_from_both_over_an_edge():
+    """Two ranges of one anchor; the second one's document holds the string of the first in two different runs."""
+    rng = np.random.default_rng(5)
+    own = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    string = own(LENGTH)
+    def one(did, tails):
+        rows = [(1, 1, did, i, string + tail) for i, tail in enumerate(tails)]
+        return next(compare_suffixes(iter([pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                                                                      ["l0", "l1", "did", "c", "s"])]), 1)).to_pylist()
+    rows = [r for r in one(3, [own(5)]) + one(7, [own(5), own(6)]) if r["b"] is not None]
+    got = [b.to_pydict() for b in meet_holders(iter([pa.RecordBatch.from_pylist(rows)]))]
+    assert [(b["did"], b["c"], b["mask"]) for b in got] == [([7, 7], [0, 1], [1, 1])]
